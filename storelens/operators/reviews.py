@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions import text as T
+from storelens.functions.numeric import exact_ratio
 
 METADATA_FIELDS = ("original_length", "processed_length", "had_email", "had_credit_card", "had_ssn")
 
@@ -90,7 +91,7 @@ def pii_rates(processed: DataFrame, group: str = "app_id") -> DataFrame:
         F.sum(F.col(f"{m}.had_ssn").cast("long")).alias("n_ssn"),
         F.sum(F.col(f"{m}.original_length").cast("long")).alias("chars_in"),
         F.sum(F.col(f"{m}.processed_length").cast("long")).alias("chars_out"),
-    ).withColumn("email_rate", (F.col("n_email").cast("decimal(20,0)") / F.col("n_reviews")).cast("decimal(10,6)"))
+    ).withColumn("email_rate", exact_ratio(F.col("n_email"), F.col("n_reviews"), "decimal(10,6)"))
 
 
 def rating_summary(reviews: DataFrame, valid_only: bool = True) -> DataFrame:
@@ -100,7 +101,7 @@ def rating_summary(reviews: DataFrame, valid_only: bool = True) -> DataFrame:
     dist = [F.sum((F.col("rating") == k).cast("long")).alias(f"n_{k}") for k in range(1, 6)]
     return r.groupBy("app_id", "month").agg(
         F.count(F.lit(1)).alias("n_reviews"),
-        F.avg(F.col("rating").cast("decimal(10,0)")).cast("decimal(12,6)").alias("avg_rating"),
+        exact_ratio(F.sum("rating"), F.count(F.lit(1)), "decimal(12,6)").alias("avg_rating"),
         *dist,
         F.sum((F.col("rating") <= 2).cast("long")).alias("n_negative"),
     )

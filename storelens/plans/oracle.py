@@ -104,11 +104,20 @@ def initials(x: str) -> str:
 
 
 def dec_ratio(num: str, den: str, scale: int = 6, width: int = 18) -> str:
-    """num/den for non-negative integers, rounded HALF_UP to ``scale`` digits, as an exact
-    DECIMAL (DuckDB's decimal division returns DOUBLE)."""
+    """num/den for integers, rounded HALF_UP (away from zero) to ``scale`` digits, as
+    an exact DECIMAL (DuckDB's decimal division returns DOUBLE); NULL when den = 0."""
     f = 10 ** scale
-    return (f"CAST(CAST((2 * CAST({num} AS HUGEINT) * {f} + {den}) // (2 * CAST({den} AS HUGEINT)) AS DECIMAL(38,0))"
-            f" * CAST(1 AS DECIMAL(38,{scale})) / {f} AS DECIMAL({width},{scale}))")
+    n, d = f"CAST({num} AS HUGEINT)", f"CAST(NULLIF({den}, 0) AS HUGEINT)"
+    qq = f"(sign({n}) * sign({d}) * ((2 * abs({n}) * {f} + abs({d})) // (2 * abs({d}))))"
+    return f"CAST(CAST({qq} AS DECIMAL(38,0)) * CAST({1 / f:.{scale}f} AS DECIMAL({scale + 1},{scale})) AS DECIMAL({width},{scale}))"
+
+
+def cents(x: str) -> str:
+    return f"CAST(({x}) * 100 AS HUGEINT)"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
 def with_fx(names, body: str) -> str:
@@ -133,3 +142,394 @@ SELECT external_review_id,
        regexp_matches(coalesce(content, ''), {q(CARD)}) AS had_credit_card,
        regexp_matches(coalesce(content, ''), {q(SSN)}) AS had_ssn
 FROM fx_reviews"""))
+
+
+# --- shared pieces -------------------------------------------------------------------
+from storelens.functions.normalize import CURRENCY_CODES, CURRENCY_SYMBOLS  # noqa: E402
+from storelens.functions.text import EMOJI_RANGES  # noqa: E402
+
+EMOJI = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in EMOJI_RANGES) + "]+"
+
+
+def clean_text(x: str) -> str:
+    s = f"regexp_replace({x}, {q(HTML_TAG)}, '', 'g')"
+    s = f"regexp_replace({s}, {q('(?i)' + URL)}, '', 'g')"
+    s = f"regexp_replace({s}, {q(EMOJI)}, '', 'g')"
+    s = f"regexp_replace(lower({s}), '\\s+', ' ', 'g')"
+    return strip(s)
+
+
+def currency(x: str) -> str:
+    sym = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in CURRENCY_SYMBOLS.items())
+    codes = ", ".join(q(c) for c in CURRENCY_CODES)
+    st = strip(x)
+    return (f"coalesce(CASE {st} {sym} END, CASE WHEN upper({st}) IN ({codes}) THEN upper({st}) END)")
+
+
+def currency_error(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN 'currency is required' WHEN {strip(x)} = '' THEN 'Currency cannot be empty' "
+            f"WHEN {currency(x)} IS NULL THEN 'Unknown currency: ''' || {x} || '''' END")
+
+
+def parse_price(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL WHEN lower({x}) = 'free' THEN CAST(0 AS DECIMAL(38,10)) "
+            f"ELSE TRY_CAST(replace(regexp_replace({x}, '[^0-9.,]', '', 'g'), ',', '.') AS DECIMAL(38,10)) END")
+
+
+def price_rule(p: str) -> str:
+    return (f"CASE WHEN {p} IS NULL THEN 'price is required' WHEN {p} < 0 THEN 'Price cannot be negative' "
+            f"WHEN {p} > 99999999.99 THEN 'Price exceeds maximum of 99999999.99' END")
+
+
+def region_rule(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN 'region is required' "
+            f"WHEN length(upper({strip(x)})) > 5 THEN 'region exceeds max length of 5' END")
+
+
+def joined(*rules: str) -> str:
+    return f"array_to_string(list_filter([{', '.join(rules)}], lambda r: r IS NOT NULL), '; ')"
+
+
+def nullif_blank(x: str) -> str:
+    return f"NULLIF({strip(x)}, '')"
+
+
+def maxlen(x: str, n: int, field: str) -> str:
+    return f"CASE WHEN length({x}) > {n} THEN '{field} exceeds max length of {n}' END"
+
+
+def required(x: str, field: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN '{field} cannot be empty' END"
+
+
+PROCESSED = f"""processed AS (
+  SELECT app_id, external_review_id, pos, rating, review_date,
+         {batch_mask(batch_clean('title'))} AS title_processed,
+         {batch_mask(batch_clean('content'))} AS content_processed,
+         {initials('author_name')} AS author_name_processed,
+         CAST(length(coalesce(content, '')) AS INTEGER) AS original_length,
+         regexp_matches(coalesce(content, ''), {q(EMAIL)}) AS had_email,
+         regexp_matches(coalesce(content, ''), {q(CARD)}) AS had_credit_card,
+         regexp_matches(coalesce(content, ''), {q(SSN)}) AS had_ssn
+  FROM src),
+processed2 AS (
+  SELECT *, CAST(length(coalesce(content_processed, '')) AS INTEGER) AS processed_length FROM processed)"""
+
+# --- reviews / text ---------------------------------------------------------------------------
+register("clean_text", with_fx(["fx_reviews"], f"""
+SELECT external_review_id, {clean_text('content')} AS clean FROM fx_reviews"""))
+
+register("anonymize_pii", with_fx(["fx_reviews"], f"""
+SELECT external_review_id, {anonymize_pii('content')} AS masked FROM fx_reviews"""))
+
+register("author_initials", with_fx(["fx_reviews"], f"""
+SELECT external_review_id, author_name, {initials('author_name')} AS initials FROM fx_reviews"""))
+
+register("pii_flags", with_fx(["fx_reviews"], f"""
+SELECT external_review_id,
+       regexp_matches(coalesce(content, ''), {q(EMAIL)}) AS had_email,
+       regexp_matches(coalesce(content, ''), {q(CARD)}) AS had_credit_card,
+       regexp_matches(coalesce(content, ''), {q(SSN)}) AS had_ssn
+FROM fx_reviews"""))
+
+register("pii_rates", with_fx(["fx_reviews"], f""", src AS (SELECT * FROM fx_reviews),
+{PROCESSED}
+SELECT app_id, count(*) AS n_reviews,
+       CAST(sum(CAST(had_email AS BIGINT)) AS BIGINT) AS n_email,
+       CAST(sum(CAST(had_credit_card AS BIGINT)) AS BIGINT) AS n_credit_card,
+       CAST(sum(CAST(had_ssn AS BIGINT)) AS BIGINT) AS n_ssn,
+       CAST(sum(original_length) AS BIGINT) AS chars_in,
+       CAST(sum(processed_length) AS BIGINT) AS chars_out,
+       {dec_ratio('sum(CAST(had_email AS BIGINT))', 'count(*)', 6, 10)} AS email_rate
+FROM processed2 GROUP BY app_id""".lstrip()))
+
+register("metadata_query", with_fx(["fx_reviews"], f""", src AS (SELECT * FROM fx_reviews),
+{PROCESSED}
+SELECT app_id, external_review_id, original_length FROM processed2 WHERE had_credit_card""".lstrip()))
+
+register("rating_summary", with_fx(["fx_reviews"], f"""
+SELECT app_id, CAST(date_trunc('month', review_date) AS TIMESTAMP) AS month, count(*) AS n_reviews,
+       {dec_ratio('sum(rating)', 'count(*)', 6, 12)} AS avg_rating,
+       {", ".join(f"CAST(count(*) FILTER (WHERE rating = {k}) AS BIGINT) AS n_{k}" for k in range(1, 6))},
+       CAST(count(*) FILTER (WHERE rating <= 2) AS BIGINT) AS n_negative
+FROM fx_reviews WHERE rating BETWEEN 1 AND 5 GROUP BY ALL"""))
+
+register("weekly_report", with_fx(["fx_reviews"], """
+SELECT app_id, week, count(*) AS n_reviews, CAST(sum(rating) AS BIGINT) AS rating_sum,
+       CAST(count(*) FILTER (WHERE rating <= 2) AS BIGINT) AS n_negative,
+       CAST(GROUPING(app_id, week) AS INTEGER) AS level
+FROM (SELECT app_id, CAST(date_trunc('week', review_date) AS TIMESTAMP) AS week, rating
+      FROM fx_reviews WHERE rating BETWEEN 1 AND 5)
+GROUP BY ROLLUP (app_id, week)"""))
+
+register("reviews_page", with_fx(["fx_reviews"], """
+SELECT app_id, external_review_id, review_date, rating FROM fx_reviews WHERE app_id = 'src3'
+ORDER BY review_date DESC, external_review_id DESC LIMIT 20"""))
+
+register("new_reviews", with_fx(["fx_reviews"], """,
+stored AS (SELECT d.source AS app_id, CAST(d.doc_id AS VARCHAR) AS external_review_id
+           FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id))
+SELECT app_id, external_review_id, rating FROM fx_reviews b
+WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.app_id = b.app_id AND s.external_review_id = b.external_review_id)
+""".lstrip()))
+
+register("review_merge", with_fx(["fx_reviews"], f""",
+src AS (SELECT * REPLACE (md5(title) AS external_review_id) FROM fx_reviews),
+{PROCESSED}
+SELECT app_id, external_review_id,
+       first(rating ORDER BY pos) AS rating, first(review_date ORDER BY pos) AS review_date,
+       first(title_processed ORDER BY pos DESC) AS title, first(content_processed ORDER BY pos DESC) AS content,
+       first(author_name_processed ORDER BY pos DESC) AS author_name,
+       first(original_length ORDER BY pos DESC) AS original_length,
+       first(processed_length ORDER BY pos DESC) AS processed_length
+FROM processed2 GROUP BY app_id, external_review_id""".lstrip()))
+
+# --- normalisers / firewall ---------------------------------------------------------------------
+register("normalize_currency", with_fx(["fx_raw_prices"], f"""
+SELECT scrape_id, raw_currency, {currency('raw_currency')} AS currency, {currency_error('raw_currency')} AS error
+FROM fx_raw_prices"""))
+
+register("parse_price", with_fx(["fx_raw_prices"], f"""
+SELECT scrape_id, raw_price, {parse_price('raw_price')} AS price FROM fx_raw_prices"""))
+
+VALIDATED_PRICES = f"""validated AS (
+  SELECT *, {joined(price_rule('price_exact'), currency_error('raw_currency'), region_rule('raw_region'),
+                    "CASE WHEN ts IS NULL THEN 'timestamp is required' END")} AS v
+  FROM (SELECT *, {parse_price('raw_price')} AS price_exact FROM fx_raw_prices)),
+labelled AS (
+  SELECT scrape_id, app_id,
+         CASE WHEN ({price_rule('price_exact')}) IS NULL THEN CAST(price_exact AS DECIMAL(10,2)) END AS price,
+         {currency('raw_currency')} AS currency, upper({strip('raw_region')}) AS region, ts,
+         CASE WHEN price_exact IS NULL THEN '' ELSE v END AS violations,
+         CASE WHEN price_exact IS NULL THEN 'no_price' WHEN v = '' THEN 'accepted' ELSE 'rejected' END AS outcome
+  FROM validated)"""
+
+register("validate_prices", with_fx(["fx_raw_prices"], f""",
+{VALIDATED_PRICES}
+SELECT * FROM labelled""".lstrip()))
+
+register("quarantine_counts", with_fx(["fx_raw_prices"], f""",
+{VALIDATED_PRICES}
+SELECT outcome, rule, count(*) AS n FROM (
+  SELECT outcome, unnest(CASE WHEN violations = '' THEN [NULL::VARCHAR] ELSE string_split(violations, '; ') END) AS rule
+  FROM labelled)
+GROUP BY outcome, rule""".lstrip()))
+
+register("validate_reviews", with_fx(["fx_reviews"], f"""
+SELECT app_id, external_review_id, rating, title, author_name, review_date,
+       {joined(f"coalesce({required('external_review_id', 'external_review_id')}, {maxlen('external_review_id', 255, 'external_review_id')})",
+               "CASE WHEN rating IS NULL THEN 'rating is required' WHEN rating < 1 OR rating > 5 THEN 'Rating must be between 1 and 5' END",
+               maxlen('title', 500, 'title'), maxlen('author_name', 255, 'author_name'))} AS violations
+FROM (SELECT app_id, {strip('external_review_id')} AS external_review_id, rating,
+             {nullif_blank('title')} AS title, {nullif_blank('author_name')} AS author_name, review_date
+      FROM fx_reviews)"""))
+
+register("validate_apps", with_fx(["fx_apps"], f"""
+SELECT id, name, bundle_id, developer_name, icon_url,
+       {joined(f"coalesce({required('name', 'name')}, {maxlen('name', 255, 'name')})",
+               f"coalesce({required('bundle_id', 'bundle_id')}, {maxlen('bundle_id', 255, 'bundle_id')})",
+               maxlen('developer_name', 255, 'developer_name'), maxlen('icon_url', 512, 'icon_url'))} AS violations
+FROM (SELECT id, {strip('name')} AS name, {strip('bundle_id')} AS bundle_id,
+             {nullif_blank('developer_name')} AS developer_name, CAST(NULL AS VARCHAR) AS icon_url
+      FROM fx_apps)"""))
+
+register("unique_audit", with_fx(["fx_apps", "fx_reviews", "fx_prices"], """
+SELECT 'apps' AS table_name, concat_ws('|', bundle_id, store) AS key, count(*) AS n_rows
+FROM fx_apps GROUP BY bundle_id, store HAVING count(*) > 1
+UNION ALL
+SELECT 'reviews', concat_ws('|', app_id, external_review_id), count(*)
+FROM fx_reviews GROUP BY app_id, external_review_id HAVING count(*) > 1
+UNION ALL
+SELECT 'review_batch', concat_ws('|', app_id, md5(title)), count(*)
+FROM fx_reviews GROUP BY app_id, md5(title) HAVING count(*) > 1
+UNION ALL
+SELECT 'price_history', concat_ws('|', CAST(id AS VARCHAR), CAST(ts AS VARCHAR)), count(*)
+FROM fx_prices GROUP BY id, ts HAVING count(*) > 1"""))
+
+register("fk_audit", with_fx(["fx_ratings", "fx_apps"], """
+SELECT app_id, count(*) AS n_orphans FROM fx_ratings r
+WHERE NOT EXISTS (SELECT 1 FROM fx_apps a WHERE a.id = r.app_id) GROUP BY app_id"""))
+
+
+def _nulls(table: str, fx: str, cols: list[str]) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{table}' AS table_name, '{c}' AS column_name, 'null' AS rule, "
+        f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_violations FROM {fx}" for c in cols)
+
+
+register("null_enum_audit", with_fx(["fx_apps", "fx_prices", "fx_reviews"], f"""
+{_nulls('apps', 'fx_apps', ['name', 'bundle_id', 'store', 'is_active'])}
+UNION ALL
+SELECT 'apps', 'store', 'enum', CAST(count(*) FILTER (WHERE store IS NOT NULL AND store NOT IN ('APPLE_APP_STORE', 'GOOGLE_PLAY_STORE')) AS BIGINT) FROM fx_apps
+UNION ALL
+{_nulls('price_history', 'fx_prices', ['price', 'currency', 'region', 'ts'])}
+UNION ALL
+{_nulls('reviews', 'fx_reviews', ['app_id', 'external_review_id', 'rating'])}"""))
+
+# --- catalogue -----------------------------------------------------------------------------------
+APPLE_URL = "'https://apps.apple.com/' || lower({r}) || '/app/id' || bundle_id"
+GOOGLE_URL = "'https://play.google.com/store/apps/details?id=' || bundle_id || '&hl=en&gl=' || upper({r})"
+
+
+def url(r: str) -> str:
+    return (f"CASE WHEN store = 'APPLE_APP_STORE' THEN {APPLE_URL.format(r=r)} "
+            f"ELSE {GOOGLE_URL.format(r=r)} END")
+
+
+register("store_urls", with_fx(["fx_apps"], f"""
+SELECT id AS app_id, region, store, {url('region')} AS url, store = 'APPLE_APP_STORE' AS supported,
+       CASE WHEN store <> 'APPLE_APP_STORE' THEN 'Google Play scraper not yet implemented' END AS error
+FROM fx_apps CROSS JOIN (VALUES ('us'), ('mx'), ('br'), ('de'), ('jp')) AS t(region)"""))
+
+register("request_lookup", with_fx(["fx_apps"], f""",
+req AS (SELECT o_orderkey AS request_id, o_custkey + 1000 AS app_id FROM orders)
+SELECT r.request_id, r.app_id, a.id IS NOT NULL AS found, a.store,
+       CASE WHEN a.id IS NOT NULL THEN {url("'us'")} END AS url,
+       a.id IS NOT NULL AND a.store = 'APPLE_APP_STORE' AS dispatched,
+       CASE WHEN a.id IS NULL THEN 'App not found'
+            WHEN a.store <> 'APPLE_APP_STORE' THEN 'Google Play scraper not yet implemented' END AS error
+FROM req r LEFT JOIN fx_apps a ON a.id = r.app_id""".lstrip()))
+
+register("batch_enqueued", "SELECT count(*) AS enqueued FROM orders")
+
+register("apps_merge", with_fx(["fx_apps"], """,
+cat AS (SELECT *, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS icon_url FROM fx_apps),
+scr AS (SELECT p_partkey AS id, upper(p_name) AS s_name0, p_size,
+               CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type || ' Inc' END AS s_dev,
+               p_type AS s_desc, CAST(NULL AS VARCHAR) AS s_icon
+        FROM part WHERE p_size <= 10),
+j AS (SELECT c.*, s.s_name0, s.s_dev, s.s_desc, s.s_icon FROM cat c LEFT JOIN scr s ON s.id = c.id),
+o AS (SELECT id, coalesce(s_name0, name) AS new_name, bundle_id, store,
+             CASE WHEN coalesce(s_dev, '') <> '' THEN s_dev ELSE developer_name END AS new_dev,
+             CASE WHEN coalesce(s_desc, '') <> '' THEN s_desc ELSE description END AS new_desc,
+             CASE WHEN coalesce(s_icon, '') <> '' THEN s_icon ELSE icon_url END AS new_icon,
+             is_active, name, developer_name, description, icon_url
+      FROM j)
+SELECT id, new_name AS name, bundle_id, store, new_dev AS developer_name, new_desc AS description,
+       new_icon AS icon_url, is_active,
+       NOT (new_name IS NOT DISTINCT FROM name AND new_dev IS NOT DISTINCT FROM developer_name
+            AND new_desc IS NOT DISTINCT FROM description AND new_icon IS NOT DISTINCT FROM icon_url) AS changed
+FROM o""".lstrip()))
+
+register("worklist", with_fx(["fx_apps", "fx_attempts"], """,
+last AS (SELECT app_id, max(ts) AS last_scraped_at FROM fx_attempts GROUP BY app_id)
+SELECT a.id AS app_id, l.last_scraped_at,
+       CASE WHEN l.last_scraped_at IS NULL OR l.last_scraped_at <= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 HOUR
+            THEN 'full' ELSE 'price_only' END AS mode
+FROM fx_apps a LEFT JOIN last l ON l.app_id = a.id WHERE a.is_active""".lstrip()))
+
+register("apps_page", with_fx(["fx_apps"], """
+SELECT id, name, bundle_id, store FROM fx_apps WHERE name > 'b' OR (name = 'b' AND id > 0)
+ORDER BY name, id LIMIT 50"""))
+
+register("store_union", with_fx(["fx_apps"], """
+SELECT id, name, bundle_id, developer_name, 'APPLE_APP_STORE' AS store FROM fx_apps WHERE store = 'APPLE_APP_STORE'
+UNION ALL
+SELECT id, name, bundle_id, CAST(NULL AS VARCHAR), 'GOOGLE_PLAY_STORE' FROM fx_apps WHERE store = 'GOOGLE_PLAY_STORE'"""))
+
+# --- prices ------------------------------------------------------------------------------------------
+register("price_partitions", with_fx(["fx_prices_long"], """
+SELECT CASE WHEN ts2 >= TIMESTAMP '2026-01-01' AND ts2 < TIMESTAMP '2028-01-01' THEN strftime(ts2, '%Y%m')
+            ELSE 'default' END AS price_month, count(*) AS n_rows
+FROM (SELECT CAST(CAST(ts AS DATE) + INTERVAL 372 MONTH AS TIMESTAMP) AS ts2 FROM fx_prices_long)
+GROUP BY 1"""))
+
+register("running_avg", with_fx(["fx_prices_long"], f"""
+SELECT app_id, id, ts, price, count(*) OVER w AS run_n,
+       {dec_ratio(cents('sum(price) OVER w'), '100 * count(*) OVER w')} AS running_avg
+FROM fx_prices_long WINDOW w AS (PARTITION BY app_id ORDER BY ts)"""))
+
+CHANGES = f"""changes AS (
+  SELECT app_id, region, currency, id, ts, prev_price, price, prev_ts, price - prev_price AS delta,
+         CASE WHEN prev_price <> 0 THEN {dec_ratio(cents('price - prev_price'), cents('prev_price'))} END AS change_pct
+  FROM (SELECT *, lag(price) OVER w AS prev_price, lag(ts) OVER w AS prev_ts
+        FROM SERIES WINDOW w AS (PARTITION BY app_id, region, currency ORDER BY ts, id))
+  WHERE prev_price IS NOT NULL AND price <> prev_price)"""
+
+register("price_changes", with_fx(["fx_prices"], f""",
+{CHANGES.replace('SERIES', 'fx_prices')}
+SELECT * FROM changes""".lstrip()))
+
+register("offers", with_fx(["fx_prices"], f"""
+SELECT app_id, region, currency, id, ts, price, avg_30d FROM (
+  SELECT *, {dec_ratio(cents('s'), '100 * n')} AS avg_30d FROM (
+    SELECT app_id, region, currency, id, ts, price, sum(price) OVER w AS s, count(price) OVER w AS n
+    FROM fx_prices
+    WINDOW w AS (PARTITION BY app_id, region, currency ORDER BY epoch_us(ts)
+                 RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING)))
+WHERE n > 0 AND price < avg_30d * 0.85"""))
+
+register("latest_price", with_fx(["fx_prices"], """
+SELECT app_id, region, currency, price, ts, id, n_obs FROM (
+  SELECT *, row_number() OVER (PARTITION BY app_id, region, currency ORDER BY ts DESC, id DESC) AS rn,
+         count(*) OVER (PARTITION BY app_id, region, currency) AS n_obs
+  FROM fx_prices) WHERE rn = 1"""))
+
+register("churn", with_fx(["fx_purchase_prices", "fx_ratings"], f""",
+{CHANGES.replace('SERIES', 'fx_purchase_prices')},
+rises AS (SELECT app_id, id AS rise_id, ts AS rise_ts, prev_price, price FROM changes WHERE delta > 0),
+counted AS (
+  SELECT r.app_id, r.rise_id, r.rise_ts, r.prev_price, r.price,
+         count(v.ts) FILTER (WHERE v.ts >= r.rise_ts - INTERVAL 7 DAY AND v.ts < r.rise_ts AND v.rating <= 2) AS neg_before,
+         count(v.ts) FILTER (WHERE v.ts > r.rise_ts AND v.ts <= r.rise_ts + INTERVAL 7 DAY AND v.rating <= 2) AS neg_after
+  FROM rises r LEFT JOIN fx_ratings v
+    ON v.app_id = r.app_id AND v.ts >= r.rise_ts - INTERVAL 7 DAY AND v.ts <= r.rise_ts + INTERVAL 7 DAY
+  GROUP BY r.app_id, r.rise_id, r.rise_ts, r.prev_price, r.price)
+SELECT * FROM counted WHERE neg_after >= greatest(3, 2 * neg_before)""".lstrip()))
+
+register("asof_price", with_fx(["fx_ratings", "fx_purchase_prices"], """
+SELECT r.review_id, r.app_id, r.ts, r.rating,
+       (SELECT p.price FROM fx_purchase_prices p WHERE p.app_id = r.app_id AND p.ts <= r.ts
+        ORDER BY p.ts DESC, p.id DESC LIMIT 1) AS price_in_force
+FROM fx_ratings r"""))
+
+register("price_trends", with_fx(["fx_prices_long"], f"""
+SELECT app_id, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, currency, region,
+       count(*) AS n_obs, min(price) AS min_price, max(price) AS max_price,
+       first(price ORDER BY ts, id) AS first_price, first(price ORDER BY ts DESC, id DESC) AS last_price,
+       {dec_ratio(cents('sum(price)'), '100 * count(*)')} AS avg_price
+FROM fx_prices_long GROUP BY ALL"""))
+
+register("compare_apps", with_fx(["fx_prices_long"], f"""
+SELECT CAST(date_trunc('month', ts) AS TIMESTAMP) AS period,
+       {", ".join(f"{dec_ratio(cents(f'sum(price) FILTER (WHERE app_id = {a})'), f'100 * count(*) FILTER (WHERE app_id = {a})')} AS app_{a}" for a in (1, 2, 3))}
+FROM fx_prices_long WHERE app_id IN (1, 2, 3) GROUP BY 1"""))
+
+register("price_history_page", with_fx(["fx_prices_long"], """
+SELECT * FROM fx_prices_long
+WHERE app_id = 7 AND ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1998-01-01'
+  AND (ts < TIMESTAMP '1997-06-01' OR (ts = TIMESTAMP '1997-06-01' AND id < 1000000000000))
+ORDER BY ts DESC, id DESC LIMIT 100"""))
+
+register("top_movers", with_fx(["fx_prices"], f""",
+{CHANGES.replace('SERIES', 'fx_prices')}
+SELECT app_id, region, currency, id, ts, prev_price, price, change_pct FROM changes
+WHERE change_pct IS NOT NULL ORDER BY abs(change_pct) DESC, app_id, region, ts, id LIMIT 20""".lstrip()))
+
+register("retention_split", with_fx(["fx_prices_long", "fx_reviews"], """
+SELECT table_name, retention, count(*) AS n_rows FROM (
+  SELECT 'price_history' AS table_name,
+         CASE WHEN ts >= TIMESTAMP '2001-08-01' - INTERVAL 24 MONTH THEN 'keep' ELSE 'expire' END AS retention
+  FROM fx_prices_long
+  UNION ALL
+  SELECT 'reviews', CASE WHEN review_date >= TIMESTAMP '2024-07-15' - INTERVAL 6 MONTH THEN 'keep' ELSE 'expire' END
+  FROM fx_reviews)
+GROUP BY ALL"""))
+
+# --- ingestion health ------------------------------------------------------------------------------
+register("sync_errors", with_fx(["fx_attempts"], """
+SELECT app_id, attempt_id, ts, streak FROM (
+  SELECT *, pos - coalesce(max(CASE WHEN NOT failed THEN pos END) OVER (
+                PARTITION BY app_id ORDER BY ts, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS streak
+  FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY ts, attempt_id) AS pos FROM fx_attempts))
+WHERE failed AND streak >= 3"""))
+
+register("health_hourly", with_fx(["fx_attempts"], f"""
+SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, store, count(*) AS n_attempts,
+       CAST(count(*) FILTER (WHERE failed) AS BIGINT) AS n_failed,
+       {dec_ratio('count(*) FILTER (WHERE failed)', 'count(*)', 6, 10)} AS failure_rate
+FROM fx_attempts GROUP BY ALL"""))
+
+register("rate_limit", with_fx(["fx_access"], """
+SELECT ip, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, count(*) AS n_requests
+FROM fx_access GROUP BY ALL HAVING count(*) > 1"""))

@@ -1,8 +1,9 @@
 """Named queries: (spark, sf_dir) -> DataFrame over the whole input tables.
 
-Each entry composes a stand-in view (``sources.fixtures``) with an operator
+Each entry composes stand-in views (``sources.fixtures``) with an operator
 (``operators.*``) and flattens nested output so it can be compared with the
-DuckDB twin in ``plans.oracle``.
+DuckDB twin in ``plans.oracle``.  Parameters (app ids, dates, limits) are the
+query's own arguments, not sampling: every entry scans its whole tables.
 """
 
 from __future__ import annotations
@@ -10,7 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from storelens.functions import normalize as N
+from storelens.functions import text as T
+from storelens.operators import catalog as C
+from storelens.operators import firewall as V
+from storelens.operators import health as H
+from storelens.operators import prices as P
 from storelens.operators import reviews as R
 from storelens.session import use_utc
 from storelens.sources import fixtures as FX
@@ -31,7 +39,311 @@ def query(name: str):
     return deco
 
 
+def _joined(col: str = "violations"):
+    return F.array_join(F.col(col), "; ").alias(col)
+
+
+# --- reviews / text -----------------------------------------------------------
 @query("process_reviews")
 def q_process_reviews(spark, sf_dir):
     """B1 over every document (whole texts)."""
     return R.flatten_metadata(R.process_reviews(FX.fx_reviews(spark, sf_dir)))
+
+
+@query("clean_text")
+def q_clean_text(spark, sf_dir):
+    """T5 scalar clean (emoji step, case-insensitive URLs) over whole contents."""
+    r = FX.fx_reviews(spark, sf_dir)
+    return r.select("external_review_id", T.clean_text("content").alias("clean"))
+
+
+@query("anonymize_pii")
+def q_anonymize_pii(spark, sf_dir):
+    """T11 email -> card -> SSN -> phone over whole contents."""
+    r = FX.fx_reviews(spark, sf_dir)
+    return r.select("external_review_id", T.anonymize_pii("content").alias("masked"))
+
+
+@query("author_initials")
+def q_author_initials(spark, sf_dir):
+    """T10 author -> initials."""
+    r = FX.fx_reviews(spark, sf_dir)
+    return r.select("external_review_id", "author_name", T.author_initials("author_name").alias("initials"))
+
+
+@query("pii_flags")
+def q_pii_flags(spark, sf_dir):
+    """T14 flags on raw content."""
+    r = FX.fx_reviews(spark, sf_dir)
+    f = T.pii_flags("content")
+    return r.select("external_review_id", *[c.alias(n) for n, c in f.items()])
+
+
+@query("pii_rates")
+def q_pii_rates(spark, sf_dir):
+    """A7 PII prevalence per app from the processing metadata."""
+    return R.pii_rates(R.process_reviews(FX.fx_reviews(spark, sf_dir), keep=("app_id",)))
+
+
+@query("metadata_query")
+def q_metadata_query(spark, sf_dir):
+    """P7 reviews selected by a metadata flag."""
+    p = R.process_reviews(FX.fx_reviews(spark, sf_dir), keep=("app_id",))
+    return R.metadata_query(p, "had_credit_card").select(
+        "app_id", "external_review_id", F.col("processing_metadata.original_length").alias("original_length"))
+
+
+@query("rating_summary")
+def q_rating_summary(spark, sf_dir):
+    """A8 per app and month."""
+    return R.rating_summary(FX.fx_reviews(spark, sf_dir)).withColumn("month", F.col("month").cast("timestamp_ntz"))
+
+
+@query("weekly_report")
+def q_weekly_report(spark, sf_dir):
+    """A9 ROLLUP(app, week)."""
+    w = R.weekly_report(FX.fx_reviews(spark, sf_dir))
+    return w.withColumn("week", F.col("week").cast("timestamp_ntz")).withColumn("level", F.col("level").cast("int"))
+
+
+@query("reviews_page")
+def q_reviews_page(spark, sf_dir):
+    """L3 newest reviews of one app."""
+    r = FX.fx_reviews(spark, sf_dir).select("app_id", "external_review_id", "review_date", "rating")
+    return R.reviews_page(r, "src3", limit=20)
+
+
+@query("new_reviews")
+def q_new_reviews(spark, sf_dir):
+    """J2/U2 batch minus already stored (anti join)."""
+    b = FX.fx_reviews(spark, sf_dir).select("app_id", "external_review_id", "rating")
+    return R.new_reviews(b, FX.fx_stored_review_keys(spark, sf_dir))
+
+
+@query("review_merge")
+def q_review_merge(spark, sf_dir):
+    """J3/W7 duplicates in one batch: first rating/date, last processed text."""
+    m = R.merge_batch_reviews(FX.fx_review_batch(spark, sf_dir))
+    return m.select("app_id", "external_review_id", "rating", "review_date", "title", "content", "author_name",
+                    F.col("metadata.original_length").alias("original_length"),
+                    F.col("metadata.processed_length").alias("processed_length"))
+
+
+# --- normalisers / firewall -------------------------------------------------------
+@query("normalize_currency")
+def q_normalize_currency(spark, sf_dir):
+    """N1 symbol/code -> ISO, with the failure message."""
+    r = FX.fx_raw_prices(spark, sf_dir)
+    return r.select("scrape_id", "raw_currency", N.normalize_currency("raw_currency").alias("currency"),
+                    N.currency_rule("raw_currency").alias("error"))
+
+
+@query("parse_price")
+def q_parse_price(spark, sf_dir):
+    """N6 price text -> exact decimal."""
+    r = FX.fx_raw_prices(spark, sf_dir)
+    return r.select("scrape_id", "raw_price", N.parse_price("raw_price").alias("price"))
+
+
+@query("validate_prices")
+def q_validate_prices(spark, sf_dir):
+    """V2 over the raw price feed."""
+    v = V.validate_prices(FX.fx_raw_prices(spark, sf_dir), keep=("scrape_id", "app_id"))
+    return v.select("scrape_id", "app_id", "price", "currency", "region", "ts", _joined(), "outcome")
+
+
+@query("quarantine_counts")
+def q_quarantine_counts(spark, sf_dir):
+    """V8 accepted / rejected / no-price counts and per-rule counts."""
+    v = V.validate_prices(FX.fx_raw_prices(spark, sf_dir), keep=("scrape_id",))
+    return V.violation_counts(v, "outcome")
+
+
+@query("validate_reviews")
+def q_validate_reviews(spark, sf_dir):
+    """V3 over every review."""
+    v = V.validate_reviews(FX.fx_reviews(spark, sf_dir), keep=("app_id",))
+    return v.select("app_id", "external_review_id", "rating", "title", "author_name", "review_date", _joined())
+
+
+@query("validate_apps")
+def q_validate_apps(spark, sf_dir):
+    """V1 over the catalogue."""
+    v = V.validate_apps(FX.fx_catalog(spark, sf_dir), keep=("id",))
+    return v.select("id", "name", "bundle_id", "developer_name", "icon_url", _joined())
+
+
+@query("unique_audit")
+def q_unique_audit(spark, sf_dir):
+    """V5 duplicate keys on the three tables (plus the capture batch's review ids)."""
+    return V.union_all([
+        V.unique_audit(FX.fx_apps(spark, sf_dir), ["bundle_id", "store"], "apps"),
+        V.unique_audit(FX.fx_reviews(spark, sf_dir), ["app_id", "external_review_id"], "reviews"),
+        V.unique_audit(FX.fx_review_batch(spark, sf_dir), ["app_id", "external_review_id"], "review_batch"),
+        V.unique_audit(FX.fx_prices(spark, sf_dir), ["id", "ts"], "price_history"),
+    ])
+
+
+@query("fk_audit")
+def q_fk_audit(spark, sf_dir):
+    """V6 reviews whose app is not in the catalogue, counted per app."""
+    orphans = V.fk_audit(FX.fx_ratings(spark, sf_dir), FX.fx_apps(spark, sf_dir), "app_id", "id")
+    return orphans.groupBy("app_id").agg(F.count(F.lit(1)).alias("n_orphans"))
+
+
+@query("null_enum_audit")
+def q_null_enum_audit(spark, sf_dir):
+    """V7 not-null and enum checks."""
+    return V.union_all([
+        V.null_enum_audit(FX.fx_apps(spark, sf_dir), "apps", ["name", "bundle_id", "store", "is_active"],
+                          {"store": list(N.STORES)}),
+        V.null_enum_audit(FX.fx_prices(spark, sf_dir), "price_history", ["price", "currency", "region", "ts"]),
+        V.null_enum_audit(FX.fx_reviews(spark, sf_dir), "reviews", ["app_id", "external_review_id", "rating"]),
+    ])
+
+
+# --- catalogue -------------------------------------------------------------------
+@query("store_urls")
+def q_store_urls(spark, sf_dir):
+    """P1/P2/P3 URLs per app and region."""
+    return C.store_urls(FX.fx_apps(spark, sf_dir))
+
+
+@query("request_lookup")
+def q_request_lookup(spark, sf_dir):
+    """J1/P4 requests against the catalogue."""
+    return C.request_lookup(FX.fx_requests(spark, sf_dir), FX.fx_apps(spark, sf_dir))
+
+
+@query("batch_enqueued")
+def q_batch_enqueued(spark, sf_dir):
+    """A2 enqueued count."""
+    return C.enqueued_count(FX.fx_requests(spark, sf_dir))
+
+
+@query("apps_merge")
+def q_apps_merge(spark, sf_dir):
+    """S5 catalogue updated from scraped records."""
+    return C.apps_merge(FX.fx_catalog(spark, sf_dir), FX.fx_scraped_apps(spark, sf_dir))
+
+
+@query("worklist")
+def q_worklist(spark, sf_dir):
+    """P6/P8 monitored apps with scrape mode."""
+    return C.worklist(FX.fx_apps(spark, sf_dir), FX.fx_attempts(spark, sf_dir), "2024-01-30 12:00:00")
+
+
+@query("apps_page")
+def q_apps_page(spark, sf_dir):
+    """L4 listing, second page after a cursor."""
+    return C.apps_page(FX.fx_apps(spark, sf_dir).select("id", "name", "bundle_id", "store"),
+                       limit=50, after=("b", 0))
+
+
+@query("store_union")
+def q_store_union(spark, sf_dir):
+    """X10/U1 per-store feeds unified."""
+    a = FX.fx_apps(spark, sf_dir)
+    apple = a.where(F.col("store") == C.APPLE).select("id", "name", "bundle_id", "developer_name")
+    google = a.where(F.col("store") == C.GOOGLE).select("id", "name", F.col("bundle_id").alias("bundle_id"))
+    return C.store_union(apple, google)
+
+
+# --- prices -------------------------------------------------------------------------
+@query("price_partitions")
+def q_price_partitions(spark, sf_dir):
+    """S3/A3 rows per monthly partition (series shifted into the partitioned years)."""
+    p = FX.fx_prices_long(spark, sf_dir).withColumn(
+        "ts", F.add_months("ts", 372).cast("timestamp_ntz"))
+    return P.with_price_month(p).groupBy("price_month").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("running_avg")
+def q_running_avg(spark, sf_dir):
+    """W1 running average per app (RANGE frame, ties share)."""
+    r = P.running_avg(FX.fx_prices_long(spark, sf_dir))
+    return r.select("app_id", "id", "ts", "price", "run_n", "running_avg")
+
+
+@query("price_changes")
+def q_price_changes(spark, sf_dir):
+    """W2 changes per (app, region, currency)."""
+    return P.price_changes(FX.fx_prices(spark, sf_dir))
+
+
+@query("offers")
+def q_offers(spark, sf_dir):
+    """W3 >15 % under the trailing 30-day average."""
+    return P.offers(FX.fx_prices(spark, sf_dir))
+
+
+@query("latest_price")
+def q_latest_price(spark, sf_dir):
+    """W4 latest observation per series."""
+    return P.latest_price(FX.fx_prices(spark, sf_dir))
+
+
+@query("churn")
+def q_churn(spark, sf_dir):
+    """W5/J6 negative-review spikes after price rises."""
+    return P.churn_alerts(FX.fx_purchase_prices(spark, sf_dir), FX.fx_ratings(spark, sf_dir))
+
+
+@query("asof_price")
+def q_asof_price(spark, sf_dir):
+    """J7 price in force at each review."""
+    return P.asof_price(FX.fx_ratings(spark, sf_dir), FX.fx_purchase_prices(spark, sf_dir), "review_id")
+
+
+@query("price_trends")
+def q_price_trends(spark, sf_dir):
+    """A4 monthly trend table."""
+    return P.price_trends(FX.fx_prices_long(spark, sf_dir))
+
+
+@query("compare_apps")
+def q_compare_apps(spark, sf_dir):
+    """A5 three apps side by side per month."""
+    return P.compare_apps(FX.fx_prices_long(spark, sf_dir), [1, 2, 3])
+
+
+@query("price_history_page")
+def q_price_history_page(spark, sf_dir):
+    """L1/L2 one app's history in a range, second page via keyset cursor."""
+    return P.price_history_page(FX.fx_prices_long(spark, sf_dir), 7, "1996-01-01", "1998-01-01",
+                                limit=100, cursor=("1997-06-01 00:00:00", 10**12))
+
+
+@query("top_movers")
+def q_top_movers(spark, sf_dir):
+    """L5 top 20 relative changes."""
+    return P.top_movers(FX.fx_prices(spark, sf_dir), k=20)
+
+
+@query("retention_split")
+def q_retention_split(spark, sf_dir):
+    """R1 prices kept 24 months, reviews 6 months."""
+    p = P.retention_split(FX.fx_prices_long(spark, sf_dir), "ts", "2001-08-01", 24) \
+        .select(F.lit("price_history").alias("table_name"), "retention")
+    r = P.retention_split(FX.fx_reviews(spark, sf_dir), "review_date", "2024-07-15", 6) \
+        .select(F.lit("reviews").alias("table_name"), "retention")
+    return p.unionByName(r).groupBy("table_name", "retention").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# --- ingestion health ----------------------------------------------------------------
+@query("sync_errors")
+def q_sync_errors(spark, sf_dir):
+    """W6 three or more failed fetches in a row."""
+    return H.sync_errors(FX.fx_attempts(spark, sf_dir))
+
+
+@query("health_hourly")
+def q_health_hourly(spark, sf_dir):
+    """A6 failure rate per hour and store."""
+    return H.health_hourly(FX.fx_attempts(spark, sf_dir))
+
+
+@query("rate_limit")
+def q_rate_limit(spark, sf_dir):
+    """ST4 batch twin: callers over the per-minute limit (limit 1 on this data)."""
+    return H.rate_limit(FX.fx_access(spark, sf_dir), limit=1)

@@ -153,3 +153,43 @@ def fx_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
     return c.select(F.col("conv_id").alias("app_id"), F.col("turn").alias("version"),
                     F.col("text").alias("notes"))
+
+
+def fx_review_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> one capture batch where copies of a review share an id: the
+    id is the md5 of the first line, so exact/near copies in a source collide."""
+    r = fx_reviews(spark, sf_dir)
+    return r.withColumn("external_review_id", F.md5("title"))
+
+
+def fx_stored_review_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels -> keys of reviews already stored (the labelled documents)."""
+    lab = read_table(spark, sf_dir, "labels", ["doc_id"])
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "source"])
+    return (d.join(lab, "doc_id", "left_semi")
+             .select(F.col("source").alias("app_id"), F.col("doc_id").cast("string").alias("external_review_id")))
+
+
+def fx_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders -> scrape requests: request = order, requested app = customer + 1000
+    (ids past the catalogue are unknown apps)."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    return o.select(F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") + 1000).alias("app_id"))
+
+
+def fx_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_apps with the optional text columns a catalogue row carries."""
+    return (fx_apps(spark, sf_dir)
+            .withColumn("description", F.lit(None).cast("string"))
+            .withColumn("icon_url", F.lit(None).cast("string")))
+
+
+def fx_scraped_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part -> app records parsed from this round's pages (small parts only):
+    renamed apps, blank developer for even sizes, description = type."""
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_size"])
+    return (p.where(F.col("p_size") <= 10)
+             .select(F.col("p_partkey").alias("app_id"), F.upper("p_name").alias("name"),
+                     F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.concat("p_type", F.lit(" Inc")))
+                      .alias("developer_name"),
+                     F.col("p_type").alias("description"), F.lit(None).cast("string").alias("icon_url")))
