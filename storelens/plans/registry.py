@@ -347,3 +347,19 @@ def q_health_hourly(spark, sf_dir):
 def q_rate_limit(spark, sf_dir):
     """ST4 batch twin: callers over the per-minute limit (limit 1 on this data)."""
     return H.rate_limit(FX.fx_access(spark, sf_dir), limit=1)
+
+
+# --- extraction ---------------------------------------------------------------------------------
+PAGES_CAPTURED_AT = "2024-01-31 00:00:00"
+
+
+@query("extract_pages")
+def q_extract_pages(spark, sf_dir):
+    """X1-X8/A1/V4 every captured page -> one result row (rows-only check)."""
+    from storelens.operators import extract as X
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    res = X.scrape_results(X.extract_raw(pages, X.PAGES_PROFILE), PAGES_CAPTURED_AT)
+    return res.select("page_id", "url", "success", "error",
+                      F.col("app.name").alias("name"), F.col("app.developer_name").alias("developer_name"),
+                      F.col("app.description").alias("description"), F.col("app.icon_url").alias("icon_url"),
+                      F.col("price.price").alias("price"), "has_app", "has_price", "review_count")
