@@ -533,3 +533,42 @@ FROM fx_attempts GROUP BY ALL"""))
 register("rate_limit", with_fx(["fx_access"], """
 SELECT ip, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, count(*) AS n_requests
 FROM fx_access GROUP BY ALL HAVING count(*) > 1"""))
+
+# --- similarity / search / changelog ---------------------------------------------------------------
+from storelens.operators.search import FAULT_TERMS  # noqa: E402
+
+VEC = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+dims AS (SELECT label, i, avg(v[i]) AS m FROM e CROSS JOIN unnest(range(1, len(v) + 1)) AS t(i) GROUP BY label, i),
+cent AS (SELECT label AS qid, list(m ORDER BY i) AS c FROM dims GROUP BY label),
+sc AS (SELECT e.vec_id, cent.qid,
+              list_dot_product(e.v, cent.c) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(cent.c, cent.c))) AS sim
+       FROM e CROSS JOIN cent)"""
+
+register("similar_reviews", f"""WITH {VEC}
+SELECT vec_id, CAST(qid AS BIGINT) AS group_id, round(sim, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, qid) AS r FROM sc) WHERE r = 1""")
+
+register("nearest_reviews", f"""WITH {VEC}
+SELECT CAST(qid AS BIGINT) AS qid, vec_id, rank, round(sim, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM sc) WHERE rank <= 5""")
+
+_TERMS = ", ".join(q(t) for t in dict.fromkeys(FAULT_TERMS))
+register("keyword_faults", with_fx(["fx_reviews"], f""",
+toks AS (SELECT external_review_id, unnest(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM fx_reviews),
+c AS (SELECT term, count(*) AS n_mentions, count(DISTINCT external_review_id) AS n_reviews
+      FROM toks WHERE term IN ({_TERMS}) GROUP BY term)
+SELECT t.term, CAST(coalesce(c.n_mentions, 0) AS BIGINT) AS n_mentions, CAST(coalesce(c.n_reviews, 0) AS BIGINT) AS n_reviews
+FROM (SELECT unnest([{_TERMS}]) AS term) t LEFT JOIN c USING (term)""".lstrip()))
+
+register("changelog_new_items", with_fx(["fx_changelog"], """,
+lines AS (SELECT app_id, version, CAST(generate_subscripts(string_split(notes, chr(10)), 1) - 1 AS INTEGER) AS pos,
+                 unnest(string_split(notes, chr(10))) AS line FROM fx_changelog),
+items AS (SELECT app_id, version, pos, item, lower(item) AS item_key FROM (
+            SELECT app_id, version, pos,
+                   regexp_replace(regexp_replace(line, '^\\s*[-*•]\\s*', ''), '^\\s+|\\s+$', '', 'g') AS item FROM lines)
+          WHERE item <> ''),
+vers AS (SELECT app_id, version, lag(version) OVER (PARTITION BY app_id ORDER BY version) AS prev_version
+         FROM (SELECT DISTINCT app_id, version FROM fx_changelog))
+SELECT i.app_id, i.version, i.pos, i.item FROM items i JOIN vers v USING (app_id, version)
+WHERE NOT EXISTS (SELECT 1 FROM items o WHERE o.app_id = i.app_id AND o.version = v.prev_version AND o.item_key = i.item_key)
+""".lstrip()))

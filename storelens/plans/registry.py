@@ -363,3 +363,40 @@ def q_extract_pages(spark, sf_dir):
                       F.col("app.name").alias("name"), F.col("app.developer_name").alias("developer_name"),
                       F.col("app.description").alias("description"), F.col("app.icon_url").alias("icon_url"),
                       F.col("price.price").alias("price"), "has_app", "has_price", "review_count")
+
+
+# --- similarity / search / changelog ------------------------------------------------------------
+def _vectors(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").select("vec_id", "embedding", "label")
+
+
+@query("similar_reviews")
+def q_similar_reviews(spark, sf_dir):
+    """G1 every review vector grouped under its most similar topic centroid."""
+    from storelens.operators import search as S
+    v = _vectors(spark, sf_dir)
+    g = S.group_by_topic(v, S.centroids(v, "label"))
+    return g.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("nearest_reviews")
+def q_nearest_reviews(spark, sf_dir):
+    """G2 five nearest review vectors to each topic centroid."""
+    from storelens.operators import search as S
+    v = _vectors(spark, sf_dir)
+    n = S.nearest(v, S.centroids(v, "label"), k=5)
+    return n.select("qid", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query("keyword_faults")
+def q_keyword_faults(spark, sf_dir):
+    """G3 fault keywords over every review text."""
+    from storelens.operators import search as S
+    return S.keyword_faults(FX.fx_reviews(spark, sf_dir))
+
+
+@query("changelog_new_items")
+def q_changelog_new_items(spark, sf_dir):
+    """X11 new release-note items per version."""
+    from storelens.operators import changelog as CL
+    return CL.new_items(FX.fx_changelog(spark, sf_dir))
