@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storelens.functions import normalize as N
+from storelens.plans.parallel import spread
 
 
 @dataclass(frozen=True)
@@ -264,7 +265,7 @@ def extract_raw(pages: DataFrame, profile: PageProfile = APPLE_PROFILE) -> DataF
                 rows.append({"page_id": pid, "url": url, **r, "parse_error": err})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, RAW_SCHEMA)
+    return spread(pages.select(F.col("page_id").cast("long"), "url", "html")).mapInArrow(run, RAW_SCHEMA)
 
 
 # --- Catalyst side -------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions import text as T
 from storelens.functions.numeric import exact_ratio
+from storelens.plans.parallel import spread
 
 METADATA_FIELDS = ("original_length", "processed_length", "had_email", "had_credit_card", "had_ssn")
 
@@ -23,7 +24,7 @@ def process_reviews(reviews: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     chain twice.  ``keep`` passes extra input columns through (e.g. app_id).
     """
     flags = T.pii_flags("content")
-    staged = reviews.select(
+    staged = spread(reviews).select(
         *keep,
         "external_review_id",
         T.batch_mask(T.batch_clean("title")).alias("title_processed"),

@@ -108,7 +108,8 @@ def keyword_faults(reviews: DataFrame, terms: list[str] | None = None, text: str
     so only hits are exploded; every term is reported (zero when unseen)."""
     terms = terms or FAULT_TERMS
     toks = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
-    hits = reviews.select(id_col, F.explode(F.filter(toks, lambda t: t.isin(terms))).alias("term"))
+    from storelens.plans.parallel import spread
+    hits = spread(reviews).select(id_col, F.explode(F.filter(toks, lambda t: t.isin(terms))).alias("term"))
     counts = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_mentions"),
                                       F.countDistinct(id_col).alias("n_reviews"))
     spark = reviews.sparkSession

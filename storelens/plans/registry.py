@@ -20,6 +20,7 @@ from storelens.operators import firewall as V
 from storelens.operators import health as H
 from storelens.operators import prices as P
 from storelens.operators import reviews as R
+from storelens.plans.parallel import spread
 from storelens.session import use_utc
 from storelens.sources import fixtures as FX
 
@@ -53,14 +54,14 @@ def q_process_reviews(spark, sf_dir):
 @query("clean_text")
 def q_clean_text(spark, sf_dir):
     """T5 scalar clean (emoji step, case-insensitive URLs) over whole contents."""
-    r = FX.fx_reviews(spark, sf_dir)
+    r = spread(FX.fx_reviews(spark, sf_dir))
     return r.select("external_review_id", T.clean_text("content").alias("clean"))
 
 
 @query("anonymize_pii")
 def q_anonymize_pii(spark, sf_dir):
     """T11 email -> card -> SSN -> phone over whole contents."""
-    r = FX.fx_reviews(spark, sf_dir)
+    r = spread(FX.fx_reviews(spark, sf_dir))
     return r.select("external_review_id", T.anonymize_pii("content").alias("masked"))
 
 
@@ -74,7 +75,7 @@ def q_author_initials(spark, sf_dir):
 @query("pii_flags")
 def q_pii_flags(spark, sf_dir):
     """T14 flags on raw content."""
-    r = FX.fx_reviews(spark, sf_dir)
+    r = spread(FX.fx_reviews(spark, sf_dir))
     f = T.pii_flags("content")
     return r.select("external_review_id", *[c.alias(n) for n, c in f.items()])
 
