@@ -64,7 +64,9 @@ def dedupe_reviews(reviews: DataFrame, ts: str = "captured_at", delay: str = "1
     """Drop repeated review keys seen within the watermark delay; state is
     evicted after the delay, so memory stays bounded.  Older repeats are
     caught by the sink's anti join."""
-    return reviews.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
+    return (reviews.withColumn("_event_time", F.col(ts).cast("timestamp"))
+                   .withWatermark("_event_time", delay)
+                   .dropDuplicatesWithinWatermark(list(key)).drop("_event_time"))
 
 
 # --- ST3 ----------------------------------------------------------------------------------------
@@ -108,24 +110,30 @@ def price_alerts(prices: DataFrame) -> DataFrame:
                                           GroupStateTimeout.NoTimeout))
 
 
+def _event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Watermarks need TIMESTAMP event time; the tables hold UTC wall time as
+    TIMESTAMP_NTZ, and the session zone is UTC, so the cast is exact."""
+    return df.withColumn("_event_time", F.col(ts).cast("timestamp"))
+
+
 # --- ST4 / ST5 ------------------------------------------------------------------------------------
 def over_limit(access: DataFrame, limit: int = 100, delay: str = "2 minutes", caller: str = "ip") -> DataFrame:
     """ST4: (caller, minute) windows with more than ``limit`` requests; a window
     is emitted once the watermark passes its end."""
-    return (access.withWatermark("ts", delay)
-                  .groupBy(caller, F.window("ts", "1 minute"))
+    return (_event_time(access).withWatermark("_event_time", delay)
+                  .groupBy(caller, F.window("_event_time", "1 minute"))
                   .agg(F.count(F.lit(1)).alias("n_requests"))
                   .where(F.col("n_requests") > limit)
-                  .select(caller, F.col("window.start").alias("minute"), "n_requests"))
+                  .select(caller, F.col("window.start").cast("timestamp_ntz").alias("minute"), "n_requests"))
 
 
 def failure_monitor(attempts: DataFrame, every: str = "1 hour", delay: str = "10 minutes",
                     by: str = "store") -> DataFrame:
     """ST5: failures / attempts per tumbling window and store."""
-    return (attempts.withWatermark("ts", delay)
-                    .groupBy(F.window("ts", every), by)
+    return (_event_time(attempts).withWatermark("_event_time", delay)
+                    .groupBy(F.window("_event_time", every), by)
                     .agg(F.count(F.lit(1)).alias("n_attempts"),
                          F.sum(F.col("failed").cast("long")).alias("n_failed"))
-                    .select(F.col("window.start").alias("hour"), by, "n_attempts", "n_failed",
+                    .select(F.col("window.start").cast("timestamp_ntz").alias("hour"), by, "n_attempts", "n_failed",
                             exact_ratio(F.col("n_failed"), F.col("n_attempts"), "decimal(10,6)")
                             .alias("failure_rate")))
