@@ -572,3 +572,32 @@ vers AS (SELECT app_id, version, lag(version) OVER (PARTITION BY app_id ORDER BY
 SELECT i.app_id, i.version, i.pos, i.item FROM items i JOIN vers v USING (app_id, version)
 WHERE NOT EXISTS (SELECT 1 FROM items o WHERE o.app_id = i.app_id AND o.version = v.prev_version AND o.item_key = i.item_key)
 """.lstrip()))
+
+# --- remaining scalar and join rows ----------------------------------------------------------------
+register("parse_ratings", with_fx(["fx_reviews"], """,
+src AS (SELECT external_review_id,
+               coalesce(NULLIF(CASE WHEN pos % 2 = 0 THEN CAST(rating AS VARCHAR) || ' out of 5' END, ''),
+                        CAST(rating AS VARCHAR) || ' stars') AS t FROM fx_reviews),
+p AS (SELECT external_review_id, CAST(NULLIF(regexp_extract(t, '([0-9])', 1), '') AS INTEGER) AS rating FROM src)
+SELECT external_review_id, rating,
+       CASE WHEN rating IS NULL THEN 'rating is required'
+            WHEN rating < 1 OR rating > 5 THEN 'Rating must be between 1 and 5' END AS error
+FROM p""".lstrip()))
+
+register("parse_dates", with_fx(["fx_reviews"], """,
+src AS (SELECT external_review_id, pos % 4 AS k, review_date,
+               CASE pos % 4 WHEN 0 THEN strftime(review_date, '%b ') || CAST(day(review_date) AS VARCHAR) || strftime(review_date, ', %Y')
+                            WHEN 1 THEN strftime(review_date, '%B %d, %Y')
+                            WHEN 2 THEN strftime(review_date, '%Y-%m-%d')
+                            ELSE strftime(review_date, '%d/%m/%Y') END AS date_text FROM fx_reviews)
+SELECT external_review_id, date_text,
+       CASE WHEN k < 3 THEN CAST(date_trunc('day', review_date) AS TIMESTAMP) END AS review_date
+FROM src""".lstrip()))
+
+register("app_review_counts", with_fx(["fx_ratings", "fx_apps"], f"""
+SELECT a.id AS app_id, a.name, a.store, count(*) AS n_reviews, CAST(sum(r.rating) AS BIGINT) AS rating_sum,
+       {dec_ratio('sum(r.rating)', 'count(*)', 6, 12)} AS avg_rating
+FROM fx_apps a JOIN fx_ratings r ON r.app_id = a.id GROUP BY a.id, a.name, a.store"""))
+
+register("cascade_reviews", with_fx(["fx_ratings", "fx_apps"], """
+SELECT * FROM fx_ratings r WHERE EXISTS (SELECT 1 FROM fx_apps a WHERE a.id = r.app_id AND a.is_active)"""))

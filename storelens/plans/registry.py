@@ -401,3 +401,43 @@ def q_changelog_new_items(spark, sf_dir):
     """X11 new release-note items per version."""
     from storelens.operators import changelog as CL
     return CL.new_items(FX.fx_changelog(spark, sf_dir))
+
+
+# --- remaining scalar and join rows ------------------------------------------------------------
+@query("parse_ratings")
+def q_parse_ratings(spark, sf_dir):
+    """N7 rating from an aria-label ('<n> out of 5') or element text, over every review."""
+    r = FX.fx_reviews(spark, sf_dir)
+    label = F.when(F.col("pos") % 2 == 0, F.concat(F.col("rating").cast("string"), F.lit(" out of 5")))
+    text = F.concat(F.col("rating").cast("string"), F.lit(" stars"))
+    return r.select("external_review_id", N.parse_rating(label, text).alias("rating"),
+                    N.rating_rule(N.parse_rating(label, text)).alias("error"))
+
+
+@query("parse_dates")
+def q_parse_dates(spark, sf_dir):
+    """N8 review dates written in the three accepted formats (and one rejected)."""
+    r = FX.fx_reviews(spark, sf_dir)
+    k = F.col("pos") % 4
+    txt = (F.when(k == 0, F.date_format("review_date", "MMM d, yyyy"))
+            .when(k == 1, F.date_format("review_date", "MMMM dd, yyyy"))
+            .when(k == 2, F.date_format("review_date", "yyyy-MM-dd"))
+            .otherwise(F.date_format("review_date", "dd/MM/yyyy")))
+    return r.select("external_review_id", txt.alias("date_text"), N.parse_date(txt).alias("review_date"))
+
+
+@query("app_review_counts")
+def q_app_review_counts(spark, sf_dir):
+    """J4 apps with their reviews: count and mean rating per catalogued app."""
+    rv = FX.fx_ratings(spark, sf_dir).groupBy("app_id").agg(
+        F.count(F.lit(1)).alias("n_reviews"), F.sum("rating").cast("long").alias("rating_sum"))
+    apps = FX.fx_apps(spark, sf_dir).select(F.col("id").alias("app_id"), "name", "store")
+    return apps.join(rv, "app_id", "inner").withColumn(
+        "avg_rating", (F.col("rating_sum").cast("decimal(38,18)") / F.col("n_reviews")).cast("decimal(12,6)"))
+
+
+@query("cascade_reviews")
+def q_cascade_reviews(spark, sf_dir):
+    """J5 reviews kept after removing inactive apps (left semi join on survivors)."""
+    keep = C.monitored(FX.fx_apps(spark, sf_dir)).select(F.col("id").alias("app_id"))
+    return FX.fx_ratings(spark, sf_dir).join(keep, "app_id", "left_semi")
