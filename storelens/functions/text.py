@@ -57,6 +57,12 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _only_if(needle: Column, col: Column, expr: Column) -> Column:
+    """Run an expensive regex only on rows containing a literal every match
+    must contain; other rows pass through unchanged (same result, less work)."""
+    return F.when(needle, expr).otherwise(col)
+
+
 # --- T1-T4: single cleaning steps ------------------------------------------
 def remove_html_tags(col) -> Column:
     return F.regexp_replace(_c(col), HTML_TAG_PATTERN, "")
@@ -88,7 +94,8 @@ def clean_text(col) -> Column:
 
 # --- T6-T9, T11: masks -------------------------------------------------------
 def mask_emails(col) -> Column:
-    return F.regexp_replace(_c(col), _U + EMAIL_PATTERN, EMAIL_MASK)
+    c = _c(col)
+    return _only_if(c.contains("@"), c, F.regexp_replace(c, _U + EMAIL_PATTERN, EMAIL_MASK))
 
 
 def mask_phones(col) -> Column:
@@ -100,7 +107,8 @@ def mask_credit_cards(col) -> Column:
 
 
 def mask_ssn(col) -> Column:
-    return F.regexp_replace(_c(col), _U + SSN_PATTERN, SSN_MASK)
+    c = _c(col)
+    return _only_if(c.contains("-"), c, F.regexp_replace(c, _U + SSN_PATTERN, SSN_MASK))
 
 
 def anonymize_pii(col) -> Column:
@@ -128,7 +136,7 @@ def batch_clean(col) -> Column:
     NULL in, NULL out; markup-only text gives '' (not NULL).
     """
     s = F.regexp_replace(_c(col), HTML_TAG_PATTERN, "")
-    s = F.regexp_replace(s, _U + URL_PATTERN, "")
+    s = _only_if(s.contains("://") | s.contains("www."), s, F.regexp_replace(s, _U + URL_PATTERN, ""))
     s = F.lower(s)
     s = F.regexp_replace(s, _U + r"\s+", " ")
     return F.trim(s)  # only single U+0020 runs can remain at the ends
@@ -143,9 +151,9 @@ def pii_flags(col) -> dict[str, Column]:
     """Flags computed on the raw text (NULL treated as '')."""
     raw = F.coalesce(_c(col), F.lit(""))
     return {
-        "had_email": raw.rlike(_U + EMAIL_PATTERN),
+        "had_email": raw.contains("@") & raw.rlike(_U + EMAIL_PATTERN),
         "had_credit_card": raw.rlike(_U + CREDIT_CARD_PATTERN),
-        "had_ssn": raw.rlike(_U + SSN_PATTERN),
+        "had_ssn": raw.contains("-") & raw.rlike(_U + SSN_PATTERN),
     }
 
 
