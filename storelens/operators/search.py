@@ -9,6 +9,8 @@ partial top-k, then final) so one popular query never lands in one task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,12 +106,15 @@ def keyword_faults(reviews: DataFrame, terms: list[str] | None = None, text: str
                    id_col: str = "external_review_id") -> DataFrame:
     """Mentions and distinct reviews per fault keyword over whole texts.
 
-    Tokens are filtered against the literal term set inside the projection,
-    so only hits are exploded; every term is reported (zero when unseen)."""
+    One regex pass per text returns only the tokens that are terms, so only
+    hits are exploded; every term is reported (zero when unseen)."""
     terms = terms or FAULT_TERMS
-    toks = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
+    # a term matches exactly when it is a whole token (maximal letter/digit run)
+    alt = "|".join(sorted({re.escape(t) for t in terms}, key=lambda t: (-len(t), t)))
+    pattern = rf"(?U)(?<![\p{{L}}\p{{N}}])({alt})(?![\p{{L}}\p{{N}}])"
     from storelens.plans.parallel import spread
-    hits = spread(reviews).select(id_col, F.explode(F.filter(toks, lambda t: t.isin(terms))).alias("term"))
+    hits = spread(reviews).select(
+        id_col, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), 1)).alias("term"))
     counts = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_mentions"),
                                       F.countDistinct(id_col).alias("n_reviews"))
     spark = reviews.sparkSession
