@@ -24,6 +24,6 @@ def new_items(notes: DataFrame) -> DataFrame:
     versions = notes.select("app_id", "version").distinct()
     prev = versions.withColumn("prev_version", F.lag("version").over(Window.partitionBy("app_id").orderBy("version")))
     cur = items.join(prev, ["app_id", "version"])
-    old = items.select("app_id", F.col("version").alias("prev_version"), "item_key").distinct()
+    old = items.select("app_id", F.col("version").alias("prev_version"), "item_key")
     return cur.join(old, ["app_id", "prev_version", "item_key"], "left_anti") \
               .select("app_id", "version", "pos", "item")

@@ -122,7 +122,7 @@ def unique_audit(df: DataFrame, key: list[str], table: str) -> DataFrame:
 
 def fk_audit(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """V6: child rows whose key has no parent (anti join; AQE broadcasts a small parent)."""
-    p = parent.select(F.col(parent_key).alias(child_key)).distinct()
+    p = parent.select(F.col(parent_key).alias(child_key))
     return child.join(p, child_key, "left_anti")
 
 

@@ -114,30 +114,37 @@ def churn_alerts(prices: DataFrame, ratings: DataFrame, span_days: int = 7, nega
     rises = price_rises(prices, width_us).select(
         F.col("app_id"), F.col("id").alias("rise_id"), F.col("ts").alias("rise_ts"),
         F.col("prev_price"), F.col("price"))
-    # probe kinds: 0 = count of reviews with ts < probe, 2 = count with ts <= probe
+    # probe kinds: 0 = count of reviews with ts < probe, 2 = count with ts <= probe.
+    # Each probe carries its rise's fields, so no join back to the rises is needed.
     probes = rises.select(
-        "app_id", "rise_id",
+        "app_id", "rise_id", "rise_ts", "prev_price", "price",
         F.explode(F.array(
             F.struct(F.lit("before_lo").alias("p"), F.timestamp_add("MICROSECOND", F.lit(-span), "rise_ts").alias("ts"), F.lit(0).alias("k")),
             F.struct(F.lit("before_hi").alias("p"), F.col("rise_ts").alias("ts"), F.lit(0).alias("k")),
             F.struct(F.lit("after_lo").alias("p"), F.col("rise_ts").alias("ts"), F.lit(2).alias("k")),
             F.struct(F.lit("after_hi").alias("p"), F.timestamp_add("MICROSECOND", F.lit(span), "rise_ts").alias("ts"), F.lit(2).alias("k")),
-        )).alias("pr")).select("app_id", "rise_id", F.col("pr.p").alias("probe"),
+        )).alias("pr")).select("app_id", "rise_id", "rise_ts", "prev_price", "price", F.col("pr.p").alias("probe"),
                                F.col("pr.ts").alias("ts"), F.col("pr.k").alias("_k"))
+    price_t = prices.schema["price"].dataType
     revs = ratings.select("app_id", "ts", F.lit(1).alias("_k"), F.lit(None).cast("long").alias("rise_id"),
+                          F.lit(None).cast("timestamp_ntz").alias("rise_ts"),
+                          F.lit(None).cast(price_t).alias("prev_price"), F.lit(None).cast(price_t).alias("price"),
                           F.lit(None).cast("string").alias("probe"),
                           (F.col("rating") <= negative_max).cast("long").alias("_neg"))
     u = probes.withColumn("_neg", F.lit(0).cast("long")).unionByName(revs)
     u = u.withColumn("_tie", F.coalesce(F.col("rise_id"), F.lit(0)))
     r = O.running_totals(u, ["app_id"], "ts", {"_cum": F.col("_neg")}, width_us,
                          order=["ts", "_k", "_tie", "probe"])
-    at = (r.where(F.col("probe").isNotNull())
-           .groupBy("app_id", "rise_id")
-           .pivot("probe", ["before_lo", "before_hi", "after_lo", "after_hi"]).agg(F.first("_cum")))
-    out = (at.select("app_id", "rise_id",
-                     (F.col("before_hi") - F.col("before_lo")).alias("neg_before"),
-                     (F.col("after_hi") - F.col("after_lo")).alias("neg_after"))
-             .join(rises, ["app_id", "rise_id"]))
+
+    def at(probe):
+        return F.max(F.when(F.col("probe") == probe, F.col("_cum")))
+
+    out = (r.where(F.col("probe").isNotNull())
+            .groupBy("app_id", "rise_id")
+            .agg(F.first("rise_ts").alias("rise_ts"), F.first("prev_price").alias("prev_price"),
+                 F.first("price").alias("price"),
+                 (at("before_hi") - at("before_lo")).alias("neg_before"),
+                 (at("after_hi") - at("after_lo")).alias("neg_after")))
     return (out.where(F.col("neg_after") >= F.greatest(F.lit(min_after), F.lit(factor) * F.col("neg_before")))
                .select("app_id", "rise_id", "rise_ts", "prev_price", "price", "neg_before", "neg_after"))
 

@@ -79,7 +79,7 @@ def merge_batch_reviews(raw: DataFrame, key=("app_id", "external_review_id"), po
 def new_reviews(batch: DataFrame, stored: DataFrame, key=("app_id", "external_review_id")) -> DataFrame:
     """Reviews of a batch not yet stored (insert-if-absent).  One anti join;
     AQE turns it into a broadcast when the stored side is small at runtime."""
-    return batch.join(stored.select(*key).distinct(), list(key), "left_anti")
+    return batch.join(stored.select(*key), list(key), "left_anti")
 
 
 def pii_rates(processed: DataFrame, group: str = "app_id") -> DataFrame:
