@@ -386,7 +386,8 @@ def q_nearest_reviews(spark, sf_dir):
     from storelens.operators import search as S
     v = _vectors(spark, sf_dir)
     n = S.nearest(v, S.centroids(v, "label"), k=5)
-    return n.select("qid", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
+    return n.select("qid", "vec_id", F.col("rank").cast("long").alias("rank"),
+                    F.round("similarity", 6).alias("similarity"))
 
 
 @query("keyword_faults")
