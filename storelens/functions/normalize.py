@@ -103,9 +103,12 @@ def parse_price(col) -> Column:
     """
     c = _c(col)
     cleaned = F.replace(F.regexp_replace(c, r"[^0-9.,]", ""), F.lit(","), F.lit("."))
+    # Only digits and dots remain; cast only well-formed numbers, so malformed
+    # text never reaches the cast (a failing cast costs an exception per row).
+    well_formed = cleaned.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$")
     return (F.when(c.isNull() | (c == ""), F.lit(None).cast("decimal(38,10)"))
              .when(F.lower(c) == "free", F.lit(0).cast("decimal(38,10)"))
-             .otherwise(cleaned.try_cast("decimal(38,10)")))
+             .when(well_formed, cleaned.try_cast("decimal(38,10)")))
 
 
 def price_rule(price: Column) -> Column:
@@ -172,6 +175,11 @@ def store_rule(col) -> Column:
 
 
 def violations(*rules: Column) -> Column:
-    """array<string> of the messages of the rules that fail (empty when clean)."""
-    return F.array_compact(F.array(*rules))
+    """array<string> of the messages of the rules that fail (empty when clean).
+
+    Built with ``concat`` of one-element arrays rather than ``array_compact``
+    (a lambda-based function that would drop the projection out of
+    whole-stage codegen)."""
+    empty = F.array().cast("array<string>")
+    return F.concat(*[F.when(r.isNotNull(), F.array(r)).otherwise(empty) for r in rules])
 

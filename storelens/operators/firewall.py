@@ -40,30 +40,39 @@ def validate_prices(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     Unparsable price text is not a violation: the page simply has no price
     (``outcome='no_price'``).  Parsed prices are range-checked unrounded and
-    stored rounded to decimal(10,2).
+    stored rounded to decimal(10,2).  Normalised values are computed once in
+    their own projection and the rules read them (small generated code).
     """
-    parsed = raw.select(
-        *keep, "raw_currency", "raw_region", "ts",
+    norm = raw.select(
+        *keep, "ts", "raw_currency",
         N.parse_price("raw_price").alias("price_exact"),
+        N.normalize_currency("raw_currency").alias("currency"),
+        N.py_strip("raw_currency").alias("_cur_stripped"),
+        N.normalize_region("raw_region").alias("region"),
     )
-    rules = N.violations(
-        N.price_rule(F.col("price_exact")),
-        N.currency_rule("raw_currency"),
-        N.region_rule("raw_region"),
-        F.when(F.col("ts").isNull(), F.lit("timestamp is required")),
+    checked = norm.select(
+        *keep, "ts", "price_exact", "currency", "region",
+        N.price_rule(F.col("price_exact")).alias("_price_rule"),
+        N.violations(
+            N.price_rule(F.col("price_exact")),
+            (F.when(F.col("raw_currency").isNull(), F.lit("currency is required"))
+              .when(F.col("_cur_stripped") == "", F.lit("Currency cannot be empty"))
+              .when(F.col("currency").isNull(),
+                    F.concat(F.lit("Unknown currency: '"), F.col("raw_currency"), F.lit("'")))),
+            F.when(F.col("region").isNull(), F.lit("region is required"))
+             .otherwise(N.max_length_rule(F.col("region"), N.MAX_REGION, "region")),
+            F.when(F.col("ts").isNull(), F.lit("timestamp is required")),
+        ).alias("_rules"),
     )
-    out = parsed.select(
+    no_price = F.col("price_exact").isNull()
+    return checked.select(
         *keep,
-        F.when(N.price_rule(F.col("price_exact")).isNull(),
-               F.col("price_exact").cast("decimal(10,2)")).alias("price"),
-        N.normalize_currency("raw_currency").alias("currency"),
-        N.normalize_region("raw_region").alias("region"),
-        F.col("ts").cast("timestamp_ntz").alias("ts"),
-        F.when(F.col("price_exact").isNull(), F.array().cast("array<string>")).otherwise(rules).alias("violations"),
-        F.when(F.col("price_exact").isNull(), F.lit("no_price"))
-         .when(F.size(rules) == 0, F.lit("accepted")).otherwise(F.lit("rejected")).alias("outcome"),
+        F.when(F.col("_price_rule").isNull(), F.col("price_exact").cast("decimal(10,2)")).alias("price"),
+        "currency", "region", F.col("ts").cast("timestamp_ntz").alias("ts"),
+        F.when(no_price, F.array().cast("array<string>")).otherwise(F.col("_rules")).alias("violations"),
+        F.when(no_price, F.lit("no_price"))
+         .when(F.size("_rules") == 0, F.lit("accepted")).otherwise(F.lit("rejected")).alias("outcome"),
     )
-    return out
 
 
 def validate_reviews(reviews: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
