@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     if df.isStreaming:
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism * per_core
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view; keep the plan as is
         return df
-    return df.repartition(target)
+    return df if current >= target else df.repartition(target)
