@@ -2,9 +2,10 @@
 to a query set (G2), keyword search for technical faults (G3).
 
 No operator here pairs reviews with each other.  Vectors are scored against a
-small, size-checked set of query/centroid vectors carried as a literal in the
-projection (no join at all), and top-k is taken in two exact phases (salted
-partial top-k, then final) so one popular query never lands in one task.
+small, size-checked set of query/centroid vectors (collected once, shipped
+with the task) by a NumPy matrix product per Arrow batch; no join at all.
+Top-k is exact in phases: k per query per batch, then per (query, salt), then
+per query, so one popular query never lands in one task with all rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Bound on query/centroid vectors shipped inside the plan (checked, not assumed).
 MAX_QUERY_VECTORS = 4096
@@ -49,26 +51,69 @@ def centroids(vectors: DataFrame, group: str = "label", vec: str = "embedding")
                    .select(F.col(group).alias("qid"), F.transform("_d", lambda s: s["m"]).alias("qvec")))
 
 
-def _query_literal(queries: DataFrame) -> Column:
-    """Ship a bounded query set inside the plan, ordered by qid.  The size is
-    checked with a capped count before anything is collected."""
-    n = queries.limit(MAX_QUERY_VECTORS + 1).count()
-    if n > MAX_QUERY_VECTORS:
+def _collect_queries(queries: DataFrame):
+    """The bounded query set, collected once: (qids sorted, matrix).  At most
+    ``MAX_QUERY_VECTORS + 1`` rows are ever fetched; more is an error."""
+    import numpy as np
+    rows = (queries.select(F.col("qid").cast("long").alias("qid"), "qvec")
+                   .orderBy("qid").limit(MAX_QUERY_VECTORS + 1).collect())
+    if len(rows) > MAX_QUERY_VECTORS:
         raise ValueError(f"query set has more than {MAX_QUERY_VECTORS} vectors; split it into batches")
-    rows = queries.select(F.col("qid").cast("long").alias("qid"), "qvec").orderBy("qid").collect()
-    return F.array(*[F.struct(F.lit(r["qid"]).cast("long").alias("qid"),
-                              F.array(*[F.lit(float(x)) for x in r["qvec"]]).alias("qvec")) for r in rows])
-
-
-def score_against(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
-                  vec: str = "embedding") -> DataFrame:
-    """(id, qid, similarity) for every vector and query: one projection + explode."""
-    lit = _query_literal(queries)
-    v = vectors.select(id_col, vec, norm(F.col(vec)).alias("_n"))
-    scored = v.select(id_col, F.explode(F.transform(lit, lambda q: F.struct(
-        q["qid"].alias("qid"),
-        (dot(F.col(vec), q["qvec"]) / (F.col("_n") * norm(q["qvec"]))).alias("similarity")))).alias("s"))
-    return scored.select(id_col, "s.qid", "s.similarity")
+    qids = np.array([r["qid"] for r in rows], dtype=np.int64)
+    mat = np.array([list(r["qvec"]) for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    return qids, mat
+
+
+def _batch_matrix(batch, vec: str):
+    """Arrow list<float> column -> (n, d) float64 matrix (no per-row Python)."""
+    import numpy as np
+    col = batch.column(vec)
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, 0))
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(n, -1)
+
+
+def _cosines(x, qmat):
+    import numpy as np
+    xn = np.linalg.norm(x, axis=1)
+    qn = np.linalg.norm(qmat, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (x @ qmat.T) / (xn[:, None] * qn[None, :])
+
+
+def candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
+               vec: str = "embedding") -> DataFrame:
+    """(id, qid, similarity) of each Arrow batch's k best vectors per query.
+
+    Vectors are scored in NumPy (one matrix product per batch); only k rows
+    per query and batch leave the task, so the exact global top-k needs to
+    shuffle a tiny fraction of the data."""
+    import numpy as np
+    import pyarrow as pa
+    qids, qmat = _collect_queries(queries)
+    schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("qid", T.LongType()),
+                           T.StructField("similarity", T.DoubleType())])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0 or len(qids) == 0:
+                continue
+            ids = b.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            sims = _cosines(_batch_matrix(b, vec), qmat)
+            out_id, out_q, out_s = [], [], []
+            for j, q in enumerate(qids):
+                order = np.lexsort((ids, -sims[:, j]))[:k]   # similarity desc, id asc
+                out_id.append(ids[order])
+                out_q.append(np.full(len(order), q, dtype=np.int64))
+                out_s.append(sims[order, j])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_q)),
+                 pa.array(np.concatenate(out_s))], names=[id_col, "qid", "similarity"])
+
+    return (vectors.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), vec)
+                   .mapInArrow(run, schema))
 
 
 def top_k_per_query(scored: DataFrame, k: int, id_col: str = "vec_id", salts: int = TOPK_SALTS) -> DataFrame:
@@ -84,22 +129,33 @@ def top_k_per_query(scored: DataFrame, k: int, id_col: str = "vec_id", salts: in
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id") -> DataFrame:
     """The k most similar vectors to each query vector (cosine)."""
-    return top_k_per_query(score_against(vectors, queries, id_col), k, id_col)
+    return top_k_per_query(candidates(vectors, queries, k, id_col), k, id_col)
 
 
 def group_by_topic(vectors: DataFrame, topics: DataFrame, id_col: str = "vec_id",
                    vec: str = "embedding") -> DataFrame:
     """G1: each vector joins the group of its most similar topic vector (ties ->
-    lowest topic id); a fold over the small topic list per row — linear, no pairs."""
-    lit = _query_literal(topics)
-    v = F.col(vec)
-    scored = F.transform(lit, lambda q: F.struct(
-        (dot(v, q["qvec"]) / (norm(v) * norm(q["qvec"]))).alias("similarity"), q["qid"].alias("qid")))
-    best = F.aggregate(
-        scored, F.struct(F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("long").alias("qid")),
-        lambda acc, x: F.when(acc["similarity"].isNull() | (x["similarity"] > acc["similarity"]), x).otherwise(acc))
-    return vectors.select(id_col, best.alias("b")).select(
-        id_col, F.col("b.qid").alias("group_id"), F.col("b.similarity").alias("similarity"))
+    lowest topic id).  A map-only job: one matrix product and argmax per Arrow
+    batch; no shuffle, no pairs."""
+    import numpy as np
+    import pyarrow as pa
+    qids, qmat = _collect_queries(topics)
+    schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("group_id", T.LongType()),
+                           T.StructField("similarity", T.DoubleType())])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            ids = b.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            sims = _cosines(_batch_matrix(b, vec), qmat)
+            best = np.nanargmax(np.where(np.isnan(sims), -np.inf, sims), axis=1)  # first max = lowest qid
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(qids[best]), pa.array(sims[np.arange(len(ids)), best])],
+                names=[id_col, "group_id", "similarity"])
+
+    return (vectors.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), vec)
+                   .mapInArrow(run, schema))
 
 
 def keyword_faults(reviews: DataFrame, terms: list[str] | None = None, text: str = "content",
