@@ -69,6 +69,7 @@ def remove_html_tags(col) -> Column:
 
 
 def remove_urls(col, case_insensitive: bool = True) -> Column:
+    """http(s)/www URLs; any case in the scalar form, case-sensitive in the batch job."""
     flags = "(?iU)" if case_insensitive else _U
     return F.regexp_replace(_c(col), flags + URL_PATTERN, "")
 
@@ -94,19 +95,23 @@ def clean_text(col) -> Column:
 
 # --- T6-T9, T11: masks -------------------------------------------------------
 def mask_emails(col) -> Column:
+    """E-mail addresses -> [EMAIL]."""
     c = _c(col)
     return _only_if(c.contains("@"), c, F.regexp_replace(c, _U + EMAIL_PATTERN, EMAIL_MASK))
 
 
 def mask_phones(col) -> Column:
+    """Phone numbers -> [PHONE] (scalar form only; the batch job has no phone step)."""
     return F.regexp_replace(_c(col), _U + PHONE_PATTERN, PHONE_MASK)
 
 
 def mask_credit_cards(col) -> Column:
+    """16-digit card numbers -> [CREDIT_CARD]."""
     return F.regexp_replace(_c(col), _U + CREDIT_CARD_PATTERN, CREDIT_CARD_MASK)
 
 
 def mask_ssn(col) -> Column:
+    """SSNs -> [SSN]."""
     c = _c(col)
     return _only_if(c.contains("-"), c, F.regexp_replace(c, _U + SSN_PATTERN, SSN_MASK))
 
@@ -123,7 +128,7 @@ def py_strip(col) -> Column:
 
 
 def author_initials(col) -> Column:
-    """'John Doe' -> 'J. D.'; blank -> ''; NULL stays NULL.
+    """T10 / F1: 'John Doe' -> 'J. D.'; blank -> ''; NULL stays NULL (native, no Python UDF).
 
     Each word (a run of non-whitespace, Python's ``split()`` sense) becomes its
     first code point plus '.', separators collapse to one space, and the
@@ -150,7 +155,7 @@ def batch_clean(col) -> Column:
 
 
 def batch_mask(col) -> Column:
-    """email -> card -> SSN (no phone step in the batch job)."""
+    """Email -> card -> SSN (no phone step in the batch job)."""
     return mask_ssn(mask_credit_cards(mask_emails(col)))
 
 

@@ -200,6 +200,7 @@ def _text(el):
 
 
 def _attr(el, name):
+    """Attribute value of the first matched element."""
     return None if el is None else el.attrs.get(name)
 
 
@@ -221,7 +222,8 @@ RAW_SCHEMA = T.StructType([
 
 
 def parse_page(html: str, p: PageProfile) -> dict:
-    """Raw strings of one page (X1-X5); the caller keeps exceptions per page."""
+    """Raw strings of one page (X1 text, X2 attributes, X3 app fields, X4 price text,
+    X5 review containers in document order); the caller keeps exceptions per page."""
     root = parse_html(html)
     reviews = []
     for i, c in enumerate(select(root, p.review)):
@@ -248,7 +250,7 @@ def _arrow_schema():
 
 
 def extract_raw(pages: DataFrame, profile: PageProfile = APPLE_PROFILE) -> DataFrame:
-    """Pages(page_id, url, html) -> RAW_SCHEMA, one row per page (mapInArrow)."""
+    """pages(page_id, url, html) -> RAW_SCHEMA, one row per page (mapInArrow)."""
     def run(batches):
         schema = _arrow_schema()
         empty = {"name": None, "developer_name": None, "description": None, "icon_url": None,
@@ -272,8 +274,9 @@ def extract_raw(pages: DataFrame, profile: PageProfile = APPLE_PROFILE) -> DataF
 def scrape_results(raw: DataFrame, captured_at, currency: str = "USD", region: str = "US") -> DataFrame:
     """X3-X8 + V1-V4 + A1 on raw extraction output, all in one projection.
 
-    * reviews without id, or without a parsable rating, are skipped;
-    * every other invalid record (app, price, review, url) poisons the page:
+    * P5: reviews without id, or without a parsable rating, are skipped;
+    * X4: price text -> decimal (N6), USD/US, capture time as ts;
+    * X7: every other invalid record (app, price, review, url) poisons the page:
       success = false, error = the violations, no app/price/reviews;
     * a page without a name is successful with app = NULL.
     """

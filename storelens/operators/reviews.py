@@ -16,7 +16,8 @@ METADATA_FIELDS = ("original_length", "processed_length", "had_email", "had_cred
 def process_reviews(reviews: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """B1: reviews(external_review_id, title, content, author_name) ->
     (external_review_id, title_processed, content_processed, author_name_processed,
-    processing_metadata struct).
+    processing_metadata struct).  T15: the metadata struct holds raw and processed
+    code-point lengths and the T14 flags.
 
     A single narrow projection: no shuffle, no Python.  ``content_processed`` is
     materialised in its own projection because both the output column and

@@ -212,7 +212,7 @@ def q_store_urls(spark, sf_dir):
 
 @query("request_lookup")
 def q_request_lookup(spark, sf_dir):
-    """J1/P4 requests against the catalogue."""
+    """S2/J1/P4 requests looked up in the catalogue by app id."""
     return C.request_lookup(FX.fx_requests(spark, sf_dir), FX.fx_apps(spark, sf_dir))
 
 
