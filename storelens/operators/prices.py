@@ -30,7 +30,7 @@ def _exact_avg(total: Column, n: Column) -> Column:
     return exact_ratio(total, n, AVG_TYPE)
 
 
-def running_avg(prices: DataFrame, keys=("app_id",), width_us: int = 7 * O.DAY_US) -> DataFrame:
+def running_avg(prices: DataFrame, keys=("app_id",), width_us: int | None = None) -> DataFrame:
     """AVG(price) OVER (PARTITION BY keys ORDER BY ts) — default RANGE frame,
     so observations with the same ts share one value."""
     keys = list(keys)
@@ -39,7 +39,7 @@ def running_avg(prices: DataFrame, keys=("app_id",), width_us: int = 7 * O.DAY_U
     return r.withColumn("running_avg", _exact_avg(F.col("run_sum"), F.col("run_n"))).drop("run_sum")
 
 
-def price_changes(prices: DataFrame, width_us: int = 7 * O.DAY_US) -> DataFrame:
+def price_changes(prices: DataFrame, width_us: int | None = None) -> DataFrame:
     """Observations whose price differs from the previous observation of the
     same (app, region, currency); first observations are not changes."""
     p = O.with_prev(prices, SERIES, "ts", ORDER, ["price", "ts", "id"], width_us)
@@ -52,19 +52,48 @@ def price_changes(prices: DataFrame, width_us: int = 7 * O.DAY_US) -> DataFrame:
                       .alias("change_pct")))
 
 
-def offers(prices: DataFrame, lookback_days: int = 30, drop: str = "0.15") -> DataFrame:
+def offers(prices: DataFrame, lookback_days: int = 30, drop: str = "0.15",
+           width_us: int | None = None) -> DataFrame:
     """Price more than ``drop`` below the average of the same series over the
-    previous ``lookback_days`` (current observation excluded; none -> no offer)."""
+    previous ``lookback_days`` (RANGE [t - lookback, t), so observations at the
+    same instant are excluded; none -> no offer).
+
+    Window sums are differences of running totals: every observation adds a
+    probe at t and one at t - lookback to its series' stream (probes sort before
+    observations at the same instant), and sum/count over [t - lookback, t) =
+    total(< t) - total(< t - lookback).  Linear, exact, and split by time bucket
+    like every other series scan, however hot the series.
+    """
     lb = lookback_days * O.DAY_US
-    d = O.trailing_frame(prices.withColumn("_t", O.epoch_us("ts")), "ts", lb)
-    w = Window.partitionBy(*SERIES, O.BUCKET).orderBy("_t").rangeBetween(-lb, -1)
-    d = (d.withColumn("_s", F.sum("price").over(w)).withColumn("_n", F.count("price").over(w))
-          .where("_owner"))
-    avg30 = _exact_avg(F.col("_s"), F.col("_n"))
-    return (d.where(F.col("_n") > 0)
-             .withColumn("avg_30d", avg30)
+    obs = prices.select(*SERIES, "id", "ts", "price")
+    price_t = prices.schema["price"].dataType
+    data = obs.select(*SERIES, "ts", F.lit(1).alias("_k"), F.col("id").alias("_ord"),
+                      F.lit(None).cast("string").alias("_probe"), F.lit(None).cast("long").alias("_ref"),
+                      F.lit(None).cast("timestamp_ntz").alias("_obs_ts"), F.lit(None).cast(price_t).alias("_obs_price"),
+                      F.col("price").alias("_v"), F.lit(1).cast("long").alias("_c"))
+
+    def probe(name, at):
+        return obs.select(*SERIES, at.alias("ts"), F.lit(0).alias("_k"), F.col("id").alias("_ord"),
+                          F.lit(name).alias("_probe"), F.col("id").alias("_ref"), F.col("ts").alias("_obs_ts"),
+                          F.col("price").alias("_obs_price"), F.lit(0).cast(price_t).alias("_v"),
+                          F.lit(0).cast("long").alias("_c"))
+
+    u = data.unionByName(probe("now", F.col("ts"))).unionByName(
+        probe("back", F.timestamp_add("MICROSECOND", F.lit(-lb), "ts")))
+    r = O.running_totals(u, SERIES, "ts", {"_s": F.col("_v"), "_n": F.col("_c")}, width_us,
+                         order=["ts", "_k", "_ord", "_probe"])
+
+    def at(name, c):
+        return F.max(F.when(F.col("_probe") == name, F.col(c)))
+
+    w = (r.where(F.col("_probe").isNotNull())
+          .groupBy(*SERIES, "_ref")
+          .agg(F.first("_obs_ts").alias("ts"), F.first("_obs_price").alias("price"),
+               (at("now", "_s") - at("back", "_s")).alias("_sum"), (at("now", "_n") - at("back", "_n")).alias("_cnt")))
+    return (w.where(F.col("_cnt") > 0)
+             .withColumn("avg_30d", _exact_avg(F.col("_sum"), F.col("_cnt")))
              .where(F.col("price") < F.col("avg_30d") * (F.lit(1) - F.lit(drop).cast("decimal(4,2)")))
-             .select(*SERIES, "id", "ts", "price", "avg_30d"))
+             .select(*SERIES, F.col("_ref").alias("id"), "ts", "price", "avg_30d"))
 
 
 def latest_price(prices: DataFrame) -> DataFrame:
@@ -79,7 +108,7 @@ def latest_price(prices: DataFrame) -> DataFrame:
 
 
 def asof_price(events: DataFrame, prices: DataFrame, event_id: str, key: str = "app_id",
-               width_us: int = 7 * O.DAY_US) -> DataFrame:
+               width_us: int | None = None) -> DataFrame:
     """For every event (e.g. a review) the price in force at its time: the
     latest price observation at or before it (same-ts prices count).  Union of
     both streams + segmented carry-forward; no theta join, no pairs."""
@@ -96,12 +125,12 @@ def asof_price(events: DataFrame, prices: DataFrame, event_id: str, key: str = "
     return c.where(F.col("_kind") == 1).select("_ev.*", "price_in_force")
 
 
-def price_rises(prices: DataFrame, width_us: int = 7 * O.DAY_US) -> DataFrame:
+def price_rises(prices: DataFrame, width_us: int | None = None) -> DataFrame:
     return price_changes(prices, width_us).where(F.col("delta") > 0)
 
 
 def churn_alerts(prices: DataFrame, ratings: DataFrame, span_days: int = 7, negative_max: int = 2,
-                 min_after: int = 3, factor: int = 2, width_us: int = 7 * O.DAY_US) -> DataFrame:
+                 min_after: int = 3, factor: int = 2, width_us: int | None = None) -> DataFrame:
     """After each price rise at t, count negative reviews (rating <=
     ``negative_max``) of the same app in (t, t+span] and in [t-span, t); alert
     when after >= max(min_after, factor * before).
@@ -201,7 +230,7 @@ def price_history_page(prices: DataFrame, app_id, start, end, limit: int = 100,
     return p.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(limit)
 
 
-def top_movers(prices: DataFrame, k: int = 20, width_us: int = 7 * O.DAY_US) -> DataFrame:
+def top_movers(prices: DataFrame, k: int = 20, width_us: int | None = None) -> DataFrame:
     """The k largest relative price changes (top-k is the feature)."""
     ch = price_changes(prices, width_us).where(F.col("change_pct").isNotNull())
     return (ch.withColumn("abs_pct", F.abs("change_pct"))

@@ -11,11 +11,13 @@ together through a per-(key, bucket) summary that has one row per bucket
 * ``with_prev``      value of the previous row            (W2, L5)
 * ``running_totals`` cumulative sums from the series start (W1, W6, W5)
 * ``last_non_null``  most recent non-null value so far     (J7, W6)
-* ``trailing_frame`` rows for a trailing range window whose lookback is at
-                     most one bucket: each row is copied once into the next
-                     bucket as context (W3)
+
+Trailing range windows (W3) are differences of running totals read at probe
+rows (see ``operators.prices.offers``), so they need no lookback-sized bucket.
 
 All results are exact; bucket width only trades task size for summary size.
+``auto_width`` sizes buckets from the densest (key, day) so that even a key
+holding a third of the table yields buckets of bounded size.
 The big side is shuffled once on ``(key, bucket)``; the summary join reuses
 that partitioning.
 """
@@ -29,6 +31,24 @@ HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
 BUCKET = "_bucket"
 
+MIN_WIDTH_US = HOUR_US
+MAX_WIDTH_US = 28 * DAY_US
+TARGET_ROWS_PER_BUCKET = 2_000_000
+
+
+def auto_width(df: DataFrame, keys: list[str], ts: str, target_rows: int = TARGET_ROWS_PER_BUCKET) -> int:
+    """Bucket width (microseconds, whole hours) giving about ``target_rows`` rows
+    per (key, bucket) for the densest key-day; one partial aggregation, and
+    only a single number reaches the driver."""
+    densest = (df.groupBy(*keys, F.date_trunc("day", F.col(ts)).alias("_day")).count()
+                 .agg(F.max("count")).first()[0]) or 1
+    w = DAY_US * target_rows // densest
+    return int(min(MAX_WIDTH_US, max(MIN_WIDTH_US, w // HOUR_US * HOUR_US)))
+
+
+def _width(df, keys, ts, width_us):
+    return auto_width(df, keys, ts) if width_us is None else width_us
+
 
 def epoch_us(ts: str) -> Column:
     """Microseconds since epoch of a TIMESTAMP_NTZ read as UTC."""
@@ -46,11 +66,11 @@ def _order_struct(order: list[str]) -> Column:
 
 
 def with_prev(df: DataFrame, keys: list[str], ts: str, order: list[str], values: list[str],
-              width_us: int = 7 * DAY_US, out: str = "prev") -> DataFrame:
+              width_us: int | None = None, out: str = "prev") -> DataFrame:
     """Add ``out`` = struct(values) of the previous row in ``order`` within ``keys``
     (NULL for a key's first row).  ``order`` must be a total order (end with a
     unique id) and start with ``ts``."""
-    d = df.withColumn(BUCKET, bucket_of(ts, width_us))
+    d = df.withColumn(BUCKET, bucket_of(ts, _width(df, keys, ts, width_us)))
     w_in = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     d = d.withColumn("_lag", F.lag(F.struct(*values)).over(w_in))
     tails = d.groupBy(*keys, BUCKET).agg(F.max_by(F.struct(*values), _order_struct(order)).alias("_tail"))
@@ -60,7 +80,7 @@ def with_prev(df: DataFrame, keys: list[str], ts: str, order: list[str], values:
 
 
 def running_totals(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Column],
-                   width_us: int = 7 * DAY_US, order: list[str] | None = None) -> DataFrame:
+                   width_us: int | None = None, order: list[str] | None = None) -> DataFrame:
     """Add cumulative sums of ``sums`` (name -> numeric Column) from the start of
     each key's series up to the current row.
 
@@ -68,7 +88,7 @@ def running_totals(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Colu
     like SQL's default window frame).  ``order=[ts, ..., id]``: ROWS frame in
     that total order.
     """
-    d = df.withColumn(BUCKET, bucket_of(ts, width_us))
+    d = df.withColumn(BUCKET, bucket_of(ts, _width(df, keys, ts, width_us)))
     for n, c in sums.items():
         d = d.withColumn(f"_v_{n}", c)
     if order is None:
@@ -88,10 +108,10 @@ def running_totals(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Colu
 
 
 def last_non_null(df: DataFrame, keys: list[str], ts: str, order: list[str], value: str,
-                  out: str, width_us: int = 7 * DAY_US) -> DataFrame:
+                  out: str, width_us: int | None = None) -> DataFrame:
     """Add ``out`` = the most recent non-null ``value`` at or before the current
     row (in ``order``) within ``keys``."""
-    d = df.withColumn(BUCKET, bucket_of(ts, width_us))
+    d = df.withColumn(BUCKET, bucket_of(ts, _width(df, keys, ts, width_us)))
     w_in = (Window.partitionBy(*keys, BUCKET).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_in", F.last(value, ignorenulls=True).over(w_in))
@@ -101,13 +121,3 @@ def last_non_null(df: DataFrame, keys: list[str], ts: str, order: list[str], val
     carry = tails.select(*keys, BUCKET, F.last("_tail", ignorenulls=True).over(w_b).alias("_carry"))
     j = d.join(carry, [*keys, BUCKET], "left")
     return j.withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_in", "_carry", BUCKET)
-
-
-def trailing_frame(df: DataFrame, ts: str, lookback_us: int) -> DataFrame:
-    """Prepare a trailing RANGE window of at most ``lookback_us``: every row is
-    kept in its own bucket (``_owner`` true) and copied once into the next bucket
-    as context.  Window over ``partitionBy(keys, _bucket)`` then keep ``_owner``."""
-    d = df.withColumn("_b0", bucket_of(ts, lookback_us))
-    d = d.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    return (d.withColumn(BUCKET, F.col("_b0") + F.col("_copy"))
-             .withColumn("_owner", F.col("_copy") == 0).drop("_b0", "_copy"))

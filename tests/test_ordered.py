@@ -55,14 +55,10 @@ def test_last_non_null(series):
     assert collect(got, ["id", "lv"]) == collect(exp, ["id", "lv"])
 
 
-def test_trailing_frame(series):
-    lb = 30 * HOUR
-    d = O.trailing_frame(series.withColumn("_t", O.epoch_us("ts")), "ts", lb)
-    w = Window.partitionBy("k", O.BUCKET).orderBy("_t").rangeBetween(-lb, -1)
-    got = d.withColumn("s", F.sum("v").over(w)).where("_owner")
-    plain = series.withColumn("_t", O.epoch_us("ts"))
-    exp = plain.withColumn("s", F.sum("v").over(Window.partitionBy("k").orderBy("_t").rangeBetween(-lb, -1)))
-    assert collect(got, ["id", "s"]) == collect(exp, ["id", "s"])
+def test_auto_width_bounds(spark, series):
+    w = O.auto_width(series, ["k"], "ts", target_rows=10)
+    assert O.MIN_WIDTH_US <= w <= O.MAX_WIDTH_US and w % O.HOUR_US == 0
+    assert O.auto_width(series, ["k"], "ts", target_rows=10**9) == O.MAX_WIDTH_US
 
 
 def test_hot_key_is_split(series):
