@@ -66,6 +66,8 @@ def offers(prices: DataFrame, lookback_days: int = 30, drop: str = "0.15",
     """
     lb = lookback_days * O.DAY_US
     obs = prices.select(*SERIES, "id", "ts", "price")
+    if width_us is None:  # each observation becomes three rows of the scanned stream
+        width_us = O.auto_width(obs, SERIES, "ts", O.TARGET_ROWS_PER_BUCKET // 3)
     price_t = prices.schema["price"].dataType
     data = obs.select(*SERIES, "ts", F.lit(1).alias("_k"), F.col("id").alias("_ord"),
                       F.lit(None).cast("string").alias("_probe"), F.lit(None).cast("long").alias("_ref"),
@@ -140,6 +142,9 @@ def churn_alerts(prices: DataFrame, ratings: DataFrame, span_days: int = 7, nega
     is read at each probe, so work is linear even for a hot app.
     """
     span = span_days * O.DAY_US
+    if width_us is None:  # density of the base streams (4 probes per rise at most double it)
+        base = prices.select("app_id", "ts").unionByName(ratings.select("app_id", "ts"))
+        width_us = O.auto_width(base, ["app_id"], "ts", O.TARGET_ROWS_PER_BUCKET // 2)
     rises = price_rises(prices, width_us).select(
         F.col("app_id"), F.col("id").alias("rise_id"), F.col("ts").alias("rise_ts"),
         F.col("prev_price"), F.col("price"))
