@@ -20,6 +20,8 @@ from storelens.operators import prices as P
 from storelens.operators import reviews as R
 
 REVIEW_KEY = ["app_id", "external_review_id"]
+REVIEW_BUCKETS = 256            # hash buckets of app_id = directories of the reviews table
+BROADCAST_MAX_KEYS = 2_000_000  # batch keys shipped to every task only below this (checked)
 
 
 def try_read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
@@ -50,8 +52,12 @@ def write_price_history(prices: DataFrame, path: str, files_per_month: int = 8)
     existing = try_read(spark, path)
     if existing is not None:
         months = [r[0] for r in p.select("price_month").distinct().collect()]  # <= months in the batch
-        old = existing.where(F.col("price_month").isin(months)).select("id", "price_month")
-        p = p.join(old, ["id", "price_month"], "left_anti")
+        old = existing.where(F.col("price_month").isin(months))
+        keys = p.select("id", "price_month")
+        small = keys.limit(BROADCAST_MAX_KEYS + 1).count() <= BROADCAST_MAX_KEYS
+        seen = old.select("id", "price_month").join(F.broadcast(keys) if small else keys,
+                                                    ["id", "price_month"], "left_semi")
+        p = p.join(seen, ["id", "price_month"], "left_anti")
     (p.withColumn("_w", F.pmod(F.xxhash64("app_id"), F.lit(files_per_month)))
       .repartition("price_month", "_w")
       .sortWithinPartitions("app_id", "ts")
@@ -71,13 +77,37 @@ def read_price_history(spark: SparkSession, path: str, start=None, end=None) ->
 
 
 # --- S4 ------------------------------------------------------------------------------------
+def review_bucket(app_id_col) -> F.Column:
+    return F.pmod(F.xxhash64(app_id_col), F.lit(REVIEW_BUCKETS)).cast("int")
+
+
+def existing_keys(stored: DataFrame, batch_keys: DataFrame, key: list[str]) -> DataFrame:
+    """Stored keys that also occur in the batch.
+
+    Only the hash buckets the batch touches are read (partition pruning with
+    a bounded literal list), and the batch keys are broadcast to the scan when
+    a capped count proves them small; otherwise it is a shuffled semi join.
+    The stored table itself is never shuffled whole for a small batch.
+    """
+    if "app_bucket" in stored.columns:
+        buckets = [r[0] for r in batch_keys.select(review_bucket(F.col("app_id"))).distinct().collect()]
+        stored = stored.where(F.col("app_bucket").isin(buckets))  # <= REVIEW_BUCKETS values
+    small = batch_keys.limit(BROADCAST_MAX_KEYS + 1).count() <= BROADCAST_MAX_KEYS
+    probe = F.broadcast(batch_keys) if small else batch_keys
+    return stored.select(*key).join(probe, key, "left_semi")
+
+
 def append_new_reviews(batch: DataFrame, path: str) -> DataFrame:
-    """Insert-if-absent on (app_id, external_review_id): one anti join against
-    the stored keys, then append."""
+    """Insert-if-absent on (app_id, external_review_id), appended into
+    ``app_bucket=`` directories."""
     spark = batch.sparkSession
     stored = try_read(spark, path)
-    new = batch if stored is None else R.new_reviews(batch, stored.select(*REVIEW_KEY), REVIEW_KEY)
-    new.write.mode("append").parquet(path)
+    new = batch
+    if stored is not None:
+        keys = batch.select(*REVIEW_KEY)
+        new = batch.join(existing_keys(stored, keys, REVIEW_KEY), REVIEW_KEY, "left_anti")
+    new.withColumn("app_bucket", review_bucket(F.col("app_id"))) \
+       .write.mode("append").partitionBy("app_bucket").parquet(path)
     return new
 
 
