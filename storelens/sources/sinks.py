@@ -21,7 +21,7 @@ from storelens.operators import reviews as R
 
 REVIEW_KEY = ["app_id", "external_review_id"]
 REVIEW_BUCKETS = 256            # hash buckets of app_id = directories of the reviews table
-BROADCAST_MAX_KEYS = 2_000_000  # batch keys shipped to every task only below this (checked)
+BROADCAST_MAX_KEYS = 500_000    # batch keys shipped to every task only below this (checked)
 
 
 def try_read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
@@ -76,6 +76,19 @@ def read_price_history(spark: SparkSession, path: str, start=None, end=None) ->
     return df
 
 
+def refresh_price_trends(spark: SparkSession, prices_path: str, trends_path: str, months: list[str]) -> DataFrame:
+    """A4 as a materialised table: recompute the monthly trend rows of the given
+    ``price_month`` values from the partitioned history (only those directories
+    are read) and replace exactly those partitions of the trends table
+    (dynamic partition overwrite); other months stay untouched."""
+    src = spark.read.parquet(prices_path).where(F.col("price_month").isin(months))
+    trends = P.price_trends(src.drop("price_month")).withColumn("trend_month", F.date_format("month", "yyyyMM"))
+    (trends.repartition("trend_month")
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("trend_month").parquet(trends_path))
+    return trends
+
+
 # --- S4 ------------------------------------------------------------------------------------
 def review_bucket(app_id_col) -> F.Column:
     return F.pmod(F.xxhash64(app_id_col), F.lit(REVIEW_BUCKETS)).cast("int")

@@ -85,3 +85,16 @@ def test_export(spark, scratch):
     S.export(df, os.path.join(scratch, "json"), "json")
     assert spark.read.option("header", True).csv(os.path.join(scratch, "csv")).first()["m"] == '{"a":1}'
     assert spark.read.json(os.path.join(scratch, "json")).first()["m"]["a"] == 1
+
+
+def test_refresh_price_trends(spark, scratch):
+    path, tpath = os.path.join(scratch, "ph"), os.path.join(scratch, "trends")
+    rows = [(i, 1, "US", "USD", Decimal(i), datetime(2026, 1 + i % 3, 1 + i)) for i in range(9)]
+    S.write_price_history(prices(spark, rows), path)
+    S.refresh_price_trends(spark, path, tpath, ["202601", "202602", "202603"])
+    before = {r["trend_month"]: r["n_obs"] for r in spark.read.parquet(tpath).collect()}
+    assert before == {"202601": 3, "202602": 3, "202603": 3}
+    S.write_price_history(prices(spark, [(99, 1, "US", "USD", Decimal(5), datetime(2026, 2, 20))]), path)
+    S.refresh_price_trends(spark, path, tpath, ["202602"])
+    after = {r["trend_month"]: r["n_obs"] for r in spark.read.parquet(tpath).collect()}
+    assert after == {"202601": 3, "202602": 4, "202603": 3}
