@@ -37,6 +37,14 @@ def try_read(spark: SparkSession, path: str, schema: T.StructType | None = None)
         raise
 
 
+def read_partitioned(spark: SparkSession, path: str, part_col: str) -> DataFrame:
+    """Read a directory-partitioned table keeping the partition column a string
+    (values such as 202601 would otherwise be inferred as integers, and a
+    predicate on 'default' would no longer type-check).  Predicates on the
+    column still prune directories."""
+    return spark.read.parquet(path).withColumn(part_col, F.col(part_col).cast("string"))
+
+
 # --- S3 ------------------------------------------------------------------------------------
 def write_price_history(prices: DataFrame, path: str, files_per_month: int = 8) -> DataFrame:
     """Append price observations into ``price_month=YYYYMM|default`` directories.
@@ -52,7 +60,8 @@ def write_price_history(prices: DataFrame, path: str, files_per_month: int = 8)
     existing = try_read(spark, path)
     if existing is not None:
         months = [r[0] for r in p.select("price_month").distinct().collect()]  # <= months in the batch
-        old = existing.where(F.col("price_month").isin(months))
+        old = existing.withColumn("price_month", F.col("price_month").cast("string")) \
+                      .where(F.col("price_month").isin(months))
         keys = p.select("id", "price_month")
         small = keys.limit(BROADCAST_MAX_KEYS + 1).count() <= BROADCAST_MAX_KEYS
         seen = old.select("id", "price_month").join(F.broadcast(keys) if small else keys,
@@ -68,7 +77,7 @@ def write_price_history(prices: DataFrame, path: str, files_per_month: int = 8)
 
 def read_price_history(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
     """Read with partition pruning: a ts range becomes a price_month predicate."""
-    df = spark.read.parquet(path)
+    df = read_partitioned(spark, path, "price_month")
     if start is not None and end is not None:
         df = df.where(P.month_partition_filter(start, end) &
                       (F.col("ts") >= F.lit(start).cast("timestamp_ntz")) &
@@ -81,7 +90,7 @@ def refresh_price_trends(spark: SparkSession, prices_path: str, trends_path: str
     ``price_month`` values from the partitioned history (only those directories
     are read) and replace exactly those partitions of the trends table
     (dynamic partition overwrite); other months stay untouched."""
-    src = spark.read.parquet(prices_path).where(F.col("price_month").isin(months))
+    src = read_partitioned(spark, prices_path, "price_month").where(F.col("price_month").isin(months))
     trends = P.price_trends(src.drop("price_month")).withColumn("trend_month", F.date_format("month", "yyyyMM"))
     (trends.repartition("trend_month")
            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -31,6 +31,9 @@ def test_partition_layout_and_pruning(spark, scratch):
     assert (got[1], got[2], got[3], got[4]) == ("default", "202601", "202712", "default")
     df = S.read_price_history(spark, path, "2026-03-01", "2026-05-01")
     assert sorted(r["id"] for r in df.collect()) == [102, 103]
+    only_months = os.path.join(scratch, "months_only")  # no 'default' directory: values look numeric
+    S.write_price_history(prices(spark, months), only_months)
+    assert S.read_price_history(spark, only_months, "2026-03-01", "2026-05-01").count() == 2
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "price_month" in plan
 
@@ -92,9 +95,9 @@ def test_refresh_price_trends(spark, scratch):
     rows = [(i, 1, "US", "USD", Decimal(i), datetime(2026, 1 + i % 3, 1 + i)) for i in range(9)]
     S.write_price_history(prices(spark, rows), path)
     S.refresh_price_trends(spark, path, tpath, ["202601", "202602", "202603"])
-    before = {r["trend_month"]: r["n_obs"] for r in spark.read.parquet(tpath).collect()}
+    before = {r["trend_month"]: r["n_obs"] for r in S.read_partitioned(spark, tpath, "trend_month").collect()}
     assert before == {"202601": 3, "202602": 3, "202603": 3}
     S.write_price_history(prices(spark, [(99, 1, "US", "USD", Decimal(5), datetime(2026, 2, 20))]), path)
     S.refresh_price_trends(spark, path, tpath, ["202602"])
-    after = {r["trend_month"]: r["n_obs"] for r in spark.read.parquet(tpath).collect()}
+    after = {r["trend_month"]: r["n_obs"] for r in S.read_partitioned(spark, tpath, "trend_month").collect()}
     assert after == {"202601": 3, "202602": 4, "202603": 3}
