@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
@@ -65,18 +66,42 @@ def _order_struct(order: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
+def _zero(dt: T.DataType) -> Column:
+    if isinstance(dt, T.StringType):
+        return F.lit("")
+    if isinstance(dt, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dt, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+        return F.lit("1970-01-01 00:00:00").cast(dt)
+    return F.lit(0).cast(dt)
+
+
+def _safe_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Null-safe partition keys: (isnull(k), coalesce(k, zero)) per key.  A window
+    groups NULL keys together; these columns let the summary join use plain
+    equality (so its partitioning matches the window's) without losing the
+    NULL-key series."""
+    out = []
+    for i, k in enumerate(keys):
+        dt = df.schema[k].dataType
+        df = (df.withColumn(f"_kn{i}", F.col(k).isNull())
+                .withColumn(f"_kv{i}", F.coalesce(F.col(k), _zero(dt))))
+        out += [f"_kn{i}", f"_kv{i}"]
+    return df, out
+
+
 def with_prev(df: DataFrame, keys: list[str], ts: str, order: list[str], values: list[str],
               width_us: int | None = None, out: str = "prev") -> DataFrame:
     """Add ``out`` = struct(values) of the previous row in ``order`` within ``keys``
     (NULL for a key's first row).  ``order`` must be a total order (end with a
     unique id) and start with ``ts``."""
-    d = df.withColumn(BUCKET, bucket_of(ts, _width(df, keys, ts, width_us)))
-    w_in = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    d, sk = _safe_keys(df.withColumn(BUCKET, bucket_of(ts, _width(df, keys, ts, width_us))), keys)
+    w_in = Window.partitionBy(*sk, BUCKET).orderBy(*order)
     d = d.withColumn("_lag", F.lag(F.struct(*values)).over(w_in))
-    tails = d.groupBy(*keys, BUCKET).agg(F.max_by(F.struct(*values), _order_struct(order)).alias("_tail"))
-    carry = tails.select(*keys, BUCKET, F.lag("_tail").over(Window.partitionBy(*keys).orderBy(BUCKET)).alias("_carry"))
-    j = d.join(carry, [*keys, BUCKET], "left")
-    return j.withColumn(out, F.coalesce(F.col("_lag"), F.col("_carry"))).drop("_lag", "_carry", BUCKET)
+    tails = d.groupBy(*sk, BUCKET).agg(F.max_by(F.struct(*values), _order_struct(order)).alias("_tail"))
+    carry = tails.select(*sk, BUCKET, F.lag("_tail").over(Window.partitionBy(*sk).orderBy(BUCKET)).alias("_carry"))
+    j = d.join(carry, [*sk, BUCKET], "left")
+    return j.withColumn(out, F.coalesce(F.col("_lag"), F.col("_carry"))).drop("_lag", "_carry", BUCKET, *sk)
 
 
 def running_totals(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Column],
@@ -88,36 +113,36 @@ def running_totals(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Colu
     like SQL's default window frame).  ``order=[ts, ..., id]``: ROWS frame in
     that total order.
     """
-    d = df.withColumn(BUCKET, bucket_of(ts, _width(df, keys, ts, width_us)))
+    d, sk = _safe_keys(df.withColumn(BUCKET, bucket_of(ts, _width(df, keys, ts, width_us))), keys)
     for n, c in sums.items():
         d = d.withColumn(f"_v_{n}", c)
     if order is None:
-        w_in = Window.partitionBy(*keys, BUCKET).orderBy(ts)  # default RANGE frame
+        w_in = Window.partitionBy(*sk, BUCKET).orderBy(ts)  # default RANGE frame
     else:
-        w_in = (Window.partitionBy(*keys, BUCKET).orderBy(*order)
+        w_in = (Window.partitionBy(*sk, BUCKET).orderBy(*order)
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     for n in sums:
         d = d.withColumn(f"_in_{n}", F.sum(f"_v_{n}").over(w_in))
-    per_bucket = d.groupBy(*keys, BUCKET).agg(*[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in sums])
-    w_b = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    prefix = per_bucket.select(*keys, BUCKET, *[F.sum(f"_b_{n}").over(w_b).alias(f"_p_{n}") for n in sums])
-    j = d.join(prefix, [*keys, BUCKET], "left")
+    per_bucket = d.groupBy(*sk, BUCKET).agg(*[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in sums])
+    w_b = Window.partitionBy(*sk).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    prefix = per_bucket.select(*sk, BUCKET, *[F.sum(f"_b_{n}").over(w_b).alias(f"_p_{n}") for n in sums])
+    j = d.join(prefix, [*sk, BUCKET], "left")
     for n in sums:
         j = j.withColumn(n, F.coalesce(F.col(f"_p_{n}"), F.lit(0)) + F.col(f"_in_{n}"))
-    return j.drop(BUCKET, *[f"_{p}_{n}" for n in sums for p in ("v", "in", "p")])
+    return j.drop(BUCKET, *sk, *[f"_{p}_{n}" for n in sums for p in ("v", "in", "p")])
 
 
 def last_non_null(df: DataFrame, keys: list[str], ts: str, order: list[str], value: str,
                   out: str, width_us: int | None = None) -> DataFrame:
     """Add ``out`` = the most recent non-null ``value`` at or before the current
     row (in ``order``) within ``keys``."""
-    d = df.withColumn(BUCKET, bucket_of(ts, _width(df, keys, ts, width_us)))
-    w_in = (Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    d, sk = _safe_keys(df.withColumn(BUCKET, bucket_of(ts, _width(df, keys, ts, width_us))), keys)
+    w_in = (Window.partitionBy(*sk, BUCKET).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_in", F.last(value, ignorenulls=True).over(w_in))
-    tails = d.groupBy(*keys, BUCKET).agg(
+    tails = d.groupBy(*sk, BUCKET).agg(
         F.max_by(F.col(value), F.when(F.col(value).isNotNull(), _order_struct(order))).alias("_tail"))
-    w_b = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(*keys, BUCKET, F.last("_tail", ignorenulls=True).over(w_b).alias("_carry"))
-    j = d.join(carry, [*keys, BUCKET], "left")
-    return j.withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_in", "_carry", BUCKET)
+    w_b = Window.partitionBy(*sk).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select(*sk, BUCKET, F.last("_tail", ignorenulls=True).over(w_b).alias("_carry"))
+    j = d.join(carry, [*sk, BUCKET], "left")
+    return j.withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_in", "_carry", BUCKET, *sk)

@@ -18,7 +18,7 @@ def series(spark):
     rnd = random.Random(7)
     rows, t0 = [], datetime(2024, 1, 1)
     for i in range(3000):
-        key = 0 if i % 3 else rnd.randint(1, 4)           # key 0 holds two thirds of the rows
+        key = 0 if i % 3 else rnd.choice([1, 2, 3, 4, None])  # key 0: two thirds of the rows; NULL keys too
         ts = t0 + timedelta(minutes=rnd.randint(0, 60 * 24 * 20))  # ties happen
         val = rnd.choice([None, 1, 2, 3, 5])
         rows.append((i, key, ts, val))

@@ -39,3 +39,22 @@ def test_scans_are_pruned(spark):
     df = E.queries()["reviews_page"](spark, SF001)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in p and "PushedFilters: [IsNotNull(source), EqualTo(source,src3)]" in p
+
+
+def test_series_summary_join_reuses_partitioning(spark):
+    """With no broadcast allowed, the rows are still shuffled only once: the
+    sort-merge join with the per-bucket summary reuses the window's partitioning."""
+    from storelens.operators import prices as P
+    from storelens.sources import fixtures as FX
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = P.price_changes(FX.fx_prices(spark, SF001), width_us=7 * 24 * 3_600_000_000)
+        p = df._jdf.queryExecution().executedPlan().toString()
+        lines = p.splitlines()
+        start = next(i for i, ln in enumerate(lines) if "SortMergeJoin" in ln)
+        scan = next(i for i in range(start, len(lines)) if "FileScan" in lines[i])
+        left = lines[start + 1:scan]  # the row side, down to its scan
+        assert sum("Exchange" in ln for ln in left) == 1, p
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
