@@ -244,34 +244,37 @@ def parse_page(html: str, p: PageProfile) -> dict:
     }
 
 
-def _arrow_schema():
+def extract_raw(pages: DataFrame, profile: PageProfile = APPLE_PROFILE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pages(page_id, url, html, *keep) -> RAW_SCHEMA + keep, one row per
+    page (mapInArrow).  ``keep`` columns (e.g. app id, capture time) pass
+    through the task unchanged, so callers need no join back to the pages."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(RAW_SCHEMA)
+    src = spread(pages.select(F.col("page_id").cast("long"), "url", "html", *keep))
+    out_schema = T.StructType(RAW_SCHEMA.fields + [src.schema[k] for k in keep])
 
-
-def extract_raw(pages: DataFrame, profile: PageProfile = APPLE_PROFILE) -> DataFrame:
-    """pages(page_id, url, html) -> RAW_SCHEMA, one row per page (mapInArrow)."""
     def run(batches):
-        schema = _arrow_schema()
+        schema = to_arrow_schema(out_schema)
         empty = {"name": None, "developer_name": None, "description": None, "icon_url": None,
                  "raw_price": None, "reviews": []}
         for b in batches:
             cols = b.to_pydict()
             rows = []
-            for pid, url, html in zip(cols["page_id"], cols["url"], cols["html"]):
+            for i, (pid, url, html) in enumerate(zip(cols["page_id"], cols["url"], cols["html"])):
                 try:
                     r = parse_page(html, profile)
                     err = None
                 except Exception as exc:  # noqa: BLE001 - isolate one bad page (X8)
                     r, err = dict(empty), f"{type(exc).__name__}: {exc}"
-                rows.append({"page_id": pid, "url": url, **r, "parse_error": err})
+                rows.append({"page_id": pid, "url": url, **r, "parse_error": err,
+                             **{k: cols[k][i] for k in keep}})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spread(pages.select(F.col("page_id").cast("long"), "url", "html")).mapInArrow(run, RAW_SCHEMA)
+    return src.mapInArrow(run, out_schema)
 
 
 # --- Catalyst side -------------------------------------------------------------------------------
-def scrape_results(raw: DataFrame, captured_at, currency: str = "USD", region: str = "US") -> DataFrame:
+def scrape_results(raw: DataFrame, captured_at, currency: str = "USD", region: str = "US",
+                   keep: tuple[str, ...] = ()) -> DataFrame:
     """X3-X8 + V1-V4 + A1 on raw extraction output, all in one projection.
 
     * P5: reviews without id, or without a parsable rating, are skipped;
@@ -301,7 +304,7 @@ def scrape_results(raw: DataFrame, captured_at, currency: str = "USD", region: s
                     N.parse_rating(r["rating_label"], r["rating_text"]).isNotNull())
     name, dev, icon = N.py_strip("name"), N.strip_or_null("developer_name"), N.strip_or_null("icon_url")
     staged = raw.select(
-        "page_id", N.py_strip("url").alias("url"), "parse_error",
+        *keep, "page_id", N.py_strip("url").alias("url"), "parse_error",
         F.when(F.col("name").isNotNull(), F.struct(
             name.alias("name"), F.col("bundle_id").alias("bundle_id") if "bundle_id" in raw.columns
             else F.lit(None).cast("string").alias("bundle_id"),
@@ -321,7 +324,7 @@ def scrape_results(raw: DataFrame, captured_at, currency: str = "USD", region: s
     all_v = F.concat(url_v, app_v, price_v, rev_v)
     ok = F.col("parse_error").isNull() & (F.size(all_v) == 0)
     out = staged.select(
-        "page_id", "url", ok.alias("success"),
+        *keep, "page_id", "url", ok.alias("success"),
         F.when(F.col("parse_error").isNotNull(), F.col("parse_error"))
          .when(~ok, F.array_join(all_v, "; ")).alias("error"),
         F.when(ok, F.col("app")).alias("app"),

@@ -38,10 +38,8 @@ PAGE_SCHEMA = T.StructType([
 
 def _commit(root: str, profile: X.PageProfile):
     def run(batch: DataFrame, batch_id: int) -> None:
-        raw = X.extract_raw(batch.select("page_id", "url", "html"), profile)
-        raw = raw.join(batch.select("page_id", "app_id", "captured_at"), "page_id")
-        res = X.scrape_results(raw, F.col("captured_at")).join(
-            batch.select("page_id", "app_id"), "page_id")
+        raw = X.extract_raw(batch, profile, keep=("app_id", "captured_at"))
+        res = X.scrape_results(raw, F.col("captured_at"), keep=("app_id",))
         S.commit_scrape_batch(res, root, batch_id)
     return run
 

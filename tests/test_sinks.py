@@ -69,8 +69,8 @@ def test_commit_scrape_batch(spark, scratch):
              (2, "app2", "u2", datetime(2026, 2, 1), _page("Two", "Free", [("r9", 0)])),   # poisoned
              (3, "app3", "u3", datetime(2026, 2, 2), _page("", "$3.00", []))]               # no app record
     df = spark.createDataFrame(pages, "page_id long, app_id string, url string, captured_at timestamp_ntz, html string")
-    raw = X.extract_raw(df.select("page_id", "url", "html")).join(df.select("page_id", "captured_at"), "page_id")
-    res = X.scrape_results(raw, F.col("captured_at")).join(df.select("page_id", "app_id"), "page_id")
+    raw = X.extract_raw(df, keep=("app_id", "captured_at"))
+    res = X.scrape_results(raw, F.col("captured_at"), keep=("app_id",))
     for _ in range(2):  # a re-run of the same batch writes nothing new
         S.commit_scrape_batch(res, scratch, batch_id=7)
     ph = spark.read.parquet(os.path.join(scratch, "price_history"))
