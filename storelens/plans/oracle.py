@@ -397,7 +397,7 @@ cat AS (SELECT *, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS
 scr AS (SELECT p_partkey AS id, upper(p_name) AS s_name0, p_size,
                CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type || ' Inc' END AS s_dev,
                p_type AS s_desc, CAST(NULL AS VARCHAR) AS s_icon
-        FROM part WHERE p_size <= 10),
+        FROM part),
 j AS (SELECT c.*, s.s_name0, s.s_dev, s.s_desc, s.s_icon FROM cat c LEFT JOIN scr s ON s.id = c.id),
 o AS (SELECT id, coalesce(s_name0, name) AS new_name, bundle_id, store,
              CASE WHEN coalesce(s_dev, '') <> '' THEN s_dev ELSE developer_name END AS new_dev,

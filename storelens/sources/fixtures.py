@@ -185,10 +185,10 @@ def fx_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_scraped_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part -> app records parsed from this round's pages (small parts only):
+    """part -> app records parsed from this round's pages, one per catalogued app:
     renamed apps, blank developer for even sizes, description = type."""
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_size"])
-    return (p.where(F.col("p_size") <= 10)
+    return (p
              .select(F.col("p_partkey").alias("app_id"), F.upper("p_name").alias("name"),
                      F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.concat("p_type", F.lit(" Inc")))
                       .alias("developer_name"),
