@@ -133,3 +133,11 @@ def metadata_query(processed: DataFrame, flag: str = "had_email") -> DataFrame:
     """Reviews selected by a metadata key (the JSONB/GIN lookup).  On a typed
     struct this is nested-column pruning + a pushed predicate."""
     return processed.where(F.col(f"processing_metadata.{flag}"))
+
+
+def metadata_key_query(df: DataFrame, json_col: str, path: str, value_type: str, predicate) -> DataFrame:
+    """P7 for open (schemaless) metadata keys: the JSON text is parsed once into a
+    VARIANT and the key is read with ``variant_get`` (typed, NULL when absent or
+    not convertible); ``predicate`` filters on the extracted value ``_v``."""
+    v = F.variant_get(F.parse_json(F.col(json_col)), path, value_type)
+    return df.withColumn("_v", v).where(predicate(F.col("_v")))

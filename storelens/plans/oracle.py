@@ -601,3 +601,7 @@ FROM fx_apps a JOIN fx_ratings r ON r.app_id = a.id GROUP BY a.id, a.name, a.sto
 
 register("cascade_reviews", with_fx(["fx_ratings", "fx_apps"], """
 SELECT * FROM fx_ratings r WHERE EXISTS (SELECT 1 FROM fx_apps a WHERE a.id = r.app_id AND a.is_active)"""))
+
+register("metadata_json_query", """
+SELECT event_id, user_id AS app_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k
+FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) >= 95""")

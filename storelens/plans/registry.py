@@ -442,3 +442,11 @@ def q_cascade_reviews(spark, sf_dir):
     """J5 reviews kept after removing inactive apps (left semi join on survivors)."""
     keep = C.monitored(FX.fx_apps(spark, sf_dir)).select(F.col("id").alias("app_id"))
     return FX.fx_ratings(spark, sf_dir).join(keep, "app_id", "left_semi")
+
+
+@query("metadata_json_query")
+def q_metadata_json_query(spark, sf_dir):
+    """P7 on a JSON document column: events whose metadata key k is at least 95."""
+    e = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("event_id", "user_id", "props")
+    return R.metadata_key_query(e, "props", "$.k", "int", lambda v: v >= 95) \
+        .select("event_id", F.col("user_id").alias("app_id"), F.col("_v").alias("k"))

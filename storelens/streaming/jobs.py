@@ -88,6 +88,14 @@ def _alerts(key, batches, state):
     prev = None
     if state.exists:
         prev = Decimal(state.get[0])
+        last_ts, last_id = pd.Timestamp(state.get[1]), int(state.get[2])
+        # observations older than the stored one arrived late: the series has moved
+        # on, so they are not compared (the batch job W2 gives their exact history)
+        late = (pdf["ts"] < last_ts) | ((pdf["ts"] == last_ts) & (pdf["id"] <= last_id))
+        pdf = pdf[~late]
+        if pdf.empty:
+            yield pd.DataFrame([], columns=[f.name for f in ALERT_SCHEMA.fields])
+            return
     out = []
     for ts, rid, price in zip(pdf["ts"], pdf["id"], pdf["price"]):
         price = Decimal(price)

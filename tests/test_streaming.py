@@ -84,3 +84,19 @@ def test_dedupe_reviews(spark, scratch):
     s = spark.readStream.schema(df.schema).parquet(src)
     got = run_stream(ST.dedupe_reviews(s), scratch, "dd")
     assert sorted(r["external_review_id"] for r in got.collect()) == ["1", "2"]
+
+
+def test_price_alerts_ignore_late_rows(spark, scratch):
+    from decimal import Decimal
+    schema = "app_id long, region string, currency string, id long, ts timestamp_ntz, price decimal(10,2)"
+    b1 = [(1, "US", "USD", 1, datetime(2026, 1, 1), Decimal("1.00")),
+          (1, "US", "USD", 2, datetime(2026, 1, 3), Decimal("2.00"))]
+    b2 = [(1, "US", "USD", 3, datetime(2026, 1, 2), Decimal("9.00")),   # late: older than the state
+          (1, "US", "USD", 4, datetime(2026, 1, 4), Decimal("3.00"))]
+    src = os.path.join(scratch, "late")
+    spark.createDataFrame(b1, schema).coalesce(1).write.parquet(os.path.join(src, "p0"))
+    spark.createDataFrame(b2, schema).coalesce(1).write.parquet(os.path.join(src, "p1"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "p*"))
+    got = run_stream(ST.price_alerts(s), scratch, "late_alerts")
+    assert sorted((r["id"], r["prev_price"], r["price"]) for r in got.collect()) == [
+        (2, Decimal("1.00"), Decimal("2.00")), (4, Decimal("2.00"), Decimal("3.00"))]
