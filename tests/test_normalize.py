@@ -117,3 +117,10 @@ def test_audits(spark):
     parents = spark.createDataFrame([(1,)], "id int")
     child = spark.createDataFrame([(1, "x"), (9, "y"), (None, "z")], "app_id int, r string")
     assert sorted(r["r"] for r in V.fk_audit(child, parents, "app_id", "id").collect()) == ["y", "z"]
+
+
+@pytest.mark.parametrize("raw,val", [("2025-06-01 12:00:00", "2025-06-01 12:00:00"),
+                                     ("2025-06-01T12:00:00Z", "2025-06-01 12:00:00"),
+                                     ("2025-06-01T12:00:00-05:00", "2025-06-01 17:00:00")])
+def test_to_utc(spark, raw, val):
+    assert ev(spark, N.to_utc, raw).strftime("%Y-%m-%d %H:%M:%S") == val
