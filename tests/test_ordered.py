@@ -66,3 +66,18 @@ def test_hot_key_is_split(series):
     plan = O.with_prev(series, ["k"], "ts", ["ts", "id"], ["v"], width_us=6 * HOUR)._jdf \
         .queryExecution().executedPlan().toString()
     assert "_bucket" in plan
+
+
+def test_single_hot_series_is_split_and_exact(spark):
+    """All observations in one series (the extreme of 'one key holds a third of
+    the rows'): buckets sized for ~200 rows each, result equal to a plain window."""
+    from conftest import SF01
+    from storelens.sources import fixtures as FX
+    hot = FX.fx_prices(spark, SF01).withColumn("app_id", F.lit(0).cast("long")).withColumn("region", F.lit("US"))
+    width = O.auto_width(hot, ["app_id"], "ts", target_rows=200)
+    buckets = hot.select(O.bucket_of("ts", width).alias("b")).distinct().count()
+    assert buckets >= hot.count() // 400
+    got = O.with_prev(hot, ["app_id"], "ts", ["ts", "id"], ["id"], width_us=width) \
+        .select("id", F.col("prev.id").alias("pid"))
+    exp = hot.select("id", F.lag("id").over(Window.partitionBy("app_id").orderBy("ts", "id")).alias("pid"))
+    assert collect(got, ["id", "pid"]) == collect(exp, ["id", "pid"])
