@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelens.plans.parallel import spread
 from storelens.sources.tables import read_table
 
 EPOCH_2024 = "2024-01-01 00:00:00"
@@ -19,12 +20,12 @@ EPOCH_2024 = "2024-01-01 00:00:00"
 
 def fx_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> reviews: one review per document, whole text as content."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
     return d.select(
         F.col("doc_id").cast("string").alias("external_review_id"),
         F.col("source").alias("app_id"),
         (F.col("doc_id") % 7).cast("int").alias("rating"),
-        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"),
+        F.substring_index(F.col("text"), "\n", 1).alias("title"),  # first line; stops at the first newline
         F.col("text").alias("content"),
         F.nullif(F.regexp_extract("text", r"^\s*(\S+(?:\s+\S+)?)", 1), F.lit("")).alias("author_name"),
         F.timestamp_add("HOUR", F.col("doc_id") % 720,
