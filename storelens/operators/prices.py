@@ -69,19 +69,21 @@ def offers(prices: DataFrame, lookback_days: int = 30, drop: str = "0.15",
     if width_us is None:  # each observation becomes three rows of the scanned stream
         width_us = O.auto_width(obs, SERIES, "ts", O.TARGET_ROWS_PER_BUCKET // 3)
     price_t = prices.schema["price"].dataType
-    data = obs.select(*SERIES, "ts", F.lit(1).alias("_k"), F.col("id").alias("_ord"),
-                      F.lit(None).cast("string").alias("_probe"), F.lit(None).cast("long").alias("_ref"),
-                      F.lit(None).cast("timestamp_ntz").alias("_obs_ts"), F.lit(None).cast(price_t).alias("_obs_price"),
-                      F.col("price").alias("_v"), F.lit(1).cast("long").alias("_c"))
-
-    def probe(name, at):
-        return obs.select(*SERIES, at.alias("ts"), F.lit(0).alias("_k"), F.col("id").alias("_ord"),
-                          F.lit(name).alias("_probe"), F.col("id").alias("_ref"), F.col("ts").alias("_obs_ts"),
-                          F.col("price").alias("_obs_price"), F.lit(0).cast(price_t).alias("_v"),
-                          F.lit(0).cast("long").alias("_c"))
-
-    u = data.unionByName(probe("now", F.col("ts"))).unionByName(
-        probe("back", F.timestamp_add("MICROSECOND", F.lit(-lb), "ts")))
+    zero = F.lit(0).cast(price_t)
+
+    def row(ts, k, probe, v, c):
+        return F.struct(ts.alias("ts"), F.lit(k).alias("_k"), F.lit(probe).cast("string").alias("_probe"),
+                        v.alias("_v"), F.lit(c).cast("long").alias("_c"))
+
+    # one scan: each observation yields itself and its two probes
+    u = obs.select(*SERIES, F.col("id").alias("_ord"), F.col("ts").alias("_obs_ts"),
+                   F.col("price").alias("_obs_price"),
+                   F.explode(F.array(
+                       row(F.col("ts"), 1, None, F.col("price"), 1),
+                       row(F.col("ts"), 0, "now", zero, 0),
+                       row(F.timestamp_add("MICROSECOND", F.lit(-lb), "ts"), 0, "back", zero, 0))).alias("r")) \
+           .select(*SERIES, "_ord", "_obs_ts", "_obs_price", "r.*") \
+           .withColumn("_ref", F.when(F.col("_probe").isNotNull(), F.col("_ord")))
     r = O.running_totals(u, SERIES, "ts", {"_s": F.col("_v"), "_n": F.col("_c")}, width_us,
                          order=["ts", "_k", "_ord", "_probe"])
 
