@@ -75,8 +75,9 @@ def remove_urls(col, case_insensitive: bool = True) -> Column:
 
 
 def normalize_whitespace(col) -> Column:
-    """Collapse whitespace runs to one space, then strip."""
-    return py_strip(F.regexp_replace(_c(col), f"(?U){PY_SPACE}+", " "))
+    """Collapse whitespace runs to one space, then strip (T3).  After the collapse
+    every whitespace character is a plain space, so ``trim`` is the full strip."""
+    return F.trim(F.regexp_replace(_c(col), f"(?U){PY_SPACE}+", " "))
 
 
 def remove_emojis(col) -> Column:
