@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions import normalize as N
 
 # ---------------------------------------------------------------------------
 # Store URL shapes, the unsupported-store error, region list.
@@ -122,7 +121,3 @@ def store_union(apple: DataFrame, google: DataFrame) -> DataFrame:
     become NULL; the store column says where a row came from."""
     return (apple.withColumn("store", F.lit(APPLE))
                  .unionByName(google.withColumn("store", F.lit(GOOGLE)), allowMissingColumns=True))
-
-
-def validate_store(apps: DataFrame) -> DataFrame:
-    return apps.withColumn("store_violation", N.store_rule("store"))

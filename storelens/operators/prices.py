@@ -9,7 +9,7 @@ Series key is (app_id, region, currency); every ordered scan goes through
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.numeric import exact_ratio

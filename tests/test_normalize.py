@@ -124,3 +124,11 @@ def test_audits(spark):
                                      ("2025-06-01T12:00:00-05:00", "2025-06-01 17:00:00")])
 def test_to_utc(spark, raw, val):
     assert ev(spark, N.to_utc, raw).strftime("%Y-%m-%d %H:%M:%S") == val
+
+
+def test_split_accepted_and_results(spark):
+    df = spark.createDataFrame([("  https://x/y  ",), ("   ",), (None,)], "url string")
+    v = V.validate_results(df)
+    ok, bad = V.split_accepted(v)
+    assert [r["url"] for r in ok.collect()] == ["https://x/y"]
+    assert sorted(r["violations"][0] for r in bad.collect()) == ["url cannot be empty"] * 2
