@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from storelens.operators import prices as P
 from storelens.operators import reviews as R
+from storelens.session import cut_lineage
 
 REVIEW_KEY = ["app_id", "external_review_id"]
 REVIEW_BUCKETS = 256            # hash buckets of app_id = directories of the reviews table
@@ -161,8 +162,10 @@ def commit_scrape_batch(results: DataFrame, root: str, batch_id: int) -> None:
     nothing.  Re-running a batch id appends nothing twice.
     """
     root = root.rstrip("/")
-    ok = results.where("success")
-    ok.persist()
+    # The three writes below read the same extracted pages; a reliable checkpoint
+    # in the shared spark.checkpoint.dir survives executor loss without re-running
+    # the HTML extraction.
+    ok = cut_lineage(results.where("success"))
     try:
         prices = ok.where(F.col("price").isNotNull()).select(
             F.xxhash64("app_id", "price.ts", "price.price").alias("id"), "app_id",
@@ -177,7 +180,7 @@ def commit_scrape_batch(results: DataFrame, root: str, batch_id: int) -> None:
         apps = ok.where(F.col("app").isNotNull()).select("app_id", "app.*").drop("bundle_id")
         append_app_updates(apps, f"{root}/app_updates", batch_id)
     finally:
-        ok.unpersist()
+        ok.unpersist()  # no-op for checkpointed data; files are cleaned when unreferenced
 
 
 # --- S7/S8 ----------------------------------------------------------------------------------
