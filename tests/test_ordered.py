@@ -19,7 +19,7 @@ def series(spark):
     rows, t0 = [], datetime(2024, 1, 1)
     for i in range(3000):
         key = 0 if i % 3 else rnd.choice([1, 2, 3, 4, None])  # key 0: two thirds of the rows; NULL keys too
-        ts = t0 + timedelta(minutes=rnd.randint(0, 60 * 24 * 20))  # ties happen
+        ts = None if i % 97 == 0 else t0 + timedelta(minutes=rnd.randint(0, 60 * 24 * 20))  # ties, NULLs
         val = rnd.choice([None, 1, 2, 3, 5])
         rows.append((i, key, ts, val))
     return spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v int")
