@@ -71,9 +71,17 @@ def test_ingest_stream(spark, scratch):
     q = ST.start_ingest(spark, os.path.join(src, "f*"), os.path.join(scratch, "tables"),
                         os.path.join(scratch, "ckpt"), files_per_trigger=1)
     q.awaitTermination(600)
-    ph = spark.read.parquet(os.path.join(scratch, "tables", "price_history"))
-    assert ph.count() == 6
-    assert spark.read.parquet(os.path.join(scratch, "tables", "reviews")).count() == 6
+    # batch twin: the same pages committed as one batch
+    from storelens.operators import extract as X
+    from storelens.sources import sinks as S
+    raw = X.extract_raw(pages, keep=("app_id", "captured_at"))
+    S.commit_scrape_batch(X.scrape_results(raw, F.col("captured_at"), keep=("app_id",)),
+                          os.path.join(scratch, "batch"), batch_id=0)
+    for table, cols in (("price_history", ["id", "app_id", "price", "ts"]),
+                        ("reviews", ["app_id", "external_review_id", "rating", "content"])):
+        streamed = spark.read.parquet(os.path.join(scratch, "tables", table)).select(*cols).collect()
+        batched = spark.read.parquet(os.path.join(scratch, "batch", table)).select(*cols).collect()
+        assert len(streamed) == 6 and sorted(map(tuple, streamed)) == sorted(map(tuple, batched))
 
 
 def test_dedupe_reviews(spark, scratch):
