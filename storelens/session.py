@@ -19,6 +19,7 @@ BASE_CONF = {
     # 2,048 captured pages of ~500 KB stay around 1 GB per worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
