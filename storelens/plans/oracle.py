@@ -605,3 +605,22 @@ SELECT * FROM fx_ratings r WHERE EXISTS (SELECT 1 FROM fx_apps a WHERE a.id = r.
 register("metadata_json_query", """
 SELECT event_id, user_id AS app_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k
 FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) >= 95""")
+
+# Twin of the selector profile for the captured pages of the test tables: one
+# <article><h1> per page, links in <nav><ul><li>.  Character references are
+# decoded like HTML does for the forms these elements hold: the legacy names
+# quot/lt/gt/amp with or without ';', '&amp' last so a decoded '&' is never
+# read again as the start of a reference; anything else stays literal.
+def html_text(x: str) -> str:
+    for ent, ch in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{ent};?', {q(ch)}, 'g')"
+    return f"NULLIF(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '')"
+
+
+register("page_fields", f"""
+SELECT page_id,
+       {html_text("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)")} AS name,
+       NULLIF(regexp_extract(html, '(?s)<nav>.*?<a href="([^"]*)"', 1), '') AS icon_url,
+       {html_text("regexp_replace(regexp_extract(html, '(?s)<nav><ul><li>(.*?)</li>', 1), '<[^>]+>', '', 'g')")} AS raw_price,
+       CAST(len(regexp_extract_all(html, 'data-review-id')) AS INTEGER) AS review_containers
+FROM pages""")

@@ -450,3 +450,13 @@ def q_metadata_json_query(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("event_id", "user_id", "props")
     return R.metadata_key_query(e, "props", "$.k", "int", lambda v: v >= 95) \
         .select("event_id", F.col("user_id").alias("app_id"), F.col("_v").alias("k"))
+
+
+@query("page_fields")
+def q_page_fields(spark, sf_dir):
+    """X1-X5 raw fields the Arrow tokeniser picks from every captured page."""
+    from storelens.operators import extract as X
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    raw = X.extract_raw(pages, X.PAGES_PROFILE)
+    return raw.select("page_id", "name", "icon_url", "raw_price",
+                      F.size("reviews").alias("review_containers"))
