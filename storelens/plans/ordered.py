@@ -47,8 +47,25 @@ def auto_width(df: DataFrame, keys: list[str], ts: str, target_rows: int = TARGE
     return int(min(MAX_WIDTH_US, max(MIN_WIDTH_US, w // HOUR_US * HOUR_US)))
 
 
+INTEGRAL_WIDTH = 4096  # default bucket width when the order column is an integer (e.g. a version)
+
+
+def _is_integral(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+
+
 def _width(df, keys, ts, width_us):
-    return auto_width(df, keys, ts) if width_us is None else width_us
+    if width_us is not None:
+        return width_us
+    return INTEGRAL_WIDTH if _is_integral(df, ts) else auto_width(df, keys, ts)
+
+
+def _bucket(df: DataFrame, ts: str, width: int) -> Column:
+    """Time bucket for timestamps, value bucket for integral order columns."""
+    if _is_integral(df, ts):
+        v = F.col(ts).cast("long")
+        return F.floor((v - F.pmod(v, F.lit(width))) / F.lit(width)).cast("long")
+    return bucket_of(ts, width)
 
 
 def epoch_us(ts: str) -> Column:
@@ -95,7 +112,7 @@ def with_prev(df: DataFrame, keys: list[str], ts: str, order: list[str], values:
     """Add ``out`` = struct(values) of the previous row in ``order`` within ``keys``
     (NULL for a key's first row).  ``order`` must be a total order (end with a
     unique id) and start with ``ts``."""
-    d, sk = _safe_keys(df.withColumn(BUCKET, bucket_of(ts, _width(df, keys, ts, width_us))), keys)
+    d, sk = _safe_keys(df.withColumn(BUCKET, _bucket(df, ts, _width(df, keys, ts, width_us))), keys)
     w_in = Window.partitionBy(*sk, BUCKET).orderBy(*order)
     d = d.withColumn("_lag", F.lag(F.struct(*values)).over(w_in))
     tails = d.groupBy(*sk, BUCKET).agg(F.max_by(F.struct(*values), _order_struct(order)).alias("_tail"))
@@ -113,7 +130,7 @@ def running_totals(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Colu
     like SQL's default window frame).  ``order=[ts, ..., id]``: ROWS frame in
     that total order.
     """
-    d, sk = _safe_keys(df.withColumn(BUCKET, bucket_of(ts, _width(df, keys, ts, width_us))), keys)
+    d, sk = _safe_keys(df.withColumn(BUCKET, _bucket(df, ts, _width(df, keys, ts, width_us))), keys)
     for n, c in sums.items():
         d = d.withColumn(f"_v_{n}", c)
     if order is None:
@@ -136,7 +153,7 @@ def last_non_null(df: DataFrame, keys: list[str], ts: str, order: list[str], val
                   out: str, width_us: int | None = None) -> DataFrame:
     """Add ``out`` = the most recent non-null ``value`` at or before the current
     row (in ``order``) within ``keys``."""
-    d, sk = _safe_keys(df.withColumn(BUCKET, bucket_of(ts, _width(df, keys, ts, width_us))), keys)
+    d, sk = _safe_keys(df.withColumn(BUCKET, _bucket(df, ts, _width(df, keys, ts, width_us))), keys)
     w_in = (Window.partitionBy(*sk, BUCKET).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_in", F.last(value, ignorenulls=True).over(w_in))

@@ -81,3 +81,12 @@ def test_single_hot_series_is_split_and_exact(spark):
         .select("id", F.col("prev.id").alias("pid"))
     exp = hot.select("id", F.lag("id").over(Window.partitionBy("app_id").orderBy("ts", "id")).alias("pid"))
     assert collect(got, ["id", "pid"]) == collect(exp, ["id", "pid"])
+
+
+def test_with_prev_on_integral_order(spark):
+    rows = [(0 if i % 4 else i % 3, v) for i, v in enumerate(random.Random(5).sample(range(0, 50_000), 3000))]
+    df = spark.createDataFrame(rows, "k long, version long")
+    got = O.with_prev(df, ["k"], "version", ["version"], ["version"], width_us=64) \
+        .select("k", "version", F.col("prev.version").alias("pv"))
+    exp = df.select("k", "version", F.lag("version").over(Window.partitionBy("k").orderBy("version")).alias("pv"))
+    assert collect(got, ["k", "version", "pv"]) == collect(exp, ["k", "version", "pv"])
