@@ -28,23 +28,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HOUR_US = 3_600_000_000
+MINUTE_US = 60_000_000
+HOUR_US = 60 * MINUTE_US
 DAY_US = 24 * HOUR_US
 BUCKET = "_bucket"
 
-MIN_WIDTH_US = HOUR_US
+MIN_WIDTH_US = MINUTE_US
 MAX_WIDTH_US = 28 * DAY_US
 TARGET_ROWS_PER_BUCKET = 2_000_000
 
 
 def auto_width(df: DataFrame, keys: list[str], ts: str, target_rows: int = TARGET_ROWS_PER_BUCKET) -> int:
-    """Bucket width (microseconds, whole hours) giving about ``target_rows`` rows
+    """Bucket width (microseconds, whole minutes) giving about ``target_rows`` rows
     per (key, bucket) for the densest key-day; one partial aggregation, and
     only a single number reaches the driver."""
     densest = (df.groupBy(*keys, F.date_trunc("day", F.col(ts)).alias("_day")).count()
                  .agg(F.max("count")).first()[0]) or 1
     w = DAY_US * target_rows // densest
-    return int(min(MAX_WIDTH_US, max(MIN_WIDTH_US, w // HOUR_US * HOUR_US)))
+    return int(min(MAX_WIDTH_US, max(MIN_WIDTH_US, w // MINUTE_US * MINUTE_US)))
 
 
 INTEGRAL_WIDTH = 4096  # default bucket width when the order column is an integer (e.g. a version)

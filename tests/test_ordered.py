@@ -57,7 +57,7 @@ def test_last_non_null(series):
 
 def test_auto_width_bounds(spark, series):
     w = O.auto_width(series, ["k"], "ts", target_rows=10)
-    assert O.MIN_WIDTH_US <= w <= O.MAX_WIDTH_US and w % O.HOUR_US == 0
+    assert O.MIN_WIDTH_US <= w <= O.MAX_WIDTH_US and w % O.MINUTE_US == 0
     assert O.auto_width(series, ["k"], "ts", target_rows=10**9) == O.MAX_WIDTH_US
 
 
