@@ -249,7 +249,7 @@ def extract_raw(pages: DataFrame, profile: PageProfile = APPLE_PROFILE, keep: tu
     page (mapInArrow).  ``keep`` columns (e.g. app id, capture time) pass
     through the task unchanged, so callers need no join back to the pages."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    src = spread(pages.select(F.col("page_id").cast("long"), "url", "html", *keep))
+    src = spread(pages.select(F.col("page_id").cast("long"), "url", "html", *keep), key="page_id")
     out_schema = T.StructType(RAW_SCHEMA.fields + [src.schema[k] for k in keep])
 
     def run(batches):

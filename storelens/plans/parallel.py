@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+def spread(df: DataFrame, per_core: int = 2, key: str | None = None) -> DataFrame:
+    """Spread an under-partitioned input over the cores.  With ``key`` (a unique
+    id) rows are hash-partitioned, which is deterministic under task retries
+    without the pre-sort a round-robin repartition needs."""
     if df.isStreaming:
         return df
     try:
@@ -20,4 +23,6 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
         current = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view; keep the plan as is
         return df
-    return df if current >= target else df.repartition(target)
+    if current >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)

@@ -20,7 +20,7 @@ EPOCH_2024 = "2024-01-01 00:00:00"
 
 def fx_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> reviews: one review per document, whole text as content."""
-    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
+    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]), key="doc_id")
     return d.select(
         F.col("doc_id").cast("string").alias("external_review_id"),
         F.col("source").alias("app_id"),
