@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -142,6 +143,7 @@ def parse_html(html: str) -> _El:
 _COMPOUND = re.compile(r"^([a-zA-Z][\w-]*|\*)?((?:\.[\w-]+|\[[\w-]+\])*)(:first-child)?$")
 
 
+@lru_cache(maxsize=256)
 def _compile(selector: str):
     parts = []
     for token in selector.split():
@@ -151,8 +153,8 @@ def _compile(selector: str):
         tag, rest, first = m.groups()
         classes = re.findall(r"\.([\w-]+)", rest or "")
         attrs = re.findall(r"\[([\w-]+)\]", rest or "")
-        parts.append((None if tag in (None, "*") else tag.lower(), classes, attrs, bool(first)))
-    return parts
+        parts.append((None if tag in (None, "*") else tag.lower(), tuple(classes), tuple(attrs), bool(first)))
+    return tuple(parts)
 
 
 def _matches_one(el: _El, part) -> bool:
