@@ -120,17 +120,30 @@ def existing_keys(stored: DataFrame, batch_keys: DataFrame, key: list[str]) -> D
     return stored.select(*key).join(probe, key, "left_semi")
 
 
-def append_new_reviews(batch: DataFrame, path: str) -> DataFrame:
+def append_new_reviews(batch: DataFrame, path: str, files_per_bucket: int = 4) -> DataFrame:
     """Insert-if-absent on (app_id, external_review_id), appended into
-    ``app_bucket=`` directories."""
+    ``app_bucket=`` directories.
+
+    Each bucket is written by up to ``files_per_bucket`` tasks (salted by review
+    id, so a hot app is not one writer); files are sorted by (app_id,
+    review_date) so row-group statistics serve per-app date-range reads (the
+    (app_id, review_date) index of a row store), and carry a Parquet bloom
+    filter on the review id for point lookups."""
     spark = batch.sparkSession
     stored = try_read(spark, path)
     new = batch
     if stored is not None:
         keys = batch.select(*REVIEW_KEY)
         new = batch.join(existing_keys(stored, keys, REVIEW_KEY), REVIEW_KEY, "left_anti")
-    new.withColumn("app_bucket", review_bucket(F.col("app_id"))) \
-       .write.mode("append").partitionBy("app_bucket").parquet(path)
+    sort_cols = ["app_id"] + (["review_date"] if "review_date" in new.columns else [])
+    (new.withColumn("app_bucket", review_bucket(F.col("app_id")))
+        .withColumn("_w", F.pmod(F.xxhash64("external_review_id"), F.lit(files_per_bucket)))
+        .repartition("app_bucket", "_w")
+        .sortWithinPartitions(*sort_cols)
+        .drop("_w")
+        .write.mode("append")
+        .option("parquet.bloom.filter.enabled#external_review_id", "true")
+        .partitionBy("app_bucket").parquet(path))
     return new
 
 
