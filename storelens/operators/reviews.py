@@ -54,26 +54,26 @@ def merge_batch_reviews(raw: DataFrame, key=("app_id", "external_review_id"), po
     """Collapse duplicate review ids inside one batch.
 
     First occurrence (by ``pos``) keeps its rating/review_date; the *last*
-    occurrence's processed text/author/metadata wins; rows without processed
-    text fall back to their raw fields.  Implemented as one hash aggregation
-    with min_by/max_by (partial aggregation map-side, so a hot key is combined
-    before the shuffle instead of buffered in a window partition).
+    occurrence's title/content/author (processed) and metadata win.  The raw
+    rows are merged first — one hash aggregation with min_by/max_by, combined
+    map-side before the shuffle, so a huge group of copies shrinks to one row
+    per task — and only the surviving rows go through the text job (processing
+    is per row, so the last processed text is the processed last text).
     """
     key = list(key)
-    processed = process_reviews(raw, keep=tuple(key) + (pos, "rating", "review_date"))
-    agg = processed.groupBy(*key).agg(
+    agg = raw.groupBy(*key).agg(
         F.min_by(F.struct("rating", "review_date"), F.col(pos)).alias("first"),
-        F.max_by(F.struct("title_processed", "content_processed", "author_name_processed",
-                          "processing_metadata"), F.col(pos)).alias("last"),
+        F.max_by(F.struct("title", "content", "author_name"), F.col(pos)).alias("last"),
     )
-    return agg.select(
-        *key,
-        F.col("first.rating").alias("rating"),
-        F.col("first.review_date").alias("review_date"),
-        F.col("last.title_processed").alias("title"),
-        F.col("last.content_processed").alias("content"),
-        F.col("last.author_name_processed").alias("author_name"),
-        F.col("last.processing_metadata").alias("metadata"),
+    merged = agg.select(*key, "first.rating", "first.review_date", "last.title", "last.content", "last.author_name")
+    keep = tuple(k for k in key if k != "external_review_id") + ("rating", "review_date")
+    processed = process_reviews(merged, keep=keep)
+    return processed.select(
+        *key, "rating", "review_date",
+        F.col("title_processed").alias("title"),
+        F.col("content_processed").alias("content"),
+        F.col("author_name_processed").alias("author_name"),
+        F.col("processing_metadata").alias("metadata"),
     )
 
 
