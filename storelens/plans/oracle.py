@@ -624,3 +624,19 @@ SELECT page_id,
        {html_text("regexp_replace(regexp_extract(html, '(?s)<nav><ul><li>(.*?)</li>', 1), '<[^>]+>', '', 'g')")} AS raw_price,
        CAST(len(regexp_extract_all(html, 'data-review-id')) AS INTEGER) AS review_containers
 FROM pages""")
+
+# Streaming twins: the stream's alerts are the batch price changes; the hourly
+# monitor emits every window the final watermark has closed (all but the last).
+register("price_alerts_stream", with_fx(["fx_prices"], """
+SELECT app_id, region, currency, id, ts, prev_price, price FROM (
+  SELECT *, lag(price) OVER w AS prev_price
+  FROM fx_prices WINDOW w AS (PARTITION BY app_id, region, currency ORDER BY ts, id))
+WHERE prev_price IS NOT NULL AND price <> prev_price"""))
+
+register("failure_monitor_stream", with_fx(["fx_attempts"], f"""
+SELECT * FROM (
+  SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, store, count(*) AS n_attempts,
+         CAST(count(*) FILTER (WHERE failed) AS BIGINT) AS n_failed,
+         {dec_ratio('count(*) FILTER (WHERE failed)', 'count(*)', 6, 10)} AS failure_rate
+  FROM fx_attempts GROUP BY ALL)
+WHERE hour < (SELECT max(date_trunc('hour', ts)) FROM fx_attempts)"""))

@@ -460,3 +460,21 @@ def q_page_fields(spark, sf_dir):
     raw = X.extract_raw(pages, X.PAGES_PROFILE)
     return raw.select("page_id", "name", "icon_url", "raw_price",
                       F.size("reviews").alias("review_containers"))
+
+
+# --- streaming jobs replayed over the stand-in feeds -----------------------------------------------
+@query("price_alerts_stream")
+def q_price_alerts_stream(spark, sf_dir):
+    """ST3 live price-change alerts (applyInPandasWithState) replayed over the price feed."""
+    from storelens.streaming import jobs as ST
+    from storelens.streaming.replay import replay
+    return replay(spark, FX.fx_prices(spark, sf_dir), ST.price_alerts, "price_alerts")
+
+
+@query("failure_monitor_stream")
+def q_failure_monitor_stream(spark, sf_dir):
+    """ST5 hourly failure-rate windows with a watermark, replayed over the fetch attempts."""
+    from storelens.streaming import jobs as ST
+    from storelens.streaming.replay import replay
+    return replay(spark, FX.fx_attempts(spark, sf_dir),
+                  lambda s: ST.failure_monitor(s, delay="0 seconds"), "failure_monitor")
