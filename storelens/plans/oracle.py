@@ -640,3 +640,12 @@ SELECT * FROM (
          {dec_ratio('count(*) FILTER (WHERE failed)', 'count(*)', 6, 10)} AS failure_rate
   FROM fx_attempts GROUP BY ALL)
 WHERE hour < (SELECT max(date_trunc('hour', ts)) FROM fx_attempts)"""))
+
+register("rate_limit_stream", with_fx(["fx_access"], """
+SELECT ip, minute, n_requests FROM (
+  SELECT ip, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, count(*) AS n_requests
+  FROM fx_access GROUP BY ALL HAVING count(*) > 1)
+WHERE minute < (SELECT max(date_trunc('minute', ts)) FROM fx_access)"""))
+
+register("dedupe_reviews_stream", with_fx(["fx_reviews"], """
+SELECT DISTINCT app_id, md5(title) AS external_review_id FROM fx_reviews"""))

@@ -478,3 +478,23 @@ def q_failure_monitor_stream(spark, sf_dir):
     from storelens.streaming.replay import replay
     return replay(spark, FX.fx_attempts(spark, sf_dir),
                   lambda s: ST.failure_monitor(s, delay="0 seconds"), "failure_monitor")
+
+
+@query("rate_limit_stream")
+def q_rate_limit_stream(spark, sf_dir):
+    """ST4 callers over the per-minute limit, as a watermarked stream."""
+    from storelens.streaming import jobs as ST
+    from storelens.streaming.replay import replay
+    return replay(spark, FX.fx_access(spark, sf_dir),
+                  lambda s: ST.over_limit(s, limit=1, delay="0 seconds"), "rate_limit")
+
+
+@query("dedupe_reviews_stream")
+def q_dedupe_reviews_stream(spark, sf_dir):
+    """ST2 first-seen review keys of the capture batch within the watermark."""
+    from storelens.streaming import jobs as ST
+    from storelens.streaming.replay import replay
+    feed = FX.fx_review_batch(spark, sf_dir).select("app_id", "external_review_id",
+                                                    F.col("review_date").alias("captured_at"))
+    return replay(spark, feed, lambda s: ST.dedupe_reviews(s).select("app_id", "external_review_id"),
+                  "dedupe_reviews")
