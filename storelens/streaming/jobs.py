@@ -96,17 +96,15 @@ def _alerts(key, batches, state):
         if pdf.empty:
             yield pd.DataFrame([], columns=[f.name for f in ALERT_SCHEMA.fields])
             return
-    price = pdf["price"].map(Decimal)
-    before = price.shift(1)
-    if len(before):
-        before.iloc[0] = prev
-    changed = before.notna() & (price != before)
-    out = pd.DataFrame({"app_id": key[0], "region": key[1], "currency": key[2],
-                        "id": pdf["id"].astype("int64"), "ts": pdf["ts"],
-                        "prev_price": before, "price": price})[changed]
+    out = []
+    for ts, rid, price in zip(pdf["ts"], pdf["id"], pdf["price"]):
+        price = Decimal(price)
+        if prev is not None and price != prev:
+            out.append((key[0], key[1], key[2], int(rid), ts, prev, price))
+        prev = price
     last = pdf.iloc[-1]
     state.update((str(Decimal(last["price"])), last["ts"], int(last["id"])))
-    yield out.reset_index(drop=True)
+    yield pd.DataFrame(out, columns=[f.name for f in ALERT_SCHEMA.fields])
 
 
 def price_alerts(prices: DataFrame) -> DataFrame:
