@@ -18,7 +18,9 @@ def test_no_cartesian_products(spark, name):
 
 
 @pytest.mark.parametrize("name", ["process_reviews", "clean_text", "anonymize_pii", "validate_reviews",
-                                  "running_avg", "offers", "churn", "sync_errors"])
+                                  "validate_prices", "validate_apps", "quarantine_counts", "keyword_faults",
+                                  "review_merge", "pii_rates", "weekly_report", "price_trends", "asof_price",
+                                  "running_avg", "offers", "churn", "sync_errors", "metadata_json_query"])
 def test_no_python_in_native_jobs(spark, name):
     p = plan(E.queries()[name](spark, SF001))
     assert "EvalPython" not in p and "PythonUDF" not in p and "MapInArrow" not in p
