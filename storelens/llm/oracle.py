@@ -91,4 +91,18 @@ SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN low >
        n_labelled, round(low, 6) AS bad_low FROM p JOIN h4 USING (host)"""
 
 
-SQL = {"op3_poisson_mixing": _op3(), "op4_host_reputation": _op4(), "op10_threshold_rules": _op10()}
+def _op1() -> str:
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS ws FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+e AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id WHERE r.c < e.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id)"""
+
+
+SQL = {"op1_ngram_jaccard": _op1(), "op3_poisson_mixing": _op3(), "op4_host_reputation": _op4(), "op10_threshold_rules": _op10()}

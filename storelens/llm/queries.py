@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storelens.llm import mixing, quality_rules, sharding, url_filter
+from storelens.llm import fingerprint, mixing, ngram_join, packing, quality_rules, sharding, url_filter
 from storelens.llm.common import table
 from storelens.llm.oracle import SQL  # noqa: F401 - read by __spark_entry__
 
 N_SHARDS = 16
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary that packing counts in."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_ngram_jaccard(spark, sf_dir):
+    """Components of documents whose five-word shingle sets overlap by 0.8."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_poisson_mixing(spark, sf_dir):
     """All copies of all documents, mixed to shares ~ bytes^0.5 and shuffled globally."""
     return mixing.replicate(table(spark, sf_dir, "documents"))
@@ -33,9 +45,20 @@ def op6_virtual_slots(spark, sf_dir):
                        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op7_min_bin_slack(spark, sf_dir):
+    """All documents packed into sequences of at most 1024 ids."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_winnowing(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_threshold_rules(spark, sf_dir):
     """The counts of every document and the verdict of the threshold table."""
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op3_poisson_mixing, op4_host_reputation, op6_virtual_slots, op10_threshold_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_poisson_mixing, op4_host_reputation, op6_virtual_slots, op7_min_bin_slack, op8_winnowing, op10_threshold_rules)}
