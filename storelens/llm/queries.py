@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storelens.llm import fingerprint, mixing, ngram_join, packing, quality_rules, sharding, url_filter
+from storelens.llm import fingerprint, mixing, ngram_join, packing, quality_rules, sharding, toxicity, url_filter
 from storelens.llm.common import table
 from storelens.llm.oracle import SQL  # noqa: F401 - read by __spark_entry__
 
@@ -23,6 +23,15 @@ def op1_ngram_jaccard(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_string_kernel(spark, sf_dir):
+    """Toxicity scores of every document, learnt from the labels whose id's crc32 isn't divisible by 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold != 0)
+    model = toxicity.train(*toxicity.sample(docs, labels))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_poisson_mixing(spark, sf_dir):
     """All copies of all documents, mixed to shares ~ bytes^0.5 and shuffled globally."""
     return mixing.replicate(table(spark, sf_dir, "documents"))
@@ -61,4 +70,4 @@ def op10_threshold_rules(spark, sf_dir):
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_poisson_mixing, op4_host_reputation, op6_virtual_slots, op7_min_bin_slack, op8_winnowing, op10_threshold_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_string_kernel, op3_poisson_mixing, op4_host_reputation, op6_virtual_slots, op7_min_bin_slack, op8_winnowing, op10_threshold_rules)}
