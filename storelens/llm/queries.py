@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storelens.llm import fingerprint, mixing, ngram_join, packing, quality_rules, sharding, toxicity, url_filter
+from storelens.llm import fingerprint, mixing, ngram_join, packing, pii, quality_rules, sharding, toxicity, url_filter
 from storelens.llm.common import table
 from storelens.llm.oracle import SQL  # noqa: F401 - read by __spark_entry__
 
@@ -65,9 +65,22 @@ def op8_winnowing(spark, sf_dir):
     return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_semi_markov(spark, sf_dir):
+    """Personal data in every document: the fixed patterns' counts and digest, and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+
+    def listed(spans):
+        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("k"), s["end"].alias("b"), s["kind"].alias("kind"))))
+        return F.concat_ws(",", F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))))
+
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias("n_" + k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+                        listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op10_threshold_rules(spark, sf_dir):
     """The counts of every document and the verdict of the threshold table."""
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_string_kernel, op3_poisson_mixing, op4_host_reputation, op6_virtual_slots, op7_min_bin_slack, op8_winnowing, op10_threshold_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_string_kernel, op3_poisson_mixing, op4_host_reputation, op6_virtual_slots, op7_min_bin_slack, op8_winnowing, op9_semi_markov, op10_threshold_rules)}
