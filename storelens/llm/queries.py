@@ -73,7 +73,10 @@ def op9_semi_markov(spark, sf_dir):
         ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("k"), s["end"].alias("b"), s["kind"].alias("kind"))))
         return F.concat_ws(",", F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))))
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias("n_" + k) for k in pii.KINDS]
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias("n_" + kind)
+
+    counts = [count(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
                         listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
