@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storelens.llm import fingerprint, mixing, ngram_join, packing, pii, quality_rules, sharding, toxicity, url_filter
+from storelens.llm import fingerprint, html_extract, mixing, ngram_join, packing, pii, quality_rules, sharding, toxicity, url_filter
 from storelens.llm.common import table
 from storelens.llm.oracle import SQL  # noqa: F401 - read by __spark_entry__
 
@@ -47,6 +47,11 @@ def op4_host_reputation(spark, sf_dir):
     return url_filter.judge(pages, outcomes)
 
 
+def op5_block_crf(spark, sf_dir):
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_virtual_slots(spark, sf_dir):
     """All documents in shards 0 to 15 under a slot map balanced by bytes."""
     rows, _ = sharding.assign(table(spark, sf_dir, "documents"), N_SHARDS)
@@ -86,4 +91,4 @@ def op10_threshold_rules(spark, sf_dir):
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_string_kernel, op3_poisson_mixing, op4_host_reputation, op6_virtual_slots, op7_min_bin_slack, op8_winnowing, op9_semi_markov, op10_threshold_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_string_kernel, op3_poisson_mixing, op4_host_reputation, op5_block_crf, op6_virtual_slots, op7_min_bin_slack, op8_winnowing, op9_semi_markov, op10_threshold_rules)}
