@@ -6,8 +6,8 @@
 2. ``tiles``: linked sets share a shingle among the first fifth of their shingles
    in a common order (rare ones first).  Records of the same shingle lie in
    tiles by size band (a factor of 1.25, beyond which no link is possible).  In each
-   tile every set is paired with the tile's first, and each tile's first with the
-   set before it: linear in the records, whatever the size of a group.
+   tile every set is paired with the tile's first and the two sets before it:
+   linear in the records, whatever the size of a group.
 3. Pairs are checked: the bit counts of both bitmaps bound the overlap from
    above, and what passes is intersected exactly, as sorted arrays.
 4. Tiles whose sets are not yet one component are gone through in blocks, pair by
@@ -241,17 +241,17 @@ def _records(texts: DataFrame, frequent: np.ndarray, held: np.ndarray) -> DataFr
     return texts.where("doc_id is not null").select("text").mapInArrow(run, schema)
 
 
-_TILE = "token bigint, salt int, n int, key bigint, front boolean, mate bigint, lead boolean"
+_TILE = "token bigint, salt int, n int, key bigint, front boolean, first bigint, back1 bigint, back2 bigint, lead boolean"
 _TILE_NAMES = [c.split(" ")[0] for c in _TILE.split(", ")]
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Go through records sorted by (token, salt, n, key) and give each a mate in its run.
+    """Go through records sorted by (token, salt, n, key) and give each up to three mates in its run.
 
-    A tile is a run's records of one size band.  A record's mate is its tile's
-    first; a tile's first has the record before it.  Repeated sets and lone
-    records are dropped.  In runs of two the mate settles everything, so their
-    token is left out.  Parts of a dealt shingle keep all records, with their
+    A tile is a run's records of one size band.  A record's mates are its tile's
+    first and the two records before it in the run, where sizes allow a link.
+    Repeated sets and lone records are dropped.  In runs of two the mate settles
+    everything, so their token is left out.  Parts of a dealt shingle keep all records, with their
     tiles' firsts marked as leads.  Memory: a batch and a few records.
     """
     held: list[np.ndarray] | None = None
@@ -290,8 +290,11 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         run = np.cumsum(new_run) - 1
         length = np.bincount(run)[run]
-        mate = np.where(new_tile, place - 1, first)
-        none = new_run | (PERCENT * n > 100 * n[np.maximum(mate, 0)])
+        mates = []
+        for mate in (first, place - 1, place - 2):
+            at = np.maximum(mate, 0)
+            none = (mate < 0) | (run[at] != run) | (at == place) | (PERCENT * n > 100 * n[at])
+            mates.append((key[at], none))
         dealt = salt > 0
         out = ((length > 1) | dealt) & ~done
         out[size:] = False
@@ -299,7 +302,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(at):
             yield pa.RecordBatch.from_arrays([
                 pa.array(token[at], mask=((length == 2) & ~dealt)[at]), pa.array(salt[at]), pa.array(n[at]), pa.array(key[at]),
-                pa.array(front[at]), pa.array(key[np.maximum(mate, 0)][at], mask=none[at]), pa.array((dealt & new_tile)[at])], names=_TILE_NAMES)
+                pa.array(front[at]), *[pa.array(k[at], mask=none[at]) for k, none in mates], pa.array((dealt & new_tile)[at])], names=_TILE_NAMES)
 
 
 def tiles(records: DataFrame) -> DataFrame:
@@ -310,7 +313,9 @@ def tiles(records: DataFrame) -> DataFrame:
 def _mates(tile: DataFrame) -> DataFrame:
     """(a, b): every record with its mate, and the leads of dealt parts with theirs."""
     leads = tile.where("lead").select("token", F.lit(0).alias("salt"), "n", "key", "front")
-    return tile.select("key", "mate").unionByName(tiles(leads).select("key", "mate")).where("mate is not null").select(
+    cols = ["key", "first", "back1", "back2"]
+    each = tile.select(*cols).unionByName(tiles(leads).select(*cols)).distinct()
+    return each.select("key", F.explode(F.array("first", "back1", "back2")).alias("mate")).where("mate is not null").select(
         F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct()
 
 
