@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K, WINDOW = 16, 64  # guarantee: common passages of 79 code points
 _PLACE_BITS = 20
@@ -110,7 +111,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprints(docs: DataFrame, text: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """``docs`` with ``hashes`` and ``positions`` (arrays) of each text; a map without shuffle."""
     rest = [c for c in docs.columns if c not in ("hashes", "positions")]
-    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add("hashes", "array<bigint>").add("positions", "array<bigint>")
+    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add("hashes", T.ArrayType(T.LongType())).add("positions", T.ArrayType(T.LongType()))
     at = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
