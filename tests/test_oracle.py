@@ -12,6 +12,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from check_oracle import rows_of  # noqa: E402
 from conftest import SF001  # noqa: E402
+from storelens.plans import oracle as O  # noqa: E402
+from storelens.plans import registry as REG  # noqa: E402
 from storelens.sources.tables import TABLES, table_path  # noqa: E402
 
 
@@ -23,8 +25,12 @@ def con():
     return c
 
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = REG.QUERIES
+SQL = O.SQL
+
+
+def test_entry_registers_all():
+    assert set(REG.QUERIES) <= set(E.queries()) and set(O.SQL) <= set(E.oracle_sql())
 
 
 def test_every_query_has_an_oracle_or_is_listed():
