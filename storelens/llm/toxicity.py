@@ -240,13 +240,17 @@ def _kernel(rows: np.ndarray, place: np.ndarray, weights: np.ndarray) -> np.ndar
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Squared-hinge support vector machine by Newton's method on the support vectors."""
-    z1 = np.hstack([z, np.ones((len(z), 1))])
+    z1 = np.hstack([z, np.ones((len(z), 1))]).astype(np.float32)
     w, reg = np.zeros(z1.shape[1]), np.full(z1.shape[1], ridge)
     reg[-1] = 1e-6
     support = np.ones(len(z), dtype=bool)
     for _ in range(steps):
-        a, s = z1[support], weight[support]
-        new = np.linalg.solve((a * s[:, None]).T @ a + np.diag(reg), (a * s[:, None]).T @ y[support])
+        square, target = np.diag(reg), np.zeros(len(reg))
+        for k in range(0, len(z1), 4096):  # in blocks, for memory
+            a = z1[k:k + 4096][support[k:k + 4096]].astype(np.float64)
+            b = a * weight[k:k + 4096][support[k:k + 4096], None]
+            square, target = square + b.T @ a, target + b.T @ y[k:k + 4096][support[k:k + 4096]]
+        new = np.linalg.solve(square, target)
         now = y * (z1 @ new) < 1
         w, same = new, (now == support).all()
         support = now
@@ -331,11 +335,10 @@ def train(toxic: list[str], clean: list[str], seed: int = SEED) -> Model:
             at += len(ss)
             if not ss:
                 continue
-            if bad:  # sentences with telling words
-                for s in ss:
-                    w = max(s.lower().split(), key=lambda w: telling.get(w, 0.0), default="")
-                    if w in telling:
-                        pos.append((telling[w], " " + w[:_WIDTH - 1]))
+            if bad:  # sentences with the most telling words
+                found = [max(s.lower().split(), key=lambda w: telling.get(w, 0.0), default="") for s in ss]
+                found = sorted((w for w in found if w in telling), key=lambda w: -telling[w])[:4]
+                pos += [(telling[w], " " + w[:_WIDTH - 1]) for w in found]
                 continue
             if step:  # clean sentences that the present machine finds worst
                 for i in sorted(mine, key=lambda i: -high[i])[:4]:
@@ -363,7 +366,7 @@ def train(toxic: list[str], clean: list[str], seed: int = SEED) -> Model:
         value, vector = np.linalg.eigh(_kernel(marks, place, weights).astype(np.float64))
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
         inserted = [" " + _gapped(_first(w), rng) for _, w in pos if len(_first(w)) >= LETTERS]
-        spaced = [" " + _gapped(_first(w), rng) for _, w in neg if len(_first(w)) >= LETTERS]
+        spaced = [" " + _gapped(_first(w), rng) for _, w in neg[::2] if len(_first(w)) >= LETTERS]
         z = _kernel(_rows([w for _, w in pos] + inserted + [w for _, w in neg] + spaced), place, weights) @ root
         n_pos, n_neg = len(pos) + len(inserted), len(neg) + len(spaced)
         y = np.array([1.0] * n_pos + [-1.0] * n_neg)
