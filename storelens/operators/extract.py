@@ -1,280 +1,171 @@
-"""Store pages -> app / price / review records.
+"""Store pages -> app / price / review records (X1-X9, A1, V4), in Catalyst only.
 
-Split of work:
-* Python (``mapInArrow``, one Arrow batch at a time): tokenise HTML with the
-  standard library parser and pick elements with a selector profile.  It only
-  returns raw strings; it never validates or converts.
-* Catalyst: price text -> decimal, rating digit, date formats, field rules,
-  page poisoning (any invalid record fails the whole page), counts.
+A store layout is a profile of picks: tag, class, attribute and the element it
+lies in.  A pick compiles to a pattern for ``regexp_extract``; review containers
+cut the page into one segment each.  Price text, rating digit, dates, field
+rules and page poisoning (any invalid record fails the whole page) follow in
+the same projection, so the job has no shuffle and no Python.
 
-One output row per input page, in the page's partition, so the job has no
-shuffle and an exception on one page only fails that page (X8).
+Reading by pattern, not by tree: an element ends at the first closing tag of its
+own name (or with the page), ``within`` looks into the first matching outer
+element, and a review's fields are looked for up to the next container.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
-from html.parser import HTMLParser
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from storelens.functions import normalize as N
-from storelens.plans.parallel import spread
+
+
+@dataclass(frozen=True)
+class Pick:
+    """An element: by tag (None: any), a class it carries, an attribute it has, and where it lies."""
+    tag: str | None = None
+    cls: str | None = None
+    attr: str | None = None
+    within: Pick | None = None
+    first_child: bool = False
+
+    def opening(self) -> str:
+        """Pattern of its opening tag; group 1 is the tag's name."""
+        out = rf"<({self.tag or '[a-z][a-z0-9]*'})(?=[\s>/])"
+        if self.cls:
+            c = re.escape(self.cls)
+            out += rf"(?=[^>]*\sclass\s*=\s*(?:\"(?:[^\"]*\s)?{c}(?:\s[^\"]*)?\"|'(?:[^']*\s)?{c}(?:\s[^']*)?'|{c}[\s>]))"
+        if self.attr:
+            out += rf"(?=[^>]*\s{re.escape(self.attr)}(?=[\s=>/]))"
+        # a first child follows its parent's opening tag, with nothing but text between
+        before = r"<(?!(?:img|br|input|meta|link|hr|source)\b)[a-z][^>]*>[^<]*" if self.first_child else ""
+        return before + out + r"[^>]*>"
 
 
 @dataclass(frozen=True)
 class PageProfile:
-    """Selectors for one store layout."""
-    name: str
-    developer: str
-    description: str
-    icon: str
+    """Picks for one store layout."""
+    name: Pick
+    developer: Pick
+    description: Pick
+    icon: Pick
     icon_attr: str
-    price: str
-    review: str
+    price: Pick
+    review: Pick
     review_id_attr: str
-    rating: str
-    title: str
-    content: str
-    author: str
-    date: str
+    rating: Pick
+    title: Pick
+    content: Pick
+    author: Pick
+    date: Pick
 
 
 # The App Store page layout.
 APPLE_PROFILE = PageProfile(
-    name="h1.product-header__title",
-    developer="h2.product-header__identity a",
-    description="section.section--description .we-truncate p",
-    icon="picture.product-hero__media source",
+    name=Pick("h1", "product-header__title"),
+    developer=Pick("a", within=Pick("h2", "product-header__identity")),
+    description=Pick("p", within=Pick(cls="we-truncate", within=Pick("section", "section--description"))),
+    icon=Pick("source", within=Pick("picture", "product-hero__media")),
     icon_attr="src",
-    price="li.inline-list__item--bulleted:first-child",
-    review=".we-customer-review",
+    price=Pick("li", "inline-list__item--bulleted", first_child=True),
+    review=Pick(cls="we-customer-review"),
     review_id_attr="data-review-id",
-    rating="figure.we-star-rating",
-    title="h3.we-customer-review__title",
-    content="p.we-customer-review__body",
-    author="span.we-customer-review__user",
-    date="time.we-customer-review__date",
+    rating=Pick("figure", "we-star-rating"),
+    title=Pick("h3", "we-customer-review__title"),
+    content=Pick("p", "we-customer-review__body"),
+    author=Pick("span", "we-customer-review__user"),
+    date=Pick("time", "we-customer-review__date"),
 )
 
 # Layout of the captured generic pages in the test tables (ours).
 PAGES_PROFILE = PageProfile(
-    name="article h1", developer="footer", description="article p", icon="nav a", icon_attr="href",
-    price="nav li:first-child", review="article [data-review-id]", review_id_attr="data-review-id",
-    rating="[aria-label]", title="h3", content="p", author="span", date="time",
+    name=Pick("h1", within=Pick("article")), developer=Pick("footer"), description=Pick("p", within=Pick("article")),
+    icon=Pick("a", within=Pick("nav")), icon_attr="href",
+    price=Pick("li", within=Pick("nav"), first_child=True), review=Pick(attr="data-review-id"), review_id_attr="data-review-id",
+    rating=Pick(attr="aria-label"), title=Pick("h3"), content=Pick("p"), author=Pick("span"), date=Pick("time"),
 )
-
-# --- minimal DOM ----------------------------------------------------------------------
-
-_VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
-_NO_TEXT = frozenset(("script", "style", "template"))
-
-
-class _El:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
-
-    def elements(self):
-        return [c for c in self.children if isinstance(c, _El)]
-
-    def iter(self):
-        """Descendant elements in document order (excluding self)."""
-        stack = list(reversed(self.elements()))
-        while stack:
-            e = stack.pop()
-            yield e
-            stack.extend(reversed(e.elements()))
-
-    def text(self):
-        """Every descendant string stripped, empty ones dropped, joined without separator."""
-        out, stack = [], [self]
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                s = n.strip()
-                if s:
-                    out.append(s)
-            elif n.tag not in _NO_TEXT:
-                stack.extend(reversed(n.children))
-        return "".join(out) or None
+
+# --- reading elements ---------------------------------------------------------------------
+
+# The named character references that are decoded.  The first four also without ';'.
+_NAMED = {"quot": '"', "lt": "<", "gt": ">", "amp": "&", "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™",
+          "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "middot": "·", "bull": "•", "euro": "€"}
+
+
+def decode_refs(x: Column) -> Column:
+    """Character references of text: named ones and numbers; '&amp' last, so that a decoded '&' starts none."""
+    for name, ch in _NAMED.items():
+        if name != "amp":
+            x = F.regexp_replace(x, f"&{name};" + ("?" if name in ("quot", "lt", "gt") else ""), ch)
+
+    def part(p, i):
+        number = F.regexp_extract(p, r"^(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});?", 1)
+        rest = F.regexp_replace(p, r"^(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});?", "")
+        code = F.when(number.startswith("x"), F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).cast("int")
+        good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        sign = F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        return F.when(i == 0, p).when(number == "", F.concat(F.lit("&#"), p)).otherwise(F.concat(sign, rest))
+
+    numeric = F.array_join(F.transform(F.split(x, r"&#(?=[0-9xX])"), part), "")
+    return F.regexp_replace(F.when(F.contains(x, F.lit("&#")), numeric).otherwise(x), "&amp;?", "&")
+
+
+def _scope(html: Column, pick: Pick) -> Column:
+    return html if pick.within is None else _inner(_scope(html, pick.within), pick.within)
+
+
+def _inner(scope: Column, pick: Pick) -> Column:
+    """What the element holds ('' if it isn't there)."""
+    return F.regexp_extract(scope, rf"(?is){pick.opening()}(.*?)(?:</\1\s*>|\z)", 2)
+
+
+def text_of(html: Column, pick: Pick) -> Column:
+    """The element's strings, stripped and joined; null if there are none."""
+    x = F.regexp_replace(_inner(_scope(html, pick), pick), r"(?U)\s*<[^>]*>\s*", "")
+    return F.nullif(N.py_strip(decode_refs(x)), F.lit(""))
+
+
+def tag_of(html: Column, pick: Pick) -> Column:
+    """The element's opening tag ('' if it isn't there)."""
+    opening = F.regexp_extract(_scope(html, pick), rf"(?is){pick.opening()}", 0)
+    return F.regexp_extract(opening, r"(?s)<[^<]*\z", 0) if pick.first_child else opening
 
 
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _El("#root", {}, None)
-        self.cur = self.root
-
-    def handle_starttag(self, tag, attrs):
-        el = _El(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
-        self.cur.children.append(el)
-        if tag not in _VOID:
-            self.cur = el
-
-    def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(_El(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur))
-
-    def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:  # unmatched end tags are ignored
-            self.cur = n.parent
-
-    def handle_data(self, data):
-        self.cur.children.append(data)
-
-
-def parse_html(html: str) -> _El:
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    return b.root
-
-
-# --- selectors: tag, .class, tag.class, [attr], :first-child, descendant -------------------
-_COMPOUND = re.compile(r"^([a-zA-Z][\w-]*|\*)?((?:\.[\w-]+|\[[\w-]+\])*)(:first-child)?$")
-
-
-@lru_cache(maxsize=256)
-def _compile(selector: str):
-    parts = []
-    for token in selector.split():
-        m = _COMPOUND.match(token)
-        if not m:
-            raise ValueError(f"unsupported selector: {selector!r}")
-        tag, rest, first = m.groups()
-        classes = re.findall(r"\.([\w-]+)", rest or "")
-        attrs = re.findall(r"\[([\w-]+)\]", rest or "")
-        parts.append((None if tag in (None, "*") else tag.lower(), tuple(classes), tuple(attrs), bool(first)))
-    return tuple(parts)
-
-
-def _matches_one(el: _El, part) -> bool:
-    tag, classes, attrs, first = part
-    if tag and el.tag != tag:
-        return False
-    if classes:
-        have = el.attrs.get("class", "").split()
-        if any(c not in have for c in classes):
-            return False
-    if any(a not in el.attrs for a in attrs):
-        return False
-    if first:
-        sib = el.parent.elements() if el.parent is not None else [el]
-        if not sib or sib[0] is not el:
-            return False
-    return True
-
-
-def _matches(el: _El, parts) -> bool:
-    if not _matches_one(el, parts[-1]):
-        return False
-    rest, anc = parts[:-1], el.parent
-    while rest:
-        while anc is not None and anc.tag != "#root" and not _matches_one(anc, rest[-1]):
-            anc = anc.parent
-        if anc is None or anc.tag == "#root":
-            return False
-        rest, anc = rest[:-1], anc.parent
-    return True
-
-
-def select(scope: _El, selector: str):
-    parts = _compile(selector)
-    return [e for e in scope.iter() if _matches(e, parts)]
-
-
-def select_one(scope: _El, selector: str):
-    parts = _compile(selector)
-    return next((e for e in scope.iter() if _matches(e, parts)), None)
-
-
-def _text(el):
-    return None if el is None else el.text()
-
-
-def _attr(el, name):
-    """Attribute value of the first matched element."""
-    return None if el is None else el.attrs.get(name)
-
-
-# --- the Arrow task ----------------------------------------------------------------------------
-REVIEW_RAW = T.StructType([
-    T.StructField("pos", T.IntegerType()), T.StructField("review_id", T.StringType()),
-    T.StructField("rating_label", T.StringType()), T.StructField("rating_text", T.StringType()),
-    T.StructField("title", T.StringType()), T.StructField("content", T.StringType()),
-    T.StructField("author_name", T.StringType()), T.StructField("date_text", T.StringType()),
-])
-RAW_SCHEMA = T.StructType([
-    T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
-    T.StructField("name", T.StringType()), T.StructField("developer_name", T.StringType()),
-    T.StructField("description", T.StringType()), T.StructField("icon_url", T.StringType()),
-    T.StructField("raw_price", T.StringType()),
-    T.StructField("reviews", T.ArrayType(REVIEW_RAW)),
-    T.StructField("parse_error", T.StringType()),
-])
-
-
-def parse_page(html: str, p: PageProfile) -> dict:
-    """Raw strings of one page (X1 text, X2 attributes, X3 app fields, X4 price text,
-    X5 review containers in document order); the caller keeps exceptions per page."""
-    root = parse_html(html)
-    reviews = []
-    for i, c in enumerate(select(root, p.review)):
-        rel = select_one(c, p.rating)
-        reviews.append({
-            "pos": i, "review_id": c.attrs.get(p.review_id_attr),
-            "rating_label": _attr(rel, "aria-label"), "rating_text": _text(rel),
-            "title": _text(select_one(c, p.title)), "content": _text(select_one(c, p.content)),
-            "author_name": _text(select_one(c, p.author)), "date_text": _text(select_one(c, p.date)),
-        })
-    return {
-        "name": _text(select_one(root, p.name)),
-        "developer_name": _text(select_one(root, p.developer)),
-        "description": _text(select_one(root, p.description)),
-        "icon_url": _attr(select_one(root, p.icon), p.icon_attr),
-        "raw_price": _text(select_one(root, p.price)),
-        "reviews": reviews,
-    }
+def attr_of(tag: Column, name: str) -> Column:
+    """An attribute of an opening tag; null if it isn't there."""
+    pattern = rf"(?is)\s{re.escape(name)}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+    return F.when(F.regexp_like(tag, F.lit(pattern)), decode_refs(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])))
 
 
 def extract_raw(pages: DataFrame, profile: PageProfile = APPLE_PROFILE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """pages(page_id, url, html, *keep) -> RAW_SCHEMA + keep, one row per
-    page (mapInArrow).  ``keep`` columns (e.g. app id, capture time) pass
-    through the task unchanged, so callers need no join back to the pages."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    src = spread(pages.select(F.col("page_id").cast("long"), "url", "html", *keep), key="page_id")
-    out_schema = T.StructType(RAW_SCHEMA.fields + [src.schema[k] for k in keep])
-
-    def run(batches):
-        schema = to_arrow_schema(out_schema)
-        empty = {"name": None, "developer_name": None, "description": None, "icon_url": None,
-                 "raw_price": None, "reviews": []}
-        for b in batches:
-            cols = b.to_pydict()
-            rows = []
-            for i, (pid, url, html) in enumerate(zip(cols["page_id"], cols["url"], cols["html"])):
-                try:
-                    r = parse_page(html, profile)
-                    err = None
-                except Exception as exc:  # noqa: BLE001 - isolate one bad page (X8)
-                    r, err = dict(empty), f"{type(exc).__name__}: {exc}"
-                rows.append({"page_id": pid, "url": url, **r, "parse_error": err,
-                             **{k: cols[k][i] for k in keep}})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return src.mapInArrow(run, out_schema)
-
-
-# --- Catalyst side -------------------------------------------------------------------------------
+    """pages(page_id, url, html, *keep) -> raw fields and reviews, one row per
+    page (X1 text, X2 attributes, X3 app fields, X4 price text, X5 review containers
+    in document order).  ``keep`` columns pass through."""
+    unseen = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>"
+    pages = pages.select("page_id", "url", *keep, F.regexp_replace(F.coalesce("html", F.lit("")), unseen, "").alias("__html"))
+    html = F.col("__html")
+    # every container begins a segment; the line before makes sure that the first segment is none
+    cut = F.split(F.concat(F.lit("\n"), html), rf"(?is)(?={profile.review.opening()})")
+
+    def review(seg, i):
+        rating = tag_of(seg, profile.rating)
+        return F.struct(
+            i.cast("int").alias("pos"), attr_of(F.regexp_extract(seg, r"(?s)\A<[^>]*>", 0), profile.review_id_attr).alias("review_id"),
+            attr_of(rating, "aria-label").alias("rating_label"), text_of(seg, profile.rating).alias("rating_text"),
+            text_of(seg, profile.title).alias("title"), text_of(seg, profile.content).alias("content"),
+            text_of(seg, profile.author).alias("author_name"), text_of(seg, profile.date).alias("date_text"))
+
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), "url", text_of(html, profile.name).alias("name"),
+        text_of(html, profile.developer).alias("developer_name"), text_of(html, profile.description).alias("description"),
+        attr_of(tag_of(html, profile.icon), profile.icon_attr).alias("icon_url"), text_of(html, profile.price).alias("raw_price"),
+        F.transform(F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0))), review).alias("reviews"),
+        F.lit(None).cast("string").alias("parse_error"), *keep)
+
+
+# --- records ---------------------------------------------------------------------------------------
 def scrape_results(raw: DataFrame, captured_at, currency: str = "USD", region: str = "US",
                    keep: tuple[str, ...] = ()) -> DataFrame:
     """X3-X8 + V1-V4 + A1 on raw extraction output, all in one projection.

@@ -155,8 +155,7 @@ def keyword_faults(reviews: DataFrame, terms: list[str] | None = None, text: str
     # a term matches exactly when it is a whole token (maximal letter/digit run)
     alt = "|".join(sorted({re.escape(t) for t in terms}, key=lambda t: (-len(t), t)))
     pattern = rf"(?U)(?<![\p{{L}}\p{{N}}])({alt})(?![\p{{L}}\p{{N}}])"
-    from storelens.plans.parallel import spread
-    hits = spread(reviews).select(
+    hits = reviews.select(
         id_col, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), 1)).alias("term"))
     counts = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_mentions"),
                                       F.countDistinct(id_col).alias("n_reviews"))

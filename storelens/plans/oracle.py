@@ -274,7 +274,7 @@ WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.app_id = b.app_id AND s.externa
 """.lstrip()))
 
 register("review_merge", with_fx(["fx_reviews"], f""",
-src AS (SELECT * REPLACE (md5(title) AS external_review_id) FROM fx_reviews),
+src AS (SELECT * REPLACE (md5(content) AS external_review_id) FROM fx_reviews),
 {PROCESSED}
 SELECT app_id, external_review_id,
        first(rating ORDER BY pos) AS rating, first(review_date ORDER BY pos) AS review_date,
@@ -340,8 +340,8 @@ UNION ALL
 SELECT 'reviews', concat_ws('|', app_id, external_review_id), count(*)
 FROM fx_reviews GROUP BY app_id, external_review_id HAVING count(*) > 1
 UNION ALL
-SELECT 'review_batch', concat_ws('|', app_id, md5(title)), count(*)
-FROM fx_reviews GROUP BY app_id, md5(title) HAVING count(*) > 1
+SELECT 'review_batch', concat_ws('|', app_id, md5(content)), count(*)
+FROM fx_reviews GROUP BY app_id, md5(content) HAVING count(*) > 1
 UNION ALL
 SELECT 'price_history', concat_ws('|', CAST(id AS VARCHAR), CAST(ts AS VARCHAR)), count(*)
 FROM fx_prices GROUP BY id, ts HAVING count(*) > 1"""))
@@ -625,8 +625,7 @@ SELECT page_id,
        CAST(len(regexp_extract_all(html, 'data-review-id')) AS INTEGER) AS review_containers
 FROM pages""")
 
-# Streaming twins: the stream's alerts are the batch price changes; the hourly
-# monitor emits every window the final watermark has closed (all but the last).
+# Streaming twins: the streams' tables hold what the batch jobs compute.
 register("price_alerts_stream", with_fx(["fx_prices"], """
 SELECT app_id, region, currency, id, ts, prev_price, price FROM (
   SELECT *, lag(price) OVER w AS prev_price
@@ -638,14 +637,12 @@ SELECT * FROM (
   SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, store, count(*) AS n_attempts,
          CAST(count(*) FILTER (WHERE failed) AS BIGINT) AS n_failed,
          {dec_ratio('count(*) FILTER (WHERE failed)', 'count(*)', 6, 10)} AS failure_rate
-  FROM fx_attempts GROUP BY ALL)
-WHERE hour < (SELECT max(date_trunc('hour', ts)) FROM fx_attempts)"""))
+  FROM fx_attempts GROUP BY ALL)"""))
 
 register("rate_limit_stream", with_fx(["fx_access"], """
 SELECT ip, minute, n_requests FROM (
   SELECT ip, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, count(*) AS n_requests
-  FROM fx_access GROUP BY ALL HAVING count(*) > 1)
-WHERE minute < (SELECT max(date_trunc('minute', ts)) FROM fx_access)"""))
+  FROM fx_access GROUP BY ALL HAVING count(*) > 1)"""))
 
 register("dedupe_reviews_stream", with_fx(["fx_reviews"], """
-SELECT DISTINCT app_id, md5(title) AS external_review_id FROM fx_reviews"""))
+SELECT DISTINCT app_id, md5(content) AS external_review_id FROM fx_reviews"""))

@@ -1,10 +1,10 @@
-"""Parallelism guard for CPU-bound row-wise jobs (regex text processing, HTML
-tokenising).
+"""Parallelism of CPU-bound row jobs over few input files.
 
-A Parquet file with a single row group is a single scan task, so a 10,000-row
-text table would run its regex chain on one core.  ``spread`` round-robins the
-rows over the cluster's cores only when the input has fewer partitions than
-that; on real inputs (many files/row groups) it is a no-op and adds no shuffle.
+A Parquet file with a single row group is one scan task, so a 10,000-row text
+table would run its regex chain on one core.  ``spread`` is applied once, at the
+scan: a table of fewer files than the cluster has cores is hash-partitioned on
+a unique id over them; any other is left as it is.  Only the file listing is
+looked at, no job runs.
 """
 
 from __future__ import annotations
@@ -12,17 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, per_core: int = 2, key: str | None = None) -> DataFrame:
-    """Spread an under-partitioned input over the cores.  With ``key`` (a unique
-    id) rows are hash-partitioned, which is deterministic under task retries
-    without the pre-sort a round-robin repartition needs."""
-    if df.isStreaming:
-        return df
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism * per_core
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view; keep the plan as is
-        return df
-    if current >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
+def spread(scan: DataFrame, key: str, per_core: int = 2) -> DataFrame:
+    """Spread the rows of a table scan over the cores if it has fewer files than cores."""
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if len(scan.inputFiles()) >= cores else scan.repartition(cores * per_core, key)

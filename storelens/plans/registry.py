@@ -20,9 +20,10 @@ from storelens.operators import firewall as V
 from storelens.operators import health as H
 from storelens.operators import prices as P
 from storelens.operators import reviews as R
-from storelens.plans.parallel import spread
 from storelens.session import use_utc
 from storelens.sources import fixtures as FX
+from storelens.streaming import jobs as ST
+from storelens.streaming import replay as RP
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,14 +55,14 @@ def q_process_reviews(spark, sf_dir):
 @query("clean_text")
 def q_clean_text(spark, sf_dir):
     """T5 scalar clean (emoji step, case-insensitive URLs) over whole contents."""
-    r = spread(FX.fx_reviews(spark, sf_dir))
+    r = FX.fx_reviews(spark, sf_dir)
     return r.select("external_review_id", T.clean_text("content").alias("clean"))
 
 
 @query("anonymize_pii")
 def q_anonymize_pii(spark, sf_dir):
     """T11 email -> card -> SSN -> phone over whole contents."""
-    r = spread(FX.fx_reviews(spark, sf_dir))
+    r = FX.fx_reviews(spark, sf_dir)
     return r.select("external_review_id", T.anonymize_pii("content").alias("masked"))
 
 
@@ -75,7 +76,7 @@ def q_author_initials(spark, sf_dir):
 @query("pii_flags")
 def q_pii_flags(spark, sf_dir):
     """T14 flags on raw content."""
-    r = spread(FX.fx_reviews(spark, sf_dir))
+    r = FX.fx_reviews(spark, sf_dir)
     f = T.pii_flags("content")
     return r.select("external_review_id", *[c.alias(n) for n, c in f.items()])
 
@@ -463,38 +464,37 @@ def q_page_fields(spark, sf_dir):
 
 
 # --- streaming jobs replayed over the stand-in feeds -----------------------------------------------
+def _stream(spark, sf_dir, name, shape, step):
+    """Run a streaming step over a stand-in feed; the folder with its tables."""
+    root = RP.new_root(spark, name)
+    RP.run_all(shape(spark, sf_dir, read=RP.streamed), step(root), root)
+    return root
+
+
 @query("price_alerts_stream")
 def q_price_alerts_stream(spark, sf_dir):
-    """ST3 live price-change alerts (applyInPandasWithState) replayed over the price feed."""
-    from storelens.streaming import jobs as ST
-    from storelens.streaming.replay import replay
-    return replay(spark, FX.fx_prices(spark, sf_dir), ST.price_alerts, "price_alerts")
+    """ST3 price changes from the price feed."""
+    return ST.price_alerts(spark, _stream(spark, sf_dir, "price_alerts", FX.fx_prices, ST.price_changes))
 
 
 @query("failure_monitor_stream")
 def q_failure_monitor_stream(spark, sf_dir):
-    """ST5 hourly failure-rate windows with a watermark, replayed over the fetch attempts."""
-    from storelens.streaming import jobs as ST
-    from storelens.streaming.replay import replay
-    return replay(spark, FX.fx_attempts(spark, sf_dir),
-                  lambda s: ST.failure_monitor(s, delay="0 seconds"), "failure_monitor")
+    """ST5 hourly failure rates from the fetch attempts."""
+    root = _stream(spark, sf_dir, "failure_monitor", FX.fx_attempts, lambda r: ST.count_windows(r, "store", "hour", "failed"))
+    return ST.failure_rates(spark, root)
 
 
 @query("rate_limit_stream")
 def q_rate_limit_stream(spark, sf_dir):
-    """ST4 callers over the per-minute limit, as a watermarked stream."""
-    from storelens.streaming import jobs as ST
-    from storelens.streaming.replay import replay
-    return replay(spark, FX.fx_access(spark, sf_dir),
-                  lambda s: ST.over_limit(s, limit=1, delay="0 seconds"), "rate_limit")
+    """ST4 callers over the per-minute limit from the access log."""
+    root = _stream(spark, sf_dir, "rate_limit", FX.fx_access, lambda r: ST.count_windows(r, "ip", "minute"))
+    return ST.over_limit(spark, root, limit=1)
 
 
 @query("dedupe_reviews_stream")
 def q_dedupe_reviews_stream(spark, sf_dir):
-    """ST2 first-seen review keys of the capture batch within the watermark."""
-    from storelens.streaming import jobs as ST
-    from storelens.streaming.replay import replay
-    feed = FX.fx_review_batch(spark, sf_dir).select("app_id", "external_review_id",
-                                                    F.col("review_date").alias("captured_at"))
-    return replay(spark, feed, lambda s: ST.dedupe_reviews(s).select("app_id", "external_review_id"),
-                  "dedupe_reviews")
+    """ST2 review keys of the capture feed, each once."""
+    def feed(spark, sf_dir, read):
+        return FX.fx_review_batch(spark, sf_dir, read=read).select("app_id", "external_review_id")
+    root = _stream(spark, sf_dir, "dedupe_reviews", feed, ST.dedupe_reviews)
+    return ST.stored_reviews(spark, root).select("app_id", "external_review_id")

@@ -18,9 +18,9 @@ from storelens.sources.tables import read_table
 EPOCH_2024 = "2024-01-01 00:00:00"
 
 
-def fx_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_reviews(spark: SparkSession, sf_dir: str, read=read_table) -> DataFrame:
     """documents -> reviews: one review per document, whole text as content."""
-    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]), key="doc_id")
+    d = spread(read(spark, sf_dir, "documents", ["doc_id", "text", "source"]), key="doc_id")
     return d.select(
         F.col("doc_id").cast("string").alias("external_review_id"),
         F.col("source").alias("app_id"),
@@ -34,9 +34,9 @@ def fx_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_prices(spark: SparkSession, sf_dir: str, read=read_table) -> DataFrame:
     """events -> price observations per (app, region, currency)."""
-    e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    e = read(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
     return e.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("app_id"),
@@ -90,9 +90,9 @@ def fx_prices_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_attempts(spark: SparkSession, sf_dir: str, read=read_table) -> DataFrame:
     """events -> fetch attempts; an 'error' event is a failed fetch."""
-    e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
+    e = read(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
     return e.select(
         F.col("event_id").alias("attempt_id"),
         F.col("user_id").alias("app_id"),
@@ -140,9 +140,9 @@ def fx_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_access(spark: SparkSession, sf_dir: str, read=read_table) -> DataFrame:
     """events -> API access log (caller ip = user)."""
-    e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id"])
+    e = read(spark, sf_dir, "events", ["event_id", "ts", "user_id"])
     return e.select(F.col("event_id").alias("request_id"),
                     F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit("."),
                              (F.col("user_id") / 256).cast("bigint").cast("string")).alias("ip"),
@@ -156,11 +156,11 @@ def fx_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text").alias("notes"))
 
 
-def fx_review_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_review_batch(spark: SparkSession, sf_dir: str, read=read_table) -> DataFrame:
     """documents -> one capture batch where copies of a review share an id: the
-    id is the md5 of the first line, so exact/near copies in a source collide."""
-    r = fx_reviews(spark, sf_dir)
-    return r.withColumn("external_review_id", F.md5("title"))
+    id is the md5 of the whole text, so equal texts of a source are one review."""
+    r = fx_reviews(spark, sf_dir, read)
+    return r.withColumn("external_review_id", F.md5("content"))
 
 
 def fx_stored_review_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,31 +1,29 @@
 """Structured Streaming twins of the batch jobs (ST1-ST5).
 
-* ST1 ``start_ingest``      captured pages -> extract -> validate -> commit
-                            (foreachBatch, idempotent sinks, checkpointed)
-* ST2 ``dedupe_reviews``    first-seen filter on review keys within a watermark;
-                            the sink's anti join stays the guarantee
-* ST3 ``price_alerts``      last price per (app, region, currency) in state,
-                            emits every change (batch twin: W2)
-* ST4 ``over_limit``        callers above N requests per minute (batch twin in
-                            operators.health.rate_limit)
-* ST5 ``failure_monitor``   tumbling-window failure rate (batch twin: A6)
-
-Checkpoints live under the caller's shared folder, so a restarted driver or
-lost executor resumes from the last committed micro-batch.
+* ST1 ``start_ingest``     captured pages -> extract -> validate -> commit
+* ST2 ``dedupe_reviews``   review keys not stored before
+* ST3 ``price_changes``    every price change of a series (batch twin: W2)
+* ST4 / ST5 ``count_windows``  requests per caller and minute, failures per store
+                           and hour (batch twins: the rate limit and A6)
+
+Each is a ``foreachBatch`` step over a table below ``root`` with one folder per
+micro-batch, written in overwrite mode: a batch that runs again after a failure
+replaces its own rows, and nothing else.  Results don't depend on how the input
+is cut into files or in which order they come: ST2 compares with all earlier batches,
+ST3 compares a late price with its neighbours in time and corrects what follows it,
+ST4 and ST5 keep partial counts that add up on read.  No watermark drops a row, and
+the newest window is there.  Checkpoints live under the caller's shared folder.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from storelens.functions.numeric import exact_ratio
 from storelens.operators import extract as X
+from storelens.plans import ordered as O
 from storelens.sources import sinks as S
 
 # --- ST1 ----------------------------------------------------------------------------------------
@@ -56,90 +54,94 @@ def start_ingest(spark, pages_dir: str, root: str, checkpoint: str,
     return w.start()
 
 
+# --- tables with one folder per micro-batch -------------------------------------------------------
+def _write(df: DataFrame, table: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+
+def _earlier(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
+    """Rows of the batches before ``batch_id`` (a batch that runs again doesn't see itself)."""
+    return None if batch_id == 0 else spark.read.parquet(table).where(F.col("batch") < batch_id)
+
+
 # --- ST2 ----------------------------------------------------------------------------------------
-def dedupe_reviews(reviews: DataFrame, ts: str = "captured_at", delay: str = "1 day",
-                   key=("app_id", "external_review_id")) -> DataFrame:
-    """Drop repeated review keys seen within the watermark delay; state is
-    evicted after the delay, so memory stays bounded.  Older repeats are
-    caught by the sink's anti join."""
-    return (reviews.withColumn("_event_time", F.col(ts).cast("timestamp"))
-                   .withWatermark("_event_time", delay)
-                   .dropDuplicatesWithinWatermark(list(key)).drop("_event_time"))
+def dedupe_reviews(root: str, key=("app_id", "external_review_id")):
+    """Append each review key that no earlier batch holds, once."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(list(key))
+        stored = _earlier(batch.sparkSession, f"{root}/reviews", batch_id)
+        if stored is not None:
+            new = new.join(stored.select(*key), list(key), "left_anti")
+        _write(new, f"{root}/reviews", batch_id)
+    return run
+
+
+def stored_reviews(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/reviews").drop("batch")
 
 
 # --- ST3 ----------------------------------------------------------------------------------------
-ALERT_SCHEMA = T.StructType([
-    T.StructField("app_id", T.LongType()), T.StructField("region", T.StringType()),
-    T.StructField("currency", T.StringType()), T.StructField("id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()), T.StructField("prev_price", T.DecimalType(10, 2)),
-    T.StructField("price", T.DecimalType(10, 2)),
-])
-STATE_SCHEMA = T.StructType([
-    T.StructField("price", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("id", T.LongType()),
-])
+SERIES = ["app_id", "region", "currency"]
+PRICE_COLUMNS = [*SERIES, "id", "ts", "price"]
+
 
+def price_changes(root: str, width_us: int = O.DAY_US):
+    """Store the batch's prices, and the previous price of each new row and of the row after it.
+
+    A late price so corrects the comparison of its successor; the newest version
+    of a row counts.  Only the touched series are read again, from the oldest new
+    price's day on plus the last price before it.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(*PRICE_COLUMNS).withColumn("is_new", F.lit(True))
+        stored = _earlier(spark, f"{root}/prices", batch_id)
+        rows = new
+        if stored is not None:
+            touched = new.groupBy(*SERIES).agg(F.min("ts").alias("first_new"))
+            on = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in SERIES]
+            old = stored.alias("s").join(touched.alias("t"), on).select(*[f"s.{c}" for c in PRICE_COLUMNS], "first_new")
+            after = old.where("ts >= first_new").select(*PRICE_COLUMNS)
+            before = old.where("ts < first_new").groupBy(*SERIES).agg(
+                F.max_by(F.struct("id", "ts", "price"), F.struct("ts", "id")).alias("last")).select(*SERIES, "last.*")
+            rows = new.unionByName(after.unionByName(before.select(*PRICE_COLUMNS)).withColumn("is_new", F.lit(False)))
+        compared = O.with_prev(rows, SERIES, "ts", ["ts", "id"], ["price", "is_new"], width_us)
+        compared = compared.where(F.col("is_new") | F.col("prev.is_new"))
+        _write(compared.select(*PRICE_COLUMNS, F.col("prev.price").alias("prev_price")), f"{root}/compared", batch_id)
+        _write(batch.select(*PRICE_COLUMNS), f"{root}/prices", batch_id)
+    return run
 
-def _alerts(key, batches, state):
-    """One series per call: sort this micro-batch's rows, compare each price
-    with the previous one (the first with the stored last price), emit changes,
-    keep the newest observation as state."""
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"], kind="stable")
-    prev = None
-    if state.exists:
-        prev = Decimal(state.get[0])
-        last_ts, last_id = pd.Timestamp(state.get[1]), int(state.get[2])
-        # observations older than the stored one arrived late: the series has moved
-        # on, so they are not compared (the batch job W2 gives their exact history)
-        late = (pdf["ts"] < last_ts) | ((pdf["ts"] == last_ts) & (pdf["id"] <= last_id))
-        pdf = pdf[~late]
-        if pdf.empty:
-            yield pd.DataFrame([], columns=[f.name for f in ALERT_SCHEMA.fields])
-            return
-    out = []
-    for ts, rid, price in zip(pdf["ts"], pdf["id"], pdf["price"]):
-        price = Decimal(price)
-        if prev is not None and price != prev:
-            out.append((key[0], key[1], key[2], int(rid), ts, prev, price))
-        prev = price
-    last = pdf.iloc[-1]
-    state.update((str(Decimal(last["price"])), last["ts"], int(last["id"])))
-    yield pd.DataFrame(out, columns=[f.name for f in ALERT_SCHEMA.fields])
-
-
-def price_alerts(prices: DataFrame) -> DataFrame:
-    """ST3 over a stream of price observations.  Each call sees one series'
-    rows of one micro-batch (bounded by the trigger size), never its history."""
-    return (prices.select("app_id", "region", "currency", "id", "ts", "price")
-                  .groupBy("app_id", "region", "currency")
-                  .applyInPandasWithState(_alerts, ALERT_SCHEMA, STATE_SCHEMA, "append",
-                                          GroupStateTimeout.NoTimeout))
-
-
-def _event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Watermarks need TIMESTAMP event time; the tables hold UTC wall time as
-    TIMESTAMP_NTZ, and the session zone is UTC, so the cast is exact."""
-    return df.withColumn("_event_time", F.col(ts).cast("timestamp"))
+
+def price_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """The changes as they stand: the newest comparison of each row, where the price differs."""
+    last = spark.read.parquet(f"{root}/compared").groupBy(*SERIES, "id", "ts", "price").agg(
+        F.max_by(F.struct("prev_price"), "batch").alias("v"))
+    return last.select(*SERIES, "id", "ts", F.col("v.prev_price").alias("prev_price"), "price").where("price <> prev_price")
 
 
 # --- ST4 / ST5 ------------------------------------------------------------------------------------
-def over_limit(access: DataFrame, limit: int = 100, delay: str = "2 minutes", caller: str = "ip") -> DataFrame:
-    """ST4: (caller, minute) windows with more than ``limit`` requests; a window
-    is emitted once the watermark passes its end."""
-    return (_event_time(access).withWatermark("_event_time", delay)
-                  .groupBy(caller, F.window("_event_time", "1 minute"))
-                  .agg(F.count(F.lit(1)).alias("n_requests"))
-                  .where(F.col("n_requests") > limit)
-                  .select(caller, F.col("window.start").cast("timestamp_ntz").alias("minute"), "n_requests"))
-
-
-def failure_monitor(attempts: DataFrame, every: str = "1 hour", delay: str = "10 minutes",
-                    by: str = "store") -> DataFrame:
-    """ST5: failures / attempts per tumbling window and store."""
-    return (_event_time(attempts).withWatermark("_event_time", delay)
-                    .groupBy(F.window("_event_time", every), by)
-                    .agg(F.count(F.lit(1)).alias("n_attempts"),
-                         F.sum(F.col("failed").cast("long")).alias("n_failed"))
-                    .select(F.col("window.start").cast("timestamp_ntz").alias("hour"), by, "n_attempts", "n_failed",
-                            exact_ratio(F.col("n_failed"), F.col("n_attempts"), "decimal(10,6)")
-                            .alias("failure_rate")))
+def count_windows(root: str, by: str, unit: str, failed: str | None = None):
+    """Partial counts of the batch's rows per ``by`` and window (one ``unit`` of ``ts``)."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        bad = F.col(failed).cast("long") if failed else F.lit(0).cast("long")
+        _write(batch.groupBy(by, F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("start")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(bad).alias("n_failed")), f"{root}/windows", batch_id)
+    return run
+
+
+def windows(spark: SparkSession, root: str, by: str) -> DataFrame:
+    """The counts of all batches, whatever their order."""
+    return spark.read.parquet(f"{root}/windows").groupBy(by, "start").agg(F.sum("n").alias("n"), F.sum("n_failed").alias("n_failed"))
+
+
+def over_limit(spark: SparkSession, root: str, limit: int = 100, caller: str = "ip") -> DataFrame:
+    """ST4: (caller, minute) with more than ``limit`` requests."""
+    return windows(spark, root, caller).where(F.col("n") > limit).select(
+        caller, F.col("start").alias("minute"), F.col("n").alias("n_requests"))
+
+
+def failure_rates(spark: SparkSession, root: str, by: str = "store") -> DataFrame:
+    """ST5: failures / attempts per hour and store."""
+    return windows(spark, root, by).select(
+        F.col("start").alias("hour"), by, F.col("n").alias("n_attempts"), "n_failed",
+        exact_ratio(F.col("n_failed"), F.col("n"), "decimal(10,6)").alias("failure_rate"))

@@ -1,32 +1,37 @@
-"""Replay a table through a streaming job and read back what the stream wrote.
+"""Run a stream over a table's own files and wait until all of them are processed.
 
-Used by the registered streaming queries: the feed is written once as Parquet
-files under the session's checkpoint folder (shared storage on a cluster), a
-file-source stream runs to completion with ``availableNow``, its sink is a
-Parquet directory next to it, and the caller gets that directory as a batch
-DataFrame.  Nothing is collected to the driver.
+Used by the registered streaming queries: the stream reads the input files
+(no copy), its tables and checkpoint lie under the session's checkpoint folder
+(shared storage on a cluster), and the trigger is ``availableNow``.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from storelens.session import ensure_checkpoint_dir
+from storelens.sources.tables import table_path
 
 
-def replay(spark: SparkSession, feed: DataFrame, job, name: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Write ``feed`` as files, run ``job(stream_df) -> stream_df`` over them in
-    append mode until all input is processed, and return the sink's rows."""
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/replay-{name}-{uuid.uuid4().hex}"
-    feed.write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", files_per_trigger) \
-        .parquet(f"{root}/in")
-    q = (job(stream).writeStream.format("parquet").outputMode("append")
-         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
+def streamed(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
+    """The table as a stream of its files (same signature as ``read_table``)."""
+    path = table_path(sf_dir, name)
+    schema = spark.read.parquet(path).schema
+    df = spark.readStream.schema(schema).parquet(path)
+    return df.select(*columns) if columns else df
+
+
+def new_root(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+
+
+def run_all(stream: DataFrame, step: Callable[[DataFrame, int], None], root: str) -> None:
+    """Apply ``step(batch, batch_id)`` to everything that is there."""
+    q = (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
-        raise RuntimeError(f"streaming replay {name} failed: {q.exception()}")
-    return spark.read.parquet(f"{root}/out")
+        raise RuntimeError(f"stream under {root} failed: {q.exception()}")

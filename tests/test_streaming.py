@@ -1,8 +1,11 @@
-"""Stream/batch equality: streaming twins over split files with availableNow."""
+"""Streams give the batch results whatever the cut and order of their files."""
 
 import os
+import random
 from datetime import datetime
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
@@ -10,61 +13,69 @@ from storelens.operators import health as H
 from storelens.operators import prices as P
 from storelens.sources import fixtures as FX
 from storelens.streaming import jobs as ST
+from storelens.streaming import replay as RP
 
 
-def split_by_day(df, out):
-    """Write one file per day so the stream sees several micro-batches in order."""
-    days = [r[0] for r in df.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
-    for i, d in enumerate(days):
-        df.where(F.to_date("ts") == F.lit(d)).coalesce(1).write.parquet(os.path.join(out, f"part{i:03d}"))
-    return os.path.join(out, "part*")
+def shuffled_files(df, out, n, seed):
+    """Rows dealt over n files without regard to time, in a shuffled order of arrival."""
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    dealt = df.withColumn("_f", F.pmod(F.xxhash64(*df.columns), F.lit(n)))
+    for at, k in enumerate(order):
+        dealt.where(F.col("_f") == k).drop("_f").coalesce(1).write.parquet(os.path.join(out, f"part{at:03d}"))
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(os.path.join(out, "part*"))
 
 
-def run_stream(sdf, scratch, name, mode="append"):
-    q = (sdf.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", os.path.join(scratch, "ckpt-" + name))
-         .trigger(availableNow=True).start())
-    q.awaitTermination(600)
-    return sdf.sparkSession.table(name)
-
-
-def test_price_alerts_equal_batch(spark, scratch):
-    prices = FX.fx_prices(spark, SF01).where(F.col("app_id") < 40)
-    src = split_by_day(prices, os.path.join(scratch, "in"))
-    stream = spark.readStream.schema(prices.schema).option("maxFilesPerTrigger", 3).parquet(src)
-    got = run_stream(ST.price_alerts(stream), scratch, "alerts")
-    exp = P.price_changes(prices).select("app_id", "region", "currency", "id", "ts", "prev_price", "price")
-    cols = ["app_id", "region", "id", "prev_price", "price"]
-    assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == \
-        sorted(tuple(r[c] for c in cols) for r in exp.collect())
-
-
-def test_failure_monitor_and_rate_limit(spark, scratch):
-    att = FX.fx_attempts(spark, SF01)
-    src = split_by_day(att, os.path.join(scratch, "att"))
-    s = spark.readStream.schema(att.schema).option("maxFilesPerTrigger", 5).parquet(src)
-    got = run_stream(ST.failure_monitor(s, delay="0 seconds"), scratch, "fm")
-    exp = H.health_hourly(att)
-    key = ["store", "n_attempts", "n_failed", "failure_rate"]
-    # the last window stays open under the watermark; everything before it is final
-    last = exp.agg(F.max("hour")).first()[0]
-    assert sorted(tuple(r[c] for c in key) for r in got.collect()) == \
-        sorted(tuple(r[c] for c in key) for r in exp.where(F.col("hour") < last).collect())
-    acc = FX.fx_access(spark, SF01)
-    src2 = split_by_day(acc, os.path.join(scratch, "acc"))
-    s2 = spark.readStream.schema(acc.schema).option("maxFilesPerTrigger", 5).parquet(src2)
-    got2 = run_stream(ST.over_limit(s2, limit=1, delay="0 seconds"), scratch, "ol")
-    exp2 = H.rate_limit(acc, limit=1)
-    assert sorted((r["ip"], r["n_requests"]) for r in got2.collect()) == \
-        sorted((r["ip"], r["n_requests"]) for r in exp2.collect())
+def rows(df, cols):
+    return sorted(tuple(str(r[c]) for c in cols) for r in df.select(*cols).collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_price_alerts_equal_batch(spark, scratch, seed):
+    prices = FX.fx_prices(spark, SF01).where(F.col("app_id") < 60)
+    RP.run_all(shuffled_files(prices, os.path.join(scratch, "in"), 5, seed), ST.price_changes(scratch), scratch)
+    cols = ["app_id", "region", "currency", "id", "ts", "prev_price", "price"]
+    got = rows(ST.price_alerts(spark, scratch), cols)
+    assert got == rows(P.price_changes(prices), cols) and len(got) > 50
+
+
+def test_windows_equal_batch(spark, scratch):
+    att, a = FX.fx_attempts(spark, SF01), os.path.join(scratch, "att")
+    RP.run_all(shuffled_files(att, os.path.join(a, "in"), 4, 1), ST.count_windows(a, "store", "hour", "failed"), a)
+    cols = ["hour", "store", "n_attempts", "n_failed", "failure_rate"]
+    assert rows(ST.failure_rates(spark, a), cols) == rows(H.health_hourly(att), cols)  # the newest window too
+    acc, b = FX.fx_access(spark, SF01), os.path.join(scratch, "acc")
+    RP.run_all(shuffled_files(acc, os.path.join(b, "in"), 4, 2), ST.count_windows(b, "ip", "minute"), b)
+    cols = ["ip", "minute", "n_requests"]
+    assert rows(ST.over_limit(spark, b, 1), cols) == rows(H.rate_limit(acc, limit=1), cols)
+
+
+def test_dedupe_over_batches(spark, scratch):
+    feed = FX.fx_review_batch(spark, SF01).select("app_id", "external_review_id")
+    feed = feed.unionByName(feed)
+    RP.run_all(shuffled_files(feed, os.path.join(scratch, "in"), 4, 3), ST.dedupe_reviews(scratch), scratch)
+    assert rows(ST.stored_reviews(spark, scratch), feed.columns) == rows(feed.distinct(), feed.columns)
+
+
+def test_a_batch_that_runs_again_replaces_itself(spark, scratch):
+    schema = "app_id long, region string, currency string, id long, ts timestamp_ntz, price decimal(10,2)"
+    row = lambda i, day, p: (1, "US", "USD", i, datetime(2026, 1, day), Decimal(p))
+    batches = [[row(1, 1, "1.00"), row(2, 3, "2.00")], [row(3, 2, "9.00"), row(4, 4, "3.00")], [row(5, 5, "3.00")]]
+    step = ST.price_changes(scratch)
+    for k, b in enumerate(batches):
+        for _ in range(2):
+            step(spark.createDataFrame(b, schema), k)
+    got = sorted((r["id"], r["prev_price"], r["price"]) for r in ST.price_alerts(spark, scratch).collect())
+    # the late row 3 is compared with row 1, and row 2 anew with row 3
+    assert got == [(2, Decimal("9.00"), Decimal("2.00")), (3, Decimal("1.00"), Decimal("9.00")), (4, Decimal("2.00"), Decimal("3.00"))]
 
 
 def test_ingest_stream(spark, scratch):
     html = ("<body><h1 class='product-header__title'>App {i}</h1><ul><li class='inline-list__item--bulleted'>"
             "${i}.99</li></ul><div class='we-customer-review' data-review-id='r{i}'>"
             "<figure class='we-star-rating' aria-label='4'></figure></div></body>")
-    rows = [(i, f"app{i % 3}", f"u{i}", datetime(2026, 3, 1 + i), html.format(i=i)) for i in range(6)]
-    pages = spark.createDataFrame(rows, ST.PAGE_SCHEMA)
+    data = [(i, f"app{i % 3}", f"u{i}", datetime(2026, 3, 1 + i), html.format(i=i)) for i in range(6)]
+    pages = spark.createDataFrame(data, ST.PAGE_SCHEMA)
     src = os.path.join(scratch, "pages")
     for i in range(3):
         pages.where(F.col("page_id") % 3 == i).coalesce(1).write.parquet(os.path.join(src, f"f{i}"))
@@ -82,29 +93,3 @@ def test_ingest_stream(spark, scratch):
         streamed = spark.read.parquet(os.path.join(scratch, "tables", table)).select(*cols).collect()
         batched = spark.read.parquet(os.path.join(scratch, "batch", table)).select(*cols).collect()
         assert len(streamed) == 6 and sorted(map(tuple, streamed)) == sorted(map(tuple, batched))
-
-
-def test_dedupe_reviews(spark, scratch):
-    rows = [("a", "1", datetime(2026, 1, 1)), ("a", "1", datetime(2026, 1, 1, 1)), ("a", "2", datetime(2026, 1, 2))]
-    df = spark.createDataFrame(rows, "app_id string, external_review_id string, captured_at timestamp_ntz")
-    src = os.path.join(scratch, "rv")
-    df.write.parquet(src)
-    s = spark.readStream.schema(df.schema).parquet(src)
-    got = run_stream(ST.dedupe_reviews(s), scratch, "dd")
-    assert sorted(r["external_review_id"] for r in got.collect()) == ["1", "2"]
-
-
-def test_price_alerts_ignore_late_rows(spark, scratch):
-    from decimal import Decimal
-    schema = "app_id long, region string, currency string, id long, ts timestamp_ntz, price decimal(10,2)"
-    b1 = [(1, "US", "USD", 1, datetime(2026, 1, 1), Decimal("1.00")),
-          (1, "US", "USD", 2, datetime(2026, 1, 3), Decimal("2.00"))]
-    b2 = [(1, "US", "USD", 3, datetime(2026, 1, 2), Decimal("9.00")),   # late: older than the state
-          (1, "US", "USD", 4, datetime(2026, 1, 4), Decimal("3.00"))]
-    src = os.path.join(scratch, "late")
-    spark.createDataFrame(b1, schema).coalesce(1).write.parquet(os.path.join(src, "p0"))
-    spark.createDataFrame(b2, schema).coalesce(1).write.parquet(os.path.join(src, "p1"))
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "p*"))
-    got = run_stream(ST.price_alerts(s), scratch, "late_alerts")
-    assert sorted((r["id"], r["prev_price"], r["price"]) for r in got.collect()) == [
-        (2, Decimal("1.00"), Decimal("2.00")), (4, Decimal("2.00"), Decimal("3.00"))]
