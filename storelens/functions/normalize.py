@@ -7,6 +7,8 @@ Column that is NULL when the rule holds, so a job can collect violations with
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,17 @@ def max_length_rule(value: Column, n: int, field: str) -> Column:
     return F.when(F.char_length(value) > n, F.lit(f"{field} exceeds max length of {n}"))
 
 
+def quoted(c: Column) -> Column:
+    """The text in quotes as messages show it: single ones unless it holds only
+    those, with backslashes, the quote itself and line controls escaped."""
+    x = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for ch, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        x = F.replace(x, F.lit(ch), F.lit(name))
+    double = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 # --- N1 -----------------------------------------------------------------------
 def normalize_currency(col) -> Column:
     """Symbol (case-sensitive, checked first) or ISO code (any case) -> ISO code; else NULL."""
@@ -83,32 +96,49 @@ def currency_rule(col) -> Column:
     return (F.when(_c(col).isNull(), F.lit("currency is required"))
              .when(s == "", F.lit("Currency cannot be empty"))
              .when(normalize_currency(col).isNull(),
-                   F.concat(F.lit("Unknown currency: '"), _c(col), F.lit("'"))))
+                   F.concat(F.lit("Unknown currency: "), quoted(_c(col)))))
 
 
 # --- N2 -----------------------------------------------------------------------
 def to_utc(col) -> Column:
-    """Naive -> read as UTC; offset-bearing strings keep their instant.  Result is
+    """Naive -> read as UTC; offset-bearing strings keep their instant; unreadable
+    text gives NULL.  Result is
     a TIMESTAMP_NTZ holding UTC wall time (session zone is pinned to UTC)."""
     c = _c(col)
-    return F.to_timestamp(c).cast("timestamp_ntz")
+    return F.try_to_timestamp(c).cast("timestamp_ntz")
+
+
+# Decimal digits of other scripts, and the ASCII digit each stands for.
+_DIGITS = [(chr(c), unicodedata.decimal(chr(c))) for c in range(0x80, 0x110000) if unicodedata.decimal(chr(c), None) is not None]
+OVER_LIMIT = "9999999999"
+
+
+def ascii_digits(c: Column) -> Column:
+    """The text with decimal digits of every script as 0 to 9."""
+    return F.when(F.regexp_like(c, F.lit(r"(?U)(?![0-9])\d")), F.translate(
+        c, "".join(d for d, _ in _DIGITS), "".join(str(v) for _, v in _DIGITS))).otherwise(c)
 
 
 # --- N6 -----------------------------------------------------------------------
 def parse_price(col) -> Column:
-    """'free' (any case) -> 0; else keep digits . , ; ',' -> '.'; unparsable -> NULL.
+    """'free' (any case) -> 0; else keep digits (of any script) . , ; ',' -> '.'; unparsable -> NULL.
 
-    decimal(38,10) keeps the value unrounded for the range rule; storage
-    rounds to (10,2) after validation.
+    decimal(38,10) keeps the value for the range rule; storage rounds to (10,2)
+    after validation.  A value beyond the limit, by size or by digits that the
+    type doesn't hold, is given as ``OVER_LIMIT``, so that the rule rejects it.
     """
-    c = _c(col)
+    c = ascii_digits(_c(col))
     cleaned = F.replace(F.regexp_replace(c, r"[^0-9.,]", ""), F.lit(","), F.lit("."))
     # Only digits and dots remain; cast only well-formed numbers, so malformed
     # text never reaches the cast (a failing cast costs an exception per row).
     well_formed = cleaned.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$")
+    over = F.lit(OVER_LIMIT).cast("decimal(38,10)")
+    kept = F.regexp_extract(cleaned, r"^([0-9]*\.?[0-9]{0,10})", 1)  # ten decimals, the rest cut off
+    more = F.regexp_like(cleaned, F.lit(r"\.[0-9]{10}[0-9]*[1-9]"))
+    beyond = more & (F.coalesce(kept.try_cast("decimal(38,10)"), over) >= F.lit(str(MAX_PRICE)).cast("decimal(38,10)"))
     return (F.when(c.isNull() | (c == ""), F.lit(None).cast("decimal(38,10)"))
              .when(F.lower(c) == "free", F.lit(0).cast("decimal(38,10)"))
-             .when(well_formed, cleaned.try_cast("decimal(38,10)")))
+             .when(well_formed, F.when(beyond, over).otherwise(F.coalesce(cleaned.try_cast("decimal(38,10)"), over))))
 
 
 def price_rule(price: Column) -> Column:
@@ -121,7 +151,7 @@ def price_rule(price: Column) -> Column:
 # --- N7 -----------------------------------------------------------------------
 def parse_rating(aria_label, text) -> Column:
     """First digit of the aria-label (when non-empty), else of the element text."""
-    src = F.coalesce(F.nullif(_c(aria_label), F.lit("")), _c(text))
+    src = ascii_digits(F.coalesce(F.nullif(_c(aria_label), F.lit("")), _c(text)))
     return F.nullif(F.regexp_extract(src, r"([0-9])", 1), F.lit("")).cast("int")
 
 

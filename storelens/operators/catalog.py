@@ -85,6 +85,10 @@ def apps_merge(catalog: DataFrame, scraped: DataFrame) -> DataFrame:
     developer/description/icon only when the scrape has a non-empty value;
     bundle_id never changes; ``changed`` marks rows whose values moved.
     Returns a full new snapshot (write it to a new path, never the one read)."""
+    # one record an app: the latest capture of several pages, by whatever of these the feed carries
+    fields = ["name", "developer_name", "description", "icon_url"]
+    order = F.struct(*[c for c in ("captured_at", "page_id") if c in scraped.columns], *fields)
+    scraped = scraped.groupBy("app_id").agg(F.max_by(F.struct(*fields), order).alias("r")).select("app_id", "r.*")
     s = scraped.select(F.col("app_id").alias("id"), F.col("name").alias("s_name"),
                        F.col("developer_name").alias("s_dev"), F.col("description").alias("s_desc"),
                        F.col("icon_url").alias("s_icon"))

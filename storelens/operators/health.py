@@ -21,7 +21,6 @@ def sync_errors(attempts: DataFrame, run: int = 3, width_us: int | None = None)
     Both scans are split by time bucket, so a hot app spreads over many tasks.
     """
     order = ["ts", "attempt_id"]
-    width_us = width_us or O.auto_width(attempts, ["app_id"], "ts")
     a = O.running_totals(attempts, ["app_id"], "ts", {"pos": F.lit(1).cast("long")}, width_us, order=order)
     a = a.withColumn("_ok_pos", F.when(~F.col("failed"), F.col("pos")))
     a = O.last_non_null(a, ["app_id"], "ts", order, "_ok_pos", "last_ok_pos", width_us)

@@ -9,6 +9,8 @@ Series key is (app_id, region, currency); every ordered scan goes through
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +68,6 @@ def offers(prices: DataFrame, lookback_days: int = 30, drop: str = "0.15",
     """
     lb = lookback_days * O.DAY_US
     obs = prices.select(*SERIES, "id", "ts", "price")
-    if width_us is None:  # each observation becomes three rows of the scanned stream
-        width_us = O.auto_width(obs, SERIES, "ts", O.TARGET_ROWS_PER_BUCKET // 3)
     price_t = prices.schema["price"].dataType
     zero = F.lit(0).cast(price_t)
 
@@ -96,7 +96,9 @@ def offers(prices: DataFrame, lookback_days: int = 30, drop: str = "0.15",
                (at("now", "_s") - at("back", "_s")).alias("_sum"), (at("now", "_n") - at("back", "_n")).alias("_cnt")))
     return (w.where(F.col("_cnt") > 0)
              .withColumn("avg_30d", _exact_avg(F.col("_sum"), F.col("_cnt")))
-             .where(F.col("price") < F.col("avg_30d") * (F.lit(1) - F.lit(drop).cast("decimal(4,2)")))
+             # price < (1 - drop) * sum / count, on the unrounded average
+             .where(F.col("price") * F.col("_cnt").cast("decimal(12,0)") * 100 <
+                    F.col("_sum").cast("decimal(28,2)") * F.lit(100 - int(Decimal(drop) * 100)).cast("decimal(3,0)"))
              .select(*SERIES, F.col("_ref").alias("id"), "ts", "price", "avg_30d"))
 
 
@@ -144,9 +146,6 @@ def churn_alerts(prices: DataFrame, ratings: DataFrame, span_days: int = 7, nega
     is read at each probe, so work is linear even for a hot app.
     """
     span = span_days * O.DAY_US
-    if width_us is None:  # density of the base streams (4 probes per rise at most double it)
-        base = prices.select("app_id", "ts").unionByName(ratings.select("app_id", "ts"))
-        width_us = O.auto_width(base, ["app_id"], "ts", O.TARGET_ROWS_PER_BUCKET // 2)
     rises = price_rises(prices, width_us).select(
         F.col("app_id"), F.col("id").alias("rise_id"), F.col("ts").alias("rise_ts"),
         F.col("prev_price"), F.col("price"))
@@ -219,7 +218,11 @@ def month_partition_filter(start, end) -> Column:
     table prunes directories (Spark does not derive it from a ts predicate)."""
     months = F.date_format(F.lit(start).cast("timestamp_ntz"), "yyyyMM"), \
         F.date_format(F.lit(end).cast("timestamp_ntz"), "yyyyMM")
-    return (F.col("price_month") == "default") | F.col("price_month").between(*months)
+    inside = F.col("price_month").between(*months)
+    # the default partition holds what lies outside the monthly span: only ranges that leave it need it
+    if str(start) >= FIRST_MONTH[:10] and str(end) <= END_MONTH:
+        return inside
+    return (F.col("price_month") == "default") | inside
 
 
 def price_history_page(prices: DataFrame, app_id, start, end, limit: int = 100, cursor=None) -> DataFrame:

@@ -2,8 +2,9 @@
 to a query set (G2), keyword search for technical faults (G3).
 
 No operator here pairs reviews with each other.  Vectors are scored against a
-small, size-checked set of query/centroid vectors (collected once, shipped
-with the task) by a NumPy matrix product per Arrow batch; no join at all.
+stated set of query/centroid vectors in blocks of bounded size (shipped with the
+task) by a NumPy matrix product per Arrow batch; no join at all.  A vector without
+a cosine (zero or not a number) matches nothing.
 Top-k is exact in phases: k per query per batch, then per (query, salt), then
 per query, so one popular query never lands in one task with all rows.
 """
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Bound on query/centroid vectors shipped inside the plan (checked, not assumed).
-MAX_QUERY_VECTORS = 4096
+# Query/centroid vectors of one block; a larger set takes one pass over the vectors a block.
+BLOCK_VECTORS = 4096
 TOPK_SALTS = 64
 
 # Technical-fault keywords searched in review text (en, fr, de, es).
@@ -38,17 +39,25 @@ def centroids(vectors: DataFrame, group: str = "label", vec: str = "embedding")
                    .select(F.col(group).alias("qid"), F.transform("_d", lambda s: s["m"]).alias("qvec")))
 
 
-def _collect_queries(queries: DataFrame):
-    """The bounded query set, collected once: (qids sorted, matrix).  At most
-    ``MAX_QUERY_VECTORS + 1`` rows are ever fetched; more is an error."""
+def _query_blocks(queries: DataFrame):
+    """(qids sorted, matrix) of each block of about ``BLOCK_VECTORS`` query vectors."""
     import numpy as np
-    rows = (queries.select(F.col("qid").cast("long").alias("qid"), "qvec")
-                   .orderBy("qid").limit(MAX_QUERY_VECTORS + 1).collect())
-    if len(rows) > MAX_QUERY_VECTORS:
-        raise ValueError(f"query set has more than {MAX_QUERY_VECTORS} vectors; split it into batches")
-    qids = np.array([r["qid"] for r in rows], dtype=np.int64)
-    mat = np.array([list(r["qvec"]) for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    return qids, mat
+    q = queries.select(F.col("qid").cast("long").alias("qid"), "qvec")
+    blocks = max(1, -(-q.count() // BLOCK_VECTORS))
+    for k in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).orderBy("qid").collect()
+        if rows:
+            mat = np.array([list(r["qvec"]) for r in rows], dtype=np.float64).reshape(len(rows), -1)
+            yield np.array([r["qid"] for r in rows], dtype=np.int64), mat
+
+
+def _all_blocks(queries: DataFrame, one, schema) -> DataFrame:
+    """``one(qids, matrix)`` of every block, together."""
+    out = None
+    for qids, mat in _query_blocks(queries):
+        part = one(qids, mat)
+        out = part if out is None else out.unionByName(part)
+    return queries.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def _batch_matrix(batch, vec: str):
@@ -79,28 +88,28 @@ def candidates(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     shuffle a tiny fraction of the data."""
     import numpy as np
     import pyarrow as pa
-    qids, qmat = _collect_queries(queries)
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("qid", T.LongType()),
                            T.StructField("similarity", T.DoubleType())])
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows == 0 or len(qids) == 0:
-                continue
-            ids = b.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            sims = _cosines(_batch_matrix(b, vec), qmat)
-            out_id, out_q, out_s = [], [], []
-            for j, q in enumerate(qids):
-                order = np.lexsort((ids, -sims[:, j]))[:k]   # similarity desc, id asc
-                out_id.append(ids[order])
-                out_q.append(np.full(len(order), q, dtype=np.int64))
-                out_s.append(sims[order, j])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_q)),
-                 pa.array(np.concatenate(out_s))], names=[id_col, "qid", "similarity"])
-
-    return (vectors.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), vec)
-                   .mapInArrow(run, schema))
+    def one(qids, qmat):
+        def run(batches):
+            for b in batches:
+                ids = b.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+                sims = _cosines(_batch_matrix(b, vec), qmat)
+                out_id, out_q, out_s = [], [], []
+                for j, q in enumerate(qids):
+                    some = np.flatnonzero(~np.isnan(sims[:, j]))
+                    order = some[np.lexsort((ids[some], -sims[some, j]))[:k]]   # similarity desc, id asc
+                    out_id.append(ids[order])
+                    out_q.append(np.full(len(order), q, dtype=np.int64))
+                    out_s.append(sims[order, j])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_q)),
+                     pa.array(np.concatenate(out_s))], names=[id_col, "qid", "similarity"])
+
+        return vectors.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), vec).mapInArrow(run, schema)
+
+    return _all_blocks(queries, one, schema)
 
 
 def top_k_per_query(scored: DataFrame, k: int, id_col: str = "vec_id", salts: int = TOPK_SALTS) -> DataFrame:
@@ -122,27 +131,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 def group_by_topic(vectors: DataFrame, topics: DataFrame, id_col: str = "vec_id",
                    vec: str = "embedding") -> DataFrame:
     """G1: each vector joins the group of its most similar topic vector (ties ->
-    lowest topic id).  A map-only job: one matrix product and argmax per Arrow
-    batch; no shuffle, no pairs."""
+    lowest topic id).  One matrix product and argmax per Arrow batch and block of
+    topics; only several blocks need a shuffle, of one row a vector and block."""
     import numpy as np
     import pyarrow as pa
-    qids, qmat = _collect_queries(topics)
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("group_id", T.LongType()),
                            T.StructField("similarity", T.DoubleType())])
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            ids = b.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            sims = _cosines(_batch_matrix(b, vec), qmat)
-            best = np.nanargmax(np.where(np.isnan(sims), -np.inf, sims), axis=1)  # first max = lowest qid
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(qids[best]), pa.array(sims[np.arange(len(ids)), best])],
-                names=[id_col, "group_id", "similarity"])
-
-    return (vectors.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), vec)
-                   .mapInArrow(run, schema))
+    blocks = []
+
+    def one(qids, qmat):
+        blocks.append(len(qids))
+
+        def run(batches):
+            for b in batches:
+                ids = b.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+                sims = _cosines(_batch_matrix(b, vec), qmat)
+                some = np.flatnonzero(~np.isnan(sims).all(axis=1))
+                best = np.argmax(np.where(np.isnan(sims), -np.inf, sims)[some], axis=1)  # first max = lowest qid
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[some]), pa.array(qids[best]), pa.array(sims[some, best])],
+                    names=[id_col, "group_id", "similarity"])
+
+        return vectors.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), vec).mapInArrow(run, schema)
+
+    out = _all_blocks(topics, one, schema)
+    if len(blocks) < 2:
+        return out
+    best = F.max_by(F.struct("group_id", "similarity"), F.struct("similarity", (-F.col("group_id")).alias("g"))).alias("b")
+    return out.groupBy(id_col).agg(best).select(id_col, "b.group_id", "b.similarity")
 
 
 def keyword_faults(reviews: DataFrame, terms: list[str] | None = None, text: str = "content",

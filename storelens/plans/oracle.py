@@ -457,7 +457,7 @@ SELECT app_id, region, currency, id, ts, price, avg_30d FROM (
     FROM fx_prices
     WINDOW w AS (PARTITION BY app_id, region, currency ORDER BY epoch_us(ts)
                  RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING)))
-WHERE n > 0 AND price < avg_30d * 0.85"""))
+WHERE n > 0 AND CAST(price * 100 AS HUGEINT) * n * 100 < CAST(s * 100 AS HUGEINT) * 85"""))
 
 register("latest_price", with_fx(["fx_prices"], """
 SELECT app_id, region, currency, price, ts, id, n_obs FROM (

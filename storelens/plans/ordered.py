@@ -16,8 +16,8 @@ Trailing range windows (W3) are differences of running totals read at probe
 rows (see ``operators.prices.offers``), so they need no lookback-sized bucket.
 
 All results are exact; bucket width only trades task size for summary size.
-``auto_width`` sizes buckets from the densest (key, day) so that even a key
-holding a third of the table yields buckets of bounded size.
+The width is a parameter (``DEFAULT_WIDTH_US`` unless given), so building a plan
+starts no job; ``auto_width`` is for callers who measure it once and keep it.
 The big side is shuffled once on ``(key, bucket)``; the summary join reuses
 that partitioning.
 """
@@ -36,6 +36,7 @@ BUCKET = "_bucket"
 MIN_WIDTH_US = MINUTE_US
 MAX_WIDTH_US = 28 * DAY_US
 TARGET_ROWS_PER_BUCKET = 2_000_000
+DEFAULT_WIDTH_US = 7 * DAY_US
 
 
 def auto_width(df: DataFrame, keys: list[str], ts: str, target_rows: int = TARGET_ROWS_PER_BUCKET) -> int:
@@ -58,7 +59,7 @@ def _is_integral(df: DataFrame, col: str) -> bool:
 def _width(df, keys, ts, width_us):
     if width_us is not None:
         return width_us
-    return INTEGRAL_WIDTH if _is_integral(df, ts) else auto_width(df, keys, ts)
+    return INTEGRAL_WIDTH if _is_integral(df, ts) else DEFAULT_WIDTH_US
 
 
 def _bucket(df: DataFrame, ts: str, width: int) -> Column:

@@ -181,16 +181,19 @@ def commit_scrape_batch(results: DataFrame, root: str, batch_id: int) -> None:
     ok = cut_lineage(results.where("success"))
     try:
         prices = ok.where(F.col("price").isNotNull()).select(
-            F.xxhash64("app_id", "price.ts", "price.price").alias("id"), "app_id",
+            # one row a scrape: page, app, region, currency and instant name it
+            F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), F.col("app_id").cast("string"), "price.region",
+                               "price.currency", F.col("price.ts").cast("string")), 256).alias("id"), "app_id",
             F.col("price.price").alias("price"), F.col("price.currency").alias("currency"),
             F.col("price.region").alias("region"), F.col("price.ts").alias("ts"))
         write_price_history(prices, f"{root}/price_history")
-        raw = ok.select("app_id", F.posexplode("reviews").alias("pos", "r")).select(
-            "app_id", "pos", "r.external_review_id", "r.rating", "r.title", "r.content", "r.author_name",
+        raw = ok.select("app_id", "page_id", F.posexplode("reviews").alias("at", "r")).select(
+            "app_id", F.struct("page_id", "at").alias("pos"), "r.external_review_id", "r.rating", "r.title", "r.content", "r.author_name",
             "r.review_date")
         merged = R.merge_batch_reviews(raw)
         append_new_reviews(merged, f"{root}/reviews")
-        apps = ok.where(F.col("app").isNotNull()).select("app_id", "app.*").drop("bundle_id")
+        apps = ok.where(F.col("app").isNotNull()).groupBy("app_id").agg(F.max_by("app", "page_id").alias("app")).select(
+            "app_id", "app.*").drop("bundle_id")
         append_app_updates(apps, f"{root}/app_updates", batch_id)
     finally:
         ok.unpersist()  # no-op for checkpointed data; files are cleaned when unreferenced

@@ -132,3 +132,21 @@ def test_split_accepted_and_results(spark):
     ok, bad = V.split_accepted(v)
     assert [r["url"] for r in ok.collect()] == ["https://x/y"]
     assert sorted(r["violations"][0] for r in bad.collect()) == ["url cannot be empty"] * 2
+
+
+def test_digits_of_other_scripts_and_limits(spark):
+    rows = ["٣", "１２.５０", "9" * 30, "99999999.99", "99999999.99000000001", "99999999.98999999999", "1.00000000001"]
+    df = spark.createDataFrame([(x,) for x in rows], "x string")
+    p = [r[0] for r in df.select(N.parse_price("x")).collect()]
+    ok = [r[0] is None for r in df.select(N.price_rule(N.parse_price("x"))).collect()]
+    assert [int(v) for v in p[:2]] == [3, 12] and ok == [True, True, False, True, False, True, True]
+    r = spark.createDataFrame([("٤ من ٥",), ("x",)], "x string").select(N.parse_rating("x", F.lit(None).cast("string"))).collect()
+    assert [v[0] for v in r] == [4, None]
+
+
+def test_unreadable_timestamps_and_quotes(spark):
+    df = spark.createDataFrame([("no time",), ("2025-01-02 03:04:05",)], "x string")
+    assert [r[0] is None for r in df.select(N.to_utc("x")).collect()] == [True, False]
+    texts = ["a", "it's", 'say "x"', "it's \"x\"", "a\\b", "line\nbreak"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert [r[0] for r in df.select(N.quoted(F.col("x"))).collect()] == [repr(t) for t in texts]

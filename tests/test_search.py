@@ -3,6 +3,7 @@ and exact ties (duplicate vectors)."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from storelens.operators import search as S
 
@@ -53,8 +54,15 @@ def test_group_by_topic_matches_brute_force(spark, small_batches):
         assert g == int(np.argmax(sims[i])) and abs(s - sims[i].max()) < 1e-9
 
 
-def test_query_set_is_bounded(spark, monkeypatch):
-    df, _, _ = data(spark)
-    monkeypatch.setattr(S, "MAX_QUERY_VECTORS", 3)
-    with pytest.raises(ValueError):
-        S.nearest(df, S.centroids(df), k=2)
+def test_query_blocks_and_zero_vectors(spark, monkeypatch):
+    """Any number of query vectors, in blocks; a zero vector is nobody's neighbour."""
+    df, vecs, labels = data(spark)
+    df = df.unionByName(spark.createDataFrame([(999, [0.0] * 8, 9), (998, [float("nan")] * 8, 9)], df.schema))
+    queries = df.where("vec_id < 998").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    whole = sorted(map(tuple, S.nearest(df, queries, k=3).select("qid", "vec_id", "rank").collect()))
+    topics = {r["vec_id"]: r["group_id"] for r in S.group_by_topic(df, queries).collect()}
+    monkeypatch.setattr(S, "BLOCK_VECTORS", 17)
+    assert sorted(map(tuple, S.nearest(df, queries, k=3).select("qid", "vec_id", "rank").collect())) == whole
+    assert {r["vec_id"]: r["group_id"] for r in S.group_by_topic(df, queries).collect()} == topics
+    assert len(whole) == 120 * 3 and not {998, 999} & {v for _, v, _ in whole}
+    assert topics[50] == 10 and 999 not in topics
