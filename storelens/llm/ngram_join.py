@@ -10,9 +10,11 @@
    linear in the records, whatever the size of a group.
 3. Pairs are checked: the bit counts of both bitmaps bound the overlap from
    above, and what passes is intersected exactly, as sorted arrays.
-4. Tiles whose sets are not yet one component are gone through in blocks, pair by
-   pair of different components, with the bitmap bound first.  After that every
-   pair that shares a leading shingle is in one component or has been checked: no link is lost.
+4. In runs whose sets are not yet one component, the sets outside the largest
+   one meet a set of it, another in each run; that settles loose groups.
+5. What is still apart is gone through in blocks, pair by pair of different
+   components, with the bitmap bound first.  After that every pair that shares a
+   leading shingle is in one component or has been checked: no link is lost.
 
 Frequent shingles (in more than ``FREQUENT`` of all sets) come last in the order,
 and their tiles are dealt over salted parts of bounded size, joined by their first sets.
@@ -42,6 +44,9 @@ BAND = 100 / PERCENT
 FREQUENT = 0.001  # share of all sets from which a shingle counts as frequent
 FREQUENT_LEAST = 64  # sets, for small tables
 PART_ROWS = 20_000  # records of a frequent shingle in one salted part
+LARGE, MATES = 64, 8  # from so many sets of a component in a run on, so many of them are met
+FAMILY_PARTS = 4
+SEEN_PAIRS = 300_000  # that a task remembers, to give each once
 BLOCK_ROWS = 1000  # sets of one side of a block of pairs
 TEXT_BYTES = 2 << 20  # of texts shingled at once
 
@@ -374,17 +379,13 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows come sorted by (token, i, j, n); one block at a time is held.
     """
     def compare(cols: list[list]) -> pa.RecordBatch | None:
-        own, n, key, front, root, bits = cols
+        own, n, key, root, bits = cols
         n, root, own = np.array(n, dtype=np.int64), np.array(root, dtype=np.int64), np.array(own)
         two = len(np.unique(own)) > 1
         folded: dict[int, np.ndarray] = {}
         a, b = [], []
         for i in range(len(n)):
-            if not front[i]:
-                continue
-            # equal sizes are compared from either side, as either may be the one that holds it in front
-            lo, hi = int(np.searchsorted(n, n[i])), int(np.searchsorted(n, 100 * n[i] // PERCENT, side="right"))
-            js = np.arange(lo, hi)
+            js = np.arange(i + 1, int(np.searchsorted(n, 100 * n[i] // PERCENT, side="right")))
             js = js[(root[js] != root[i]) & ((own[js] != own[i]) if two else True)]
             if not len(js):
                 continue
@@ -395,38 +396,72 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             only_i = np.bitwise_count(x & ~ys).sum(axis=1, dtype=np.int64)
             only_j = np.bitwise_count(ys & ~x).sum(axis=1, dtype=np.int64)
             js = js[enough(np.minimum(n[i] - only_i, n[js] - only_j), n[i], n[js])]
-            a += [min(key[i], key[j]) for j in js]
-            b += [max(key[i], key[j]) for j in js]
+            for j in js.tolist():
+                pair = (key[i], key[j]) if key[i] < key[j] else (key[j], key[i])
+                if pair not in seen:
+                    if len(seen) >= SEEN_PAIRS:
+                        seen.clear()
+                    seen.add(pair)
+                    a.append(pair[0])
+                    b.append(pair[1])
         if a:
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
         return None
 
-    now, rows = None, [[] for _ in range(6)]
+    seen: set[tuple[int, int]] = set()
+
+    now, rows = None, [[] for _ in range(5)]
     for b in batches:
         for token, i, j, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
             if (token, i, j) != now:
                 if now is not None and (out := compare(rows)) is not None:
                     yield out
-                now, rows = (token, i, j), [[] for _ in range(6)]
+                now, rows = (token, i, j), [[] for _ in range(5)]
             for c, v in zip(rows, row, strict=True):
                 c.append(v)
     if now is not None and (out := compare(rows)) is not None:
         yield out
 
 
-def _open_pairs(tile: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components that share a leading shingle and pass the bitmap bound."""
-    t = tile.where("token is not null").select("token", "n", "key", "front").join(
-        roots, F.col("key") == F.col("node"), "left").select("token", "n", "key", "front", F.coalesce("root", "key").alias("root"))
-    t = keep(t)
-    mixed = t.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("front").alias("any"),
-                                   F.count(F.lit(1)).alias("m")).where("lo <> hi and any").select(
-        "token", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = t.join(mixed, "token").join(nodes.select("key", "bits"), "key")
+def _rooted(tile: DataFrame, roots: DataFrame) -> DataFrame:
+    """The tiles' records with the components they are in."""
+    return keep(tile.where("token is not null").select("token", "n", "key", "front").join(
+        roots, F.col("key") == F.col("node"), "left").select("token", "n", "key", "front", F.coalesce("root", "key").alias("root")))
+
+
+def _second_mates(rooted: DataFrame) -> DataFrame:
+    """(a, b): in each run of several components, the sets outside the largest with one of its sets.
+
+    It is picked by a hash, another in each run, and several where the largest
+    component is large, so a set of a loose group meets many of the group's sets.
+    """
+    picks = [F.min_by(F.struct("key", "n"), F.xxhash64("token", "key", F.lit(k))).alias(f"p{k}") for k in range(MATES)]
+    parts = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), *picks)
+    parts = parts.select("token", "root", "c", F.slice(F.array(*[f"p{k}" for k in range(MATES)]), F.lit(1),
+                                                       F.when(F.col("c") >= LARGE, MATES).otherwise(1)).alias("ones"))
+    major = parts.groupBy("token").agg(F.max_by(F.struct("root", "ones"), F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("parts"))
+    major = major.where("parts > 1").select("token", F.col("m.root").alias("large"), F.col("m.ones").alias("ones"))
+    pairs = rooted.join(major, "token").where(F.col("root") != F.col("large")).select("key", "n", F.explode("ones").alias("one"))
+    fits = F.greatest("n", "one.n") * PERCENT <= F.least("n", "one.n") * 100
+    return pairs.where(fits).select(F.least("key", "one.key").alias("a"), F.greatest("key", "one.key").alias("b")).distinct()
+
+
+def _open_pairs(rooted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of different components that share a leading shingle and pass the bitmap bound.
+
+    Runs of the same sets are gone through once.
+    """
+    h = F.xxhash64("key")
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("front").alias("any"),
+                                        F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(h, 20)).alias("s"), F.bit_xor(h).alias("x")).where("lo <> hi and any")
+    mixed = mixed.groupBy("m", "s", "x").agg(F.min_by(F.struct("token", "lo"), "token").alias("t")).select("t.*", "m").select(
+        # runs of one family go to a few tasks (each of its blocks to others), where repeated pairs are dropped early
+        "token", F.col("lo").alias("family"), F.pmod(F.xxhash64("token"), F.lit(FAMILY_PARTS)).alias("part"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rooted.join(mixed, "token").join(nodes.select("key", "bits"), "key")
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "key", "front", "root", "bits")
-    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "key").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "key", "root", "bits", "family", "part")
+    return rows.repartition("family", "part", "i", "j").drop("family", "part").sortWithinPartitions("token", "i", "j", "n", "key").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -440,7 +475,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = sig.select("key", "doc_id", "n", "bits").join(least, ["key", "doc_id"])
     links = _links(_mates(tile), nodes, texts)
     roots = components(links)
-    more = keep(_open_pairs(tile, roots, nodes))
+    rooted = _rooted(tile, roots)
+    links = links.unionByName(_links(_second_mates(rooted), nodes, texts))
+    roots = components(links)
+    more = keep(_open_pairs(_rooted(tile, roots), nodes))
     if more.limit(1).count():
         roots = components(links.unionByName(_links(more, nodes, texts, bounded=True)))
     rows = sig.select("doc_id", "n", "key").join(roots, F.col("key") == F.col("node"), "left").select(
