@@ -646,3 +646,38 @@ SELECT ip, minute, n_requests FROM (
 
 register("dedupe_reviews_stream", with_fx(["fx_reviews"], """
 SELECT DISTINCT app_id, md5(content) AS external_review_id FROM fx_reviews"""))
+
+
+# --- validated pages (stand-in raw fields) ----------------------------------------------------------
+RAW_PAGES = """WITH p AS (SELECT doc_id AS page_id, doc_id AS i,
+    CASE WHEN doc_id % 17 = 0 THEN '' ELSE 'https://s/app/' || (doc_id % 50) || '?page=' || doc_id END AS url,
+    CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 19 = 1 THEN repeat('n', 256) ELSE 'App ' || doc_id END AS name,
+    CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'Dev' END AS developer_name,
+    CASE doc_id % 7 WHEN 0 THEN 0.00 WHEN 1 THEN 4.99 WHEN 4 THEN 123456789.99 WHEN 5 THEN 1.50 END AS price
+  FROM documents),
+seen AS (SELECT page_id, k::INTEGER AS pos, i + k AS z FROM (SELECT page_id, i, unnest(range(i % 4)) AS k FROM p)),
+r0 AS (SELECT *, CASE WHEN z % 11 IN (0, 1) THEN NULL WHEN z % 29 = 2 THEN '' ELSE 'r' || (z % 40) END AS rid,
+    CASE WHEN z % 13 = 0 THEN NULL WHEN z % 31 = 3 THEN 9 WHEN z % 37 = 4 THEN 4 ELSE 1 + z % 5 END::INTEGER AS rating,
+    CASE WHEN z % 7 = 0 THEN NULL ELSE 'Ann' END AS author_name, CASE WHEN z % 5 = 0 THEN NULL ELSE '2025-01-05' END AS day FROM seen),
+r AS (SELECT *, concat_ws('; ', CASE WHEN rid = '' THEN 'external_review_id cannot be empty' END,
+    CASE WHEN rating NOT BETWEEN 1 AND 5 THEN 'Rating must be between 1 and 5' END) AS v FROM r0 WHERE rid IS NOT NULL AND rating IS NOT NULL),
+rv AS (SELECT page_id, count(*)::INTEGER AS n, string_agg(nullif(v, ''), '; ' ORDER BY pos) AS v,
+    string_agg(concat_ws(':', rid, rating, author_name, day), ',' ORDER BY pos) AS listed FROM r GROUP BY page_id),
+res AS (SELECT p.*, rv.n, rv.listed, nullif(concat_ws('; ', CASE WHEN url = '' THEN 'url cannot be empty' END,
+    CASE WHEN length(name) > 255 THEN 'name exceeds max length of 255' END,
+    CASE WHEN price > 99999999.99 THEN 'Price exceeds maximum of 99999999.99' END, rv.v), '') AS error FROM p LEFT JOIN rv USING (page_id))
+"""
+
+register("page_results", RAW_PAGES + """
+SELECT page_id, url, error IS NULL AS success, error, CASE WHEN error IS NULL THEN name END AS name,
+       CASE WHEN error IS NULL AND name IS NOT NULL THEN developer_name END AS developer_name,
+       CASE WHEN error IS NULL THEN price END::DECIMAL(10,2) AS price, error IS NULL AND name IS NOT NULL AS has_app,
+       error IS NULL AND price IS NOT NULL AS has_price, CASE WHEN error IS NULL THEN coalesce(n, 0) ELSE 0 END::INTEGER AS review_count,
+       CASE WHEN error IS NULL THEN coalesce(listed, '') ELSE '' END AS reviews FROM res""")
+
+register("paginated_reviews", RAW_PAGES + """
+SELECT app_url, external_review_id, page_id, pos, rating, title, author_name FROM (
+  SELECT regexp_replace(res.url, '[?#].*$', '') AS app_url, r.rid AS external_review_id, r.page_id, r.pos, r.rating,
+         'title ' || r.page_id AS title, r.author_name,
+         row_number() OVER (PARTITION BY regexp_replace(res.url, '[?#].*$', ''), r.rid ORDER BY r.page_id, r.pos) AS rn
+  FROM r JOIN res USING (page_id) WHERE res.error IS NULL) WHERE rn = 1""")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from storelens.functions import normalize as N
 from storelens.functions import text as T
 from storelens.operators import catalog as C
+from storelens.operators import extract as X
 from storelens.operators import firewall as V
 from storelens.operators import health as H
 from storelens.operators import prices as P
@@ -358,7 +359,7 @@ PAGES_CAPTURED_AT = "2024-01-31 00:00:00"
 @query("extract_pages")
 def q_extract_pages(spark, sf_dir):
     """X1-X8/A1/V4 every captured page -> one result row (rows-only check)."""
-    from storelens.operators import extract as X
+
     pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
     res = X.scrape_results(X.extract_raw(pages, X.PAGES_PROFILE), PAGES_CAPTURED_AT)
     return res.select("page_id", "url", "success", "error",
@@ -456,7 +457,7 @@ def q_metadata_json_query(spark, sf_dir):
 @query("page_fields")
 def q_page_fields(spark, sf_dir):
     """X1-X5 raw fields the Arrow tokeniser picks from every captured page."""
-    from storelens.operators import extract as X
+
     pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
     raw = X.extract_raw(pages, X.PAGES_PROFILE)
     return raw.select("page_id", "name", "icon_url", "raw_price",
@@ -464,6 +465,27 @@ def q_page_fields(spark, sf_dir):
 
 
 # --- streaming jobs replayed over the stand-in feeds -----------------------------------------------
+PAGES_AT = "2025-06-01 12:00:00"
+
+
+@query("page_results")
+def q_page_results(spark, sf_dir):
+    """Validated page results; any invalid record fails its page."""
+    res = X.scrape_results(FX.fx_raw_pages(spark, sf_dir), PAGES_AT)
+    return res.select(
+        "page_id", "url", "success", "error", F.col("app.name").alias("name"), F.col("app.developer_name").alias("developer_name"),
+        F.col("price.price").alias("price"), "has_app", "has_price", F.col("review_count").cast("int").alias("review_count"),
+        F.array_join(F.transform("reviews", lambda r: F.concat_ws(":", r["external_review_id"], r["rating"].cast("string"), r["author_name"],
+                                                                  F.date_format(r["review_date"], "yyyy-MM-dd"))), ",").alias("reviews"))
+
+
+@query("paginated_reviews")
+def q_paginated_reviews(spark, sf_dir):
+    """Each review of an app's successful pages once, from the first page that shows it."""
+    m = X.merge_paginated(X.scrape_results(FX.fx_raw_pages(spark, sf_dir), PAGES_AT))
+    return m.select("app_url", "external_review_id", "page_id", "pos", "rating", "title", "author_name")
+
+
 def _stream(spark, sf_dir, name, shape, step):
     """Run a streaming step over a stand-in feed; the folder with its tables."""
     root = RP.new_root(spark, name)

@@ -194,3 +194,36 @@ def fx_scraped_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.concat("p_type", F.lit(" Inc")))
                       .alias("developer_name"),
                      F.col("p_type").alias("description"), F.lit(None).cast("string").alias("icon_url")))
+
+
+def fx_raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> raw page fields as extraction gives them, with every kind of
+    trouble: nameless and over-long apps, free, missing and excessive prices, blank
+    urls, and reviews with missing, empty or blank ids and ratings from none to 9."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id"])
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+
+    def review(k):
+        at = F.col("doc_id") + k
+        rid = (F.when(at % 11 == 0, F.lit("")).when(at % 11 == 1, F.lit(None).cast("string")).when(at % 29 == 2, F.lit("   "))
+               .otherwise(F.concat(F.lit("r"), (at % 40).cast("string"))))
+        label = (F.when(at % 13 == 0, F.lit("no rating")).when(at % 31 == 3, F.lit("9 stars"))
+                 .when(at % 37 == 4, F.lit("")).otherwise(F.concat((1 + at % 5).cast("string"), F.lit(" out of 5"))))
+        return F.struct(
+            k.cast("int").alias("pos"), rid.alias("review_id"), label.alias("rating_label"), F.lit("4").alias("rating_text"),
+            F.concat(F.lit(" title "), n).alias("title"), F.lit("content").alias("content"),
+            F.when(at % 7 == 0, F.lit(" ")).otherwise(F.lit(" Ann ")).alias("author_name"),
+            F.when(at % 5 == 0, F.lit("soon")).otherwise(F.lit("Jan 5, 2025")).alias("date_text"))
+
+    shapes = ["Free", "$4.99", "N/A", None, "123456789.99", "1,50", ""]
+    return d.select(
+        i.alias("page_id"),
+        F.when(i % 17 == 0, F.lit("  ")).otherwise(F.concat(F.lit("https://s/app/"), (i % 50).cast("string"), F.lit("?page="), n)).alias("url"),
+        F.when(i % 9 == 0, F.lit(None).cast("string")).when(i % 19 == 1, F.repeat(F.lit("n"), 256))
+         .otherwise(F.concat(F.lit("  App "), n, F.lit(" "))).alias("name"),
+        F.when(i % 3 == 0, F.lit(" ")).otherwise(F.lit(" Dev ")).alias("developer_name"),
+        F.lit("about").alias("description"), F.concat(F.lit("https://i/"), n).alias("icon_url"),
+        F.element_at(F.array(*[F.lit(x).cast("string") for x in shapes]), (i % 7 + 1).cast("int")).alias("raw_price"),
+        F.when(i % 4 > 0, F.transform(F.sequence(F.lit(0).cast("long"), i % 4 - 1), review)).otherwise(
+            F.transform(F.slice(F.sequence(F.lit(0).cast("long"), F.lit(0).cast("long")), 1, 0), review)).alias("reviews"),
+        F.lit(None).cast("string").alias("parse_error"))
