@@ -681,3 +681,20 @@ SELECT app_url, external_review_id, page_id, pos, rating, title, author_name FRO
          'title ' || r.page_id AS title, r.author_name,
          row_number() OVER (PARTITION BY regexp_replace(res.url, '[?#].*$', ''), r.rid ORDER BY r.page_id, r.pos) AS rn
   FROM r JOIN res USING (page_id) WHERE res.error IS NULL) WHERE rn = 1""")
+
+PAGES_AT = "TIMESTAMP '2025-06-01 12:00:00'"
+
+register("commit_prices", RAW_PAGES + f"""
+SELECT 'app' || (page_id % 50) AS app_id, price::DECIMAL(10,2) AS price, 'USD' AS currency, 'US' AS region, {PAGES_AT} AS ts, 'default' AS price_month
+FROM res WHERE error IS NULL AND price IS NOT NULL""")
+
+register("commit_reviews", RAW_PAGES + """
+SELECT app_id, external_review_id, rating, review_date FROM (
+  SELECT 'app' || (r.page_id % 50) AS app_id, r.rid AS external_review_id, r.rating, r.day::TIMESTAMP AS review_date,
+         row_number() OVER (PARTITION BY r.page_id % 50, r.rid ORDER BY r.page_id % 2, r.page_id, r.pos) AS rn
+  FROM r JOIN res USING (page_id) WHERE res.error IS NULL) WHERE rn = 1""")
+
+register("commit_apps", RAW_PAGES + """
+SELECT 'app' || (page_id % 50) AS app_id, page_id % 2 AS batch_id, arg_max(name, page_id) AS name,
+       nullif(arg_max(coalesce(developer_name, ''), page_id), '') AS developer_name, arg_max('https://i/' || page_id, page_id) AS icon_url
+FROM res WHERE error IS NULL AND name IS NOT NULL GROUP BY ALL""")
