@@ -20,7 +20,8 @@ def streamed(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataF
     """The table as a stream of its files (same signature as ``read_table``)."""
     path = table_path(sf_dir, name)
     schema = spark.read.parquet(path).schema
-    df = spark.readStream.schema(schema).parquet(path)
+    # as a pattern: a table may be one file, which a stream doesn't take as its folder
+    df = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     return df.select(*columns) if columns else df
 
 
