@@ -16,7 +16,10 @@ FX = {
          NULLIF(regexp_extract(text, '^\s*(\S+(?:\s+\S+)?)', 1), '') AS author_name,
          TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS BIGINT)) AS review_date,
          doc_id AS pos
-  FROM documents)""",
+  FROM (SELECT doc_id, source, text || CASE length(text) % 9 WHEN 0 THEN '' WHEN 1 THEN ' <b>bold</b><br/> <a href=''/x''>link</a>'
+          WHEN 2 THEN ' see https://shop.example/a?b=1 or www.x.example/y now' WHEN 3 THEN ' 😀👍 ok ❤'
+          WHEN 4 THEN ' ssn 123-45-6789.' WHEN 5 THEN ' write to jo.doe@mail.example' WHEN 6 THEN ' HTTPS://A.EXAMPLE x <i>'
+          WHEN 7 THEN chr(9) || ' call +1 (555) 123-4567' ELSE ' card 4111 1111 1111 1111' END AS text FROM documents))""",
     "fx_prices": """fx_prices AS (
   SELECT event_id AS id, user_id AS app_id, event_type AS region, 'USD' AS currency,
          CAST(value AS DECIMAL(10,2)) AS price, ts

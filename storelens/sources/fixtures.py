@@ -18,9 +18,16 @@ from storelens.sources.tables import read_table
 EPOCH_2024 = "2024-01-01 00:00:00"
 
 
+# Fixed endings of review texts, by length (copies stay copies), so that every cleaning and masking rule meets its case.
+REVIEW_ENDINGS = ["", " <b>bold</b><br/> <a href='/x'>link</a>", " see https://shop.example/a?b=1 or www.x.example/y now",
+                  " \U0001F600\U0001F44D ok \u2764", " ssn 123-45-6789.", " write to jo.doe@mail.example", " HTTPS://A.EXAMPLE x <i>", "\t call +1 (555) 123-4567", " card 4111 1111 1111 1111"]
+
+
 def fx_reviews(spark: SparkSession, sf_dir: str, read=read_table) -> DataFrame:
-    """documents -> reviews: one review per document, whole text as content."""
+    """documents -> reviews: one review per document, whole text and a stated ending as content."""
     d = spread(read(spark, sf_dir, "documents", ["doc_id", "text", "source"]), key="doc_id")
+    ending = F.element_at(F.array(*[F.lit(e) for e in REVIEW_ENDINGS]), (F.char_length("text") % len(REVIEW_ENDINGS) + 1).cast("int"))
+    d = d.select("doc_id", "source", F.concat("text", ending).alias("text"))
     return d.select(
         F.col("doc_id").cast("string").alias("external_review_id"),
         F.col("source").alias("app_id"),
