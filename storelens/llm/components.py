@@ -1,10 +1,10 @@
 """Connected components of an edge table, by alternating stars.
 
 Every round hangs each node's larger neighbours on its smallest one (large star),
-then its smaller neighbours and itself (small star), until nothing changes;
+then its smaller neighbours and itself (small star), until only stars are left;
 rounds grow with the logarithm of the longest chain.  Minima are combined before
 the shuffle and a hub's rows are on one side of a plain join, which Spark can
-split; nothing is collected but a count and a checksum a round.
+split; the driver only learns whether a node is left that isn't settled.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from storelens.llm.common import keep
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number and order-free checksum of the rows."""
-    h = F.xxhash64("a", "b")
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(h, 20)).alias("s"), F.bit_xor(h).alias("x")).first()
-    return tuple(r)
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node that hangs on none: then each star is a component."""
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("a").alias("x"), one.alias("hangs"), none.alias("holds")).unionByName(
+        edges.select(F.col("b").alias("x"), none.alias("hangs"), one.alias("holds")))
+    odd = ends.groupBy("x").agg(F.sum("hangs").alias("n"), F.max("holds").alias("m")).where("n > 1 or (n = 1 and m = 1)")
+    return odd.isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,8 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = keep(e)
-    mark = _mark(e)
-    while mark[0]:
+    while not _settled(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(
@@ -40,8 +41,4 @@ def components(edges: DataFrame) -> DataFrame:
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         e = keep(small)
-        new = _mark(e)
-        if new == mark:
-            break
-        mark = new
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -132,3 +132,13 @@ def compile_rules(rules: Sequence[Rule] = RULES) -> dict[str, Column]:
 def apply_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with every count and the verdict of the table."""
     return measure(docs, text).select("*", *[v.alias(k) for k, v in compile_rules(rules).items()])
+
+
+def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``docs`` that the table keeps, with their own columns only.
+
+    The row number keeps the optimizer from moving the filter below the counts,
+    which would write every count's whole expression into it, many times over.
+    """
+    judged = apply_rules(docs, text, rules).select("*", F.monotonically_increasing_id().alias("__row_number"))
+    return judged.where(F.col("kept") & (F.col("__row_number") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
