@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
+from storelens.plans import registry as REG
 
 
 def plan(df):
@@ -11,7 +12,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(REG.QUERIES))
 def test_no_cartesian_products(spark, name):
     p = plan(E.queries()[name](spark, SF001))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
