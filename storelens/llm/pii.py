@@ -101,27 +101,27 @@ for _k, _w in _CUES.items():
 
 
 def zones(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around anchors that could hold a segment, cut at white space."""
+    """Stretches around anchors, the only places that could hold a segment."""
     start = end = None
     for m in _ANCHOR.finditer(text):
         if end is not None and m.start() - end <= 8:
             end = m.end()
             continue
-        if end is not None and _worth(text, start, end):
+        if end is not None:
             yield start, end
         start, end = m.start(), m.end()
-    if end is not None and _worth(text, start, end):
+    if end is not None:
         yield start, end
 
 
-def _worth(text: str, a: int, b: int) -> bool:
-    """Enough digits for a number, or signs of an address: nothing less has a candidate."""
-    s = text[a:b]
-    return sum("0" <= c <= "9" for c in s) >= 7 or "@" in s or "]" in s or ")" in s or "}" in s or ">" in s or s[:2].lower() == "at" or text[a:b + 4].count(":") >= 2
+def _worth(text: str, lo: int, hi: int) -> bool:
+    """Whether ``segments`` could have a candidate in a zone with its context: one of its patterns fits."""
+    return (any(sum("0" <= c <= "9" for c in m[0]) >= 7 for m in _NUMBER_LIKE.finditer(text, lo, hi))
+            or _IP_LIKE.search(text, lo, hi) is not None or _EMAIL_LIKE.search(text, lo, hi) is not None)
 
 
 def _around(text: str, a: int, b: int) -> tuple[int, int]:
-    """A zone with its context, widened to white space where that is near."""
+    """A zone with its context, widened to white space where that is near, and to the end of what begins in it."""
     lo, hi = max(0, a - CONTEXT), min(len(text), b + CONTEXT)
     for x in range(lo, max(-1, lo - 24), -1):
         if x == 0 or text[x - 1].isspace():
@@ -131,6 +131,15 @@ def _around(text: str, a: int, b: int) -> tuple[int, int]:
         if x == len(text) or text[x].isspace():
             hi = x
             break
+    cut = True
+    while cut and hi < len(text):
+        cut = False
+        for like in (_EMAIL_LIKE, _IP_LIKE, _NUMBER_LIKE):
+            last = None
+            for last in like.finditer(text, lo, hi):
+                pass
+            if last is not None and last.end() > hi - 12 and (end := like.match(text, last.start()).end()) > hi:
+                hi, cut = end, True
     return lo, hi
 
 
@@ -381,7 +390,7 @@ def all_spans(text: str, weights: dict[str, float]) -> tuple[list[tuple[int, int
     for a, b in zones(text):
         lo, hi = _around(text, a, b)
         lo = max(lo, seen)
-        if lo >= hi:
+        if lo >= hi or not _worth(text, lo, hi):
             continue
         bounds, cands = segments(text, lo, hi)
         for k in viterbi(len(bounds) - 1, cands, weights):

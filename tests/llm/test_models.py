@@ -151,6 +151,22 @@ def test_field_finds_held_out_spellings():
     assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
 
 
+def test_zones_lose_no_held_out_spelling():
+    w, right, missed, zoned = P.train(), 0, 0, 0
+    for text, spans in P.generate(300, 77):
+        base, added = P.all_spans(text, w)
+        bounds, cands = P.segments(text, 0, len(text))
+        whole = {(bounds[cands[k][0]], bounds[cands[k][1]], cands[k][2]) for k in P.viterbi(len(bounds) - 1, cands, w)}
+        got = {*base, *added}
+        right, missed = right + len(got & set(spans)), missed + len(set(spans) - got)
+        zoned += len((whole & set(spans)) - got)  # found by the field on the whole sentence, lost by the zones
+    assert zoned == 0 and right / (right + missed) > 0.97
+    long = "x the 12 some words anna at sub-domain-of-the-place dot longer-example-host-name dot com and"
+    for text, span in ((long, (20, 88, "email")), ("write to anna42 at mail3 dot example dot com today", (9, 44, "email")), ("ping 8 . 8 . 8 . 8 now", (5, 18, "ip"))):
+        assert P.all_spans(text, w)[1] == [span]
+        assert P.masked(text, [span]) == text[:span[0]] + f"<{span[2].upper()}>" + text[span[1]:]
+
+
 def test_viterbi_is_the_best_segmentation():
     r = random.Random(8)
     for _ in range(150):
