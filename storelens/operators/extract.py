@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,27 +90,36 @@ PAGES_PROFILE = PageProfile(
 
 # --- reading elements ---------------------------------------------------------------------
 
-# The named character references that are decoded.  The first four also without ';'.
-_NAMED = {"quot": '"', "lt": "<", "gt": ">", "amp": "&", "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™",
-          "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "middot": "·", "bull": "•", "euro": "€"}
+# All named character references, with their ';' and, where HTML allows it, without.
+_COMMON = ("amp;", "nbsp;", "quot;", "lt;", "gt;", "apos;", "copy;", "middot;", "eacute;", "rsquo;")  # looked up first
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
+
+def _refs(names) -> Column:
+    """A literal map of references to their characters; the names are reversed, as plans show them ("DownArrow" is no operator)."""
+    return F.str_to_map(F.lit("\x01".join(f"{n[::-1]}\x02{html5[n]}" for n in names)), F.lit("\x01"), F.lit("\x02"))
 
 
 def decode_refs(x: Column) -> Column:
-    """Character references of text: named ones and numbers; '&amp' last, so that a decoded '&' starts none."""
-    for name, ch in _NAMED.items():
-        if name != "amp":
-            x = F.regexp_replace(x, f"&{name};" + ("?" if name in ("quot", "lt", "gt") else ""), ch)
+    """Character references of text: named ones and numbers, each read once, so that a decoded '&' starts none."""
+    common, every, short = _refs(_COMMON), _refs(n for n in html5 if n not in _COMMON), _refs(_BARE)
 
     def part(p, i):
-        number = F.regexp_extract(p, r"^(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});?", 1)
-        rest = F.regexp_replace(p, r"^(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});?", "")
-        code = F.when(number.startswith("x"), F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).cast("int")
+        number = F.regexp_extract(p, r"^#(x[0-9A-Fa-f]{1,6}|X[0-9A-Fa-f]{1,6}|[0-9]{1,7});?", 1)
+        code = F.when(F.lower(number).startswith("x"), F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).cast("int")
         good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         sign = F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-        return F.when(i == 0, p).when(number == "", F.concat(F.lit("&#"), p)).otherwise(F.concat(sign, rest))
-
-    numeric = F.array_join(F.transform(F.split(x, r"&#(?=[0-9xX])"), part), "")
-    return F.regexp_replace(F.when(F.contains(x, F.lit("&#")), numeric).otherwise(x), "&amp;?", "&")
+        name = F.regexp_extract(p, r"^[A-Za-z][A-Za-z0-9]*;?", 0)
+        bare = F.regexp_extract(p, f"^(?:{'|'.join(_BARE)})", 0)  # the longest that needs no ';'
+        named = F.coalesce(F.try_element_at(common, F.reverse(name)), F.try_element_at(every, F.reverse(name)))
+        return (F.when(i == 0, p)
+                .when(number != "", F.concat(sign, F.regexp_replace(p, r"^#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", "")))
+                .otherwise(F.coalesce(F.concat(named, F.substr(p, F.length(name) + 1)),
+                                      F.concat(F.try_element_at(short, F.reverse(bare)), F.substr(p, F.length(bare) + 1)),
+                                      F.concat(F.lit("&"), p))))
+
+    whole = F.array_join(F.transform(F.split(x, "&"), part), "")
+    return F.when(F.contains(x, F.lit("&")), whole).otherwise(x)
 
 
 def _scope(html: Column, pick: Pick) -> Column:

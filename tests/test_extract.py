@@ -67,6 +67,20 @@ def test_long_pages_and_references(spark):
     assert r[2]["name"] is None and r[3]["reviews"] == []
 
 
+def test_every_named_reference_is_decoded(spark):
+    from html import unescape
+    from html.entities import html5
+
+    from pyspark.sql import functions as F
+    texts = ["Caf&eacute; M&uuml;ller &ntilde;", "&notit; &copy2 &amp;lt; &ampx &bogus; & &; &#233;&#xe9; &CounterClockwiseContourIntegral;", "a&eacute b&AMPc", "&fjlig;&NotEqualTilde;"]
+    texts += [f"x&{n}y" for n in html5] + ["word &eacute; &zwj; " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(4)
+    got = {r["id"]: r["d"] for r in df.select("id", X.decode_refs(F.col("t")).alias("d")).collect()}
+    assert got == {i: unescape(t) for i, t in enumerate(texts)}
+    page = PAGE.replace("Pro </h1>", "Pro &eacute;&uuml;&ntilde;</h1>")
+    assert run(spark, [(1, "u", page)])[1]["app"]["name"].endswith(" éüñ")
+
+
 def test_first_child_selector(spark):
     """With the production selector the price li is not the first child of body."""
     r = run(spark, [(1, "u", PAGE)], X.APPLE_PROFILE)[1]
