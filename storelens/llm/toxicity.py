@@ -2,8 +2,8 @@
 
 The kernel of two strings counts their common subsequences of four letters over
 at most ``SPAN`` characters.  An occurrence weighs less for each character it
-passes over: little for inserted signs ("i d i o t", "stu-pid", "lo0ser"), more
-for letters.  Case is folded, other letters than a to z fall into a few classes, the beginning of a word counts as a letter,
+passes over: little for inserted signs ("i d i o t", "stu-pid", "lo0ser"), of which
+a run counts as one ("s--t--u", "s . t . u"), more for letters.  Case is folded, other letters than a to z fall into a few classes, the beginning of a word counts as a letter,
 other characters match nothing.
 
 A document is as toxic as its worst passage.  Labels are of documents, so the
@@ -99,21 +99,30 @@ _LETTER_OF: np.ndarray | None = None
 def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Letters of the text, and the number of breaks up to each character.
 
-    White space breaks, unless it stands between single characters ("i d i o t").
+    White space breaks, unless all between its neighbours' other white space is at
+    most one letter with signs ("i d i o t", "i - d - i").
     """
     global _LETTER_OF
     if _LETTER_OF is None:
         _LETTER_OF = _letters()
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     white = (points == 0x20) | ((points >= 0x09) & (points <= 0x0D))
-    edge = np.concatenate((np.ones(2, dtype=bool), white, np.ones(2, dtype=bool)))
-    joins = edge[:-4] & ~edge[1:-3] & ~edge[3:-1] & edge[4:] & (points != 0x0A)  # one character on either side
-    broken = white & ~joins
     x = _LETTER_OF[points]
+    part = np.cumsum(~white & np.concatenate(([True], white))[:len(white)])  # of each sign, or the part before it
+    held = np.bincount(part, weights=x > 0, minlength=int(part[-1]) + 2 if len(part) else 2)
+    single = held <= 1
+    single[0] = single[-1] = False  # nothing lies before the first and after the last
+    broken = white & ~(single[part] & single[part + 1] & (points != 0x0A))
     x[broken] = _LETTERS - 1
     return x, np.cumsum(broken, dtype=np.int32)
 
 
+def squeezed(x: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters and breaks with each run of inserted signs as one sign, and the old place of each."""
+    kept = np.flatnonzero((x > 0) | (np.concatenate(([1], x))[:len(x)] > 0))
+    return x[kept], breaks[kept], kept
+
+
 def windows(x: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The normalised machine value of each window, by the place of its first character.
 
@@ -159,7 +168,9 @@ def worst(texts: list[str], table: np.ndarray, bar: float) -> np.ndarray:
 
     def flush() -> None:
         text, begin = _joined(group)
-        w = windows(*letters(text), table)
+        x, breaks, kept = squeezed(*letters(text))
+        begin = np.searchsorted(kept, begin)  # a text begins with a break, which is kept
+        w = windows(x, breaks, table)
         out.append(np.column_stack([np.maximum(np.maximum.reduceat(w, begin), 0), np.log1p(np.add.reduceat((w > bar).astype(np.int64), begin))]))
 
     for t in texts:
@@ -192,8 +203,8 @@ def _rows(strings: list[str]) -> np.ndarray:
     out = np.zeros((len(strings), _WIDTH), dtype=np.int32)
     for i, s in enumerate(strings):
         if s:
-            x, breaks = letters(s[:_WIDTH])
-            x = x[breaks == breaks[0]]
+            x, breaks, _ = squeezed(*letters(s))
+            x = x[breaks == breaks[0]][:_WIDTH]
             out[i, :len(x)] = x
     return out
 
@@ -317,8 +328,8 @@ def train(toxic: list[str], clean: list[str], seed: int = SEED) -> Model:
     rng = np.random.default_rng(seed)
     split = [[s for s in _SENTENCE.split(t) if s] for t in (*fit_t, *fit_c)]
     text, begin = _joined([s for ss in split for s in ss])
-    size = np.array([len(s) + 1 for ss in split for s in ss])
-    x, breaks = letters(text)
+    x, breaks, kept = squeezed(*letters(text))
+    edges = np.searchsorted(kept, begin)
     telling = _telling_words(fit_t, fit_c)
     table, bar = nothing, 0.0
     neg: list[tuple[float, str]] = []
@@ -326,7 +337,7 @@ def train(toxic: list[str], clean: list[str], seed: int = SEED) -> Model:
         at, pos, hard = 0, [], []  # (value, passage)
         if step:
             value = np.concatenate([windows(x[i:i + CHUNK], breaks[i:i + CHUNK] - breaks[i], table) for i in range(0, len(x), CHUNK)])
-            high = np.maximum.reduceat(value, begin)
+            high = np.maximum.reduceat(value, edges)
             ends = np.cumsum([len(ss) for ss in split])
             tops = [high[e - len(ss):e].max(initial=0) for ss, e in zip(split, ends.tolist(), strict=True)]
             bar = float(np.quantile(tops[len(fit_t):], CLEAN_BELOW))  # toxic sentences exceed nearly all clean documents
@@ -342,7 +353,8 @@ def train(toxic: list[str], clean: list[str], seed: int = SEED) -> Model:
                 continue
             if step:  # clean sentences that the present machine finds worst
                 for i in sorted(mine, key=lambda i: -high[i])[:4]:
-                    w = int(begin[i]) + int(value[begin[i]:begin[i] + size[i]].argmax())
+                    end = edges[i + 1] if i + 1 < len(edges) else len(x)
+                    w = int(kept[edges[i] + value[edges[i]:end].argmax()])
                     hard.append((float(high[i]), text[w:w + _WIDTH]))
             else:
                 for _ in range(4):

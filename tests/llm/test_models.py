@@ -56,6 +56,14 @@ def test_gaps_and_inserted_characters_are_found(model):
         assert (s >= 0.5).mean() > 0.9, insult
 
 
+def test_runs_of_inserted_characters_are_found(model):
+    clean = [t for t, y in made(3, 200) if not y]
+    for insult in ("i--d--i--o--t", "s . t . u . p . i . d", "i***d***i***o***t", "s  t  u  p  i  d", "i -- d -- i -- o -- t"):
+        s = model.score([t[:60].rsplit(" ", 1)[0] + " " + insult + " " + t[60:].split(" ", 1)[-1] for t in clean])
+        assert (s >= 0.5).mean() > 0.9, insult
+    assert (model.score(clean) >= 0.5).mean() < 0.05
+
+
 def test_windows_equal_the_kernel_machine():
     """The folded table gives the sum over landmarks of normalised kernel values, computed here pair by pair."""
     r = random.Random(4)
