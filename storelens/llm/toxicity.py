@@ -7,9 +7,11 @@ a run counts as one ("s--t--u", "s . t . u"), more for letters.  Case is folded,
 other characters match nothing.
 
 A document is as toxic as its worst passage.  Labels are of documents, so the
-training sentences get theirs by multiple instances: all sentences of clean
+training passages get theirs by multiple instances: all sentences of clean
 documents are clean, and of a toxic document the sentence whose worst window the
-present model finds worst is toxic.  Landmarks are words of toxic and of hard clean
+present model finds worst is toxic; its window's own text is a positive, across words.
+The first model learns from words and pairs of neighbouring words that stand out in
+toxic documents, and they stay positives.  Landmarks are passages of toxic and words of hard clean
 sentences; the SVM is linear in the Nyström map of the windows' kernel values.
 
 The kernel is an inner product over subsequences, so the trained machine, a sum
@@ -26,6 +28,7 @@ an empty table gives an empty table; other columns are not carried.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -97,9 +100,9 @@ _LETTER_OF: np.ndarray | None = None
 
 
 def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of the text, and the number of breaks up to each character.
+    """Letters of the text, and the number of line breaks up to each character.
 
-    White space breaks, unless all between its neighbours' other white space is at
+    White space begins a word, unless all between its neighbours' other white space is at
     most one letter with signs ("i d i o t", "i - d - i").
     """
     global _LETTER_OF
@@ -114,7 +117,7 @@ def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
     single[0] = single[-1] = False  # nothing lies before the first and after the last
     broken = white & ~(single[part] & single[part + 1] & (points != 0x0A))
     x[broken] = _LETTERS - 1
-    return x, np.cumsum(broken, dtype=np.int32)
+    return x, np.cumsum(points == 0x0A, dtype=np.int32)
 
 
 def squeezed(x: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +129,7 @@ def squeezed(x: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def windows(x: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The normalised machine value of each window, by the place of its first character.
 
-    A window ends at a break, and no subsequence crosses one.
+    A window ends at a line break, and no subsequence crosses one; words it may cross.
     """
     n = len(x)
     total = np.zeros(n, dtype=np.float32)
@@ -286,23 +289,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def _telling_words(toxic: list[str], clean: list[str]) -> dict[str, float]:
-    """Words that stand out in toxic documents, with their log odds."""
-    def held(texts: list[str]) -> Counter:
-        n: Counter = Counter()
-        for t in texts:
-            n.update(set(t.lower().split()))
-        return n
-
-    a, b, out = held(toxic), held(clean), {}
+def _telling(toxic: list[str], clean: list[str]) -> dict[str, float]:
+    """Words, and pairs of neighbouring words, that stand out in toxic documents, with their log odds."""
+    often = np.zeros(1 << 22, dtype=np.int32)  # of toxic documents, by hash: pairs of few are never counted by name
+    for t in toxic:
+        often[np.unique([zlib.crc32(g.encode("utf-8", "surrogatepass")) % len(often) for g in _grams(t)]).astype(np.int64)] += 1
+    a: Counter = Counter()
+    for t in toxic:
+        a.update({g for g in _grams(t) if often[zlib.crc32(g.encode("utf-8", "surrogatepass")) % len(often)] > 2})
+    b: Counter = Counter()
+    for t in clean:
+        b.update({g for g in _grams(t) if g in a})
+    out = {}
     for w, n in a.items():
         x, y = n + 0.5, b[w] + 0.5
         odds = np.log(x / (len(toxic) - x + 1.5)) - np.log(y / (len(clean) - y + 1.5))
-        if len(w) >= LETTERS and odds > 2 and odds / np.sqrt(1 / x + 1 / y) > 2.9:
+        if len(w) >= LETTERS - 1 and odds > 2 and odds / np.sqrt(1 / x + 1 / y) > 2.9:
             out[w] = float(odds)
     return out
 
 
+def _grams(text: str) -> list[str]:
+    ws = text.lower().split()
+    return ws + [f"{v} {w}" for v, w in zip(ws, ws[1:], strict=False)]
+
+
 def _first(passage: str) -> str:
     """The first word of a passage, whole or as far as it goes."""
     return (passage.split() or [""])[0]
@@ -330,11 +341,18 @@ def train(toxic: list[str], clean: list[str], seed: int = SEED) -> Model:
     text, begin = _joined([s for ss in split for s in ss])
     x, breaks, kept = squeezed(*letters(text))
     edges = np.searchsorted(kept, begin)
-    telling = _telling_words(fit_t, fit_c)
+    telling = _telling(fit_t, fit_c)
     table, bar = nothing, 0.0
     neg: list[tuple[float, str]] = []
+
+    def passage(i: int) -> str:
+        """The worst window of a sentence."""
+        end = edges[i + 1] if i + 1 < len(edges) else len(x)
+        w = int(edges[i] + value[edges[i]:end].argmax())
+        return text[int(kept[w]):int(kept[min(w + _WIDTH, len(x)) - 1]) + 1]
+
     for step in range(ROUNDS):
-        at, pos, hard = 0, [], []  # (value, passage)
+        at, pos, own, hard = 0, [], [], []  # (value, passage)
         if step:
             value = np.concatenate([windows(x[i:i + CHUNK], breaks[i:i + CHUNK] - breaks[i], table) for i in range(0, len(x), CHUNK)])
             high = np.maximum.reduceat(value, edges)
@@ -346,29 +364,31 @@ def train(toxic: list[str], clean: list[str], seed: int = SEED) -> Model:
             at += len(ss)
             if not ss:
                 continue
-            if bad:  # sentences with the most telling words
-                found = [max(s.lower().split(), key=lambda w: telling.get(w, 0.0), default="") for s in ss]
+            if bad:  # what tells most in each sentence, and the worst window of the sentence that the present machine finds worst
+                found = [max(_grams(t), key=lambda w: telling.get(w, 0.0), default="") for t in ss]
                 found = sorted((w for w in found if w in telling), key=lambda w: -telling[w])[:4]
                 pos += [(telling[w], " " + w[:_WIDTH - 1]) for w in found]
+                if step:
+                    i = max(mine, key=lambda i: high[i])
+                    own.append((float(high[i]), passage(i)))
                 continue
             if step:  # clean sentences that the present machine finds worst
                 for i in sorted(mine, key=lambda i: -high[i])[:4]:
-                    end = edges[i + 1] if i + 1 < len(edges) else len(x)
-                    w = int(kept[edges[i] + value[edges[i]:end].argmax()])
-                    hard.append((float(high[i]), text[w:w + _WIDTH]))
+                    hard.append((float(high[i]), passage(i)))
             else:
                 for _ in range(4):
                     w = text.find(" ", int(begin[mine[0]]) + int(rng.integers(sum(map(len, ss)) + 1)))
                     neg.append((0.0, text[max(w, 0):max(w, 0) + _WIDTH]))
         hard.sort(reverse=True)
         neg += hard[:len(split)]
-        if not pos or not neg:
+        if not (pos or own) or not neg:
             break
         # landmarks: peaks of toxic documents (most frequent first, then highest), and of hard clean ones
         count: dict[str, list[float]] = {}
         for v, w in pos:
-            count.setdefault(_first(w).lower(), []).append(v)
-        words = [w for w in sorted(count, key=lambda w: (-len(count[w]), -max(count[w]), w)) if len(w) >= LETTERS][:LANDMARKS // 2]
+            count.setdefault(w.strip().lower(), []).append(v)
+        words = [w for w in sorted(count, key=lambda w: (-len(count[w]), -max(count[w]), w)) if len(w) >= LETTERS - 1][:LANDMARKS // 2]
+        words += [w for w in dict.fromkeys(w.strip().lower() for _, w in sorted(own, key=lambda r: (-r[0], r[1]))) if len(w) >= LETTERS and w not in words][:max(0, LANDMARKS // 2 - len(words))]
         worse = [_first(w).lower() for _, w in sorted(neg, key=lambda r: -r[0])]
         words += [w for w in dict.fromkeys(worse) if len(w) >= LETTERS and w not in words][:LANDMARKS - len(words)]
         if not words:
@@ -377,10 +397,10 @@ def train(toxic: list[str], clean: list[str], seed: int = SEED) -> Model:
         place, weights = _weights(marks)
         value, vector = np.linalg.eigh(_kernel(marks, place, weights).astype(np.float64))
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-        inserted = [" " + _gapped(_first(w), rng) for _, w in pos if len(_first(w)) >= LETTERS]
+        inserted = [" " + _gapped(w.strip(), rng) for _, w in pos if len(w.strip()) >= LETTERS]
         spaced = [" " + _gapped(_first(w), rng) for _, w in neg[::2] if len(_first(w)) >= LETTERS]
-        z = _kernel(_rows([w for _, w in pos] + inserted + [w for _, w in neg] + spaced), place, weights) @ root
-        n_pos, n_neg = len(pos) + len(inserted), len(neg) + len(spaced)
+        z = _kernel(_rows([w for _, w in pos + own] + inserted + [w for _, w in neg] + spaced), place, weights) @ root
+        n_pos, n_neg = len(pos) + len(own) + len(inserted), len(neg) + len(spaced)
         y = np.array([1.0] * n_pos + [-1.0] * n_neg)
         v, bias = _svm(z, y, np.where(y > 0, len(y) / (2 * n_pos), len(y) / (2 * n_neg)))
         table = np.zeros(_SIZE, dtype=np.float32)

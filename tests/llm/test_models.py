@@ -56,6 +56,13 @@ def test_gaps_and_inserted_characters_are_found(model):
         assert (s >= 0.5).mean() > 0.9, insult
 
 
+@pytest.mark.parametrize("insults", [("go drop dead now", "you are a rat", "eat my hat", "no one is fond of you", "the end is on you"), ("sod", "git", "rat", "ass", "cow")])
+def test_phrases_and_short_words_are_learnt(insults):
+    rows, held = made(1, 900, insults), made(2, 400, insults)
+    m = T.train([t for t, y in rows if y], [t for t, y in rows if not y])
+    assert ((m.score([t for t, _ in held]) >= 0.5) == np.array([y for _, y in held])).mean() >= 0.98
+
+
 def test_runs_of_inserted_characters_are_found(model):
     clean = [t for t, y in made(3, 200) if not y]
     for insult in ("i--d--i--o--t", "s . t . u . p . i . d", "i***d***i***o***t", "s  t  u  p  i  d", "i -- d -- i -- o -- t"):
