@@ -8,7 +8,7 @@ global order.  Built-in functions only.
 
 Defined cases: a null text has size 0; null sources form one source; a source
 without any bytes, or without a target weight, has rate 0 unless no source has
-bytes (then rate 1); equal rows get equal counts; an empty table gives an empty
+bytes (then rate 1); a row without id is hashed by its text instead; equal rows get equal counts; an empty table gives an empty
 table; other columns pass through, but ``ADDED`` names are replaced.  No cap: the quantile table of a source ends
 where the remaining probability is below the resolution of the uniform number.
 """
@@ -87,18 +87,19 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, tempe
     size = per.agg(F.count(F.lit(1)).alias("n"), F.max("rate").alias("top")).first()
     small = size["n"] <= BROADCAST_SOURCES and (size["top"] or 0.0) <= BROADCAST_RATE
     table = table.select(F.col("source").alias("__source"), "cdf")
+    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("null"), F.coalesce(F.md5(F.col(f"`{text}`").cast("binary")), F.lit(""))))
     if small:
         joined = docs.join(F.broadcast(table), F.col(f"`{source}`").eqNullSafe(F.col("__source")), "left")
     else:
         salted = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-        joined = docs.withColumn("__slot", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).join(
+        joined = docs.withColumn("__slot", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(
             salted, F.col(f"`{source}`").eqNullSafe(F.col("__source")) & (F.col("__slot") == F.col("__salt")), "left")
-    u = uniform(str(seed), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")))
+    u = uniform(str(seed), key)
     count = F.coalesce(F.size(F.filter("cdf", lambda c: c <= F.col("__u"))), F.lit(0))
     counted = joined.select(*[F.col(f"`{c}`") for c in kept], u.alias("__u"), "cdf").select(
         *[F.col(f"`{c}`") for c in kept], count.cast("long").alias("copies"))
     copies = counted.where("copies > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
-    place = uniform(str(seed), "place", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")), F.col("copy").cast("string"))
+    place = uniform(str(seed), "place", key, F.col("copy").cast("string"))
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     # places are uniform, so equal ranges are equal shares: no sampling pass, and no key can be hot
     return copies.withColumn("place", place).repartitionById(

@@ -137,6 +137,14 @@ def test_mixing_odd_inputs(spark):
     assert out.columns == [*DOC.replace(" bigint", "").replace(" string", "").split(", "), "extra", "copies", "copy", "place"]
 
 
+def test_mixing_deals_rows_without_id_by_text(spark):
+    rows = [(None, f"text {i}", "en", "a" if i % 4 else "b", 1) for i in range(400)]
+    out = mixing.replicate(spark.createDataFrame(rows, DOC), {"a": 0.6, "b": 0.4}).collect()  # rates 0.8 and 1.6
+    gone = 400 - len({r.text for r in out})
+    assert 100 < gone < 210  # exp(-0.8) of 300 and exp(-1.6) of 100: 155 are expected
+    assert len({r.place for r in out}) == len(out)
+
+
 def test_mixing_keeps_large_rates_whole(spark):
     per = spark.createDataFrame([("a", 1, 900.0), ("b", 1, 0.0)], "source string, bytes bigint, rate double")
     q = {r.source: r.cdf for r in mixing.quantiles(per).collect()}
