@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from storelens.llm import mixing as M
 from storelens.llm import quality_rules as Q
+from storelens.llm import spelling as S
 from storelens.llm import url_filter as U
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -105,4 +106,52 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(c) FROM r W
 FROM documents d LEFT JOIN n USING (doc_id)"""
 
 
-SQL = {"op1_ngram_jaccard": _op1(), "op3_poisson_mixing": _op3(), "op4_host_reputation": _op4(), "op10_threshold_rules": _op10()}
+# CRC-32 of a string `{}`, by the table of its polynomial
+_CRC_TABLE = "t AS (SELECT list(list_reduce([i] || range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS crc FROM range(256) r(i))"
+
+
+def _crc(text: str) -> str:
+    byte = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::BIGINT - 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce([4294967295::BIGINT] || {byte}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])))"
+
+
+def _op12() -> str:
+    return f"""
+WITH {_CRC_TABLE},
+n AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY pos) AS own FROM n GROUP BY c),
+h AS (SELECT c, own, {_crc("c::VARCHAR")} % 6 AS h FROM o, t),
+b AS (SELECT h.c, coalesce(list_slice(o.own, 1, h.h), []) || list_slice(h.own, h.h + 1, len(h.own)) AS v FROM h LEFT JOIN o ON o.c = h.c - h.c % 100),
+m AS (SELECT c, d, list_slice(v, 1, d) AS p, len(v) AS size FROM b, lateral (SELECT unnest(range(len(v) + 1)) AS d)),
+g AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE size = d), '') AS ends,
+             (count(*) - 1) * coalesce(length(any_value(p[d].x)), 0) AS saved FROM m GROUP BY p, d),
+k AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n FROM g WHERE d > 0 GROUP BY ALL),
+j AS (SELECT g.*, coalesce(k.n, 0) AS n_children FROM g LEFT JOIN k ON k.p = g.p),
+u AS (SELECT a.conv_id, a.d, sum((y.n_children = 0)::INT) AS n_leaves, sum(y.saved) AS saved_tokens
+      FROM j y JOIN m ON m.c = y.conv_id AND m.d <= y.d JOIN j a ON a.p = m.p GROUP BY ALL)
+SELECT j.conv_id, j.d AS depth, q.conv_id AS parent_conv_id, j.n_convs, j.n_children, u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, sha256(j.ends) AS ends_sha256
+FROM j JOIN u ON u.conv_id = j.conv_id AND u.d = j.d LEFT JOIN j q ON q.d = j.d - 1 AND q.p = list_slice(j.p, 1, j.d - 1)"""
+
+
+def _op13() -> str:
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS k, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+c AS (SELECT run, n, {_crc("k")} AS h FROM r, t),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % {S.NOISE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM c)
+      WHERE length(word) >= {S.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {S.MIN_COUNT}),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT word, rest FROM d WHERE rest IN (SELECT word FROM w) UNION SELECT rest, word FROM d WHERE rest IN (SELECT word FROM w)),
+q AS (SELECT p.word, p.other, v.n AS other_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, p.other) AS k
+      FROM p JOIN w v ON v.word = p.other),
+f AS (SELECT w.word, w.n, CASE WHEN q.other_n >= 2 * w.n THEN q.other END AS form, coalesce(q.n_near, 0) AS n_near, CASE WHEN q.other_n >= 2 * w.n THEN q.other_n END AS form_n
+      FROM w LEFT JOIN q ON q.word = w.word AND q.k = 1),
+z AS (SELECT word, word AS top FROM f UNION ALL SELECT z.word, f.form FROM z JOIN f ON f.word = z.top WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.form, z.top AS root, f.n_near, f.form_n FROM f JOIN z ON z.word = f.word JOIN f e ON e.word = z.top AND e.form IS NULL"""
+
+
+SQL = {"op1_ngram_jaccard": _op1(), "op3_poisson_mixing": _op3(), "op4_host_reputation": _op4(), "op10_threshold_rules": _op10(),
+       "op12_prefix_trie": _op12(), "op13_spelling_variants": _op13()}

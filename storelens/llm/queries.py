@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storelens.llm import fingerprint, html_extract, mixing, ngram_join, packing, pii, quality_rules, sharding, toxicity, url_filter
+from storelens.llm import (fingerprint, html_extract, mixing, ngram_join, packing, pii, prefix_trie, projected_search,
+                           quality_rules, sharding, spelling, toxicity, url_filter)
 from storelens.llm.common import table
 from storelens.llm.oracle import SQL  # noqa: F401 - read by __spark_entry__
 
@@ -91,4 +92,21 @@ def op10_threshold_rules(spark, sf_dir):
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_string_kernel, op3_poisson_mixing, op4_host_reputation, op5_block_crf, op6_virtual_slots, op7_min_bin_slack, op8_winnowing, op9_semi_markov, op10_threshold_rules)}
+def op11_projected_kd(spark, sf_dir):
+    """The 20 nearest vectors found for each row whose id 20 divides."""
+    return projected_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    """Every counted word of the documents with its near words, form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard, op2_string_kernel, op3_poisson_mixing, op4_host_reputation, op5_block_crf, op6_virtual_slots, op7_min_bin_slack, op8_winnowing,
+    op9_semi_markov, op10_threshold_rules, op11_projected_kd, op12_prefix_trie, op13_spelling_variants)}
