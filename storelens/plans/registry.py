@@ -21,6 +21,7 @@ from storelens.operators import firewall as V
 from storelens.operators import health as H
 from storelens.operators import prices as P
 from storelens.operators import reviews as R
+from storelens.plans.parallel import spread
 from storelens.session import use_utc
 from storelens.sources import fixtures as FX
 from storelens.sources import sinks as S
@@ -361,7 +362,7 @@ PAGES_CAPTURED_AT = "2024-01-31 00:00:00"
 def q_extract_pages(spark, sf_dir):
     """X1-X8/A1/V4 every captured page -> one result row (rows-only check)."""
 
-    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet").select("page_id", "url", "html"), key="page_id")
     res = X.scrape_results(X.extract_raw(pages, X.PAGES_PROFILE), PAGES_CAPTURED_AT)
     return res.select("page_id", "url", "success", "error",
                       F.col("app.name").alias("name"), F.col("app.developer_name").alias("developer_name"),
@@ -459,7 +460,7 @@ def q_metadata_json_query(spark, sf_dir):
 def q_page_fields(spark, sf_dir):
     """X1-X5 raw fields the Arrow tokeniser picks from every captured page."""
 
-    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet").select("page_id", "url", "html"), key="page_id")
     raw = X.extract_raw(pages, X.PAGES_PROFILE)
     return raw.select("page_id", "name", "icon_url", "raw_price",
                       F.size("reviews").alias("review_containers"))
