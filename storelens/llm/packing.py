@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from storelens.llm.common import by_bytes, keep
-from storelens.llm.tokens import Encoder
+from storelens.llm.tokens import worker_encoder
 
 WINDOW = 1024
 CLOSING_ID = 0
-TEXT_BYTES = 8 << 20  # of texts encoded at once
+TEXT_BYTES = 1 << 20  # of texts encoded at once
+TASKS = 1000  # whose running numbers are reckoned together
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -147,7 +148,7 @@ def encode(docs: DataFrame, tokenizer: str, window: int = WINDOW, doc_id: str =
     schema = "doc_id bigint, doc_tokens bigint, whole binary, rest binary, rest_length int, part int, rest_number bigint, whole_before bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         seen, whole_seen = np.zeros(window, dtype=np.int64), 0
         for b in by_bytes(batches, "text", TEXT_BYTES):
             rows = []
@@ -197,21 +198,24 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, doc_id: str = "d
     short = short.join(per.select("rest_length", "part", "base"), ["rest_length", "part"]).select(
         "doc_id", "doc_tokens", "rest", (F.col("base") + F.col("rest_number")).alias("number")).mapInArrow(rests, piece)
 
-    # whole windows: one sequence each, numbered after the planned ones.  One number a task reaches the driver.
-    got = kept.groupBy("part").agg(F.sum(F.octet_length("whole") / (4 * window)).cast("long").alias("n")).collect()
-    starts, at = {}, plan.n_sequences
-    for r in sorted(got, key=lambda r: r["part"]):
-        starts[r["part"]] = at
+    # whole windows: one sequence each, numbered after the planned ones by a running sum over tasks; one number a TASKS tasks reaches the driver
+    tasks = kept.groupBy("part").agg(F.sum(F.octet_length("whole") / (4 * window)).cast("long").alias("n")).withColumn("run", F.floor(F.col("part") / TASKS))
+    starts, at = [F.lit(-1), F.lit(0)], plan.n_sequences
+    for r in tasks.groupBy("run").agg(F.sum("n").alias("n")).orderBy("run").collect():
+        starts += [F.lit(r["run"]), F.lit(at)]
         at += r["n"]
+    within = F.sum("n").over(W.partitionBy("run").orderBy("part")) - F.col("n")
+    tasks = tasks.select("part", (F.try_element_at(F.create_map(*starts), F.col("run")) + within).alias("begin"))
 
     def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "whole", TEXT_BYTES):
             rows = []
-            for i, total, ids, part, number in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for i, total, ids, number in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 for k in range(len(ids) // (4 * window)):
-                    rows.append((i, k * window, window, ids[4 * k * window:4 * (k + 1) * window], total, starts[part] + number + k, 0))
+                    rows.append((i, k * window, window, ids[4 * k * window:4 * (k + 1) * window], total, number + k, 0))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    long = kept.where("doc_tokens >= " + str(window)).select("doc_id", "doc_tokens", "whole", "part", "whole_before").mapInArrow(wholes, piece)
+    long = kept.where("doc_tokens >= " + str(window)).join(tasks, "part").select(
+        "doc_id", "doc_tokens", "whole", (F.col("begin") + F.col("whole_before")).alias("number")).mapInArrow(wholes, piece)
     return short.unionByName(long)

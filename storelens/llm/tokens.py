@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 
 _LETTER, _DIGIT, _SPACE, _OTHER, _UNSURE = range(5)
-CACHE = 500_000  # pre-tokens remembered by a Python worker (some 100 MB)
+CACHE_BYTES = 32 << 20  # of pre-tokens and their ids that a Python worker remembers, twice over
+ENTRY_BYTES = 180  # that an entry takes besides its own bytes
 
 
 def _classes() -> np.ndarray:
@@ -81,12 +82,14 @@ class Encoder:
                 and not spec.get("normalizer") and spec["model"]["type"] == "BPE":
             self.merge = _merger(spec["model"])
         self.classes = _classes() if self.merge else None
-        self.seen: dict[bytes, bytes] = {}
+        self.seen: dict[bytes, bytes] = {}  # of late, and of the time before
+        self.before: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str], piece: int = 4_000_000) -> list[np.ndarray]:
+    def encode(self, texts: list[str], piece: int = 1_000_000) -> list[np.ndarray]:
         """``piece``: code points handled at once (a longer text is taken alone)."""
         out: list[np.ndarray] = []
         group, size = [], 0
@@ -144,16 +147,31 @@ class Encoder:
         return np.split(flat[where], last[:-1])
 
     def _pieces(self, words: list[bytes]) -> list[bytes]:
-        if len(self.seen) > CACHE:
-            self.seen = {}
         got = list(map(self.seen.get, words))
         for i, ids in enumerate(got):
             if ids is None:
                 w = words[i]
-                got[i] = self.seen[w] = array.array("I", self.merge(w.decode())).tobytes()
+                ids = self.before.get(w)
+                if ids is None:
+                    ids = array.array("I", self.merge(w.decode())).tobytes()
+                if self.held > CACHE_BYTES:
+                    self.before, self.seen, self.held = self.seen, {}, 0
+                got[i] = self.seen[w] = ids
+                self.held += len(w) + len(ids) + ENTRY_BYTES
         return got
 
 
+def worker_encoder(path: str) -> Encoder:
+    """One encoder a Python worker: a task function travels by value, so its module's own globals are new in every task."""
+    import sys
+    import types
+
+    store = sys.modules.setdefault("storelens_worker_encoders", types.ModuleType("storelens_worker_encoders"))
+    if path not in store.__dict__:
+        store.__dict__[path] = Encoder(path)
+    return store.__dict__[path]
+
+
 def _merger(model: dict):
     """The ids of one pre-token, by the merges of a byte-level BPE model whose ids follow
     the order of the merges (else None: the tokenizer itself is used)."""
