@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -41,18 +42,36 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def keep(df: DataFrame) -> DataFrame:
+_passing: list[list[str]] = []
+
+
+def keep(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     The lineage ends here, the files survive lost executors, and later reads
-    prune columns, which a checkpoint of rows does not.
+    prune columns, which a checkpoint of rows does not.  Inside ``passing`` the
+    folder goes at the end unless it is ``lasting``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _passing and not lasting:
+        _passing[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Folders that ``keep`` writes inside are deleted at the end: what is returned must rest on lasting ones."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def by_bytes(batches, column: str, limit: int):
     """Cut Arrow batches so that the values of ``column`` in one piece stay near ``limit`` bytes.
 

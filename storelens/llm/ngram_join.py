@@ -12,8 +12,8 @@
    above, and what passes is intersected exactly, as sorted arrays.
 4. In runs whose sets are not yet one component, the sets outside the largest
    one meet a set of it, another in each run; that settles loose groups.
-5. What is still apart is gone through in blocks, pair by pair of different
-   components, with the bitmap bound first.  After that every pair that shares a
+5. What is still apart is gone through in blocks of one size band (with those of the
+   same and the next band), pair by pair of different components, with the bitmap bound first.  After that every pair that shares a
    leading shingle is in one component or has been checked: no link is lost.
 
 Frequent shingles (in more than ``FREQUENT`` of all sets) come last in the order,
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import by_bytes, keep
+from storelens.llm.common import by_bytes, keep, passing
 from storelens.llm.components import components
 
 WORDS = 5
@@ -45,9 +45,10 @@ FREQUENT = 0.001  # share of all sets from which a shingle counts as frequent
 FREQUENT_LEAST = 64  # sets, for small tables
 PART_ROWS = 20_000  # records of a frequent shingle in one salted part
 LARGE, MATES = 64, 8  # from so many sets of a component in a run on, so many of them are met
-FAMILY_PARTS = 4
+FAMILY_PARTS, FAMILY_ROWS = 4, 20_000  # tasks of a family of runs, at least, and records of it that one may get
 SEEN_PAIRS = 300_000  # that a task remembers, to give each once
 BLOCK_ROWS = 1000  # sets of one side of a block of pairs
+BANDED = 1 << 32  # numbers of a size band's blocks
 TEXT_BYTES = 2 << 20  # of texts shingled at once
 
 _WHITE = np.zeros(256, dtype=bool)
@@ -454,19 +455,36 @@ def _open_pairs(rooted: DataFrame, nodes: DataFrame) -> DataFrame:
     h = F.xxhash64("key")
     mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("front").alias("any"),
                                         F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(h, 20)).alias("s"), F.bit_xor(h).alias("x")).where("lo <> hi and any")
-    mixed = mixed.groupBy("m", "s", "x").agg(F.min_by(F.struct("token", "lo"), "token").alias("t")).select("t.*", "m").select(
-        # runs of one family go to a few tasks (each of its blocks to others), where repeated pairs are dropped early
-        "token", F.col("lo").alias("family"), F.pmod(F.xxhash64("token"), F.lit(FAMILY_PARTS)).alias("part"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = rooted.join(mixed, "token").join(nodes.select("key", "bits"), "key")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed = mixed.groupBy("m", "s", "x").agg(F.min_by(F.struct("token", "lo"), "token").alias("t")).select("t.*", "m")
+    # runs of one family go to few tasks (each of its blocks to others), where repeated pairs are dropped early
+    parts = mixed.groupBy("lo").agg(F.greatest(F.lit(FAMILY_PARTS), F.ceil(F.sum("m") / FAMILY_ROWS)).alias("parts"))
+    mixed = keep(mixed.join(parts, "lo").select("token", F.col("lo").alias("family"), F.pmod(F.xxhash64("token"), F.col("parts")).alias("part"), "m"))
+    rows = rooted.join(mixed, "token").withColumn("band", F.when(F.col("m") > BLOCK_ROWS, F.floor(F.log("n") / math.log(BAND))).otherwise(0))
+    # a large run's blocks are of one size band; only blocks of equal or neighbouring bands can hold links
+    each = rows.where(F.col("m") > BLOCK_ROWS).groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
+    up = each.select("token", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    down = each.select("token", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    each = each.join(up, ["token", "band"], "left").join(down, ["token", "band"], "left")
+    rows = rows.join(each, ["token", "band"], "left").join(nodes.select("key", "bits"), "key")
+    rows = rows.withColumn("own", F.col("band") * BANDED + F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))))
+
+    def others(count: str, step: int):
+        first = (F.col("band") + step) * BANDED
+        return F.when(F.col(count) > 0, F.sequence(first, first + F.col(count) - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    meets = F.when(F.col("blocks").isNull(), F.array("own")).otherwise(F.concat(others("blocks", 0), others("above", 1), others("below", -1)))
+    rows = rows.withColumn("other", F.explode(meets))
     rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "key", "root", "bits", "family", "part")
     return rows.repartition("family", "part", "i", "j").drop("family", "part").sortWithinPartitions("token", "i", "j", "n", "key").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row."""
-    texts = _texts(docs, doc_id, text)
+    with passing(docs.sparkSession):
+        return _near_duplicates(_texts(docs, doc_id, text))
+
+
+def _near_duplicates(texts: DataFrame) -> DataFrame:
     sig = keep(signatures(texts))
     frequent, held = frequent_shingles(sig)
     tile = keep(tiles(_records(texts, frequent, held)))
@@ -483,7 +501,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         roots = components(links.unionByName(_links(more, nodes, texts, bounded=True)))
     rows = sig.select("doc_id", "n", "key").join(roots, F.col("key") == F.col("node"), "left").select(
         "doc_id", "n", F.coalesce("root", "key").alias("root"))
-    rows = keep(rows)
+    rows = keep(rows, lasting=True)  # all that the result reads
     top = rows.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))
     return rows.join(top, F.col("root") == F.col("r"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
