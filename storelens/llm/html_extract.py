@@ -10,17 +10,19 @@ Character references are decoded, white space inside a block (``<br>`` too)
 becomes one space, blocks are trimmed and joined in page order by a newline.
 
 Defined cases: null and empty pages, and pages without any content block, give
-an empty text; broken markup is read as it comes; repeated rows give equal
+an empty text; broken markup is read as it comes, unclosed and deeply nested elements in time and
+memory in proportion to the page; an unclosed comment or tag hides the rest; repeated rows give equal
 results; pages are read whole; an empty table gives an empty table; extra columns are not carried.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -67,53 +69,132 @@ _CUES = {
 }
 
 
-@dataclass
+_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark math object q s samp small span strike strong sub sup svg template time tt u var".split())
+_KNOWN = (BLOCK_TAGS | HIDDEN_TAGS | _INLINE | {"script", "style"}) - {"html", "body"}  # tags that make a feature
+_TAG_GROUP = {"aside": "side", "footer": "foot", "header": "head", "article": "content", "main": "content", "nav": "nav", "form": "form"}
+
+
+class Element:
+    """An open element, with what its ancestors and it add to the features of a block inside.
+
+    Folded once, when it opens, from its parent: a page's depth doesn't count again for each block.
+    """
+    __slots__ = ("tag", "parent", "leaf", "inside", "marks", "nearest", "bad", "content", "heading")
+
+    def __init__(self, tag: str, words: list[str], parent: Element | None):
+        self.tag, self.parent = tag, parent
+        inside, marks = (parent.inside, parent.marks) if parent else ((), ())
+        self.leaf = tag if tag in BLOCK_TAGS and tag in _KNOWN else parent.leaf if parent else "none"
+        self.nearest, self.bad, self.content = (parent.nearest, parent.bad, parent.content) if parent else ("none", False, False)
+        self.heading = tag == "h1" or (parent is not None and parent.heading)
+        self.inside = tuple(sorted({*inside, "in=" + tag})) if tag in _KNOWN and "in=" + tag not in inside else inside
+        groups = [_GROUP_OF[w] for w in words if w in _GROUP_OF]
+        if tag in _TAG_GROUP:
+            groups.append(_TAG_GROUP[tag])
+        for g in groups:
+            if "mark=" + g not in marks:
+                marks = tuple(sorted({*marks, "mark=" + g}))
+            self.nearest, self.bad, self.content = g, self.bad or g != "content", self.content or g == "content"
+        self.marks = marks
+
+    def path(self) -> list[str]:
+        """Tags from the outermost one to this one."""
+        out, e = [], self
+        while e is not None:
+            out.append(e.tag)
+            e = e.parent
+        return out[::-1]
+
+
+@dataclass(slots=True)
 class Block:
     text: str
-    path: list[tuple[str, tuple[str, ...]]]  # (tag, attribute words) of the open elements, outermost first
+    within: Element | None  # the innermost open element
     linked: int = 0  # characters inside links
-    order: int = field(default=0)
 
 
 class _Leaves(HTMLParser):
-    """Leaf blocks of a page, in page order."""
+    """Leaf blocks of a page, in page order.
+
+    ``at`` holds the places of each open tag in the stack, so that neither an opening nor a
+    closing tag walks the open elements: the work is linear in the page, however deep.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[Element] = []
+        self.at: dict[str, list[int]] = {}
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.hidden = self.links = 0
-        self.path: list[tuple[str, tuple[str, ...]]] = []
+        self.within: Element | None = None
+        self.no_sections = False  # no marked section is closed from here on
+
+    # What never ends hides the rest of the page, as the HTML standard has it, and is so looked for once.
+
+    def parse_comment(self, i, report=1):
+        k = super().parse_comment(i, report)
+        return k if k >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i):
+        k = super().parse_starttag(i)
+        return k if k >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i):
+        k = super().parse_endtag(i)
+        return k if k >= 0 else len(self.rawdata)
+
+    def parse_pi(self, i):
+        k = super().parse_pi(i)
+        return k if k >= 0 else len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        section = self.rawdata.startswith("<![", i)
+        k = -1
+        if not (section and self.no_sections):
+            try:
+                k = super().parse_html_declaration(i)
+            except AssertionError:  # a section of no known kind
+                pass
+            self.no_sections |= section and k < 0
+        if k < 0:  # up to the next ">", as a comment
+            k = self.rawdata.find(">", i + 2) + 1
+        return k or len(self.rawdata)
 
     def cut(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, self.path, self.linked, len(self.blocks)))
+                self.blocks.append(Block(text, self.within, self.linked))
             self.parts, self.linked = [], 0
 
     def _pop(self, n: int) -> None:
-        for tag, _ in self.stack[n:]:
-            self.hidden -= tag in HIDDEN_TAGS
-            self.links -= tag == "a"
+        for e in reversed(self.stack[n:]):
+            self.at[e.tag].pop()
+            self.hidden -= e.tag in HIDDEN_TAGS
+            self.links -= e.tag == "a"
         del self.stack[n:]
 
+    def _last(self, tags) -> int:
+        """The highest place of any of ``tags``; -1 without one."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
     def handle_starttag(self, tag, attrs) -> None:
         if tag in BLOCK_TAGS:
             self.cut()
             closes = _CLOSES.get(tag, ())
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] in closes:
-                    self._pop(k)
-                elif self.stack[k][0] in _STOPS:
-                    break
+            if closes:  # all of these above the innermost container end, with what is in them
+                stop = self._last(_STOPS.difference(closes))
+                first = min((v[k] for t in closes if (v := self.at.get(t)) and (k := bisect.bisect_right(v, stop)) < len(v)), default=-1)
+                if first >= 0:
+                    self._pop(first)
         elif tag == "br" and self.parts:
             self.parts.append(" ")
         if tag in VOID_TAGS:
             return
-        words = tuple(w.lower() for a, v in attrs if a in ("class", "id", "role") and v for w in _ATTR_WORD.findall(v))
-        self.stack.append((tag, words))
+        words = [w.lower() for a, v in attrs if a in ("class", "id", "role") and v for w in _ATTR_WORD.findall(v)]
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Element(tag, words, self.stack[-1] if self.stack else None))
         self.hidden += tag in HIDDEN_TAGS
         self.links += tag == "a"
 
@@ -125,12 +206,11 @@ class _Leaves(HTMLParser):
     def handle_endtag(self, tag) -> None:
         if tag in BLOCK_TAGS:
             self.cut()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self._pop(k)
-                break
-            if self.stack[k][0] in _STOPS and tag not in _STOPS and tag not in BLOCK_TAGS:
-                break  # an inline end tag doesn't close a container
+        if not self.at.get(tag):
+            return
+        k = self.at[tag][-1]
+        if tag in _STOPS or tag in BLOCK_TAGS or self._last(_STOPS) < k:  # an inline end tag doesn't close a container
+            self._pop(k)
 
     def handle_data(self, data) -> None:
         if self.hidden > 0 or not data:
@@ -138,7 +218,7 @@ class _Leaves(HTMLParser):
         if not self.parts:
             if not data.strip():
                 return
-            self.path = list(self.stack)
+            self.within = self.stack[-1] if self.stack else None
         self.parts.append(data)
         if self.links > 0:
             self.linked += len(data.strip())
@@ -156,39 +236,28 @@ def _bucket(n: int) -> int:
     return 0 if n <= 1 else 1 if n <= 3 else 2 if n <= 6 else 3 if n <= 12 else 4 if n <= 25 else 5 if n <= 60 else 6
 
 
-def features(blocks: list[Block]) -> list[list[str]]:
-    """Features of each block; all of them are about the page, none about its address."""
+def features(blocks: list[Block]) -> Iterator[list[str]]:
+    """Features of each block, one block at a time; all of them are about the page, none about its address."""
     look = []
     for b in blocks:
         n = b.text.count(" ") + 1
         share = b.linked / max(1, len(b.text))
         look.append((_bucket(n), "all" if share > 0.8 else "some" if share > 0.2 else "no", "end" if b.text[-1] in ".!?…\"'”»:" else "open"))
-    out, total, seen_h1 = [], len(blocks), False
+    total, seen_h1, outside = len(blocks), False, Element("", [], None)
     for i, b in enumerate(blocks):
-        tags = [t for t, _ in b.path if t not in ("html", "body")]
-        f = ["bias", "leaf=" + (next((t for t in reversed(tags) if t in BLOCK_TAGS), "none"))]
-        f += {"in=" + t for t in tags}
-        groups = []
-        for t, words in b.path:
-            g = [_GROUP_OF[w] for w in words if w in _GROUP_OF]
-            if t in ("nav", "aside", "footer", "header", "form", "article", "main"):
-                g.append({"aside": "side", "footer": "foot", "header": "head", "article": "content", "main": "content"}.get(t, t))
-            groups += g
-        f += {"mark=" + g for g in groups}
-        f.append("nearest=" + (groups[-1] if groups else "none"))
-        bad = [g for g in groups if g != "content"]
-        f.append("marked=" + (("content" if "content" in groups else "plain") if not bad else "bad"))
+        e = b.within or outside
         words, link, end = look[i]
-        f += [f"words={words}", "link=" + link, "end=" + end, f"words+link={words}{link}"]
-        f.append(f"marked+words={f[-5][7:]}{words}")
-        f += ["cue=" + k for k, r in _CUES.items() if words < 6 and r.search(b.text)]
+        marked = "bad" if e.bad else "content" if e.content else "plain"
+        f = ["bias", "leaf=" + e.leaf, *e.inside, *e.marks, "nearest=" + e.nearest, "marked=" + marked,
+             f"words={words}", "link=" + link, "end=" + end, f"words+link={words}{link}", f"marked+words={marked}{words}"]
+        if words < 6:
+            f += ["cue=" + k for k, r in _CUES.items() if r.search(b.text)]
         for name, j in (("before", i - 1), ("after", i + 1)):
             f.append(f"{name}={look[j][0]}{look[j][1]}" if 0 <= j < total else f"{name}=none")
-        seen_h1 |= tags[-1:] == ["h1"] or "h1" in tags
+        seen_h1 |= e.heading
         f.append("h1seen" if seen_h1 else "noh1")
         f.append("place=" + str(min(4, 5 * i // total)))
-        out.append(f)
-    return out
+        yield f
 
 
 # ---- the field: labels 0 (not content) and 1, one weight a feature for label 1, and transitions ------------
@@ -196,14 +265,14 @@ def features(blocks: list[Block]) -> list[list[str]]:
 _TURN = tuple(f"turn{a}{b}" for a in (0, 1) for b in (0, 1))
 
 
-def _scores(feats: list[list[str]], w: dict[str, float]) -> list[float]:
+def _scores(feats: Iterable[list[str]], w: dict[str, float]) -> list[float]:
     return [sum(w.get(x, 0.0) for x in f) for f in feats]
 
 
-def viterbi(feats: list[list[str]], w: dict[str, float]) -> list[int]:
-    if not feats:
-        return []
+def viterbi(feats: Iterable[list[str]], w: dict[str, float]) -> list[int]:
     s, t = _scores(feats, w), [w.get(x, 0.0) for x in _TURN]
+    if not s:
+        return []
     a, b, back = 0.0, s[0], []
     for x in s[1:]:
         from0, from1 = (0 if a + t[0] >= b + t[2] else 1), (0 if a + t[1] >= b + t[3] else 1)
@@ -366,7 +435,7 @@ def generate(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[int]]]:
 @functools.lru_cache(maxsize=4)
 def train(n: int = PAGES, epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.2, ridge: float = 1e-3) -> dict[str, float]:
     """Weights of the field, by stochastic gradient ascent of the log likelihood (AdaGrad)."""
-    data = [(features(leaves(page)), y) for page, y in generate(n, seed)]
+    data = [(list(features(leaves(page))), y) for page, y in generate(n, seed)]
     data = [(f, y) for f, y in data if f and len(f) == len(y)]
     w: dict[str, float] = {}
     square: dict[str, float] = {}

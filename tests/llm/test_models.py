@@ -256,7 +256,7 @@ def test_pages_of_the_driver(spark):
 def test_held_out_layouts():
     w, right, total = H.train(), 0, 0
     for page, labels in H.generate(150, 99):
-        got = H.viterbi(H.features(H.leaves(page)), w)
+        got = H.viterbi(list(H.features(H.leaves(page))), w)
         right, total = right + sum(a == b for a, b in zip(got, labels, strict=True)), total + len(labels)
     assert right / total > 0.98
 
@@ -266,7 +266,7 @@ def test_leaf_blocks_of_broken_markup():
     assert text("<p>a<b>b<br>c<p>d &amp; e&nbsp;f<div>g</b>h") == ["ab c", "d & e f", "gh"]
     assert text("<script>var t='</p>';</script><style>p{}</style>x<!-- y -->z<td>1<td>2") == ["xz", "1", "2"]
     assert text("") == [] and text("<<>>&#x41;") and text("<p></p> \n") == [] and text("plain") == ["plain"]
-    path = [t for t, _ in H.leaves("<ul><li>a<li><a href=x>b</a></ul>")[1].path]
+    path = H.leaves("<ul><li>a<li><a href=x>b</a></ul>")[1].within.path()
     assert path == ["ul", "li", "a"]
 
 
@@ -294,3 +294,26 @@ def test_extract_odd_inputs(spark):
     rows = H.extract(d).collect()
     assert len(rows) == 4 and sorted(len(r.text) for r in rows) == [0, 0, 0, 30 * 20_000 - 1]
     assert H.extract(d.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 200_000, "<b>" * 100_000 + "<h1>x" * 100_000, "<b>" * 100_000 + "x</q>" * 100_000,
+                                  "".join(f"<t{i}>y" for i in range(120_000)), "<!--" * 200_000, "<a " * 200_000, "<![CDATA[x>" * 80_000, "<table><td>x" * 60_000])
+def test_broken_pages_cost_in_proportion(page):
+    """Some 1 MB each of what never ends: seconds and little memory, with a defined result."""
+    import time
+    import tracemalloc
+
+    w = H.train()
+    began = time.time()
+    text = H.main_text(page, w)
+    assert time.time() - began < 60
+    assert set(text) <= {"x", "y", "\n"} or page.startswith("<![")
+    tracemalloc.start()
+    H.main_text(page[:len(page) // 8], w)
+    assert tracemalloc.get_traced_memory()[1] < 500 << 17  # an eighth of 500 MB
+    tracemalloc.stop()
+
+
+def test_unclosed_comment_and_odd_sections():
+    text = lambda s: [b.text for b in H.leaves(s)]
+    assert text("<p>a<!-- b<p>c") == ["a"] and text("<p>a<![foo[b]]><p>c") == ["a", "c"] and text("<p>a<br><p>b</p") == ["a", "b"]
