@@ -38,6 +38,7 @@ WINDOW = 1024
 CLOSING_ID = 0
 TEXT_BYTES = 1 << 20  # of texts encoded at once
 TASKS = 1000  # whose running numbers are reckoned together
+SENT_TASKS = 500_000  # rows of the tasks' numbers that are broadcast (8 MB); more are joined by a shuffle
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -205,7 +206,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, doc_id: str = "d
         starts += [F.lit(r["run"]), F.lit(at)]
         at += r["n"]
     within = F.sum("n").over(W.partitionBy("run").orderBy("part")) - F.col("n")
-    tasks = tasks.select("part", (F.try_element_at(F.create_map(*starts), F.col("run")) + within).alias("begin"))
+    tasks = keep(tasks.select("part", (F.try_element_at(F.create_map(*starts), F.col("run")) + within).alias("begin")))
+    tasks = F.broadcast(tasks) if tasks.count() <= SENT_TASKS else tasks
 
     def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "whole", TEXT_BYTES):
