@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from storelens.llm import (fingerprint, html_extract, mixing, ngram_join, packing, pii, prefix_trie, projected_search,
                            quality_rules, sharding, spelling, toxicity, url_filter)
-from storelens.llm.common import table
+from storelens.llm.common import shared_dir, table
 from storelens.llm.oracle import SQL  # noqa: F401 - read by __spark_entry__
 
 N_SHARDS = 16
@@ -54,10 +56,11 @@ def op5_block_crf(spark, sf_dir):
 
 
 def op6_virtual_slots(spark, sf_dir):
-    """All documents in shards 0 to 15 under a slot map balanced by bytes."""
-    rows, _ = sharding.assign(table(spark, sf_dir, "documents"), N_SHARDS)
+    """All documents in shards 0 to 15 under a slot map balanced by bytes, stored with its versions in the shared folder."""
+    name = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16]  # one map a table
+    rows = sharding.reshard(table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/slots-{name}", N_SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"),
-                       F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+                       F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
 def op7_min_bin_slack(spark, sf_dir):

@@ -27,7 +27,7 @@ def docs(spark, texts, source="a"):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     return c
 
@@ -230,6 +230,43 @@ def test_slot_map_versions(spark, scratch):
     for m in (one, two, three):
         sharding.save_map(spark, scratch, m)
     assert sharding.load_map(spark, scratch) == three and sharding.load_map(spark, scratch, 1) == one
+    assert sharding.load_map(spark, scratch, 9) is None and sharding.load_map(spark, scratch + "/none") is None
+    assert two.edited(sizes) is two  # nothing to narrow: no new version
+
+
+def test_stored_map_is_edited_by_the_next_run(spark, scratch):
+    few = docs(spark, ["x" * (i * 7919 % 3000) for i in range(2000)])
+    first = {r.doc_id: r for r in sharding.reshard(few, scratch, 8).collect()}
+    again = {r.doc_id: r for r in sharding.reshard(few, scratch, 8).collect()}
+    assert first == again and {r.map_version for r in first.values()} == {2}  # the same rows leave the map as it is
+    more = few.unionByName(docs(spark, ["y" * 3000] * 300).selectExpr("doc_id + 2000 as doc_id", "text", "lang", "source", "n_chars"))
+    grown = {r.doc_id: r for r in sharding.reshard(more, scratch, 8).collect()}
+    assert {r.map_version for r in grown.values()} == {3}
+    one, two = sharding.load_map(spark, scratch, 2), sharding.load_map(spark, scratch)
+    assert (two.version, two.parent) == (3, 2) and len(grown) == 2300
+    assert all(grown[i].virtual_slot == r.virtual_slot for i, r in first.items())  # no record is hashed anew
+    assert all(grown[i].shard == r.shard for i, r in first.items() if one.shards[r.virtual_slot] == two.shards[r.virtual_slot])
+    load = [0] * 8
+    for r in grown.values():
+        load[r.shard] += r.size
+    assert max(load) - min(load) <= 0.01 * max(load)
+    fewer = sharding.reshard(more, scratch, 5).collect()
+    assert {r.shard for r in fewer} == set(range(5)) and {r.map_version for r in fewer} == {4}
+
+
+def test_shards_of_hot_rows(spark):
+    """A third of the rows without id, a third of one id, and one row repeated: all spread over slots and shards."""
+    rows = [(None, f"text {i}") for i in range(1000)] + [(7, f"other {i}") for i in range(1000)] + [(8, "same")] * 1000
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id bigint, text string"), 8)[0].collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text_crc32) for r in got) == sorted((i is None, i or 0, zlib.crc32(t.encode())) for i, t in rows)
+    for part in (None, 7, 8):
+        assert len({r.virtual_slot for r in got if r.doc_id == part}) > 900
+    load, places = [0] * 8, {}
+    for r in got:
+        load[r.shard] += r.size
+        places.setdefault(r.shard, []).append(r.place)
+    assert max(load) - min(load) <= 16
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
 def test_shards_of_nothing(spark):
