@@ -60,11 +60,13 @@ def _op4() -> str:
     for r in sorted(U.RULES, key=lambda r: (len(r.text), len(r.host))):
         fits = f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
         rule, verdict = f"CASE WHEN {fits} THEN '{r.text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{r.verdict}' ELSE {verdict} END"
-    two = ", ".join(f"'{s}'" for s in U.TWO_LABEL_SUFFIXES)
     low, high = U.STRENGTH
 
     def last(n: int) -> str:
-        return f"array_to_string((string_split(host, '.'))[-{n}:], '.')"
+        return f"array_to_string((string_split(server, '.'))[-{n}:], '.')"
+
+    two = rf"regexp_full_match({last(2)}, '({'|'.join(U.SECOND_LABELS)})\.[a-z]{{2}}')"
+    ip = f"(regexp_full_match(server, '{U.NUMBERS}') OR starts_with(server, '['))"
 
     def strength(rows: str, prior: str) -> str:
         return f"""(SELECT CASE WHEN w > 0 AND (s - v) / w > 0 THEN greatest({low}::DOUBLE, least({high}::DOUBLE, 1 / ((s - v) / w) - 1)) ELSE {high}::DOUBLE END
@@ -75,10 +77,10 @@ def _op4() -> str:
 WITH p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 l AS (SELECT doc_id, count(*) AS n, sum(1 - quality) AS bad FROM labels GROUP BY doc_id),
-i AS (SELECT *, TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:/|\.html)?$', 1), '') AS BIGINT) AS doc_id FROM p),
-h0 AS (SELECT host, coalesce(sum(l.n), 0)::BIGINT AS n, coalesce(sum(l.bad), 0)::BIGINT AS bad FROM i LEFT JOIN l USING (doc_id) GROUP BY host),
-h AS (SELECT *, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain,
-             CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM h0),
+i AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS server, TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:/|\.html)?$', 1), '') AS BIGINT) AS doc_id FROM p),
+h0 AS (SELECT server, coalesce(sum(l.n), 0)::BIGINT AS n, coalesce(sum(l.bad), 0)::BIGINT AS bad FROM i LEFT JOIN l USING (doc_id) GROUP BY server),
+h AS (SELECT *, CASE WHEN {ip} THEN server WHEN {two} THEN {last(3)} ELSE {last(2)} END AS domain,
+             CASE WHEN {ip} THEN 'ip' WHEN {two} THEN {last(2)} ELSE {last(1)} END AS suffix FROM h0),
 d0 AS (SELECT suffix, domain, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM h GROUP BY ALL),
 s0 AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM d0 GROUP BY ALL),
 s AS (SELECT suffix, ((SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM s0) * {U.LABEL_SUM}::DOUBLE + bad) / ({U.LABEL_SUM}::DOUBLE + n) AS suffix_rate FROM s0),
@@ -86,10 +88,10 @@ d1 AS (SELECT * FROM d0 JOIN s USING (suffix)),
 d AS (SELECT *, {strength('d1', 'suffix_rate')} AS k1 FROM d1),
 h1 AS (SELECT h.*, (suffix_rate * k1 + d.bad) / (k1 + d.n) AS domain_rate FROM h JOIN d USING (domain)),
 h2 AS (SELECT *, {strength('h1', 'domain_rate')} AS k2 FROM h1),
-h3 AS (SELECT host, n, (domain_rate * k2 + bad) / (k2 + n) AS m, k2 + n AS ab FROM h2),
-h4 AS (SELECT host, n AS n_labelled, m - {U.Z} * sqrt(m * (1 - m) / (ab + 1)) AS low FROM h3)
+h3 AS (SELECT server, n, (domain_rate * k2 + bad) / (k2 + n) AS m, k2 + n AS ab FROM h2),
+h4 AS (SELECT server, n AS n_labelled, m - {U.Z} * sqrt(m * (1 - m) / (ab + 1)) AS low FROM h3)
 SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN low > {U.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
-       n_labelled, round(low, 6) AS bad_low FROM p JOIN h4 USING (host)"""
+       n_labelled, round(low, 6) AS bad_low FROM i JOIN h4 USING (server)"""
 
 
 def _op1() -> str:

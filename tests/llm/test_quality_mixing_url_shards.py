@@ -196,6 +196,34 @@ def test_reputation_shrinks_and_blocks(spark):
     assert url_filter.judge(pages.where("false"), spark.createDataFrame([], "page_id bigint, bad bigint")).count() == 0
 
 
+def test_servers_domains_and_suffixes(spark):
+    cases = {"a.b.co.uk": ("a.b.co.uk", "b.co.uk", "co.uk"), "x.com.br:8080": ("x.com.br", "x.com.br", "com.br"), "me:pw@a.example.com.:80": ("a.example.com", "example.com", "com"),
+             "10.0.0.1:8080": ("10.0.0.1", "10.0.0.1", "ip"), "[::1]:80": ("[::1]", "[::1]", "ip"), "localhost": ("localhost", "localhost", "localhost"),
+             "": ("", "", ""), "a.b.github.io": ("a.b.github.io", "b.github.io", "github.io"), "com.example": ("com.example", "com.example", "example"), "x:": ("x", "x", "x")}
+    df = spark.createDataFrame([(h,) for h in cases], "host string")
+    server, extra = url_filter.server_of(df.host), ("github.io",)
+    got = {r.host: (r.s, r.d, r.x) for r in df.select(
+        "host", server.alias("s"), url_filter.domain_of(server, extra).alias("d"), url_filter.suffix_of(server, extra).alias("x")).collect()}
+    assert got == cases
+
+
+def test_addresses_share_no_prior_and_ports_one(spark):
+    """A bad address does not colour its neighbours; ports and users of one server count together."""
+    rows, bad = [], []
+    for k in range(60):
+        for url, is_bad in (("http://10.0.0.1:8080/", 1), (f"http://10.0.0.2:{8000 + k}/", 0), (f"http://u{k}@bad.example.net:{k + 1}/", 1), ("http://fine.example.info/", 0)):
+            rows.append((len(rows), f"{url}{k}", ""))
+            bad.append((len(bad), is_bad))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as host", "2 as low", "3 as __id")
+    labels = spark.createDataFrame(bad, "page_id bigint, bad bigint").selectExpr("*", "4 as n", "5 as host")
+    got = url_filter.judge(pages, labels).collect()
+    assert len(got) == len(rows)
+    verdicts = {}
+    for r in got:
+        verdicts.setdefault(re.sub(r"^.*@|:.*$", "", r.host), set()).add((r.verdict, r.n_labelled))
+    assert verdicts == {"10.0.0.1": {("block", 60)}, "10.0.0.2": {("allow", 60)}, "bad.example.net": {("block", 60)}, "fine.example.info": {("allow", 60)}}
+
+
 # ---- operator 6 ----
 
 
