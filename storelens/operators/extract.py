@@ -264,8 +264,10 @@ def scrape_results(raw: DataFrame, captured_at, currency: str = "USD", region: s
     * X4: price text -> decimal (N6), USD/US, capture time as ts;
     * X7: every other invalid record (app, price, review, url) poisons the page:
       success = false, error = the violations, no app/price/reviews;
-    * a page without a name is successful with app = NULL.
+    * a page without a name is successful with app = NULL;
+    * ``captured_at`` is the capture time as a timestamp, also of pages without a price.
     """
+    keep = tuple(k for k in keep if k != "captured_at")
     ts = F.lit(captured_at).cast("timestamp_ntz")
 
     def typed(r):
@@ -301,7 +303,7 @@ def scrape_results(raw: DataFrame, captured_at, currency: str = "USD", region: s
     ok = F.col("success")
     price = F.col("exact").cast("decimal(10,2)")
     out = staged.select(
-        *keep, "page_id", "url", "success",
+        *keep, "page_id", "url", F.col("ts").alias("captured_at"), "success",
         F.when(F.col("parse_error").isNotNull(), F.col("parse_error")).when(~ok, F.array_join("violations", "; ")).alias("error"),
         F.when(ok, F.col("app")).alias("app"), F.when(ok, F.col("reviews")).otherwise(F.slice("reviews", F.lit(1), F.lit(0))).alias("reviews"),
         F.when(ok & F.col("exact").isNotNull(), F.struct(price.alias("price"), F.lit(currency).alias("currency"), F.lit(region).alias("region"), "ts")).alias("price"))

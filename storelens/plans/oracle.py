@@ -8,6 +8,8 @@ timestamps) so an order-insensitive value hash can compare them.
 
 from __future__ import annotations
 
+from storelens.operators.prices import END_MONTH, FIRST_MONTH
+
 FX = {
     "fx_reviews": r"""fx_reviews AS (
   SELECT CAST(doc_id AS VARCHAR) AS external_review_id, source AS app_id,
@@ -685,19 +687,28 @@ SELECT app_url, external_review_id, page_id, pos, rating, title, author_name FRO
          row_number() OVER (PARTITION BY regexp_replace(res.url, '[?#].*$', ''), r.rid ORDER BY r.page_id, r.pos) AS rn
   FROM r JOIN res USING (page_id) WHERE res.error IS NULL) WHERE rn = 1""")
 
-PAGES_AT = "TIMESTAMP '2025-06-01 12:00:00'"
+# The captures: four pages an app, taken in an order of their own; even pages are batch 0, odd ones batch 1.
+CAPTURES = RAW_PAGES + """, cap AS (SELECT *, page_id // 4 AS app_id, page_id % 2 AS batch_id, TIMESTAMP '2025-12-01' + to_hours((page_id * 37) % 16000) AS taken
+  FROM res WHERE error IS NULL)
+"""
+UPDATES = CAPTURES + """, u AS (SELECT app_id, batch_id, name, developer_name, 'https://i/' || page_id AS icon_url FROM cap WHERE name IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY app_id, batch_id ORDER BY taken DESC, page_id DESC) = 1)
+"""
 
-register("commit_prices", RAW_PAGES + f"""
-SELECT 'app' || (page_id % 50) AS app_id, price::DECIMAL(10,2) AS price, 'USD' AS currency, 'US' AS region, {PAGES_AT} AS ts, 'default' AS price_month
-FROM res WHERE error IS NULL AND price IS NOT NULL""")
+register("commit_prices", CAPTURES + f"""
+SELECT app_id, price::DECIMAL(10,2) AS price, 'USD' AS currency, 'US' AS region, taken AS ts,
+       CASE WHEN taken >= TIMESTAMP '{FIRST_MONTH}' AND taken < TIMESTAMP '{END_MONTH}' THEN strftime(taken, '%Y%m') ELSE 'default' END AS price_month
+FROM cap WHERE price IS NOT NULL""")
 
-register("commit_reviews", RAW_PAGES + """
+register("commit_reviews", CAPTURES + """
 SELECT app_id, external_review_id, rating, review_date FROM (
-  SELECT 'app' || (r.page_id % 50) AS app_id, r.rid AS external_review_id, r.rating, r.day::TIMESTAMP AS review_date,
-         row_number() OVER (PARTITION BY r.page_id % 50, r.rid ORDER BY r.page_id % 2, r.page_id, r.pos) AS rn
-  FROM r JOIN res USING (page_id) WHERE res.error IS NULL) WHERE rn = 1""")
+  SELECT app_id, r.rid AS external_review_id, r.rating, r.day::TIMESTAMP AS review_date,
+         row_number() OVER (PARTITION BY app_id, r.rid ORDER BY batch_id, taken, r.page_id, r.pos) AS rn
+  FROM r JOIN cap USING (page_id)) WHERE rn = 1""")
+
+register("commit_apps", UPDATES + "SELECT app_id, batch_id, name, developer_name, icon_url FROM u")
 
-register("commit_apps", RAW_PAGES + """
-SELECT 'app' || (page_id % 50) AS app_id, page_id % 2 AS batch_id, arg_max(name, page_id) AS name,
-       nullif(arg_max(coalesce(developer_name, ''), page_id), '') AS developer_name, arg_max('https://i/' || page_id, page_id) AS icon_url
-FROM res WHERE error IS NULL AND name IS NOT NULL GROUP BY ALL""")
+register("commit_catalogue", UPDATES.replace("WITH p AS", f"WITH {FX['fx_apps']}, p AS", 1) + """
+SELECT c.id, coalesce(b.name, a.name, c.name) AS name, c.bundle_id, c.store, coalesce(b.developer_name, a.developer_name, c.developer_name) AS developer_name,
+       CASE WHEN coalesce(b.name, a.name) IS NOT NULL THEN 'about' END AS description, coalesce(b.icon_url, a.icon_url) AS icon_url, c.is_active
+FROM fx_apps c LEFT JOIN (FROM u WHERE batch_id = 0) a ON a.app_id = c.id LEFT JOIN (FROM u WHERE batch_id = 1) b ON b.app_id = c.id""")

@@ -23,6 +23,7 @@ from storelens.operators import prices as P
 from storelens.operators import reviews as R
 from storelens.plans.parallel import spread
 from storelens.session import use_utc
+from storelens.sources import catalogue as CAT
 from storelens.sources import fixtures as FX
 from storelens.sources import sinks as S
 from storelens.streaming import jobs as ST
@@ -488,37 +489,46 @@ def q_paginated_reviews(spark, sf_dir):
     return m.select("app_url", "external_review_id", "page_id", "pos", "rating", "title", "author_name")
 
 
-def _committed(spark, sf_dir):
-    """The pages' results committed in two batches (even and odd pages); the folder of the tables."""
-    raw = FX.fx_raw_pages(spark, sf_dir).withColumn("app_id", F.concat(F.lit("app"), (F.col("page_id") % 50).cast("string")))
-    res = X.scrape_results(raw, PAGES_AT, keep=("app_id",))
+def _committed(spark, sf_dir, table):
+    """``table`` after the captures are committed in two batches (even and odd pages, which share their apps); the folder."""
+    raw = FX.fx_captures(spark, sf_dir)
+    res = X.scrape_results(raw, F.col("captured_at"), keep=("app_id",))
     root = RP.new_root(spark, "commit")
+    if table == "apps":
+        CAT.create(FX.fx_catalog(spark, sf_dir), f"{root}/catalogue")
     for k in (0, 1):
-        S.commit_scrape_batch(res.where(F.col("page_id") % 2 == k), root, k)
+        S.commit_scrape_batch(res.where(F.col("page_id") % 2 == k), root, k, tables=(table,))
     return root
 
 
 @query("commit_prices")
 def q_commit_prices(spark, sf_dir):
     """Every scraped price as stored by month, one row a page."""
-    got = S.read_price_history(spark, f"{_committed(spark, sf_dir)}/price_history")
+    got = S.read_price_history(spark, f"{_committed(spark, sf_dir, 'prices')}/price_history")
     return got.select("app_id", "price", "currency", "region", "ts", "price_month")
 
 
 @query("commit_reviews")
 def q_commit_reviews(spark, sf_dir):
-    """Each review of an app once, as the first batch that has it merged it."""
-    got = spark.read.parquet(f"{_committed(spark, sf_dir)}/reviews")
+    """Each review of an app once, as the first batch that has it merged it by capture time."""
+    got = spark.read.parquet(f"{_committed(spark, sf_dir, 'reviews')}/reviews")
     return got.select("app_id", "external_review_id", "rating", "review_date")
 
 
 @query("commit_apps")
 def q_commit_apps(spark, sf_dir):
-    """One record an app and batch, that of its last page."""
-    got = spark.read.parquet(f"{_committed(spark, sf_dir)}/app_updates")
+    """One record an app and batch, that of its last capture."""
+    got = spark.read.parquet(f"{_committed(spark, sf_dir, 'apps')}/app_updates")
     return got.select("app_id", "batch_id", "name", "developer_name", "icon_url")
 
 
+@query("commit_catalogue")
+def q_commit_catalogue(spark, sf_dir):
+    """The whole catalogue as the two batches leave it."""
+    got = CAT.read(spark, f"{_committed(spark, sf_dir, 'apps')}/catalogue")
+    return got.select("id", "name", "bundle_id", "store", "developer_name", "description", "icon_url", "is_active")
+
+
 def _stream(spark, sf_dir, name, shape, step):
     """Run a streaming step over a stand-in feed; the folder with its tables."""
     root = RP.new_root(spark, name)

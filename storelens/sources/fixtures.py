@@ -234,3 +234,13 @@ def fx_raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 4 > 0, F.transform(F.sequence(F.lit(0).cast("long"), i % 4 - 1), review)).otherwise(
             F.transform(F.slice(F.sequence(F.lit(0).cast("long"), F.lit(0).cast("long")), 1, 0), review)).alias("reviews"),
         F.lit(None).cast("string").alias("parse_error"))
+
+
+def fx_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_raw_pages as captures of apps: four pages an app, taken in an order of
+    their own between December 2025 and late 2027 (one month before the monthly layout begins)."""
+    i = F.col("page_id")
+    hours = (i * 37) % 16000
+    return fx_raw_pages(spark, sf_dir).withColumns({
+        "app_id": F.floor(i / 4).cast("long"),
+        "captured_at": F.timestamp_add("HOUR", hours.cast("int"), F.lit("2025-12-01 00:00:00").cast("timestamp_ntz"))})

@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 from storelens.operators import prices as P
 from storelens.operators import reviews as R
 from storelens.session import cut_lineage
+from storelens.sources import catalogue as CAT
 
 REVIEW_KEY = ["app_id", "external_review_id"]
 REVIEW_BUCKETS = 256            # hash buckets of app_id = directories of the reviews table
+ROWS_PER_FILE = 1_000_000       # a directory gets one more writer for each of these in a batch
 BROADCAST_MAX_KEYS = 500_000    # batch keys shipped to every task only below this (checked)
 
 
@@ -46,12 +48,18 @@ def read_partitioned(spark: SparkSession, path: str, part_col: str) -> DataFrame
     return spark.read.parquet(path).withColumn(part_col, F.col(part_col).cast("string"))
 
 
+def _per_value(counts: dict, column: str, rows_per_file: int):
+    """Writers of each directory, by the batch's rows in it (a literal map: one entry a directory)."""
+    pairs = [F.lit(x) for k, n in sorted(counts.items()) for x in (k, -(-n // rows_per_file))]
+    return F.coalesce(F.create_map(*pairs)[F.col(column)], F.lit(1)) if pairs else F.lit(1)
+
+
 # --- S3 ------------------------------------------------------------------------------------
-def write_price_history(prices: DataFrame, path: str, files_per_month: int = 8) -> DataFrame:
+def write_price_history(prices: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Append price observations into ``price_month=YYYYMM|default`` directories.
 
-    Rows are spread over ``files_per_month`` writers per month (hash of app_id)
-    so a busy month is not written by one task, and each file is sorted by
+    A month gets a writer for every ``rows_per_file`` rows that the batch has in it
+    (dealt by row id, so a hot app is not one writer's either), and each file is sorted by
     (app_id, ts) so Parquet min/max statistics skip row groups for app/time
     predicates (the BRIN / (app_id, ts) index of a row store).  Observations
     whose ``id`` is already stored in the same month are skipped.
@@ -59,16 +67,17 @@ def write_price_history(prices: DataFrame, path: str, files_per_month: int = 8)
     spark = prices.sparkSession
     p = P.with_price_month(prices)
     existing = try_read(spark, path)
+    counts = {r[0]: r[1] for r in p.groupBy("price_month").count().collect()}  # one row a month of the batch
     if existing is not None:
-        months = [r[0] for r in p.select("price_month").distinct().collect()]  # <= months in the batch
+        months = sorted(counts)
         old = existing.withColumn("price_month", F.col("price_month").cast("string")) \
                       .where(F.col("price_month").isin(months))
         keys = p.select("id", "price_month")
-        small = keys.limit(BROADCAST_MAX_KEYS + 1).count() <= BROADCAST_MAX_KEYS
+        small = sum(counts.values()) <= BROADCAST_MAX_KEYS
         seen = old.select("id", "price_month").join(F.broadcast(keys) if small else keys,
                                                     ["id", "price_month"], "left_semi")
         p = p.join(seen, ["id", "price_month"], "left_anti")
-    (p.withColumn("_w", F.pmod(F.xxhash64("app_id"), F.lit(files_per_month)))
+    (p.withColumn("_w", F.pmod(F.xxhash64("id"), _per_value(counts, "price_month", rows_per_file)))
       .repartition("price_month", "_w")
       .sortWithinPartitions("app_id", "ts")
       .drop("_w")
@@ -120,12 +129,12 @@ def existing_keys(stored: DataFrame, batch_keys: DataFrame, key: list[str]) -> D
     return stored.select(*key).join(probe, key, "left_semi")
 
 
-def append_new_reviews(batch: DataFrame, path: str, files_per_bucket: int = 4) -> DataFrame:
+def append_new_reviews(batch: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Insert-if-absent on (app_id, external_review_id), appended into
     ``app_bucket=`` directories.
 
-    Each bucket is written by up to ``files_per_bucket`` tasks (salted by review
-    id, so a hot app is not one writer); files are sorted by (app_id,
+    A bucket gets a writer for every ``rows_per_file`` rows that the batch has in it
+    (dealt by review id, so a hot app is not one writer); files are sorted by (app_id,
     review_date) so row-group statistics serve per-app date-range reads (the
     (app_id, review_date) index of a row store), and carry a Parquet bloom
     filter on the review id for point lookups."""
@@ -136,15 +145,16 @@ def append_new_reviews(batch: DataFrame, path: str, files_per_bucket: int = 4) -
         keys = batch.select(*REVIEW_KEY)
         new = batch.join(existing_keys(stored, keys, REVIEW_KEY), REVIEW_KEY, "left_anti")
     sort_cols = ["app_id"] + (["review_date"] if "review_date" in new.columns else [])
-    (new.withColumn("app_bucket", review_bucket(F.col("app_id")))
-        .withColumn("_w", F.pmod(F.xxhash64("external_review_id"), F.lit(files_per_bucket)))
+    new = new.withColumn("app_bucket", review_bucket(F.col("app_id")))
+    counts = {r[0]: r[1] for r in batch.groupBy(review_bucket(F.col("app_id"))).count().collect()}  # <= REVIEW_BUCKETS rows
+    (new.withColumn("_w", F.pmod(F.xxhash64("external_review_id"), _per_value(counts, "app_bucket", rows_per_file)))
         .repartition("app_bucket", "_w")
         .sortWithinPartitions(*sort_cols)
         .drop("_w")
         .write.mode("append")
         .option("parquet.bloom.filter.enabled#external_review_id", "true")
         .partitionBy("app_bucket").parquet(path))
-    return new
+    return new.drop("app_bucket")
 
 
 # --- S5 ------------------------------------------------------------------------------------
@@ -167,34 +177,39 @@ def write_snapshot(df: DataFrame, base: str, snapshot_id: str) -> str:
 
 
 # --- S6 ------------------------------------------------------------------------------------
-def commit_scrape_batch(results: DataFrame, root: str, batch_id: int) -> None:
-    """Fan one batch of scrape results out to the three tables.
-
-    ``results`` rows: app_id, success, app struct, price struct, reviews array
-    (output of ``extract.scrape_results`` plus the app id).  Failed pages write
-    nothing.  Re-running a batch id appends nothing twice.
+def commit_scrape_batch(results: DataFrame, root: str, batch_id: int, tables=("prices", "reviews", "apps")) -> None:
+    """Fan one batch of scrape results out to the tables (``tables``: those wanted).
+
+    ``results`` rows: app_id, captured_at, success, app struct, price struct, reviews
+    array (output of ``extract.scrape_results`` plus the app id).  Where pages of one
+    app disagree, the capture time decides, then the page id and the place on the page.
+    Failed pages write nothing.  Re-running a batch id appends nothing twice.  App
+    records go to the log and, if ``root`` has a catalogue, into its version ``batch_id`` + 1.
     """
     root = root.rstrip("/")
-    # The three writes below read the same extracted pages; a reliable checkpoint
+    # The writes below read the same extracted pages; a reliable checkpoint
     # in the shared spark.checkpoint.dir survives executor loss without re-running
     # the HTML extraction.
     ok = cut_lineage(results.where("success"))
     try:
-        prices = ok.where(F.col("price").isNotNull()).select(
-            # one row a scrape: page, app, region, currency and instant name it
-            F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), F.col("app_id").cast("string"), "price.region",
-                               "price.currency", F.col("price.ts").cast("string")), 256).alias("id"), "app_id",
-            F.col("price.price").alias("price"), F.col("price.currency").alias("currency"),
-            F.col("price.region").alias("region"), F.col("price.ts").alias("ts"))
-        write_price_history(prices, f"{root}/price_history")
-        raw = ok.select("app_id", "page_id", F.posexplode("reviews").alias("at", "r")).select(
-            "app_id", F.struct("page_id", "at").alias("pos"), "r.external_review_id", "r.rating", "r.title", "r.content", "r.author_name",
-            "r.review_date")
-        merged = R.merge_batch_reviews(raw)
-        append_new_reviews(merged, f"{root}/reviews")
-        apps = ok.where(F.col("app").isNotNull()).groupBy("app_id").agg(F.max_by("app", "page_id").alias("app")).select(
-            "app_id", "app.*").drop("bundle_id")
-        append_app_updates(apps, f"{root}/app_updates", batch_id)
+        if "prices" in tables:
+            write_price_history(ok.where(F.col("price").isNotNull()).select(
+                # one row a scrape: page, app, region, currency and instant name it
+                F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), F.col("app_id").cast("string"), "price.region",
+                                   "price.currency", F.col("price.ts").cast("string")), 256).alias("id"), "app_id",
+                F.col("price.price").alias("price"), F.col("price.currency").alias("currency"),
+                F.col("price.region").alias("region"), F.col("price.ts").alias("ts")), f"{root}/price_history")
+        if "reviews" in tables:
+            raw = ok.select("app_id", "captured_at", "page_id", F.posexplode("reviews").alias("at", "r")).select(
+                "app_id", F.struct("captured_at", "page_id", "at").alias("pos"), "r.external_review_id", "r.rating", "r.title", "r.content",
+                "r.author_name", "r.review_date")
+            append_new_reviews(R.merge_batch_reviews(raw), f"{root}/reviews")
+        if "apps" in tables:
+            last = F.max_by("app", F.struct("captured_at", "page_id"))
+            apps = ok.where(F.col("app").isNotNull()).groupBy("app_id").agg(last.alias("app")).select("app_id", "app.*").drop("bundle_id")
+            append_app_updates(apps, f"{root}/app_updates", batch_id)
+            if CAT.manifest(apps.sparkSession, f"{root}/catalogue") is not None:
+                CAT.apply_updates(apps, f"{root}/catalogue", batch_id + 1)
     finally:
         ok.unpersist()  # no-op for checkpointed data; files are cleaned when unreferenced
 
