@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from storelens.operators import catalog as C
 
-BUCKETS = 64
+ROWS_PER_BUCKET = 100_000  # an update rewrites whole buckets, a read opens one file each
+BUCKETS = (8, 4096)  # fewest and most buckets of a new catalogue
 
 
 def bucket_of(app_id: Column, buckets: int) -> Column:
@@ -53,8 +54,11 @@ def _write(spark: SparkSession, rows: DataFrame, root: str, version: int, bucket
           .write.mode("overwrite").parquet(f"{root}/versions/v={version}"))
 
 
-def create(apps: DataFrame, root: str, buckets: int = BUCKETS) -> None:
-    """Version 0: the whole catalogue (one row an id, at least one row).  A bucket should hold about one file's worth of rows."""
+def create(apps: DataFrame, root: str, buckets: int | None = None) -> None:
+    """Version 0: the whole catalogue (one row an id, at least one row), in buckets by its number of rows if none is given."""
+    if buckets is None:
+        low, high = BUCKETS
+        buckets = min(high, max(low, -(-apps.count() // ROWS_PER_BUCKET)))
     _write(apps.sparkSession, apps, root, 0, buckets, dict.fromkeys(range(buckets), 0))
 
 
@@ -74,9 +78,9 @@ def read(spark: SparkSession, root: str, version: int | None = None) -> DataFram
     return _read(spark, root, held)
 
 
-def apply_updates(updates: DataFrame, root: str, version: int) -> DataFrame:
+def apply_updates(updates: DataFrame, root: str, version: int) -> None:
     """Apply scraped app records (one an app; rules of ``catalog.apps_merge``) as ``version``;
-    apps that the catalogue lacks are left out.  Returns the catalogue as of that version."""
+    apps that the catalogue lacks are left out."""
     spark = updates.sparkSession
     held = manifest(spark, root, version)
     if held is None:
@@ -85,4 +89,3 @@ def apply_updates(updates: DataFrame, root: str, version: int) -> DataFrame:
     current = _read(spark, root, {b: held[b] for b in touched})
     merged = C.apps_merge(current, updates).select(*current.columns)
     _write(spark, merged, root, version, len(held), held | dict.fromkeys(touched, version))
-    return read(spark, root, version)
