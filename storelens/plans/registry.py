@@ -385,6 +385,14 @@ def q_similar_reviews(spark, sf_dir):
     return g.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("review_groups")
+def q_review_groups(spark, sf_dir):
+    """G1 review vectors and their rewritten versions, grouped at cosine 0.9."""
+    from storelens.operators import grouping as G
+    g = G.group_similar(FX.fx_review_versions(spark, sf_dir), threshold=0.9)
+    return g.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("nearest_reviews")
 def q_nearest_reviews(spark, sf_dir):
     """G2 five nearest review vectors to each topic centroid."""

@@ -244,3 +244,12 @@ def fx_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx_raw_pages(spark, sf_dir).withColumns({
         "app_id": F.floor(i / 4).cast("long"),
         "captured_at": F.timestamp_add("HOUR", hours.cast("int"), F.lit("2025-12-01 00:00:00").cast("timestamp_ntz"))})
+
+
+def fx_review_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings -> review vectors with 0 to 3 rewritten versions each (components scaled by up to 15 %, their cosine above 0.97)."""
+    e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    e = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"),
+                 F.explode(F.sequence(F.lit(0), (F.col("vec_id") % 4).cast("int"))).alias("c"))
+    scale = lambda i: 1 + F.col("c") * (((i + 1) * 7 + F.col("c") * 3) % 5 - 2) / F.lit(40.0)
+    return e.select((F.col("vec_id") * 4 + F.col("c")).alias("vec_id"), F.transform("v", lambda x, i: x * scale(i)).alias("embedding"))
