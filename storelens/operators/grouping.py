@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from storelens.session import cut_lineage
 
+SALTS = 32      # parts of a group's members where they meet their group's one row
 MORE_BITS = 2   # bits that a bucket's rest is split by in the next round
 KEY_BITS = 60
 
@@ -129,9 +130,14 @@ def group_similar(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.02
     good = cut_lineage(every.where("id IS NOT NULL").where(F.size("v") == dims).withColumn("norm", norm)
                        .where("norm > 0 AND NOT isnan(norm) AND norm < double('infinity')"))
     linked = smallest_connected(links(good, dims, threshold, miss))
+    # one row a group, with its first vector, in SALTS copies: members of a huge group meet it in as many tasks
     sizes = linked.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
-    with_rep = _similarity(linked.where("id <> group_id"), good, "id", "group_id").select("id", "similarity")
-    member = linked.join(sizes, "group_id").join(with_rep, "id", "left")
+    first = good.select(F.col("id").alias("group_id"), F.col("v").alias("_vg"), F.col("norm").alias("_ng"))
+    groups = sizes.join(first, "group_id").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = linked.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    cosine = _dot(F.col("v"), F.col("_vg")) / (F.col("norm") * F.col("_ng"))
+    member = (salted.join(good, "id").join(groups, ["group_id", "_s"])
+                    .select("id", "group_id", "group_size", F.when(F.col("id") == F.col("group_id"), F.lit(1.0)).otherwise(cosine).alias("similarity")))
     has = good.select("id", F.lit(1.0).alias("own"))
     return (every.select("id").join(member, "id", "left").join(has, "id", "left")
                  .select(F.col("id").alias(id_col), F.coalesce("group_id", "id").alias("group_id"),
