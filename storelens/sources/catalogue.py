@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelens.operators import catalog as C
 
@@ -47,7 +48,8 @@ def manifest(spark: SparkSession, root: str, before: int | None = None) -> dict[
     return {r["bucket"]: r["data_v"] for r in m.where(F.col("v") == newest).collect()}  # one row a bucket
 
 
-def _write(spark: SparkSession, rows: DataFrame, root: str, version: int, buckets: int, held: dict[int, int]) -> None:
+def write_version(spark: SparkSession, rows: DataFrame, root: str, version: int, buckets: int, held: dict[int, int]) -> None:
+    """The rows (key column ``id``) of some buckets, then the manifest of all."""
     (rows.withColumn("bucket", bucket_of(F.col("id"), buckets)).repartition("bucket").sortWithinPartitions("id")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/v={version}"))
     (spark.createDataFrame(sorted(held.items()), "bucket int, data_v long").coalesce(1)
@@ -59,15 +61,20 @@ def create(apps: DataFrame, root: str, buckets: int | None = None) -> None:
     if buckets is None:
         low, high = BUCKETS
         buckets = min(high, max(low, -(-apps.count() // ROWS_PER_BUCKET)))
-    _write(apps.sparkSession, apps, root, 0, buckets, dict.fromkeys(range(buckets), 0))
+    write_version(apps.sparkSession, apps, root, 0, buckets, dict.fromkeys(range(buckets), 0))
 
 
-def _read(spark: SparkSession, root: str, held: dict[int, int]) -> DataFrame:
-    schema = spark.read.parquet(f"{root}/data/v=0").drop("bucket").schema
+def read_buckets(spark: SparkSession, root: str, held: dict[int, int], schema) -> DataFrame:
+    """The rows of the buckets that ``held`` names, from the versions that hold them."""
     one_of = F.lit(False)
     for v in sorted(set(held.values())):  # literals: at most one a bucket
         one_of = one_of | ((F.col("v") == v) & F.col("bucket").isin(sorted(b for b, at in held.items() if at == v)))
-    return spark.read.parquet(f"{root}/data").where(one_of).select(*schema.names)
+    full = T.StructType([*schema.fields, T.StructField("v", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    return spark.read.schema(full).parquet(f"{root}/data").where(one_of).select(*schema.names)
+
+
+def _read(spark: SparkSession, root: str, held: dict[int, int]) -> DataFrame:
+    return read_buckets(spark, root, held, spark.read.parquet(f"{root}/data/v=0").drop("bucket").schema)
 
 
 def read(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
@@ -88,4 +95,4 @@ def apply_updates(updates: DataFrame, root: str, version: int) -> None:
     touched = sorted(r[0] for r in updates.select(bucket_of(F.col("app_id"), len(held))).distinct().collect())  # <= buckets
     current = _read(spark, root, {b: held[b] for b in touched})
     merged = C.apps_merge(current, updates).select(*current.columns)
-    _write(spark, merged, root, version, len(held), held | dict.fromkeys(touched, version))
+    write_version(spark, merged, root, version, len(held), held | dict.fromkeys(touched, version))

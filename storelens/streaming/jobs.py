@@ -9,9 +9,9 @@
 Each is a ``foreachBatch`` step over a table below ``root`` with one folder per
 micro-batch, written in overwrite mode: a batch that runs again after a failure
 replaces its own rows, and nothing else.  Results don't depend on how the input
-is cut into files or in which order they come: ST2 compares with all earlier batches,
-ST3 compares a late price with its neighbours in time and corrects what follows it,
-ST4 and ST5 keep partial counts that add up on read.  No watermark drops a row, and
+is cut into files or in which order they come: ST2 compares with the earlier keys of the
+batch's apps, ST3 with the last price of the batch's series (late prices are put in
+their places on read), ST4 and ST5 keep partial counts that add up on read.  No watermark drops a row, and
 the newest window is there.  Checkpoints live under the caller's shared folder.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from storelens.functions.numeric import exact_ratio
 from storelens.operators import extract as X
 from storelens.plans import ordered as O
+from storelens.sources import catalogue as CAT
 from storelens.sources import sinks as S
 
 # --- ST1 ----------------------------------------------------------------------------------------
@@ -55,68 +56,107 @@ def start_ingest(spark, pages_dir: str, root: str, checkpoint: str,
 
 
 # --- tables with one folder per micro-batch -------------------------------------------------------
-def _write(df: DataFrame, table: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+def _write(df: DataFrame, table: str, batch_id: int, by: str | None = None) -> None:
+    w = df.write.mode("overwrite").option("parquet.bloom.filter.enabled#external_review_id", "true")
+    (w.partitionBy(by) if by else w).parquet(f"{table}/batch={batch_id}")
 
 
-def _earlier(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
-    """Rows of the batches before ``batch_id`` (a batch that runs again doesn't see itself)."""
-    return None if batch_id == 0 else spark.read.parquet(table).where(F.col("batch") < batch_id)
+# --- ST2 ----------------------------------------------------------------------------------------
+REVIEW_KEY = ("app_id", "external_review_id")
 
 
-# --- ST2 ----------------------------------------------------------------------------------------
-def dedupe_reviews(root: str, key=("app_id", "external_review_id")):
-    """Append each review key that no earlier batch holds, once."""
+def earlier_keys(spark: SparkSession, root: str, batch_id: int, buckets: list[int], key=REVIEW_KEY) -> DataFrame | None:
+    """Stored keys of the batches before ``batch_id`` in ``buckets``: other directories are not read, and a
+    batch that runs again doesn't see itself."""
+    if batch_id == 0 or not buckets:
+        return None
+    return spark.read.parquet(f"{root}/reviews").where(F.col("app_bucket").isin(buckets) & (F.col("batch") < batch_id)).select(*key)
+
+
+def dedupe_reviews(root: str, key=REVIEW_KEY):
+    """Append each review key that no earlier batch holds, once.
+
+    The key table lies in directories by a hash of the app; a batch reads those of its own apps.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates(list(key))
-        stored = _earlier(batch.sparkSession, f"{root}/reviews", batch_id)
+        new = batch.dropDuplicates(list(key)).withColumn("app_bucket", S.review_bucket(F.col("app_id")))
+        buckets = [r[0] for r in batch.select(S.review_bucket(F.col("app_id"))).distinct().collect()]  # <= REVIEW_BUCKETS
+        stored = earlier_keys(batch.sparkSession, root, batch_id, buckets, key)
         if stored is not None:
-            new = new.join(stored.select(*key), list(key), "left_anti")
-        _write(new, f"{root}/reviews", batch_id)
+            same = [new[k].eqNullSafe(stored[k]) for k in key]
+            new = new.join(stored, same, "left_anti")
+        _write(new, f"{root}/reviews", batch_id, by="app_bucket")
     return run
 
 
 def stored_reviews(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/reviews").drop("batch")
+    return spark.read.parquet(f"{root}/reviews").drop("batch", "app_bucket")
 
 
 # --- ST3 ----------------------------------------------------------------------------------------
 SERIES = ["app_id", "region", "currency"]
 PRICE_COLUMNS = [*SERIES, "id", "ts", "price"]
+LAST_BUCKETS = 64
+
 
+def _series_key() -> F.Column:
+    """The series as one text, nulls included."""
+    return F.to_json(F.struct(*SERIES), {"ignoreNullFields": "false"})
 
-def price_changes(root: str, width_us: int = O.DAY_US):
-    """Store the batch's prices, and the previous price of each new row and of the row after it.
 
-    A late price so corrects the comparison of its successor; the newest version
-    of a row counts.  Only the touched series are read again, from the oldest new
-    price's day on plus the last price before it.
+def price_changes(root: str, width_us: int = O.DAY_US, buckets: int = LAST_BUCKETS):
+    """Compare each price with the one before it; no stored price is read again.
+
+    What a batch needs of the past is the last price of its own series: ``last`` holds one row a
+    series, as bucketed copy-on-write versions (one a batch, of the touched buckets).
+    Prices that come after their series' last one go to ``compared`` with their previous price;
+    those that come too late go to ``late``, and ``price_alerts`` corrects what they change.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select(*PRICE_COLUMNS).withColumn("is_new", F.lit(True))
-        stored = _earlier(spark, f"{root}/prices", batch_id)
-        rows = new
-        if stored is not None:
-            touched = new.groupBy(*SERIES).agg(F.min("ts").alias("first_new"))
-            on = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in SERIES]
-            old = stored.alias("s").join(touched.alias("t"), on).select(*[f"s.{c}" for c in PRICE_COLUMNS], "first_new")
-            after = old.where("ts >= first_new").select(*PRICE_COLUMNS)
-            before = old.where("ts < first_new").groupBy(*SERIES).agg(
-                F.max_by(F.struct("id", "ts", "price"), F.struct("ts", "id")).alias("last")).select(*SERIES, "last.*")
-            rows = new.unionByName(after.unionByName(before.select(*PRICE_COLUMNS)).withColumn("is_new", F.lit(False)))
-        compared = O.with_prev(rows, SERIES, "ts", ["ts", "id"], ["price", "is_new"], width_us)
-        compared = compared.where(F.col("is_new") | F.col("prev.is_new"))
-        _write(compared.select(*PRICE_COLUMNS, F.col("prev.price").alias("prev_price")), f"{root}/compared", batch_id)
-        _write(batch.select(*PRICE_COLUMNS), f"{root}/prices", batch_id)
+        spark, last_root = batch.sparkSession, f"{root}/last"
+        new = batch.select(*PRICE_COLUMNS).withColumn("series", _series_key())
+        held = CAT.manifest(spark, last_root, batch_id)
+        bucket = CAT.bucket_of(F.col("series"), buckets)
+        touched = sorted(r[0] for r in new.select(bucket).distinct().collect())  # <= buckets
+        here = F.struct("ts", "id", "price")
+        newest = new.groupBy(F.col("series").alias("id")).agg(F.max_by(here, F.struct("ts", "id")).alias("last"))
+        if held is None:
+            held, known, top = dict.fromkeys(range(buckets), batch_id), newest.where(F.lit(False)), newest
+        else:
+            known = CAT.read_buckets(spark, last_root, {b: held[b] for b in touched}, newest.schema)
+            both = known.unionByName(newest)
+            top = both.groupBy("id").agg(F.max_by("last", F.struct("last.ts", "last.id")).alias("last"))
+        at = F.struct("ts", "id")
+        seen = O.with_prev(new, SERIES, "ts", ["ts", "id"], ["ts", "id", "price"], width_us)
+        seen = seen.join(known.withColumnRenamed("id", "series"), "series", "left")
+        # before the batch's own previous price there may be the series' last one
+        past = F.struct("last.ts", "last.id")
+        in_batch = F.struct("prev.ts", "prev.id")
+        own = F.col("prev").isNotNull() & (F.col("last").isNull() | (in_batch > past))
+        is_late = F.coalesce(F.col("last").isNotNull() & (at <= past), F.lit(False))
+        seen = seen.withColumn("prev_price", F.when(own, F.col("prev.price")).otherwise(F.col("last.price")))
+        _write(seen.where(~is_late).select(*PRICE_COLUMNS, "prev_price"), f"{root}/compared", batch_id)
+        _write(seen.where(is_late).select(*PRICE_COLUMNS), f"{root}/late", batch_id)
+        CAT.write_version(spark, top, last_root, batch_id, buckets, held | dict.fromkeys(touched, batch_id))
     return run
 
 
-def price_alerts(spark: SparkSession, root: str) -> DataFrame:
-    """The changes as they stand: the newest comparison of each row, where the price differs."""
-    last = spark.read.parquet(f"{root}/compared").groupBy(*SERIES, "id", "ts", "price").agg(
-        F.max_by(F.struct("prev_price"), "batch").alias("v"))
-    return last.select(*SERIES, "id", "ts", F.col("v.prev_price").alias("prev_price"), "price").where("price <> prev_price")
+def price_alerts(spark: SparkSession, root: str, width_us: int = O.DAY_US) -> DataFrame:
+    """The changes as they stand, late prices in their places.
+
+    Series without a late price are read as compared.  Of the others, what lies at or after
+    the first late price is compared anew, together with the last price before it."""
+    compared, late = spark.read.parquet(f"{root}/compared").drop("batch"), spark.read.parquet(f"{root}/late").drop("batch")
+    first = late.groupBy(*SERIES).agg(F.min("ts").alias("first_late"))
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in SERIES]
+    c = compared.alias("c").join(first.alias("f"), on, "left").select("c.*", "first_late")
+    settled = c.where("first_late IS NULL OR ts < first_late").select(*PRICE_COLUMNS, "prev_price")
+    before = c.where("ts < first_late").groupBy(*SERIES).agg(
+        F.max_by(F.struct("id", "ts", "price"), F.struct("ts", "id")).alias("last")).select(*SERIES, "last.*", F.lit(False).alias("open"))
+    after = c.where("ts >= first_late").select(*PRICE_COLUMNS).unionByName(late.select(*PRICE_COLUMNS)).withColumn("open", F.lit(True))
+    anew = O.with_prev(after.unionByName(before.select(*PRICE_COLUMNS, "open")), SERIES, "ts", ["ts", "id"], ["price"], width_us)
+    anew = anew.where("open").select(*PRICE_COLUMNS, F.col("prev.price").alias("prev_price"))
+    return settled.unionByName(anew).where("price <> prev_price").select(*SERIES, "id", "ts", "prev_price", "price")
 
 
 # --- ST4 / ST5 ------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from datetime import datetime
 from decimal import Decimal
 
@@ -57,6 +58,54 @@ def test_dedupe_over_batches(spark, scratch):
     assert rows(ST.stored_reviews(spark, scratch), feed.columns) == rows(feed.distinct(), feed.columns)
 
 
+def test_a_batch_reads_its_own_apps_keys_only(spark, scratch):
+    step, schema = ST.dedupe_reviews(scratch), "app_id string, external_review_id string"
+    keys = [[(f"app{a}", f"r{k}") for a in range(40) for k in range(3)], [("app1", "r1"), ("app1", "r9"), (None, "r1"), ("app2", None)],
+            [(None, "r1"), ("app2", None), ("app1", "r9"), ("app3", "r3")]]
+    for k, b in enumerate(keys):
+        for _ in range(2):
+            step(spark.createDataFrame(b, schema), k)
+    got = [tuple(r) for r in ST.stored_reviews(spark, scratch).select("app_id", "external_review_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == {k for b in keys for k in b}
+    bucket = spark.sql("SELECT 'app1' AS app_id").select(ST.S.review_bucket(F.col("app_id"))).first()[0]
+    read = ST.earlier_keys(spark, scratch, 1, [bucket])
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*app_bucket", plan)
+    files = read.select(F.input_file_name().alias("f")).distinct().count()
+    assert files == 1 < len(spark.read.parquet(f"{scratch}/reviews").inputFiles()) and 3 <= read.count() < 120
+
+
+def test_prices_come_in_any_order_without_reading_the_stored_ones(spark, scratch):
+    """A batch reads the last price of its series' buckets; the stored prices' folders may even be away."""
+    schema = "app_id long, region string, currency string, id long, ts timestamp_ntz, price decimal(10,2)"
+    rng = random.Random(4)
+    data = [(a, rng.choice(["US", None]), "USD", i, datetime(2026, 1, 1 + rng.randrange(20), rng.randrange(3)), Decimal(rng.randrange(1, 4)))
+            for i, a in enumerate([1] * 60 + [rng.randrange(2, 9) for _ in range(60)])]
+    whole = rows(P.price_changes(spark.createDataFrame(data, schema)), ["id", "prev_price", "price"])
+    for order in ("sorted", "shuffled"):
+        root = os.path.join(scratch, order)
+        batch = sorted(data, key=lambda r: (r[4], r[3])) if order == "sorted" else rng.sample(data, len(data))
+        step = ST.price_changes(root, buckets=4)
+        for k in range(4):
+            step(spark.createDataFrame(batch[30 * k:30 * k + 30], schema), k)
+        assert rows(ST.price_alerts(spark, root), ["id", "prev_price", "price"]) == whole
+        late = spark.read.parquet(f"{root}/late").count()
+        assert late == 0 if order == "sorted" else late > 20
+
+
+def test_a_batch_needs_the_last_prices_only(spark, scratch):
+    """The second batch finds its past with the stored prices' folders away."""
+    schema = "app_id long, region string, currency string, id long, ts timestamp_ntz, price decimal(10,2)"
+    row = lambda i, app, day, p: (app, "US", None, i, datetime(2026, 1, day), Decimal(p))
+    one, two = os.path.join(scratch, "one"), os.path.join(scratch, "two")
+    ST.price_changes(one)(spark.createDataFrame([row(1, 1, 1, "1.00"), row(2, 1, 2, "2.00"), row(3, 2, 1, "5.00")], schema), 0)
+    os.makedirs(two)
+    os.symlink(os.path.join(one, "last"), os.path.join(two, "last"))
+    ST.price_changes(two)(spark.createDataFrame([row(4, 1, 3, "3.00"), row(5, 2, 1, "6.00"), row(6, 3, 1, "7.00")], schema), 1)
+    got = {r["id"]: r["prev_price"] for r in spark.read.parquet(f"{two}/compared").collect()}
+    assert got == {4: Decimal("2.00"), 5: Decimal("5.00"), 6: None}
+
+
 def test_a_batch_that_runs_again_replaces_itself(spark, scratch):
     schema = "app_id long, region string, currency string, id long, ts timestamp_ntz, price decimal(10,2)"
     row = lambda i, day, p: (1, "US", "USD", i, datetime(2026, 1, day), Decimal(p))
