@@ -110,7 +110,7 @@ def price_changes(root: str, width_us: int = O.DAY_US, buckets: int = LAST_BUCKE
     What a batch needs of the past is the last price of its own series: ``last`` holds one row a
     series, as bucketed copy-on-write versions (one a batch, of the touched buckets).
     Prices that come after their series' last one go to ``compared`` with their previous price;
-    those that come too late go to ``late``, and ``price_alerts`` corrects what they change.
+    those that come too late go to its ``late=1`` folders, and ``price_alerts`` corrects what they change.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark, last_root = batch.sparkSession, f"{root}/last"
@@ -135,8 +135,8 @@ def price_changes(root: str, width_us: int = O.DAY_US, buckets: int = LAST_BUCKE
         own = F.col("prev").isNotNull() & (F.col("last").isNull() | (in_batch > past))
         is_late = F.coalesce(F.col("last").isNotNull() & (at <= past), F.lit(False))
         seen = seen.withColumn("prev_price", F.when(own, F.col("prev.price")).otherwise(F.col("last.price")))
-        _write(seen.where(~is_late).select(*PRICE_COLUMNS, "prev_price"), f"{root}/compared", batch_id)
-        _write(seen.where(is_late).select(*PRICE_COLUMNS), f"{root}/late", batch_id)
+        seen = seen.select(*PRICE_COLUMNS, "prev_price", is_late.cast("int").alias("late"))
+        _write(seen, f"{root}/compared", batch_id, by="late")
         CAT.write_version(spark, top, last_root, batch_id, buckets, held | dict.fromkeys(touched, batch_id))
     return run
 
@@ -146,7 +146,11 @@ def price_alerts(spark: SparkSession, root: str, width_us: int = O.DAY_US) -> Da
 
     Series without a late price are read as compared.  Of the others, what lies at or after
     the first late price is compared anew, together with the last price before it."""
-    compared, late = spark.read.parquet(f"{root}/compared").drop("batch"), spark.read.parquet(f"{root}/late").drop("batch")
+    stored = spark.read.parquet(f"{root}/compared")
+    compared, late = stored.where("late = 0").drop("batch", "late"), stored.where("late = 1").drop("batch", "late")
+    out = [*SERIES, "id", "ts", "prev_price", "price"]
+    if late.isEmpty():  # folder names tell
+        return compared.where("price <> prev_price").select(*out)
     first = late.groupBy(*SERIES).agg(F.min("ts").alias("first_late"))
     on = [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in SERIES]
     c = compared.alias("c").join(first.alias("f"), on, "left").select("c.*", "first_late")
@@ -156,7 +160,7 @@ def price_alerts(spark: SparkSession, root: str, width_us: int = O.DAY_US) -> Da
     after = c.where("ts >= first_late").select(*PRICE_COLUMNS).unionByName(late.select(*PRICE_COLUMNS)).withColumn("open", F.lit(True))
     anew = O.with_prev(after.unionByName(before.select(*PRICE_COLUMNS, "open")), SERIES, "ts", ["ts", "id"], ["price"], width_us)
     anew = anew.where("open").select(*PRICE_COLUMNS, F.col("prev.price").alias("prev_price"))
-    return settled.unionByName(anew).where("price <> prev_price").select(*SERIES, "id", "ts", "prev_price", "price")
+    return settled.unionByName(anew).where("price <> prev_price").select(*out)
 
 
 # --- ST4 / ST5 ------------------------------------------------------------------------------------

@@ -89,7 +89,7 @@ def test_prices_come_in_any_order_without_reading_the_stored_ones(spark, scratch
         for k in range(4):
             step(spark.createDataFrame(batch[30 * k:30 * k + 30], schema), k)
         assert rows(ST.price_alerts(spark, root), ["id", "prev_price", "price"]) == whole
-        late = spark.read.parquet(f"{root}/late").count()
+        late = spark.read.parquet(f"{root}/compared").where("late = 1").count()
         assert late == 0 if order == "sorted" else late > 20
 
 
