@@ -48,7 +48,7 @@ def read_partitioned(spark: SparkSession, path: str, part_col: str) -> DataFrame
     return spark.read.parquet(path).withColumn(part_col, F.col(part_col).cast("string"))
 
 
-def _per_value(counts: dict, column: str, rows_per_file: int):
+def writers(counts: dict, column: str, rows_per_file: int):
     """Writers of each directory, by the batch's rows in it (a literal map: one entry a directory)."""
     pairs = [F.lit(x) for k, n in sorted(counts.items()) for x in (k, -(-n // rows_per_file))]
     return F.coalesce(F.create_map(*pairs)[F.col(column)], F.lit(1)) if pairs else F.lit(1)
@@ -77,7 +77,7 @@ def write_price_history(prices: DataFrame, path: str, rows_per_file: int = ROWS_
         seen = old.select("id", "price_month").join(F.broadcast(keys) if small else keys,
                                                     ["id", "price_month"], "left_semi")
         p = p.join(seen, ["id", "price_month"], "left_anti")
-    (p.withColumn("_w", F.pmod(F.xxhash64("id"), _per_value(counts, "price_month", rows_per_file)))
+    (p.withColumn("_w", F.pmod(F.xxhash64("id"), writers(counts, "price_month", rows_per_file)))
       .repartition("price_month", "_w")
       .sortWithinPartitions("app_id", "ts")
       .drop("_w")
@@ -147,7 +147,7 @@ def append_new_reviews(batch: DataFrame, path: str, rows_per_file: int = ROWS_PE
     sort_cols = ["app_id"] + (["review_date"] if "review_date" in new.columns else [])
     new = new.withColumn("app_bucket", review_bucket(F.col("app_id")))
     counts = {r[0]: r[1] for r in batch.groupBy(review_bucket(F.col("app_id"))).count().collect()}  # <= REVIEW_BUCKETS rows
-    (new.withColumn("_w", F.pmod(F.xxhash64("external_review_id"), _per_value(counts, "app_bucket", rows_per_file)))
+    (new.withColumn("_w", F.pmod(F.xxhash64("external_review_id"), writers(counts, "app_bucket", rows_per_file)))
         .repartition("app_bucket", "_w")
         .sortWithinPartitions(*sort_cols)
         .drop("_w")

@@ -57,7 +57,7 @@ def start_ingest(spark, pages_dir: str, root: str, checkpoint: str,
 
 # --- tables with one folder per micro-batch -------------------------------------------------------
 def _write(df: DataFrame, table: str, batch_id: int, by: str | None = None) -> None:
-    w = df.write.mode("overwrite").option("parquet.bloom.filter.enabled#external_review_id", "true")
+    w = df.write.mode("overwrite")
     (w.partitionBy(by) if by else w).parquet(f"{table}/batch={batch_id}")
 
 
@@ -80,11 +80,14 @@ def dedupe_reviews(root: str, key=REVIEW_KEY):
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         new = batch.dropDuplicates(list(key)).withColumn("app_bucket", S.review_bucket(F.col("app_id")))
-        buckets = [r[0] for r in batch.select(S.review_bucket(F.col("app_id"))).distinct().collect()]  # <= REVIEW_BUCKETS
-        stored = earlier_keys(batch.sparkSession, root, batch_id, buckets, key)
+        counts = {r[0]: r[1] for r in batch.groupBy(S.review_bucket(F.col("app_id"))).count().collect()}  # <= REVIEW_BUCKETS
+        stored = earlier_keys(batch.sparkSession, root, batch_id, sorted(counts), key)
         if stored is not None:
             same = [new[k].eqNullSafe(stored[k]) for k in key]
             new = new.join(stored, same, "left_anti")
+        # a directory gets one writer for each ROWS_PER_FILE rows, not one file of each task
+        writer = F.pmod(F.xxhash64(*key), S.writers(counts, "app_bucket", S.ROWS_PER_FILE))
+        new = new.withColumn("_w", writer).repartition("app_bucket", "_w").drop("_w")
         _write(new, f"{root}/reviews", batch_id, by="app_bucket")
     return run
 
