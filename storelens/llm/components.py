@@ -24,13 +24,14 @@ def _settled(edges: DataFrame) -> bool:
     return odd.isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a bigint, b bigint) that isn't the smallest of its component.
 
     Loops and repeated edges are ignored; an empty table gives an empty table.
+    Each round's edges are written in ``parts`` files at most, if given.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = keep(e)
+    e = keep(e, parts=parts)
     while not _settled(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
@@ -40,5 +41,5 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, F.col("a") == F.col("u"))
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        e = keep(small)
+        e = keep(small, parts=parts)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import by_bytes, keep, passing
+from storelens.llm.common import by_bytes, file_parts, keep, passing
 from storelens.llm.components import components
 
 WORDS = 5
@@ -359,19 +359,19 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key bigint, grams binary")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, bounded: bool = False) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, parts: int, bounded: bool = False) -> DataFrame:
     """The linked ones of ``pairs`` (a, b): bitmaps first, then the exact intersection."""
     if not bounded:
         x = nodes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
         y = nodes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
         pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded, "a bigint, b bigint")
-    pairs = keep(pairs)
+    pairs = keep(pairs, parts=parts)
     of = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = keep(of.join(nodes.select("key", "doc_id"), "key").select("doc_id").distinct())
+    ids = keep(of.join(nodes.select("key", "doc_id"), "key").select("doc_id").distinct(), parts=parts)
     grams = _sets(texts.join(ids, "doc_id", "left_semi"))
     x = grams.select(F.col("key").alias("a"), F.col("grams").alias("xa"))
     y = grams.select(F.col("key").alias("b"), F.col("grams").alias("xb"))
-    return keep(pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_exact, "a bigint, b bigint").distinct())
+    return keep(pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_exact, "a bigint, b bigint").distinct(), parts=parts)
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,10 +424,10 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _rooted(tile: DataFrame, roots: DataFrame) -> DataFrame:
+def _rooted(tile: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
     """The tiles' records with the components they are in."""
     return keep(tile.where("token is not null").select("token", "n", "key", "front").join(
-        roots, F.col("key") == F.col("node"), "left").select("token", "n", "key", "front", F.coalesce("root", "key").alias("root")))
+        roots, F.col("key") == F.col("node"), "left").select("token", "n", "key", "front", F.coalesce("root", "key").alias("root")), parts=parts)
 
 
 def _second_mates(rooted: DataFrame) -> DataFrame:
@@ -447,7 +447,7 @@ def _second_mates(rooted: DataFrame) -> DataFrame:
     return pairs.where(fits).select(F.least("key", "one.key").alias("a"), F.greatest("key", "one.key").alias("b")).distinct()
 
 
-def _open_pairs(rooted: DataFrame, nodes: DataFrame) -> DataFrame:
+def _open_pairs(rooted: DataFrame, nodes: DataFrame, files: int) -> DataFrame:
     """Pairs of different components that share a leading shingle and pass the bitmap bound.
 
     Runs of the same sets are gone through once.
@@ -458,7 +458,7 @@ def _open_pairs(rooted: DataFrame, nodes: DataFrame) -> DataFrame:
     mixed = mixed.groupBy("m", "s", "x").agg(F.min_by(F.struct("token", "lo"), "token").alias("t")).select("t.*", "m")
     # runs of one family go to few tasks (each of its blocks to others), where repeated pairs are dropped early
     parts = mixed.groupBy("lo").agg(F.greatest(F.lit(FAMILY_PARTS), F.ceil(F.sum("m") / FAMILY_ROWS)).alias("parts"))
-    mixed = keep(mixed.join(parts, "lo").select("token", F.col("lo").alias("family"), F.pmod(F.xxhash64("token"), F.col("parts")).alias("part"), "m"))
+    mixed = keep(mixed.join(parts, "lo").select("token", F.col("lo").alias("family"), F.pmod(F.xxhash64("token"), F.col("parts")).alias("part"), "m"), parts=files)
     rows = rooted.join(mixed, "token").withColumn("band", F.when(F.col("m") > BLOCK_ROWS, F.floor(F.log("n") / math.log(BAND))).otherwise(0))
     # a large run's blocks are of one size band; only blocks of equal or neighbouring bands can hold links
     each = rows.where(F.col("m") > BLOCK_ROWS).groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
@@ -487,21 +487,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def _near_duplicates(texts: DataFrame) -> DataFrame:
     sig = keep(signatures(texts))
     frequent, held = frequent_shingles(sig)
+    parts = file_parts(sig.sparkSession, sig.count())  # of every table between the stages
     tile = keep(tiles(_records(texts, frequent, held)))
     # one row per set: that of its smallest id
     least = sig.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
     nodes = sig.select("key", "doc_id", "n", "bits").join(least, ["key", "doc_id"])
-    links = _links(_mates(tile), nodes, texts)
-    roots = components(links)
-    rooted = _rooted(tile, roots)
-    links = links.unionByName(_links(_second_mates(rooted), nodes, texts))
-    roots = components(links)
-    more = keep(_open_pairs(_rooted(tile, roots), nodes))
+    links = _links(_mates(tile), nodes, texts, parts)
+    roots = components(links, parts)
+    rooted = _rooted(tile, roots, parts)
+    links = links.unionByName(_links(_second_mates(rooted), nodes, texts, parts))
+    roots = components(links, parts)
+    more = keep(_open_pairs(_rooted(tile, roots, parts), nodes, parts), parts=parts)
     if more.limit(1).count():
-        roots = components(links.unionByName(_links(more, nodes, texts, bounded=True)))
+        roots = components(links.unionByName(_links(more, nodes, texts, parts, bounded=True)), parts)
     rows = sig.select("doc_id", "n", "key").join(roots, F.col("key") == F.col("node"), "left").select(
         "doc_id", "n", F.coalesce("root", "key").alias("root"))
-    rows = keep(rows, lasting=True)  # all that the result reads
+    rows = keep(rows, lasting=True, parts=parts)  # all that the result reads
     top = rows.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))
     return rows.join(top, F.col("root") == F.col("r"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

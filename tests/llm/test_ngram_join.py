@@ -1,5 +1,7 @@
 """Operator 1 against brute force, with tiles, blocks and salted parts made small."""
 
+import contextlib
+import glob
 import random
 import re
 
@@ -7,6 +9,7 @@ import numpy as np
 import pytest
 
 from storelens.llm import ngram_join as J
+from storelens.llm.common import shared_dir
 from storelens.llm.components import components
 
 
@@ -67,6 +70,26 @@ def test_same_components_as_all_pairs(spark, monkeypatch, seed, small):
     assert got == brute(rows)
 
 
+def test_few_files_between_the_stages(spark, monkeypatch):
+    """A file costs the executor several processes (chmod): with many shuffle partitions only the sets and the tiles keep theirs."""
+    monkeypatch.setattr(J, "passing", lambda _: contextlib.nullcontext())
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    at = shared_dir(spark).removeprefix("file:") + "/llm-*"
+    before = set(glob.glob(at))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = list(enumerate(corpus(6)))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows)
+    files = sorted(len(glob.glob(d + "/part-*")) for d in set(glob.glob(at)) - before)
+    assert len(files) > 10 and files[-3] <= 2 * spark.sparkContext.defaultParallelism < files[-1]
+
+
 def test_odd_tables(spark):
     schema = "doc_id bigint, text string"
     assert J.near_duplicates(spark.createDataFrame([], schema)).count() == 0
